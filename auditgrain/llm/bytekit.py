@@ -67,20 +67,35 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n + 1 at least; kept for the next slice of a usual size."""
+    if _TABLES and len(_TABLES[0]) > n:
+        return _TABLES[0], _TABLES[1]
+    made = []
+    for factor in (BASE, _INV):
+        table = np.full(max(n, SLICE_BYTES) + 1, factor, dtype=np.uint64)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        made.append(table)
+    if n <= 4 * SLICE_BYTES:
+        _TABLES[:] = made
+    return made[0], made[1]
+
+
 class Poly:
     """Hashes of arbitrary byte ranges of a buffer, equal for equal bytes wherever they stand."""
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
-        power = np.full(n, BASE, dtype=np.uint64)
-        if n:
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
+        power, self.inverse = _powers(n)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=self.prefix[1:])
-        self.inverse = np.full(n + 1, _INV, dtype=np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[:n]
+        np.cumsum(terms, out=self.prefix[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of ``raw[start:end]`` for each pair; the length is mixed in."""
