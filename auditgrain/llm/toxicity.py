@@ -4,7 +4,8 @@
     that stand far more often in toxic texts.  Groups of them, and a few patterns, are *voters* (toxic, clean, abstain).
 2.  A generative label model estimates each voter's behaviour given the hidden label by
     expectation-maximisation; pairs of voters that agree beyond what the label explains are
-    correlated and share their weight.  The given label is one more voter.
+    correlated and share their weight.  The given label is one more voter, whose reliability is a
+    parameter: it ties the hidden label to toxicity rather than to whatever else voters share.
 3.  A linear classifier is trained on the posterior labels; it alone scores texts."""
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ GRAM = 6
 #: Labelled rows that the model is fitted on, about; chosen by a hash of doc_id.
 FIT_DOCS = 20_000
 FEATURES = 3_000
+#: Of them, how many make up the lexicons that vote.
+LEXICON = 300
 _TRIM = np.zeros(256, dtype=bool)
 _TRIM[list(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")] = True
 
@@ -93,22 +96,29 @@ def _hits(part: pa.RecordBatch, buckets: np.ndarray) -> tuple[np.ndarray, np.nda
     return slot, row, dense
 
 
-def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1, anchor: int | None = None, reliability: float = 0.97) -> tuple[np.ndarray, dict]:
     """Posterior of label 1 for each row of ``votes`` (-1 clean, 0 abstain, 1 toxic), and the estimates.
 
     Voters are independent given the label but for pairwise correlations, which are estimated from
-    what is left of their votes after the posterior; a voter's log-odds count 1 / (1 + its summed positive correlations)."""
+    what is left of their votes after the posterior; a voter's log-odds count 1 / (1 + its summed positive correlations).
+    ``anchor`` is a voter that is right with probability ``reliability`` when it votes; it starts the rounds and is not re-estimated."""
     n, m = votes.shape
     if not n:
         return np.zeros(0), {"weights": np.ones(m), "prior": prior}
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     post = np.clip((votes.sum(axis=1) > 0) * 0.8 + 0.1, 0.1, 0.9)
+    if anchor is not None:
+        post = np.where(votes[:, anchor] == 0, post, np.where(votes[:, anchor] > 0, reliability, 1 - reliability))
     weights = np.ones(m)
     for _ in range(rounds):
         like = []
         for y in (post, 1 - post):
             c = (one_hot * y[:, None, None]).sum(axis=0) + 0.5
             like.append(c / c.sum(axis=1, keepdims=True))
+        if anchor is not None:
+            for table, right in zip(like, (2, 0), strict=True):
+                spoken = 1 - table[anchor, 1]
+                table[anchor, 2 - right], table[anchor, right] = spoken * (1 - reliability), spoken * reliability
         prior = float(np.clip(post.mean(), 0.01, 0.5))
         mean = [(like[k] * np.array([-1, 0, 1])).sum(axis=1) for k in (0, 1)]
         rest = votes - (post[:, None] * mean[0] + (1 - post)[:, None] * mean[1])
@@ -116,14 +126,19 @@ def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1) -> tupl
         rho = (rest.T @ rest) / n / np.outer(sd, sd)
         np.fill_diagonal(rho, 0)
         weights = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
+        if anchor is not None:
+            weights[anchor] = 1
         odds = np.log(like[0]) - np.log(like[1])
         logit = np.log(prior / (1 - prior)) + (one_hot * (odds * weights[:, None])[None]).sum(axis=(1, 2))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, {"weights": weights, "prior": prior, "correlation": rho, "given_toxic": like[0], "given_clean": like[1]}
 
 
-def _votes(slot: np.ndarray, row: np.ndarray, n: int, n_slots: int, is_word: np.ndarray, dense: np.ndarray, label: np.ndarray) -> np.ndarray:
+def _votes(slot: np.ndarray, row: np.ndarray, n: int, n_slots: int, is_word: np.ndarray, strong: np.ndarray, dense: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Lexicon and pattern voters over the strongest features; the given label votes last."""
     cols = []
+    on = strong[slot]
+    slot, row = slot[on], row[on]
     group = np.arange(n_slots) % 3
     for word in (True, False):  # lexicon voters: three of words, three of strings
         for g in range(3):
@@ -201,7 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = FIT_D
     dense = np.array([r["dense"] for r in rows]).reshape(len(rows), 2)
     label = np.array([r["toxic"] for r in rows])
     is_word = buckets >= 1 << 19
-    posterior, _ = label_model(_votes(slot, row, len(rows), len(buckets), is_word, dense, label))
+    strong = np.isin(buckets, [r["bucket"] for r in top[:LEXICON]])
+    votes = _votes(slot, row, len(rows), len(buckets), is_word, strong, dense, label)
+    posterior, _ = label_model(votes, anchor=votes.shape[1] - 1)
     return Model(buckets, _train(slot, row, dense, posterior, len(buckets)))
 
 
