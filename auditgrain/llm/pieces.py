@@ -37,8 +37,8 @@ from .bytekit import Poly, grouped, list_array, slices, spread, text_buffer
 from .scratch import checkpointed, partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-GIANT_BYTES = 32 << 10
-CHUNK_BYTES = 16 << 10
+GIANT_BYTES = 64 << 10
+CHUNK_BYTES = 32 << 10
 FAN = 32
 NEG = -np.inf
 _UNIT = 48
@@ -286,10 +286,18 @@ class Lattice:
                     np.maximum(best[end], best[t] + s, out=best[end])
         return best.T
 
-    def transfer(self, body: bytes, ahead: bytes) -> np.ndarray:
+    def middles(self, bodies: list[bytes]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+        """For each chunk the part between its first and last cut, all segmented at once: (cuts), ids, ids per chunk, scores."""
+        ends = [self._head_and_tail(b) for b in bodies]
+        parts = [b[f:g] if f >= 0 else b"" for b, (f, g) in zip(bodies, ends, strict=True)]
+        offsets = np.zeros(len(parts) + 1, dtype=np.int64)
+        np.cumsum([len(p) for p in parts], out=offsets[1:])
+        return ends, *self.texts(np.frombuffer(b"".join(parts), dtype=np.uint8), offsets)
+
+    def transfer(self, body: bytes, ahead: bytes, cut: tuple[int, int], middle: float) -> np.ndarray:
         r = self.reach
         out = np.full((r, r), NEG)
-        f, g = self._head_and_tail(body)
+        f, g = cut
         if f < 0:
             data = body + ahead
             entries = min(r, len(body) + 1)
@@ -297,20 +305,16 @@ class Lattice:
             out[:entries, : got.shape[1]] = got
             return out
         head = self._dense(body[:f], f, min(r, f + 1))[:, f]
-        mid = np.frombuffer(body[f:g], dtype=np.uint8)
-        middle = self.texts(mid, np.array([0, len(mid)]))[2][0] if g > f else 0.0
         tail = self._dense(body[g:] + ahead, len(body) - g, 1)[0, len(body) - g : len(body) - g + r]
         out[: len(head), : len(tail)] = head[:, None] + middle + tail[None, :]
         return out
 
-    def backtrace(self, body: bytes, ahead: bytes, entry: int, exit_: int) -> list[int]:
-        f, g = self._head_and_tail(body)
+    def backtrace(self, body: bytes, ahead: bytes, entry: int, exit_: int, cut: tuple[int, int], middle: np.ndarray) -> np.ndarray:
+        f, g = cut
         data = body + ahead
         if f < 0:
-            return self.one(data, entry, len(body) + exit_)[0]
-        mid = np.frombuffer(body[f:g], dtype=np.uint8)
-        middle = self.texts(mid, np.array([0, len(mid)]))[0].tolist() if g > f else []
-        return self.one(body[:f], entry)[0] + middle + self.one(data[g : len(body) + exit_])[0]
+            return np.array(self.one(data, entry, len(body) + exit_)[0], dtype=np.int32)
+        return np.concatenate([np.array(self.one(body[:f], entry)[0], dtype=np.int32), middle, np.array(self.one(data[g : len(body) + exit_])[0], dtype=np.int32)])
 
 
 _LATTICES: dict[int, tuple[Vocabulary, Lattice]] = {}
@@ -365,9 +369,12 @@ def _giants(docs: DataFrame, shared, chunk_bytes: int) -> DataFrame:
 
     def matrices(batches):
         lat = _lattice(shared.value)
-        for b in batches:
-            rows = [lat.transfer(x["body"], x["ahead"]).ravel().tolist() for x in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "chunk", "m"])
+        for b in slices(batches, "body"):
+            bodies, ahead = b.column("body").to_pylist(), b.column("ahead").to_pylist()
+            cuts, _, _, score = lat.middles(bodies)
+            rows = [lat.transfer(*x).ravel() for x in zip(bodies, ahead, cuts, score.tolist(), strict=True)]
+            flat = list_array(pa.array(np.concatenate(rows)), np.full(len(rows), lat.reach**2))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), flat], names=["doc_id", "chunk", "m"])
 
     def combine(batches):
         for g in grouped(batches, ["doc_id", "parent"]):
@@ -394,9 +401,14 @@ def _giants(docs: DataFrame, shared, chunk_bytes: int) -> DataFrame:
 
     def trace(batches):
         lat = _lattice(shared.value)
-        for b in batches:
-            rows = [lat.backtrace(x["body"], x["ahead"], x["entry"], x["leave"]) for x in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "chunk", "ids"])
+        for b in slices(batches, "body"):
+            bodies, ahead = b.column("body").to_pylist(), b.column("ahead").to_pylist()
+            cuts, ids, count, _ = lat.middles(bodies)
+            begin = np.cumsum(count) - count
+            states = zip(b.column("entry").to_pylist(), b.column("leave").to_pylist(), strict=True)
+            rows = [lat.backtrace(body, more, i, j, cut, ids[s : s + n]) for body, more, (i, j), cut, s, n in zip(bodies, ahead, states, cuts, begin, count, strict=True)]
+            flat = list_array(pa.array(np.concatenate(rows), pa.int32()), np.array([len(r) for r in rows]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), flat], names=["doc_id", "chunk", "ids"])
 
     parent = F.expr(f"chunk div {FAN}")
     levels = [checkpointed(chunks.select("doc_id", "chunk", "body", "ahead").mapInArrow(matrices, _MAT))]
@@ -415,8 +427,20 @@ def _giants(docs: DataFrame, shared, chunk_bytes: int) -> DataFrame:
     return ids.join(score, "doc_id")
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, token_ids array<int>, score) for every row of ``docs`` (doc_id, text).
+def _piece_table(v: Vocabulary) -> pa.Array:
+    """What each id stands for; after the pieces, the same ones without their first byte: for the space before a text."""
+    return pa.array([*v.pieces, *(p[1:] for p in v.pieces)], pa.binary())
+
+
+def _texts(table: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The texts of id lists that stand one after the other."""
+    ids = np.array(ids, dtype=np.int32)
+    ids[(np.cumsum(counts) - counts)[counts > 0]] += len(table) // 2
+    return pc.binary_join(list_array(table.take(pa.array(ids)), counts), pa.scalar(b"", pa.binary())).cast(pa.string())
+
+
+def encode(docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BYTES, chunk_bytes: int = CHUNK_BYTES, read_back: bool = False) -> DataFrame:
+    """(doc_id, token_ids array<int>, score) for every row of ``docs`` (doc_id, text); with ``read_back`` also ``decoded``, the text of the ids.
 
     Null and empty texts have no tokens and score 0.  Repeated rows of short texts stay repeated rows; a giant text
     is keyed by doc_id, so that must be unique among giants.  Other columns are not read."""
@@ -425,17 +449,24 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _lattice(shared.value)
-        for part in slices(batches):
+        table = _piece_table(shared.value) if read_back else None
+        for part in slices(batches, limit=2 << 20):
             ids, count, score = lat.texts(*_spaced(*text_buffer(part.column("text"))))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), list_array(pa.array(ids, pa.int32()), count), pa.array(score)], names=["doc_id", "token_ids", "score"])
+            out = [part.column("doc_id").cast(pa.int64()), list_array(pa.array(ids, pa.int32()), count), pa.array(score)]
+            back = [_texts(table, ids, count)] if read_back else []
+            yield pa.RecordBatch.from_arrays([*out, *back], names=["doc_id", "token_ids", "score", *["decoded"] * read_back])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_ = F.coalesce(F.octet_length("text"), F.lit(0)) > giant_bytes
-    plain = docs.where(~long_).mapInArrow(run, "doc_id long, token_ids array<int>, score double")
+    plain = docs.where(~long_).mapInArrow(run, "doc_id long, token_ids array<int>, score double" + ", decoded string" * read_back)
     giant = docs.where(long_)
     if giant.isEmpty():
         return plain
-    return plain.unionByName(_giants(giant, shared, chunk_bytes))
+    rows = _giants(giant, shared, chunk_bytes)
+    if read_back:
+        again = decode(rows.select("doc_id", "token_ids"), model_path).withColumnRenamed("text", "decoded")
+        rows = rows.join(again, "doc_id")
+    return plain.unionByName(rows)
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -444,18 +475,12 @@ def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
     kept = [c for c in tokens.columns if c not in ("token_ids", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # after the pieces, the same ones without their first byte: for the space before a text
-        table = pa.array([*shared.value.pieces, *(p[1:] for p in shared.value.pieces)], pa.binary())
-        n = len(shared.value.pieces)
+        table = _piece_table(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
                 lists = pc.fill_null(b.column("token_ids"), pa.scalar([], pa.list_(pa.int32()))) if b.column("token_ids").null_count else b.column("token_ids")
-                ids = np.array(lists.flatten(), dtype=np.int64)
-                counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
-                first = (np.cumsum(counts) - counts)[counts > 0]
-                ids[first] += n
-                text = pc.binary_join(list_array(table.take(pa.array(ids)), counts), pa.scalar(b"", pa.binary())).cast(pa.string())
+                text = _texts(table, np.asarray(lists.flatten()), np.asarray(pc.list_value_length(lists), dtype=np.int64))
                 if b.column("token_ids").null_count:
                     text = pc.if_else(b.column("token_ids").is_valid(), text, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), text], names=[*kept, "text"])

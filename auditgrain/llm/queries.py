@@ -47,10 +47,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_hash, score, and whether decoding gives the text back, for every document."""
-    docs = _table(spark, sf_dir, "documents")
-    tokens = pieces.encode(docs)
-    back = pieces.decode(tokens.withColumn("n_tokens", F.size("token_ids")).withColumn("ids_hash", F.xxhash64("token_ids")))
-    return back.select("doc_id", "n_tokens", "ids_hash", "score", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    out = pieces.encode(_table(spark, sf_dir, "documents"), read_back=True)
+    return out.select("doc_id", F.size("token_ids").alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"), "score", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query

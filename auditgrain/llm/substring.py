@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import Poly, grouped, slices, text_buffer
-from .scratch import checkpointed, partitions
+from .scratch import partitions, written
 
 LENGTH = 100
-GRAM = 32
-SHARD = 16_384
+GRAM = 20
+SHARD = 8_192
+#: Up to so many ids (16 MB) a list of documents is broadcast; a longer one is joined by shuffling.
+BROADCAST_IDS = 2_000_000
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -42,21 +44,21 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in the buffer, hash, row) of the anchors of all texts."""
     none = np.zeros(0, dtype=np.int64)
-    g = Poly(raw).grams(gram)
+    hashes = Poly(raw).grams(gram)
     width = length - gram + 1
-    if len(g) < width:
+    if len(hashes) < width:
         return none, none.astype(np.uint64), none
-    g |= np.uint64(1)
+    g = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 32 bits choose; a tie makes one more anchor
     low = _slide(g, width, np.minimum)  # for every window start
     valid = np.zeros(len(low) + 1, dtype=np.int64)
     long_ = np.flatnonzero(np.diff(offsets) >= length)
     np.add.at(valid, offsets[long_], 1)
     np.add.at(valid, offsets[long_ + 1] - length + 1, -1)
     low[np.cumsum(valid)[:-1] == 0] = 0
-    edge = np.zeros(width - 1, dtype=np.uint64)
+    edge = np.zeros(width - 1, dtype=np.uint32)
     best = _slide(np.concatenate([edge, low, edge]), width, np.maximum)[: len(g)]
     at = np.flatnonzero(best == g)
-    return at, g[at], np.searchsorted(offsets, at, side="right") - 1
+    return at, hashes[at], np.searchsorted(offsets, at, side="right") - 1
 
 
 def suffix_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -167,6 +169,11 @@ def _ranges(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
 _RANGE = "doc_id long, start long, end long"
 
 
+def _ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with a list of ids; it is broadcast only when it is counted to be short."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): byte ranges of ``docs`` (doc_id, text) that start earlier elsewhere, not merged.
 
@@ -175,6 +182,12 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     spark = docs.sparkSession
     n_parts = partitions(spark)
     docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Whole copies first: all of a later one is covered, and it need not be searched.
+    same = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"), F.octet_length("text").alias("size")]
+    whole = docs.select("doc_id", *same)
+    firsts = whole.groupBy("a", "b", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = written(whole.join(firsts, ["a", "b", "size"]).where("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end")), "copies")
+    docs = _ids(docs, copies.select("doc_id"), "left_anti")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # bits that leave one chance hit in 256; a chance hit costs time only, bytes decide
     shift = max(0, 64 - 8 - max(int(total) * 2 // (length - gram + 2), 1).bit_length())
@@ -197,18 +210,18 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         return run
 
     met = docs.select("doc_id", "text").mapInArrow(scan(False), "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    seen = checkpointed(docs.mapInArrow(scan(True), "fp long, ctx long, doc_id long, start int, size smallint").join(met, "fp"))
+    seen = written(docs.mapInArrow(scan(True), "fp long, ctx long, doc_id long, start int, size smallint").join(met, "fp"), "anchors")
     place = F.struct("doc_id", "start")
-    classes = checkpointed(seen.groupBy("fp", "ctx").agg(F.min(F.struct("doc_id", "start", "size")).alias("first"), F.count(F.lit(1)).alias("n")))
+    classes = written(seen.groupBy("fp", "ctx").agg(F.min(F.struct("doc_id", "start", "size")).alias("first"), F.count(F.lit(1)).alias("n")), "contexts")
     again = (
         seen.join(classes.where("n > 1").select("fp", "ctx", F.struct("first.doc_id", "first.start").alias("first")), ["fp", "ctx"])
         .where(place > F.col("first")).select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
     )
     many = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     heads = classes.join(many, "fp").select("fp", "k", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), F.col("first.size").alias("size"))
-    n_heads = many.agg(F.sum("k")).first()[0] or 0
+    n_heads, widest = many.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
     n_shards = max(1, -(-int(n_heads) // shard))
-    wanted = heads.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "k", "start", "size")).alias("cut"))
+    wanted = written(heads.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "k", "start", "size")).alias("cut")), "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -228,8 +241,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
                 yield pa.RecordBatch.from_arrays([k.field("fp"), k.field("k"), part.column("doc_id").take(pa.array(r)), pa.array(s, pa.int64()), data], names=["fp", "k", "doc_id", "start", "bytes"])
 
     wide = F.col("k") > shard
-    context = docs.join(wanted, "doc_id").select("doc_id", "text", "cut").mapInArrow(cut, "fp long, k long, doc_id long, start long, bytes binary")
-    dealt = checkpointed(
+    context = _ids(docs, wanted.select("doc_id"), "left_semi").join(wanted, "doc_id").select("doc_id", "text", "cut").mapInArrow(cut, "fp long, k long, doc_id long, start long, bytes binary")
+    dealt = (
         context.select(
             F.when(wide, F.col("fp")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(n_shards))).alias("shard"), wide.alias("wide"),
             F.when(wide, F.pmod(F.xxhash64("doc_id", "start"), F.expr(f"(k + {shard - 1}) div {shard}"))).otherwise(0).alias("salt"), "doc_id", "start", "bytes",
@@ -242,9 +255,9 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             order, later = _first(cls, doc, start)
             yield _ranges(doc[order][later], start[order][later], length)
 
-    found = again.unionByName(dealt.mapInArrow(inside, _RANGE))
-    split = dealt.where("wide")
-    if not split.isEmpty():
+    found = again.unionByName(copies).unionByName(dealt.mapInArrow(inside, _RANGE))
+    if widest > shard:
+        split = dealt.where("wide")
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A shard's distinct windows with their first places, sorted by a hash of the window."""
@@ -277,7 +290,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
 
     kept are the bytes that stay, one after the other; n_spans counts maximal removed runs.  A null text is empty.
     See covered_ranges for what is removed; other columns are not read."""
-    spans = covered_ranges(docs, length, gram, shard).withColumnRenamed("doc_id", "__d")
+    spans = written(covered_ranges(docs, length, gram, shard), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -306,7 +319,11 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs[offsets[1:]] - runs[offsets[:-1]], pa.int64()), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return (
-        base.join(spans, base["doc_id"] == spans["__d"], "left").select("doc_id", "text", "spans")
-        .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    )
+    ids = spans.select("doc_id")
+    none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias("spans")
+    if ids.count() <= BROADCAST_IDS:  # most texts keep all; only the others are shuffled
+        touched = base.join(F.broadcast(ids), "doc_id", "left_semi").join(spans, "doc_id")
+        rows = base.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", none).unionByName(touched)
+    else:
+        rows = base.join(spans, "doc_id", "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
