@@ -195,7 +195,7 @@ _CHANGE: dict[str, Callable] = {"email": _email, "phone": _phone, "card": _card,
 _RUN = re.compile(r"[+(\d](?:[\d .()/:-]*\d)?")
 _INSIDE = re.compile(
     r"(?P<date>(?<![\d.-])(?:\d{4}([-/.])\d\d\2\d\d|\d\d([-/.])\d\d\3\d{4})(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]))"
+    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\d+])(?:\+\d{1,2}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){3,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?![ -]?\d))"
