@@ -81,3 +81,14 @@ def run_once(s: DataFrame, mode: str, folder: str) -> DataFrame:
 
     s.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.schema(s.schema).parquet(f"{out}/data")
+
+
+def live_summary(s: DataFrame, recompute, sink, key: str = "analysis_id"):
+    """A query that, for every batch, recomputes the headers of the analyses it touches.
+
+    ``recompute`` maps their keys (a DataFrame) to header rows; ``sink`` takes those rows and the batch number."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        sink(recompute(batch.select(key).distinct()), number)
+
+    return s.writeStream.foreachBatch(step)
