@@ -27,7 +27,7 @@ from .scratch import partitions, written
 
 LENGTH = 100
 GRAM = 20
-SHARD = 8_192
+SHARD = 2_048
 #: Up to so many ids (16 MB) a list of documents is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -68,18 +68,19 @@ def suffix_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     doubling each time; groups of one leave the work."""
     n = len(raw)
     depth = int((ends - starts).max(initial=0))
-    stop = np.repeat(ends, ends - starts)
-    place = np.arange(n)
+    stop = np.repeat(ends, ends - starts).astype(np.int32)
+    place = np.arange(n, dtype=np.int32)
     key = np.zeros(n, dtype=np.int64)
-    wide = raw.astype(np.int64) + 1
     for k in range(7):
-        at = place + k
-        key = (key << 9) | np.where(at < stop, wide[np.minimum(at, n - 1)], 0)
-    sa = np.argsort(key, kind="stable")
+        at = place + np.int32(k)
+        key <<= 9
+        key |= np.where(at < stop, raw[np.minimum(at, n - 1)].astype(np.int16) + 1, 0)
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     sorted_ = key[sa]
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = sorted_[1:] != sorted_[:-1]
-    rank = np.empty(n, dtype=np.int64)
+    del key, sorted_
+    rank = np.empty(n, dtype=np.int32)
     rank[sa] = np.maximum.accumulate(np.where(fresh, place, 0))
     h = 7
     while h < depth:
@@ -88,10 +89,10 @@ def suffix_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         if not len(todo):
             break
         sub = sa[todo]
-        nxt = sub + h
+        nxt = sub + np.int32(h)
         follow = np.where(nxt < stop[sub], rank[np.minimum(nxt, n - 1)] + 1, 0)
         head = rank[sub]
-        order = np.argsort(head * np.int64(n + 2) + follow, kind="stable")
+        order = np.argsort(head.astype(np.int64) * (n + 2) + follow, kind="stable")
         sub, follow, head = sub[order], follow[order], head[order]
         sa[todo] = sub
         change = np.ones(len(sub), dtype=bool)
@@ -106,11 +107,12 @@ def common_prefixes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa: n
     """Common prefix of each suffix with the one before it in ``sa``, up to ``cap``: Kasai's walk, in
     all strings at once (a suffix's prefix is at most one byte shorter than that of the suffix before it in the text)."""
     n = len(raw)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    stop = np.repeat(ends, ends - starts)
-    out = np.zeros(n, dtype=np.int64)
-    h = np.zeros(len(starts), dtype=np.int64)
+    stop = np.repeat(ends, ends - starts).astype(np.int32)
+    out = np.zeros(n, dtype=np.int32)
+    h = np.zeros(len(starts), dtype=np.int32)
+    starts, ends = starts.astype(np.int32), ends.astype(np.int32)
     for t in range(int((ends - starts).max(initial=0))):
         live = np.flatnonzero(starts + t < ends)
         i = starts[live] + t
