@@ -14,6 +14,7 @@ from ..operators import verdict as ve
 from ..sources import pages as pg
 from .queries_audit import header, verdicts
 from .registry import query
+from .scratch import settled
 
 _KEY = ["document_id", "claim_id"]
 
@@ -36,7 +37,7 @@ def _pairs(t):
 
 
 def _placed(t):
-    return sp.locate_quotes(_pairs(t)).where("start is not null").select("document_id", "owner_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return settled(sp.locate_quotes(_pairs(t))).where("start is not null").select("document_id", "owner_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def _regions(t):
@@ -88,7 +89,7 @@ def j6_greedy_match(t):
 @query(f"""SELECT document_id, owner_id, CASE WHEN owner_id % 3 = 0 THEN start WHEN owner_id % 3 = 1 THEN start + 5 ELSE start + 5 END AS new_start, CASE WHEN owner_id % 3 = 0 THEN 'offset' WHEN owner_id % 3 = 1 THEN 'unique' ELSE 'occurrence' END AS method
 FROM (SELECT document_id, owner_id, start FROM ({_PLACED}) p JOIN documents d ON d.doc_id = p.document_id JOIN benchmark b ON b.item_id = p.owner_id WHERE len(string_split(d.text, regexp_replace(b.text, '[.;:,]+$', ''))) = 2)""")
 def j13_reanchor(t):
-    p = sp.locate_quotes(_pairs(t)).where("start is not null and occurrence is null")
+    p = settled(sp.locate_quotes(_pairs(t))).where("start is not null and occurrence is null")
     moved = F.col("owner_id") % 3 != 0
     rows = p.select("document_id", "owner_id", F.col("found").alias("needle"), F.when(moved, F.concat(F.lit("xxxx "), "text")).otherwise(F.col("text")).alias("text"), "start", "end", F.lit(None).cast("string").alias("context"), F.when(F.col("owner_id") % 3 == 2, 1).alias("occurrence"), F.col("text").alias("old_text"))
     return sp.reanchor(rows).select("document_id", "owner_id", F.col("new_start").cast("long").alias("new_start"), "method")
@@ -96,7 +97,7 @@ def j13_reanchor(t):
 
 @query(f"""SELECT document_id, owner_id, CASE WHEN owner_id % 4 = 0 THEN 'not_found' WHEN owner_id % 4 = 1 THEN 'occurrence_too_high' END AS reason FROM ({_PLACED}) p JOIN documents d ON d.doc_id = p.document_id JOIN benchmark b ON b.item_id = p.owner_id WHERE len(string_split(d.text, regexp_replace(b.text, '[.;:,]+$', ''))) = 2""")
 def q23_span_report(t):
-    p = sp.locate_quotes(_pairs(t)).where("start is not null and occurrence is null")
+    p = settled(sp.locate_quotes(_pairs(t))).where("start is not null and occurrence is null")
     rows = p.select("document_id", "owner_id", "text", F.when(F.col("owner_id") % 4 == 0, "no such words").otherwise(F.col("found")).alias("needle"), F.lit(None).cast("string").alias("context"), F.when(F.col("owner_id") % 4 == 1, 9).alias("occurrence"))
     return sp.span_report(rows).select("document_id", "owner_id", "reason")
 
@@ -108,8 +109,8 @@ def j12_attach_orphans(t):
     return sp.attach_orphans(s, c).select("document_id", "signal_id", F.col("claim_id").cast("double").alias("claim_id"))
 
 
-@query(f"""WITH r AS ({_REGIONS}), d AS (SELECT doc_id, text FROM documents), n AS (SELECT r.document_id, r.line_no, r.start, r.len, instr(r.line, 'the') AS at, instr(d.text, 'the') AS first FROM r JOIN d ON d.doc_id = r.document_id WHERE r.line_no = 0 AND instr(d.text, 'the') > 0)
-SELECT document_id, count(*) AS n FROM (SELECT n.document_id, unnest(CASE WHEN at > 0 THEN range(0, len(string_split(r.line, 'the')) - 1) ELSE [0] END) FROM n JOIN r ON r.document_id = n.document_id AND r.line_no = 0) GROUP BY 1""")
+@query(f"""WITH r AS ({_REGIONS}), d AS (SELECT doc_id, text FROM documents), n AS (SELECT r.document_id, r.line_no, r.start, r.len, instr(r.line, 'the') AS a0, instr(d.text, 'the') AS f0 FROM r JOIN d ON d.doc_id = r.document_id WHERE r.line_no = 0 AND instr(d.text, 'the') > 0)
+SELECT document_id, count(*) AS n FROM (SELECT n.document_id, unnest(CASE WHEN a0 > 0 THEN range(0, len(string_split(r.line, 'the')) - 1) ELSE [0] END) FROM n JOIN r ON r.document_id = n.document_id AND r.line_no = 0) GROUP BY 1""")
 def j11_place_signals(t):
     c = _regions(t).where("line_no = 0").select("document_id", F.lit(1).alias("claim_id"), "start", "end")
     s = t.documents.select(F.col("doc_id").alias("document_id"), F.lit("L1").alias("signal_id"), F.lit(1).alias("claim_id"), F.lit("the").alias("needle"), "text")
