@@ -32,7 +32,8 @@ def find_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id",
     d = docs.select(doc_key, tx.squash(F.col("text")).alias("t"))
     if q.count() <= SMALL_QUOTES:
         return d.join(F.broadcast(q), F.col("t").contains(F.col("q"))).select(doc_key, quote_key)
-    qw, dw = F.split("q", " "), F.split("t", " ")
+    qw, dw = F.split("q", " "), F.col("__w")
+    d = d.withColumn("__w", F.split("t", " "))
     short = q.where(F.size(qw) < 6)
     long_ = q.where(F.size(qw) >= 6).withColumn("h", _shingle(qw, F.lit(1)))
     cand = d.select(doc_key, "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(dw) - 4, F.lit(0))), lambda i: _shingle(dw, i)))).alias("h"))
