@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ordering as od
+from ..operators import spans as sp
 from ..sources import pages as pg
 from .registry import query
 
@@ -99,6 +100,17 @@ def f3_contains_quote(t):
     return d.join(t.benchmark, "item_id").select("doc_id", "item_id", tx.contains_quote(F.col("t"), F.col("text")).alias("found"))
 
 
+@query()
+def f3_contains_quote_all(t):
+    """Every item against every whole text, where f3_contains_quote pairs each document with one item; held
+    against brute force in the tests."""
+    found = sp.find_quotes(t.benchmark, t.documents).groupBy("doc_id").agg(F.collect_set("item_id").alias("ids"))
+    d = t.documents.select("doc_id", F.col("text").isNotNull().alias("d")).join(found, "doc_id", "left")
+    q = t.benchmark.select("item_id", (tx.squash(F.col("text")) == "").alias("blank"))  # a blank quote stands in every text
+    hit = F.col("blank") | F.coalesce(F.array_contains("ids", F.col("item_id")), F.lit(False))
+    return d.crossJoin(q).select("doc_id", "item_id", F.when(F.col("d"), hit).alias("found"))
+
+
 @query("SELECT doc_id, len(string_split(text, 'the')) - 1 AS n, coalesce(instr(text, 'the') - 1, -1) AS first FROM documents")
 def f4_find_all(t):
     hits = tx.find_all(F.col("text"), F.lit("the"))
