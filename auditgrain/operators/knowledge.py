@@ -32,10 +32,25 @@ def mentions(docs: DataFrame, terms: DataFrame, doc_key: str = "doc_id") -> Data
     return got.unionByName(d.join(odd, F.col("text").contains(F.col("t"))).select(doc_key, "term")).distinct()
 
 
+def every_pair(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every row of docs beside every row of ids, one column each.
+
+    Up to SMALL ids (counted) are broadcast; more are dealt in blocks of about SMALL to a shuffled join, each block
+    once for each slice of docs."""
+    n = ids.count()
+    if n <= SMALL:
+        return docs.crossJoin(F.broadcast(ids))
+    blocks, slices = -(-n // SMALL), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+    number = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    d = docs.withColumn("__s", of(docs, slices)).withColumn("__b", number(blocks))
+    return d.join(ids.withColumn("__b", of(ids, blocks)).withColumn("__s", number(slices)), ["__b", "__s"]).drop("__b", "__s")
+
+
 def topic_coverage(docs: DataFrame, topics: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """(doc_key, topic, seen, absent) for every document and topic; topics: topic, term."""
     hit = mentions(docs, topics.select("term").distinct(), doc_key).join(topics, "term").groupBy(doc_key, "topic").agg(F.array_sort(F.collect_set("term")).alias("seen"))
-    grid = docs.select(doc_key).withColumn("topic", F.explode(F.array(*(F.lit(r["topic"]) for r in topics.select("topic").distinct().limit(SMALL).collect()))))
+    grid = every_pair(docs.select(doc_key), topics.select("topic").distinct())
     return grid.join(hit, [doc_key, "topic"], "left").withColumn("absent", F.col("seen").isNull())
 
 
@@ -45,8 +60,7 @@ def hold_out(docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:
     docs: doc_key, url; rulings: ruling_id, adjudicated_url (one row for each url; null for none)."""
     ids = rulings.select("ruling_id").distinct()
     own = docs.select(doc_key, tx.norm_url(F.col("url")).alias("u")).join(rulings.select("ruling_id", tx.norm_url(F.col("adjudicated_url")).alias("u")), "u").select(doc_key, "ruling_id")
-    every = docs.select(doc_key).withColumn("ruling_id", F.explode(F.array(*(F.lit(r["ruling_id"]) for r in ids.limit(SMALL).collect()))))
-    return every.join(own, [doc_key, "ruling_id"], "left_anti")
+    return every_pair(docs.select(doc_key), ids).join(own, [doc_key, "ruling_id"], "left_anti")
 
 
 def place_by_code(docs: DataFrame, entries: DataFrame, doc_key: str) -> DataFrame:

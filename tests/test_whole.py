@@ -2,7 +2,10 @@
 
 import re
 
+import pytest
+
 from auditgrain.functions import text as tx
+from auditgrain.operators import knowledge as kn
 from auditgrain.operators import spans as sp
 from auditgrain.plans import queries_text
 from auditgrain.plans.registry import QUERIES
@@ -36,3 +39,21 @@ def test_contains_quote_odd(spark, monkeypatch):
         monkeypatch.setattr(sp, "SMALL_QUOTES", small)
         t = Given(documents=spark.createDataFrame(docs, "doc_id int, text string"), benchmark=spark.createDataFrame(items, "item_id int, text string"))
         assert {tuple(r) for r in queries_text.f3_contains_quote_all(t).collect()} == want
+
+
+@pytest.mark.parametrize("small", [2, 5, 100])
+def test_hold_out_long_list(spark, monkeypatch, small):
+    monkeypatch.setattr(kn, "SMALL", small)
+    docs = [(d, f"http://x.example/{d}/") for d in range(6)] + [(6, None)]
+    rulings = [(r, f"http://X.example/{r % 7}" if r % 3 else None) for r in range(11)] + [(0, "http://x.example/5")]
+    got = kn.hold_out(spark.createDataFrame(docs, "doc_id int, url string"), spark.createDataFrame(rulings, "ruling_id int, adjudicated_url string"), "doc_id").collect()
+    own = {(d, r) for d, u in docs for r, a in rulings if u and a and u.rstrip("/").lower() == a.rstrip("/").lower()}
+    assert sorted(tuple(r) for r in got) == sorted({(d, r) for d, _ in docs for r, _ in rulings} - own)
+
+
+@pytest.mark.parametrize("small", [2, 100])
+def test_topic_coverage_long_list(spark, monkeypatch, small):
+    monkeypatch.setattr(kn, "SMALL", small)
+    docs, topics = [(d, f"word{d} and word{d + 1}") for d in range(5)], [(f"t{k}", f"word{k}") for k in range(7)]
+    got = kn.topic_coverage(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(topics, "topic string, term string")).collect()
+    assert sorted((r.doc_id, r.topic, r.absent) for r in got) == sorted((d, p, w not in t.split()) for d, t in docs for p, w in topics)
