@@ -310,6 +310,11 @@ def p15_clamp01(t):
     return t.events.where(ok).select("event_id", F.when(F.col("value").isNotNull(), ve.clamp01(F.col("value") / 100)).alias("score"))
 
 
+@query()
+def p15_clamp01_all(t):
+    return t.events.select("event_id", F.when(F.col("value").isNotNull(), ve.clamp01(F.col("value") / 100)).alias("score"))
+
+
 @query("SELECT * FROM v_omissions WHERE score >= 0.2")
 def p25_drop_low_cards(t):
     return su.drop_low_cards(t.v_omissions)

@@ -58,16 +58,31 @@ def p7_slug(t):
     return t.documents.where(ascii_).select("doc_id", tx.slug(F.col("source"), F.substring("text", 1, 80)).alias("slug"))
 
 
+@query()
+def p7_slug_all(t):
+    return t.documents.select("doc_id", tx.slug(F.col("source"), F.col("text")).alias("slug"))
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(left(text, 60), 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o'))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def p8_company_slug(t):
     return t.documents.select("doc_id", tx.company_slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query()
+def p8_company_slug_all(t):
+    return t.documents.select("doc_id", tx.company_slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT doc_id, CAST(replace(regexp_extract(text, '(\\d[\\d,]{0,12})', 1), ',', '') AS DOUBLE) AS n FROM documents WHERE regexp_matches(text, '^[^0-9]*[0-9][0-9,]{0,12}([^0-9,]|$)')")
 def p9_lenient_int(t):
     return t.documents.where(F.col("text").rlike(r"(?s)^[^0-9]*[0-9][0-9,]{0,12}([^0-9,]|$)")).select("doc_id", tx.lenient_int(F.col("text")).cast("double").alias("n"))
 
 
+@query()
+def p9_lenient_int_all(t):
+    return t.documents.select("doc_id", tx.lenient_int(F.col("text")).alias("n"))
+
+
 @query("SELECT page_id, regexp_matches(trim(CASE WHEN page_id % 4 = 0 THEN 'ftp://' || url ELSE url END), '^https?://[^\\s/]+') AS web FROM pages")
 def p20_is_web_url(t):
     return t.pages.select("page_id", tx.is_web_url(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("ftp://"), "url")).otherwise(F.col("url"))).alias("web"))
@@ -152,6 +167,11 @@ def f10_fold_label(t):
     return t.documents.where(~F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", tx.fold_label(F.replace(F.substring("text", 1, 200), F.lit("."), F.lit("&"))).alias("label"))
 
 
+@query()
+def f10_fold_label_all(t):
+    return t.documents.select("doc_id", tx.fold_label(F.replace(F.col("text"), F.lit("."), F.lit("&"))).alias("label"))
+
+
 @query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'its', 'their', 'for', 'with', 'that'))) AS n FROM documents""")
 def f11_content_words(t):
     return t.documents.select("doc_id", F.size(tx.content_words(F.col("text"))).alias("n"))
@@ -188,6 +208,11 @@ def f14_close_enough(t):
     return t.events.where(ok).select("event_id", tx.close_enough(v, F.round(v)).alias("near"))
 
 
+@query()
+def f14_close_enough_all(t):
+    return t.events.select("event_id", tx.close_enough(F.col("value"), F.round("value")).alias("near"))
+
+
 @query("SELECT event_id, event_id % 3 <> 2 AS stated FROM events")
 def f15_states_value(t):
     v = (F.col("event_id") + 100000).cast("double")
@@ -262,6 +287,11 @@ def s12_page_blocks(t):
     return pg.page_blocks(t.pages, unescape=False).where(~F.col("text").contains("&")).select("page_id", "block_no", "kind", "text")
 
 
+@query()
+def s12_page_blocks_all(t):
+    return pg.page_blocks(t.pages).select("page_id", "block_no", "kind", "text")
+
+
 @query("""WITH l AS (SELECT DISTINCT d.source, d.doc_id, trim(regexp_replace(lower(x.line), '[0-9]+', '#', 'g')) AS k FROM documents d JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) x ON x.doc_id = d.doc_id),
 n AS (SELECT source, count(DISTINCT doc_id) AS total FROM documents GROUP BY 1) SELECT l.source, k, count(*) AS n_docs FROM l JOIN n ON n.source = l.source WHERE k <> '' GROUP BY l.source, k, total HAVING count(*) >= CASE WHEN total <= 3 THEN 2 ELSE greatest(3, ceil(0.05 * total)) END""")
 def a29_repeated_lines(t):

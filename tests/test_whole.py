@@ -1,14 +1,16 @@
 """Queries over all rows and whole texts that have no SQL, held against brute force."""
 
 import re
+import unicodedata
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
 from auditgrain.functions import text as tx
 from auditgrain.operators import knowledge as kn
 from auditgrain.operators import spans as sp
-from auditgrain.plans import queries_text
-from auditgrain.plans.registry import QUERIES
+from auditgrain.plans.registry import QUERIES, queries_audit, queries_text
+from auditgrain.sources import pages as pg
 
 
 class Given:
@@ -57,3 +59,92 @@ def test_topic_coverage_long_list(spark, monkeypatch, small):
     docs, topics = [(d, f"word{d} and word{d + 1}") for d in range(5)], [(f"t{k}", f"word{k}") for k in range(7)]
     got = kn.topic_coverage(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(topics, "topic string, term string")).collect()
     assert sorted((r.doc_id, r.topic, r.absent) for r in got) == sorted((d, p, w not in t.split()) for d, t in docs for p, w in topics)
+
+
+def folded(s):
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
+def dashed(s, pattern):
+    return re.sub("^-+|-+$", "", re.sub(pattern, "-", s))
+
+
+def slug(source, text):
+    out = dashed(re.sub(r"[^\x00-\x7f]", "", folded("-".join(x for x in (source, text) if x))), "[^A-Za-z0-9]+").lower()
+    return re.sub("[-.]+$", "", (out or "document")[:64])
+
+
+def company_slug(text):
+    for a, b in tx.TRANSLITERATE.items():
+        text = text.replace(a, b)
+    return dashed(folded(text).lower(), "[^a-z0-9]+")
+
+
+def lenient_int(text):
+    m = re.search("[0-9][0-9,]*", text)
+    n = int(m[0].replace(",", "")) if m else None
+    return n if n is None or n < 2**63 else None
+
+
+def label(text):
+    return re.sub("[^a-z0-9 ]+", " ", text.replace(".", "&").lower().replace("&", " and ")).strip(" ")
+
+
+@pytest.mark.parametrize("name,want", [
+    ("p7_slug_all", lambda r: slug(r.source, r.text)), ("p8_company_slug_all", lambda r: company_slug(r.text)),
+    ("p9_lenient_int_all", lambda r: lenient_int(r.text)), ("f10_fold_label_all", lambda r: label(r.text)),
+])
+def test_texts_whole(spark, sf, name, want):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    odd = [(10**9 + i, x, "é1") for i, x in enumerate(("", "Ærø & Łódź. Ñ", "no number", "9" * 30, "x 1,2,, 3", "à" * 300 + "1,234"))]
+    got = {r[0]: r[1] for r in QUERIES[name](spark, sf).collect()}
+    assert got == {r.doc_id: want(r) for r in docs} and any(re.search(r"[^\x00-\x7f]", r.text) for r in docs)
+    rows = spark.createDataFrame(odd, "doc_id long, text string, source string")
+    assert {r[0]: r[1] for r in getattr(queries_text, name)(Given(documents=rows)).collect()} == {r.doc_id: want(r) for r in rows.collect()}
+
+
+def half_up(v, places):
+    return float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
+def close(v):
+    return None if v is None else abs(v - half_up(v, 0)) <= max(0.05, abs(v) * 0.005)
+
+
+def clamped(v):
+    return None if v is None else half_up(min(1.0, max(0.0, v / 100)) + 1e-9, 2)
+
+
+@pytest.mark.parametrize("name,want", [("f14_close_enough_all", close), ("p15_clamp01_all", clamped)])
+def test_values_whole(spark, sf, name, want):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value").collect()
+    got = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
+    assert sorted(got) == sorted((r.event_id, want(r.value)) for r in events)
+    odd = [(i, v) for i, v in enumerate((None, 0.5, 2.5, -2.5, 0.05, 7.05, 250.5, -3.0, 99.995, 12.345, 50.0))]
+    module = queries_text if name.startswith("f14") else queries_audit
+    assert {tuple(r) for r in getattr(module, name)(Given(events=spark.createDataFrame(odd, "event_id int, value double"))).collect()} == {(i, want(v)) for i, v in odd}
+
+
+def blocks(html):
+    flags, out = re.I | re.S | re.A, []
+    for m in re.finditer(pg._BLOCK.removeprefix("(?is)"), re.sub(pg._CHROME.removeprefix("(?is)"), " ", html, flags=flags), flags):
+        tag = re.match("<([A-Za-z0-9]+)", m[1])[1].lower()
+        x = re.sub(r"<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ", m[1], flags=flags)
+        x = re.sub(rf"<\s*/?\s*(?:{tx.BLOCK_TAGS})(?![A-Za-z0-9-])[^>]*>", "\n", x, flags=re.I | re.A)
+        x = re.sub("<[^>]+>", "", x)
+        x = re.sub("&(lt|gt|quot|#39|apos|nbsp|amp);", lambda e: {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": "\u00a0", "amp": "&"}[e[1]], x)
+        x = re.sub(r"\s+", " ", x, flags=re.A).strip(" ")
+        kind = {"title": "title", "li": "list_item", "figcaption": "caption", "caption": "caption", "tr": "table_row"}.get(tag, "heading" if re.fullmatch("h[1-6]", tag) else "paragraph")
+        if x:
+            out.append((len(out) + 1, kind, x))
+    return out
+
+
+def test_page_blocks_whole(spark, sf):
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = [(p, *b) for p, h in pages for b in blocks(h)]
+    got = [tuple(r) for r in QUERIES["s12_page_blocks_all"](spark, sf).select("page_id", "block_no", "kind", "text").collect()]
+    assert sorted(got) == sorted(want)
+    odd = "<title>A &amp;lt; b</title><nav><p>no</p></nav><p>R&amp;D &lt;b&gt;<br>x</p><ul><li> </li><li>&quot;q&quot; &#39;s&#39;</li></ul><tr><td>1</td><td>2 &amp; 3</td></tr>"
+    got = queries_text.s12_page_blocks_all(Given(pages=spark.createDataFrame([(1, odd)], "page_id int, html string"))).collect()
+    assert sorted(tuple(r) for r in got) == [(1, *b) for b in blocks(odd)] and {"R&D <b> x", "A &lt; b", "1 2 & 3"} <= {r.text for r in got}
