@@ -149,10 +149,16 @@ def new_evidence(found: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def verify_quotes(evidence: DataFrame, pages: DataFrame) -> DataFrame:
-    """evidence (url, quote) with ``outcome``: verified, absent or unreadable (no page)."""
-    text = pages.select(tx.norm_url(F.col("url")).alias("__u"), "text").groupBy("__u").agg(F.max("text").alias("__t"))
-    out = evidence.withColumn("__u", tx.norm_url(F.col("url"))).join(text, "__u", "left")
-    return out.withColumn("outcome", F.when(F.col("__t").isNull(), "unreadable").when(tx.contains_quote(F.col("__t"), F.col("quote")), "verified").otherwise("absent")).drop("__u", "__t")
+    """evidence (url, quote) with ``outcome``: verified, absent or unreadable (no page).
+
+    A quote is looked for in every page of its url (several captures may have it); the best outcome counts."""
+    key = ["__u", "quote"]
+    asked = evidence.withColumn("__u", tx.norm_url(F.col("url")))
+    text = pages.select(tx.norm_url(F.col("url")).alias("__u"), F.col("text").alias("__t")).where("__t is not null")
+    seen = asked.select(key).distinct().join(text, "__u").groupBy(key).agg(F.max(F.coalesce(tx.contains_quote(F.col("__t"), F.col("quote")), F.lit(False))).alias("__hit"))
+    a, b = asked.alias("a"), seen.alias("b")
+    out = a.join(b, (F.col("a.__u") == F.col("b.__u")) & F.col("a.quote").eqNullSafe(F.col("b.quote")), "left").select("a.*", "b.__hit")
+    return out.withColumn("outcome", F.when(F.col("__hit").isNull(), "unreadable").when(F.col("__hit"), "verified").otherwise("absent")).drop("__u", "__hit")
 
 
 def integrity_report(evidence: DataFrame, keys: list[str]) -> DataFrame:

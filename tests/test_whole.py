@@ -8,6 +8,7 @@ import pytest
 
 from auditgrain.functions import text as tx
 from auditgrain.operators import knowledge as kn
+from auditgrain.operators import matching as ma
 from auditgrain.operators import spans as sp
 from auditgrain.plans.registry import QUERIES, queries_audit, queries_text
 from auditgrain.sources import pages as pg
@@ -148,3 +149,12 @@ def test_page_blocks_whole(spark, sf):
     odd = "<title>A &amp;lt; b</title><nav><p>no</p></nav><p>R&amp;D &lt;b&gt;<br>x</p><ul><li> </li><li>&quot;q&quot; &#39;s&#39;</li></ul><tr><td>1</td><td>2 &amp; 3</td></tr>"
     got = queries_text.s12_page_blocks_all(Given(pages=spark.createDataFrame([(1, odd)], "page_id int, html string"))).collect()
     assert sorted(tuple(r) for r in got) == [(1, *b) for b in blocks(odd)] and {"R&D <b> x", "A &lt; b", "1 2 & 3"} <= {r.text for r in got}
+
+
+def test_verify_quotes_in_every_capture(spark):
+    pages = [("http://x.example/a", "An older page says this."), ("http://X.example/a/", "Z newer page"), ("http://x.example/b", None), ("http://x.example/c", "c")]
+    ev = [(1, "http://x.example/a", "older  PAGE"), (2, "http://x.example/a/", "newer page"), (3, "http://x.example/a", "neither"), (4, "http://x.example/b", "q"), (5, None, "q"), (6, "http://x.example/d", "q"), (7, "http://x.example/c", None), (8, "http://x.example/a", "older  PAGE")]
+    got = ma.verify_quotes(spark.createDataFrame(ev, "evidence_id int, url string, quote string"), spark.createDataFrame(pages, "url string, text string"))
+    assert got.columns == ["evidence_id", "url", "quote", "outcome"]
+    want = {1: "verified", 2: "verified", 3: "absent", 4: "unreadable", 5: "unreadable", 6: "unreadable", 7: "absent", 8: "verified"}
+    assert sorted((r.evidence_id, r.outcome) for r in got.collect()) == sorted(want.items())
