@@ -188,7 +188,14 @@ def test_media_malformed(spark):
     assert got[5].error is None and got[5].codec == "raw " and all(got[i].error for i in (1, 2, 3, 4))
 
 
-@pytest.mark.parametrize("value,kind", [("bob.42@mail.example.com", "email"), ("4111 1111 1111 1111", "card"), ("+1 (303) 555-0100", "phone"), ("123-45-6789", "ssn"), ("10.20.30.40", "ip"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("2024-02-29", "date"), ("31/12/1999", "date")])
+PII_VALUES = [
+    ("bob.42@mail.example.com", "email"), ("4111 1111 1111 1111", "card"), ("+1 (303) 555-0100", "phone"), ("303 555 0100", "phone"), ("123-45-6789", "ssn"), ("10.20.30.40", "ip"),
+    ("2001:db8::8a2e:370:7334", "ip"), ("2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "ip"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("2024-02-29", "date"), ("31/12/1999", "date"), ("12/31/1999", "date"), ("3/4/2021", "date"),
+    ("sk_live_abcdEFGH12345678", "secret"), ("x" * 44 + "@example.com", "email"), ("x" * 50 + "@example.com", "email"), ("x" * 400 + "@example.com", "email"), ("x" * 100_000 + "@example.com", "email"), ("a@" + "b." * 500 + "org", "email"),
+]
+
+
+@pytest.mark.parametrize("value,kind", PII_VALUES, ids=[f"{k}-{v[:24]}-{len(v)}" for v, k in PII_VALUES])
 def test_pii_values(value, kind):
     text = f"see {value}, twice {value}."
     out, kinds = pii.replace_values(text, b"k")
@@ -199,6 +206,22 @@ def test_pii_values(value, kind):
     assert [c.isdigit() for c in value] == [c.isdigit() for c in new] or kind == "ip"
 
 
+@pytest.mark.parametrize("text", ["password=abcdefab", "password: hunter2!", "token: sk_live_abcd1234efgh", "api_key = deadbeef00", '"token": "abc123def456"', "secret=" + "Zq1" * 3000])
+def test_pii_secrets(text):
+    out, kinds = pii.replace_values(text, b"k")
+    assert kinds == ["secret"] and out != text and pii.replace_values(out, b"k", back=True)[0] == text
+
+
+@pytest.mark.parametrize("unit", ["(", "+ ", "1 ", "1.2.", "@", "::", "a:", "password", "AB12 ", "0123456789abcdef:", "1" + "-" * 1000])
+def test_pii_ends_on_hostile_texts(unit):
+    assert pii.replace_values(unit * (100_000 // len(unit)), b"k")[1] in ([], None)
+
+
+def test_pii_long_values_depend_on_every_digit():
+    one, two = (pii.pseudonym(v, "email", b"k") for v in ("a" * 99 + "b@c.example", "b" + "a" * 98 + "b@c.example"))
+    assert sum(x != y for x, y in zip(one[:100], two[:100])) > 80
+
+
 def test_pii_leaves_others(odd, empty):
     assert pii.find_values("4111 1111 1111 1112 and 999.1.1.1 and 2024-02-30, version 2.0.1") == []
     rows = {r.doc_id: r for r in pii.pseudonymise(odd, b"k").collect()}
