@@ -1,9 +1,11 @@
 """Benchmark decontamination on templates.
 
 Words are made canonical (lower case, outer punctuation off); numbers, names and units become typed
-placeholders.  Windows of canonical words of documents are hash-joined with those of the benchmark, so a question
+placeholders, and neighbouring numbers or names one placeholder, so that a name of one word may stand for a name of three.
+Windows of placeholders and words of documents are hash-joined with those of the benchmark, so a question
 whose numbers or names were changed still matches; slot consistency (each value of the item always stands
-for the same value of the document, and the other way round) tells it from chance."""
+for the same value of the document, and the other way round) tells it from chance.  A window with few literal
+words is compared as written; an item shorter than a window is one window of its own length."""
 
 from __future__ import annotations
 
@@ -14,131 +16,171 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import BASE, Poly, list_array, lower_ascii, mix, slices, text_buffer, word_spans
+from .bytekit import BASE, MIX_A, Poly, list_array, lower_ascii, mix, slices, text_buffer, word_spans
 
 WINDOW = 8
+#: Of so many words of a window, at least five eighths must be literal for its template to count.
 LITERALS = 5
+#: An item of fewer words than this is held only by a document that is nothing else.
+SHORT = 4
 #: Benchmark windows up to this number (16 MB) are sent to every task; more are joined by shuffling.
 BROADCAST_WINDOWS = 2_000_000
 _NUM, _NAME, _UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
-_UNITS = "kg g mg km m cm mm l ml hours hour minutes minute seconds second days day weeks week years year miles mile feet inches pounds dollars euros cents percent mph degrees".split()
+_UNITS = """kg g mg t km m cm mm l ml ha kmh mph hz kw kwh w v °c °f hours hour minutes minute seconds second days day weeks week months month years year
+miles mile feet foot inches inch yards pounds pound ounces tons dollars euros cents percent degrees litres liters metres meters kilometres kilometers grams
+stunden stunde tage tag jahre euro meter liter prozent heures heure jours jour ans mètres litres horas hora días día años metros litros euros""".split()
+_NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half".split()
+#: Words that are no names even where they begin a sentence.
+_COMMON = """the a an if in on at of for to by from with and or but as is are was were be been do does did has have had will would can could should may might must
+what when where which who whom whose why how there here this that these those it he she they we you i his her their our your my its each every all some any no not
+then than so because after before while during since until let find show given suppose assume calculate compute determine solve write name choose answer question
+der die das ein eine und oder in im am an auf von zu mit für ist sind war wenn was wie wer wo le la les un une des du de et ou dans sur par pour est sont si que qui
+el los las una unos y o en por para es son si como cuando donde""".split()
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _DIGIT = np.zeros(256, dtype=np.int64)
 _DIGIT[48:58] = 1
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".!?:|")] = True
 
-def _unit_hashes() -> np.ndarray:
-    raw = np.frombuffer("".join(_UNITS).encode(), dtype=np.uint8)
-    ends = np.cumsum([len(u) for u in _UNITS])
-    return np.sort(Poly(raw).ranges(np.concatenate([[0], ends[:-1]]), ends))
 
+def _known(words: list[str]) -> np.ndarray:
+    data = [w.encode() for w in dict.fromkeys(words)]
+    ends = np.cumsum([len(w) for w in data])
+    return np.unique(Poly(np.frombuffer(b"".join(data), dtype=np.uint8)).ranges(np.concatenate([[0], ends[:-1]]), ends) | np.uint64(1))
 
-def template_windows(part: pa.RecordBatch, size: int = WINDOW):
-    """(hash, row, word number, slot hashes [n, size] with 0 where the word is literal, row's number of words)."""
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the punctuation around them; a word of punctuation alone becomes empty."""
+    solid = np.flatnonzero(~_PUNCT[raw])
+    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    some = first <= last
+    b, e = ends.copy(), ends.copy()
+    b[some], e[some] = solid[first[some]], solid[last[some]] + 1
+    return b, e
+
+
+def canonical(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template token, slot value or 0 where literal, words of each row) of all rows of ``text``, after folding."""
     raw, offsets = text_buffer(part.column("text"))
-    low = lower_ascii(raw)
     starts, ends, first = word_spans(raw, offsets)
     row = np.repeat(np.arange(part.num_rows), np.diff(first))
-    b, e = starts.copy(), ends.copy()
-    if len(raw):
-        for _ in range(32):
-            cut = _PUNCT[raw[np.minimum(b, len(raw) - 1)]] & (b < e)
-            if not cut.any():
-                break
-            b += cut
-        for _ in range(32):
-            cut = _PUNCT[raw[np.maximum(e - 1, 0)]] & (b < e)
-            if not cut.any():
-                break
-            e -= cut
-    stop_before = np.ones(len(starts), dtype=bool)  # a sentence or text begins here
-    if len(starts) > 1:
-        stop_before[1:] = (row[1:] != row[:-1]) | _STOP[raw[ends[:-1] - 1]]
-        gap = np.cumsum(np.concatenate([[0], (raw == 10)]))
-        stop_before[1:] |= gap[starts[1:]] > gap[ends[:-1]]
-    solid = b < e
-    b, e, row, stop_before = b[solid], e[solid], row[solid], stop_before[solid]
-    h = Poly(low).ranges(b, e) | np.uint64(1)
+    none = np.zeros(0, dtype=np.uint64)
+    if not len(starts):
+        return none, none, np.zeros(part.num_rows, dtype=np.int64)
+    b, e = _trimmed(raw, starts, ends)
+    b, e, row = b[b < e], e[b < e], row[b < e]
+    if not len(b):
+        return none, none, np.zeros(part.num_rows, dtype=np.int64)
+    h = Poly(lower_ascii(raw)).ranges(b, e) | np.uint64(1)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-    number = digits[e] > digits[b]
+    number = (digits[e] > digits[b]) | _among(h, _known(_NUMBERS))
     unit = np.zeros(len(b), dtype=bool)
-    known = _unit_hashes() | np.uint64(1)
-    known.sort()
-    if len(b):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        unit[1:] = (known[at] == h)[1:] & number[:-1] & (row[1:] == row[:-1])
-        name = (raw[b] >= 65) & (raw[b] <= 90) & ~stop_before & ~number
-    else:
-        name = unit
-    token = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, h)))
-    slot = np.where(number | unit | name, h, np.uint64(0))
-    counts = np.bincount(row, minlength=part.num_rows)
+    unit[1:] = _among(h, _known(_UNITS))[1:] & number[:-1] & (row[1:] == row[:-1])
+    name = (raw[b] >= 65) & (raw[b] <= 90) & ~number & ~unit & ~_among(h, _known(_COMMON))
+    kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
+    begin = np.ones(len(b), dtype=bool)
+    begin[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == 0) | (kind[1:] == 2)
+    at = np.flatnonzero(begin)
+    turn = np.arange(len(b)) - np.repeat(at, np.diff(np.append(at, len(b))))
+    value = np.add.reduceat(mix(h + turn.astype(np.uint64) * MIX_A), at)  # of a literal word too
+    kind = kind[at]
+    token = np.select([kind == 1, kind == 2, kind == 3], [_NUM, _UNIT, _NAME], value)
+    return token, np.where(kind > 0, value | np.uint64(1), np.uint64(0)), np.bincount(row[at], minlength=part.num_rows)
+
+
+def template_windows(token: np.ndarray, slot: np.ndarray, counts: np.ndarray, size: int, rows: np.ndarray):
+    """(hash, row, word number, place) of the windows of ``size`` words in the marked ``rows``.
+
+    The hash is that of the template, or of the words as written where fewer than LITERALS of WINDOW are literal."""
     begin = np.cumsum(counts) - counts
-    span = np.maximum(counts - size + 1, 0)
+    span = np.where(rows, np.maximum(counts - size + 1, 0), 0)
     total = int(span.sum())
-    r = np.repeat(np.arange(part.num_rows), span)
+    r = np.repeat(np.arange(len(counts)), span)
     pos = np.arange(total) - np.repeat(np.cumsum(span) - span, span)
     at = begin[r] + pos
-    acc = np.zeros(total, dtype=np.uint64)
-    literal = np.zeros(total, dtype=np.int64)
+    acc, whole = np.full(total, np.uint64(size)), np.full(total, np.uint64(size))
+    literal = np.concatenate([[0], np.cumsum(slot == 0)])
+    exact = np.where(slot == 0, token, slot)
     for k in range(size):
         acc = acc * BASE + token[at + k]
-        literal += slot[at + k] == 0
-    keep = literal >= LITERALS
-    acc, r, pos, at = mix(acc)[keep], r[keep], pos[keep], at[keep]
-    return acc, r, pos, at, slot, counts
+        whole = whole * BASE + exact[at + k]
+    open_ = (literal[at + size] - literal[at]) * WINDOW >= LITERALS * size
+    return np.where(open_, mix(acc), mix(whole ^ MIX_A)), r, pos, at
 
 
 _DDL = "id long, h long, pos int, slots array<long>"
 
 
-def _emit(part: pa.RecordBatch, key: str, size: int, wanted: np.ndarray | None) -> pa.RecordBatch:
-    h, row, pos, at, slot, _ = template_windows(part, size)
-    if wanted is not None:
-        i = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-        on = wanted[i] == h if len(wanted) else np.zeros(len(h), dtype=bool)
-        h, row, pos, at = h[on], row[on], pos[on], at[on]
-    values = slot[(at[:, None] + np.arange(size)).ravel()] if len(at) else np.zeros(0, dtype=np.uint64)
-    ids = part.column(key).cast(pa.int64()).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(pos, pa.int32()), list_array(pa.array(values.view(np.int64)), np.full(len(h), size))], names=["id", "h", "pos", "slots"])
-
-
-def _windows(df: DataFrame, key: str, size: int, wanted=None) -> DataFrame:
+def _emit(part: pa.RecordBatch, key: str, sizes: list[int] | None, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Windows of the rows: of WINDOW words, or, without ``sizes``, of an item's own length; with ``sizes`` of these lengths too."""
+    token, slot, counts = canonical(part)
+    for size in range(1, WINDOW + 1):
+        if sizes is None:
+            rows = counts == size if size < WINDOW else counts >= WINDOW
+        elif size == WINDOW:
+            rows = counts >= WINDOW
+        elif size in sizes:
+            rows = counts == size if size < SHORT else counts >= size
+        else:
+            continue
+        if not rows.any():
+            continue
+        h, row, pos, at = template_windows(token, slot, counts, size, rows)
+        if wanted is not None:
+            on = _among(h, wanted) if len(wanted) else np.zeros(len(h), dtype=bool)
+            h, row, pos, at = h[on], row[on], pos[on], at[on]
+        values = slot[(at[:, None] + np.arange(size)).ravel()] if len(at) else np.zeros(0, dtype=np.uint64)
+        ids = part.column(key).cast(pa.int64()).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(pos, pa.int32()), list_array(pa.array(values.view(np.int64)), np.full(len(h), size))], names=["id", "h", "pos", "slots"])
+
+
+def _windows(df: DataFrame, key: str, sizes: list[int] | None = None, wanted=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield _emit(part, key, size, wanted.value if wanted is not None else None)
+            yield from _emit(part, key, sizes, wanted.value if wanted is not None else None)
 
     return df.where(F.col("text").isNotNull() & F.col(key).isNotNull()).select(key, "text").mapInArrow(run, _DDL)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_matched, coverage, kind): benchmark items that ``docs`` hold.
 
-    An item counts as held when at least ``coverage`` of its windows stand in the document at one
-    displacement and the slots are consistent; kind is verbatim when all slot values are equal, else
-    template.  Windows need LITERALS literal words; items with fewer words than a window, null and
-    empty texts match nothing; items of one item_id are one item.  Other columns are not read."""
-    items = _windows(benchmark.select("item_id", "text"), "item_id", size).distinct()
-    n = items.select("h").distinct().count()
+    An item counts as held when at least ``coverage`` of its windows stand in one place of the document (at
+    one displacement, or at several within half the item's length) and the slots are consistent there;
+    kind is verbatim when all slot values are equal, else template.  Items of fewer than WINDOW words are one
+    window; of fewer than SHORT, held by documents that are nothing else.  Null and empty texts match
+    nothing; items of one item_id are one item, repeated rows of a doc_id one document.  Other columns are not read."""
+    items = _windows(benchmark.select("item_id", "text"), "item_id").distinct()
+    found = items.agg(F.count_distinct("h").alias("n"), F.collect_set(F.size("slots")).alias("sizes")).first()  # WINDOW sizes at most
+    sizes = sorted(set(found["sizes"]) - {WINDOW})
     spark = docs.sparkSession
-    if n <= broadcast_windows:
-        hashes = np.array(sorted(r["h"] for r in items.select("h").distinct().collect()), dtype=np.int64).view(np.uint64)
+    if found["n"] <= broadcast_windows:
+        hashes = np.array([r["h"] for r in items.select("h").distinct().collect()], dtype=np.int64).view(np.uint64)
         hashes.sort()
-        seen = _windows(docs, "doc_id", size, spark.sparkContext.broadcast(hashes))
+        seen = _windows(docs, "doc_id", sizes, spark.sparkContext.broadcast(hashes))
     else:
-        seen = _windows(docs, "doc_id", size)
+        seen = _windows(docs, "doc_id", sizes)
+    lengths = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("n_windows"))
     a, b = seen.alias("a"), items.alias("b")
     pairs = a.join(b, F.col("a.h") == F.col("b.h")).select(
         F.col("a.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("a.pos") - F.col("b.pos")).alias("shift"), F.col("b.pos").alias("pos"),
         F.filter(F.arrays_zip(F.col("b.slots").alias("i"), F.col("a.slots").alias("d")), lambda x: x["i"] != 0).alias("slots"),
     )
-    at = pairs.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("pos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    lengths = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("n_windows"))
+    wide = F.greatest(F.col("n_windows"), F.lit(WINDOW))  # places overlap by half, so two near displacements share one
+    places = F.array(
+        F.struct(F.lit(0).alias("way"), F.col("shift").cast("long").alias("at")), F.struct(F.lit(1).alias("way"), F.floor(F.col("shift") / wide).alias("at")),
+        F.struct(F.lit(2).alias("way"), F.floor((F.col("shift") + wide / 2) / wide).alias("at")),
+    )
+    at = (
+        pairs.join(lengths, "item_id").withColumn("place", F.explode(places)).groupBy("doc_id", "item_id", "place")
+        .agg(F.count_distinct("pos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.first("n_windows").alias("n_windows"))
+    )
     distinct = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: x[f])))
     checked = (
-        at.join(lengths, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+        at.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
         .where((F.col("coverage") >= coverage) & (distinct("i") == F.size("slots")) & (distinct("d") == F.size("slots")))
         .withColumn("kind", F.when(F.forall("slots", lambda x: x["i"] == x["d"]), "verbatim").otherwise("template"))
     )

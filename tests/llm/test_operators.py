@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditgrain.llm import decontaminate, fixity, jaccard, langid, linededup, media, pieces, pii, substring, toxicity
+from auditgrain.llm import decontaminate, fixity, jaccard, langid, linededup, media, pieces, pii, queries, substring, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, n_lines string, pii string, score string"
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
@@ -289,6 +289,37 @@ def test_decontamination(spark, odd, empty):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4, 5}
 
 
+def test_decontamination_other_lengths(spark):
+    """Names and numbers of other lengths, items dense in numbers, short items, edits that shift the rest."""
+    item = "On Monday a bus from Denver takes 40 minutes to reach the old bridge over the river and then 1 000 people walk home along the road to the market place of the town"
+    dense = "Add 3 4 5 kg to 7 8 of 12 9 and 14"
+    bench = spark.createDataFrame([(1, item), (2, dense), (3, "capital of the moon"), (4, "alone")], "item_id long, text string")
+    rows = [
+        (1, item.replace("Denver", "Salt Lake City").replace("1 000", "25")), (2, f"Before it: {dense}, after"), (3, "the capital of the moon is asked here"), (4, "alone"), (5, "not alone here"),
+        (6, item.replace("to reach the old", "to reach the very old")), (7, item.replace("Denver", "Rome")), (8, "Chicago. " + item.replace("Denver takes", "Bath takes")), (9, "the town of the river and the road"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], "doc_id long, text string, item_id string, pos string, n_windows string, h string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {(1, 1): "template", (2, 2): "verbatim", (3, 3): "verbatim", (4, 4): "verbatim", (6, 1): "verbatim", (7, 1): "template", (8, 1): "template"}
+    assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+
+
+def test_decontamination_counts_as_brute_force(spark, sf):
+    """The registered query's rows against windows of all texts in plain Python, at one displacement."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op9_decontamination"](spark, sf).collect()}
+    words = lambda t: [w for w in (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in re.split(r"[\x20\x09-\x0D]+", t)) if w]
+    for b in bench:
+        item = " ".join(words(b.text)).lower()
+        for d in docs:
+            if item in " ".join(words(d.text)).lower():
+                assert (d.doc_id, b.item_id) in got
+    grams = lambda t: {tuple(w[i : i + 6]) for w in [words(t)] for i in range(len(w) - 5)}
+    asked = set().union(*(grams(b.text) for b in bench))
+    assert {i for i, _ in got} <= {d.doc_id for d in docs if grams(d.text) & asked}
+
+
 def test_fixity(spark):
     rows = [(i, f"http://h{i}.example/", f"<p>page {i}</p>" * (i % 7 + 1)) for i in range(0, 500, 3)] + [(9, "http://dup.example/", "<p>dup</p>"), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
