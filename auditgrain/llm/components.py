@@ -24,19 +24,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the least node reached.
 
-    Each round is a few shuffles of the edge list and shrinks chains geometrically; the edge list
-    is written to the shared checkpoint folder between rounds, and only one count per round
-    reaches the driver.  Null ends and loops are ignored; no edges give no rows."""
+    Each round is a few shuffles of the edge list and shrinks chains geometrically; rounds go on until one
+    changes nothing.  The edge list is written to the shared checkpoint folder between rounds, and only one
+    count per round reaches the driver.  Null ends and loops are ignored; no edges give no rows."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     cur = checkpointed(
         edges.where(x.isNotNull() & y.isNotNull() & (x != y))
         .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         # In a finished forest every u has one v and no v is itself a u: then u -> v is the answer.
         state = cur.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s"), F.sum("v").alias("t")

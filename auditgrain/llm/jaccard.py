@@ -200,8 +200,10 @@ def jaccard_links(docs: DataFrame, percent: int = 75, size: int = 5, block: int
     links: a, b between class representatives, enough of them to connect every linking pair."""
     n_parts = partitions(docs.sparkSession)
     heads = checkpointed(shingle_sets(docs, size, lambda n: n * 0).drop("shingles"))
-    same = heads.where("n_shingles > 0").groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    classes = checkpointed(heads.join(same, ["n_shingles", "sig_a", "sig_b"], "left").select("doc_id", "n_shingles", "rep"))
+    key = ["n_shingles", "sig_a", "sig_b"]
+    # Only sets that occur again, written first: Spark can split a hot one in a join of two plain exchanges.
+    same = checkpointed(heads.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    classes = checkpointed(heads.join(same, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep")))
     total = heads.agg(F.sum("n_shingles")).first()[0] or 0
 
     # Step 1 on the least hashes.  As many bits as leave one chance hit in 256 suffice to tell which
@@ -278,24 +280,26 @@ def jaccard_links(docs: DataFrame, percent: int = 75, size: int = 5, block: int
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+    """doc_id, n_shingles, component_id, n_copies for every row of ``docs``.
 
-    component_id is the least doc_id reachable by links, itself included; n_links counts the class's
-    connecting links plus its other copies.  Null, empty and blank texts have no shingles and stand
-    alone.  Repeated doc_ids keep one row each; columns other than doc_id and text are not read."""
+    component_id is the least doc_id reachable by links, itself included; n_copies is the number of other
+    rows with an equal shingle set (links to different sets are not counted: partners that are already connected
+    are never compared).  Null, empty and blank texts have no shingles and stand alone.
+    Repeated doc_ids keep one row each; columns other than doc_id and text are not read."""
     classes, links = jaccard_links(docs, percent, size, block)
     comp = connected_components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     copies = classes.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    known = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
+    # only classes of several rows or with links, written first, so that a hot class can be split
+    known = checkpointed(copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null"))
     return (
         classes.join(known, "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"),
-                (F.coalesce("deg", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
+        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies"))
     )
 
 
 def keep_representatives(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """``docs`` with one document (the least doc_id) of each group of near copies; columns as given."""
-    comp = jaccard_components(docs, percent, size).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(comp, "doc_id", "left_semi")
+    """``docs`` with one document (the least doc_id) of each group of near copies; columns as given.
+
+    Rows without a doc_id stay: they cannot stand for another or be told from one."""
+    gone = jaccard_components(docs.where("doc_id is not null"), percent, size).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")

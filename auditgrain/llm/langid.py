@@ -1,8 +1,9 @@
 """Language identification as a mixture: each text's language proportions by expectation-maximisation.
 
 Byte trigrams of words give every word a likelihood in each language; EM estimates the proportions of
-languages in a text from its words; the set of languages is the one of highest likelihood less half a
-log of the number of words for each language (BIC)."""
+languages in a text from its words.  Candidate sets of languages come from backward elimination: from all
+languages, the one of the least share goes and EM is run again on the rest, down to one.  The set chosen is the
+one of highest likelihood less half a log of the number of words for each language (BIC)."""
 
 from __future__ import annotations
 
@@ -85,9 +86,10 @@ def fit(docs: DataFrame, learn: Column, max_docs: int = FIT_DOCS, smooth: float
     return langs, np.ascontiguousarray(table)
 
 
-def _mixture(p: np.ndarray, starts: np.ndarray, n_words: np.ndarray, rounds: int) -> np.ndarray:
-    """Proportions of languages for texts whose words' likelihoods stand one after the other in ``p``."""
-    share = np.full((len(starts), p.shape[1]), 1.0 / p.shape[1], dtype=np.float32)
+def _mixture(p: np.ndarray, starts: np.ndarray, n_words: np.ndarray, rounds: int, share: np.ndarray) -> np.ndarray:
+    """Proportions of languages for texts whose words' likelihoods stand one after the other in ``p``, from ``share`` on.
+
+    A language whose share is 0 stays out."""
     for _ in range(rounds):
         r = p * np.repeat(share, n_words, axis=0)
         r /= r.sum(axis=1, keepdims=True)
@@ -114,25 +116,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], rounds: int =
                 ll = np.stack([np.add.reduceat(t[code], starts) for t in table], axis=1)
                 p = np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -30.0))
                 rows, first, n = np.unique(row, return_index=True, return_counts=True)
-                share = _mixture(p, first, n, rounds)
-                order = np.argsort(-share, axis=1, kind="stable")
-                rank = np.argsort(order, axis=1)
-                value = []
-                for k in range(1, len(langs) + 1):
-                    some = np.where(rank < k, share, 0)
-                    some = np.maximum(some, 1e-9 * (rank < k))
-                    some = some / some.sum(axis=1, keepdims=True)
-                    fit_ = np.log(np.maximum((p * np.repeat(some, n, axis=0)).sum(axis=1), 1e-30))
-                    value.append(np.add.reduceat(fit_, first) - 0.5 * k * np.log(n + 1.0))
-                best = np.argmax(np.stack(value, axis=1), axis=1) + 1
+                mask = np.ones((len(rows), len(langs)), dtype=bool)
+                share = np.full(mask.shape, 1.0 / len(langs), dtype=np.float32)
+                best = np.full(len(rows), -np.inf)
+                chosen_share = share.copy()
+                for k in range(len(langs), 0, -1):
+                    share = np.where(mask, np.maximum(share, 1e-6), 0)
+                    share = _mixture(p, first, n, rounds, (share / share.sum(axis=1, keepdims=True)).astype(np.float32))
+                    fit_ = np.log(np.maximum((p * np.repeat(share, n, axis=0)).sum(axis=1), 1e-30))
+                    value = np.add.reduceat(fit_, first, dtype=np.float64) - 0.5 * k * np.log(n + 1.0)
+                    better = value > best
+                    best[better], chosen_share[better] = value[better], np.where(mask, share, -1)[better]
+                    mask[np.arange(len(rows)), np.argmin(np.where(mask, share, np.inf), axis=1)] = False
+                order = np.argsort(-chosen_share, axis=1, kind="stable")
+                size = (chosen_share >= 0).sum(axis=1)
                 letters = np.add.reduceat((raw >= 128).astype(np.int64), np.minimum(offsets[:-1], len(raw) - 1)) if len(raw) else None
                 for i, r in enumerate(rows.tolist()):
                     data = raw[offsets[r] : offsets[r + 1]]
                     if letters is not None and letters[r] and not _LETTER[lower_ascii(data)][data < 128].any() and not any(c.isalpha() for c in data.tobytes().decode()):
                         continue
-                    chosen = order[i, : best[i]]
-                    total = float(share[i, chosen].sum()) or 1.0
-                    sets[r] = [{"lang": langs[c], "share": float(share[i, c]) / total} for c in chosen]
+                    sets[r] = [{"lang": langs[c], "share": float(chosen_share[i, c])} for c in order[i, : size[i]]]
                     pred[r], score[r] = sets[r][0]["lang"], min(1.0, sets[r][0]["share"])
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(pred), pa.array(score), pa.array(sets, kind)], names=["doc_id", "lang_pred", "score", "languages"])
 

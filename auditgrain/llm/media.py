@@ -74,9 +74,11 @@ def write_container(payload: bytes) -> bytes:
 
 
 class Track(NamedTuple):
+    kind: str  # the handler: vide, soun, ...
     codec: str
     timescale: int
-    duration: int
+    duration: int  # as the header says
+    decoded: int  # the sum of all samples' durations
     offsets: np.ndarray  # of every sample
     sizes: np.ndarray
     keys: np.ndarray  # numbers of the sync samples, from 0
@@ -100,11 +102,19 @@ def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[
         start += size
 
 
-def _flatten(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    for kind, a, b in walk(data, start, end):
-        yield (*path, kind), a, b
+def _flatten(data: bytes) -> Iterator[tuple[tuple, int, int]]:
+    """Every box with the path to it, in the order of the file; nesting takes no stack."""
+    open_ = [((), walk(data))]
+    while open_:
+        path, boxes = open_[-1]
+        found = next(boxes, None)
+        if found is None:
+            open_.pop()
+            continue
+        kind, a, b = found
+        yield (*path[-2:], kind), a, b
         if kind in _CONTAINERS:
-            yield from _flatten(data, a, b, (*path, kind))
+            open_.append(((*path[-2:], kind), walk(data, a, b)))
 
 
 def _table(data: bytes, at: int, end: int, dtype: str, width: int = 1) -> np.ndarray:
@@ -114,8 +124,30 @@ def _table(data: bytes, at: int, end: int, dtype: str, width: int = 1) -> np.nda
     return np.frombuffer(data, dtype=dtype, count=n * width, offset=at + 8).astype(np.int64).reshape(n, width)
 
 
+def _sizes(data: bytes, t: dict) -> np.ndarray:
+    """Sizes of all samples: one for all, 32 bits each, or packed in 4, 8 or 16 bits."""
+    if b"stsz" in t:
+        a, b = t[b"stsz"]
+        fixed, n = struct.unpack_from(">II", data, a + 4)
+        if not fixed:
+            return _table(data, a + 4, b, ">u4")[:, 0]
+        if n * fixed > len(data):  # checked before anything of this size is made
+            raise ValueError("samples go beyond the file")
+        return np.full(n, fixed, dtype=np.int64)
+    a, b = t[b"stz2"]
+    width, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if width not in (4, 8, 16) or a + 12 + -(-n * width // 8) > b:
+        raise ValueError("a table is cut off")
+    packed = np.frombuffer(data, dtype=np.uint8, count=-(-n * width // 8), offset=a + 12)
+    if width == 4:
+        return np.stack([packed >> 4, packed & 15], axis=1).ravel()[:n].astype(np.int64)
+    return packed.astype(np.int64) if width == 8 else packed.view(">u2").astype(np.int64)
+
+
 def read_tracks(data: bytes) -> list[Track]:
-    """Tracks of a container, from its tables alone; ValueError where they contradict the file."""
+    """Tracks of a container, from its tables alone; ValueError where they contradict the file.
+
+    Fragments (moof) are not read: a track then ends with its moov."""
     tracks, cur = [], None
     found: list[dict] = []
     for path, a, b in _flatten(data):
@@ -126,19 +158,25 @@ def read_tracks(data: bytes) -> list[Track]:
         elif cur is not None and len(path) > 2:
             cur[kind] = (a, b)
     for t in found:
-        if b"stsz" not in t or b"stsd" not in t or b"mdhd" not in t:
+        if not (b"stsz" in t or b"stz2" in t) or any(k not in t for k in (b"stsd", b"mdhd", b"stts", b"stsc")) or not (b"stco" in t or b"co64" in t):
             raise ValueError("a track has no sample tables")
         a, _ = t[b"mdhd"]
         long_ = data[a] == 1
         scale, duration = struct.unpack_from(">IQ" if long_ else ">II", data, a + (20 if long_ else 12))
         codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1")
-        a, b = t[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, a + 4)
-        sizes = np.full(n, fixed, dtype=np.int64) if fixed else _table(data, a + 4, b, ">u4")[:, 0]
+        kind = data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in t else ""
+        sizes = _sizes(data, t)
+        n = len(sizes)
+        times = _table(data, *t[b"stts"], ">u4", 2)
+        if int(times[:, 0].sum()) != n:
+            raise ValueError("times and samples disagree")
         chunk = _table(data, *t[b"co64"], ">u8")[:, 0] if b"co64" in t else _table(data, *t[b"stco"], ">u4")[:, 0]
         runs = _table(data, *t[b"stsc"], ">u4", 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1))) if len(runs) else np.zeros(0, dtype=np.int64)
-        if per.sum() != n:
+        spans = np.diff(np.append(runs[:, 0], len(chunk) + 1)) if len(runs) else np.zeros(0, dtype=np.int64)
+        if len(runs) and (runs[0, 0] != 1 or (spans < 0).any()):
+            raise ValueError("runs of chunks are out of order")
+        per = np.repeat(runs[:, 1], spans)
+        if len(per) != len(chunk) or int(per.sum()) != n:
             raise ValueError("chunks and samples disagree")
         which = np.repeat(np.arange(len(chunk)), per)
         before = np.cumsum(sizes) - sizes
@@ -149,7 +187,7 @@ def read_tracks(data: bytes) -> list[Track]:
         keys = _table(data, *t[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t else np.arange(n)
         if len(keys) and (keys.min() < 0 or keys.max() >= n):
             raise ValueError("a sync sample does not exist")
-        tracks.append(Track(codec, scale, duration, offsets, sizes, keys))
+        tracks.append(Track(kind, codec, scale, duration, int((times[:, 0] * times[:, 1]).sum()), offsets, sizes, keys))
     return tracks
 
 
@@ -176,13 +214,15 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 def media_columns(media: DataFrame, read_back: bool = False) -> DataFrame:
     """``media`` with its container's columns instead of ``media``: media_bytes, codec, duration_s,
-    n_samples, keyframes array<struct<at, length>>, error; with ``read_back`` also media_sha256,
-    payload_bytes, payload_sha256, tail_crc32 and payload_mean of the first track's stored bytes.
+    n_samples, keyframes array<struct<at, length>> of the main track (the first of pictures, else the first),
+    tracks array<struct<kind, codec, duration_s, n_samples, n_keyframes>> of all, error; with ``read_back`` also media_sha256,
+    payload_bytes, payload_sha256, tail_crc32 and payload_mean of the main track's stored bytes.
 
-    A null or malformed container gives null columns and says why in error.  Other columns stay; those
+    Durations are sums over the samples.  A null or malformed container gives null columns and says why in error.  Other columns stay; those
     with one of these names are replaced."""
-    fields = [("media_bytes", pa.int64()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())]))), ("error", pa.string())]
-    ddl = "media_bytes long, codec string, duration_s double, n_samples long, keyframes array<struct<at: long, length: long>>, error string"
+    fields = [("media_bytes", pa.int64()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())]))),
+              ("tracks", pa.list_(pa.struct([("kind", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64())]))), ("error", pa.string())]
+    ddl = "media_bytes long, codec string, duration_s double, n_samples long, keyframes array<struct<at: long, length: long>>, tracks array<struct<kind: string, codec: string, duration_s: double, n_samples: long, n_keyframes: long>>, error string"
     if read_back:
         fields += [("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("payload_mean", pa.float64())]
         ddl += ", media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, payload_mean double"
@@ -196,10 +236,12 @@ def media_columns(media: DataFrame, read_back: bool = False) -> DataFrame:
             tracks = read_tracks(data)
             if not tracks:
                 return {"media_bytes": len(data), "error": "no track"}
-        except (ValueError, struct.error, KeyError, IndexError) as e:
+        except (ValueError, struct.error, KeyError, IndexError, OverflowError) as e:  # what a file that contradicts itself can cause
             return {"media_bytes": len(data), "error": str(e) or type(e).__name__}
-        t = tracks[0]
-        out = {"media_bytes": len(data), "codec": t.codec, "duration_s": t.duration / t.timescale if t.timescale else None, "n_samples": len(t.sizes),
+        t = next((x for x in tracks if x.kind == "vide"), tracks[0])
+        seconds = lambda x: x.decoded / x.timescale if x.timescale else None
+        out = {"media_bytes": len(data), "codec": t.codec, "duration_s": seconds(t), "n_samples": len(t.sizes),
+               "tracks": [{"kind": x.kind, "codec": x.codec, "duration_s": seconds(x), "n_samples": len(x.sizes), "n_keyframes": len(x.keys)} for x in tracks],
                "keyframes": [{"at": a, "length": n} for a, n in zip(t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist(), strict=True)]}
         if read_back:
             back = read_samples(data, t)

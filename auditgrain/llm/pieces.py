@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import Poly, grouped, list_array, slices, spread, text_buffer
-from .scratch import checkpointed, partitions
+from .scratch import checkpointed, partitions, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT_BYTES = 64 << 10
@@ -442,8 +442,8 @@ def _texts(table: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BYTES, chunk_bytes: int = CHUNK_BYTES, read_back: bool = False) -> DataFrame:
     """(doc_id, token_ids array<int>, score) for every row of ``docs`` (doc_id, text); with ``read_back`` also ``decoded``, the text of the ids.
 
-    Null and empty texts have no tokens and score 0.  Repeated rows of short texts stay repeated rows; a giant text
-    is keyed by doc_id, so that must be unique among giants.  Other columns are not read."""
+    Null and empty texts have no tokens and score 0.  Repeated rows stay repeated rows, and rows without a
+    doc_id stay, at every size: a giant text is worked on under a number of its own.  Other columns are not read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(model_path))  # of fixed size: the vocabulary
 
@@ -462,11 +462,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BY
     giant = docs.where(long_)
     if giant.isEmpty():
         return plain
-    rows = _giants(giant, shared, chunk_bytes)
+    giant = written(giant.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")  # written, so the numbers stay
+    rows = _giants(giant.select(F.col("row").alias("doc_id"), "text"), shared, chunk_bytes).withColumnRenamed("doc_id", "row")
     if read_back:
-        again = decode(rows.select("doc_id", "token_ids"), model_path).withColumnRenamed("text", "decoded")
-        rows = rows.join(again, "doc_id")
-    return plain.unionByName(rows)
+        rows = rows.join(decode(rows.select("row", "token_ids"), model_path).withColumnRenamed("text", "decoded"), "row")
+    return plain.unionByName(rows.join(giant.select("row", "doc_id"), "row").drop("row"))
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:

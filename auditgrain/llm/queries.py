@@ -40,7 +40,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every document."""
+    """doc_id, n_shingles, component_id, n_copies for every document."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 

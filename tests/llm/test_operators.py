@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import re
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditgrain.llm import decontaminate, fixity, jaccard, langid, linededup, media, pieces, pii, queries, substring, toxicity
+from auditgrain.llm import components, decontaminate, fixity, jaccard, langid, linededup, media, pieces, pii, queries, substring, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, n_lines string, pii string, score string"
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
@@ -65,6 +66,16 @@ def test_jaccard_representatives(odd, empty):
     ids = {r.doc_id for r in kept.collect()}
     assert 4 in ids and not {5, 6, 7} & ids and {0, 1, 2, 3} <= ids
     assert jaccard.jaccard_components(empty).count() == 0
+    loose = odd.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    assert jaccard.keep_representatives(loose).where("doc_id is null").count() == 1
+    assert {r.doc_id: r.n_copies for r in jaccard.jaccard_components(odd).collect()}[4] == 2
+
+
+def test_components_of_a_long_chain(spark):
+    n = 5000
+    chain = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("a"), ((F.col("id") + 1) * 7919 % n).alias("b"))
+    got = components.connected_components(chain)
+    assert got.where("component <> 0").count() == 0 and got.count() == n
 
 
 def brute_repeats(rows, length=100):
@@ -151,6 +162,12 @@ def test_pieces_scan_equals_whole(spark, sf, odd):
         assert cut[i].score == pytest.approx(s) and cut[i].decoded == texts[i]
 
 
+def test_pieces_repeated_giants_and_no_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three " * 30), (7, "four five " * 40), (7, "four five " * 40), (7, "six " * 90)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.decoded) for r in pieces.encode(docs, giant_bytes=100, chunk_bytes=40, read_back=True).collect())
+    assert got == sorted((r.doc_id or -1, r.text) for r in docs.collect())
+
+
 def test_pieces_best_path():
     """The search against a plain dynamic programme over all splits."""
     v = pieces.load_vocabulary()
@@ -188,6 +205,46 @@ def test_media_malformed(spark):
     assert got[5].error is None and got[5].codec == "raw " and all(got[i].error for i in (1, 2, 3, 4))
 
 
+def test_media_hostile():
+    nested = b""
+    for _ in range(3000):
+        nested = media._box(b"moov", nested)
+    with pytest.raises(ValueError):
+        list(media.walk(nested[:-1]))
+    assert media.read_tracks(nested) == []
+    good = media.write_container(media.pad(b"abc" * 100))
+    at = good.index(b"stsz") + 12
+    with pytest.raises(ValueError):  # four thousand million samples of 64 bytes in a small file
+        media.read_tracks(good[:at] + b"\xff\xff\xff\xff" + good[at + 4 :])
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        bad = bytearray(good)
+        for i in rng.integers(0, len(bad), 4):
+            bad[i] = rng.integers(0, 256)
+        try:
+            media.read_tracks(bytes(bad))
+        except (ValueError, OverflowError, struct.error, KeyError, IndexError):
+            pass
+
+
+def test_media_all_tracks(spark):
+    """A file whose first track is sound, with sizes packed in four bits and times in two runs."""
+    pic = media.write_container(media.pad(b"z" * 640))
+    moov = next((a, b) for k, a, b in media.walk(pic) if k == b"moov")
+    trak = next((a - 8, b) for k, a, b in media.walk(pic, *moov) if k == b"trak")
+    full = media._full
+    stbl = media._box(
+        b"stbl", full(b"stsd", struct.pack(">I", 1), media._box(b"mp4a", bytes(28))), full(b"stts", struct.pack(">IIIII", 2, 2, 10, 1, 30)),
+        full(b"stz2", b"\0\0\0\x04", struct.pack(">I", 3), b"\x12\x30"), full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), full(b"stco", struct.pack(">II", 1, 8)),
+    )
+    sound = media._box(b"trak", media._box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, 50, 0, 0)), full(b"hdlr", bytes(4), b"soun", bytes(13)), media._box(b"minf", stbl)))
+    tracks = media.read_tracks(media._box(b"moov", sound))
+    assert [(t.kind, t.codec, t.decoded, t.sizes.tolist(), t.offsets.tolist()) for t in tracks] == [("soun", "mp4a", 50, [1, 2, 3], [8, 9, 11])]
+    both = pic[: moov[0] - 8] + media._box(b"moov", sound, pic[trak[0] : trak[1]]) + pic[moov[1] :]
+    row = media.media_columns(spark.createDataFrame([(1, both)], "k int, media binary")).first()
+    assert row.codec == "raw " and [t.kind for t in row.tracks] == ["soun", "vide"] and row.n_samples == 10
+
+
 PII_VALUES = [
     ("bob.42@mail.example.com", "email"), ("4111 1111 1111 1111", "card"), ("+1 (303) 555-0100", "phone"), ("303 555 0100", "phone"), ("123-45-6789", "ssn"), ("10.20.30.40", "ip"),
     ("2001:db8::8a2e:370:7334", "ip"), ("2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "ip"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("2024-02-29", "date"), ("31/12/1999", "date"), ("12/31/1999", "date"), ("3/4/2021", "date"),
@@ -321,13 +378,24 @@ def test_decontamination_counts_as_brute_force(spark, sf):
 
 
 def test_fixity(spark):
-    rows = [(i, f"http://h{i}.example/", f"<p>page {i}</p>" * (i % 7 + 1)) for i in range(0, 500, 3)] + [(9, "http://dup.example/", "<p>dup</p>"), (None, None, None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    hurt = pages.where("page_id is null or page_id <> 30").withColumn("html", F.when(F.col("page_id") == 99, "<p>bad</p>").otherwise(F.col("html")))
-    hurt = hurt.unionByName(spark.createDataFrame([(7777, "u", "h")], pages.schema))
+    rows = [(i, f"http://h{i}.example/", f"<p>page {i}</p>" * (i % 7 + 1)) for i in range(0, 5000, 3)] + [(9, "http://dup.example/", "<p>dup</p>"), (9, "http://dup.example/", "<p>dup</p>"), (None, None, None), (-1, "u", "minus"), (None, "v", "w")]
+    pages = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "page_id long, url string, html string, digest string, node string, offset string")
+    hurt = pages.where("page_id is null or page_id <> 4998").withColumn("html", F.when(F.col("page_id") == 99, "<p>page 88</p>").otherwise(F.col("html")))
+    hurt = hurt.where("url is null or url <> 'v'").unionByName(spark.createDataFrame([(7777, "u", "h", "", "", "")], pages.schema))
     a, b = fixity.warc_records(pages), fixity.warc_records(hurt)
     got = {(r.record_id, r.status) for r in fixity.fixity_audit(a, b).collect()}
-    assert got == {(30, "missing"), (99, "changed"), (7777, "extra")}
-    assert fixity.fixity_audit(a, a).count() == 0
+    moved = {(r.record_id, "moved") for r in a.where("record_id > 99 and record_id < 1024").collect()}  # page 99 has another length
+    assert got == {(4998, "missing"), (99, "changed"), (7777, "extra"), (None, "missing")} | moved
+    assert fixity.fixity_audit(a, a).count() == 0 and fixity.fixity_audit(a, a, fan=2).count() == 0
+    assert {(r.record_id, r.status) for r in fixity.fixity_audit(a, b, fan=2).collect()} == got
     none = fixity.warc_records(pages.limit(0))
     assert fixity.fixity_audit(none, none).count() == 0 and fixity.fixity_audit(none, b.limit(1)).count() == 1
+
+
+def test_fixity_sees_moved_records(spark, sf):
+    a = fixity.warc_records(spark.read.parquet(f"{sf}/pages.parquet"))
+    later, other = a.withColumn("offset", F.col("offset") + 5000), a.withColumn("file_no", F.col("file_no") + 9)
+    for b in (later, other):
+        assert {r.status for r in fixity.fixity_audit(a, b).collect()} == {"moved"} and fixity.fixity_audit(a, b).count() == a.count()
+    swapped = a.withColumn("offset", F.when(F.col("record_id") == 1, 0).when(F.col("record_id") == 0, F.col("length") * 0 + 1).otherwise(F.col("offset")))
+    assert {(r.record_id, r.status) for r in fixity.fixity_audit(a, swapped).collect()} == {(0, "moved"), (1, "moved")}
