@@ -129,6 +129,16 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the ``marks`` (256 flags) around them; a word of marks alone becomes empty."""
+    solid = np.flatnonzero(~marks[raw])
+    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    some = first <= last
+    b, e = ends.copy(), ends.copy()
+    b[some], e[some] = solid[first[some]], solid[last[some]] + 1
+    return b, e
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return Poly(raw).ranges(starts, ends)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import BASE, MIX_A, Poly, list_array, lower_ascii, mix, slices, text_buffer, word_spans
+from .bytekit import BASE, MIX_A, Poly, list_array, lower_ascii, mix, slices, text_buffer, trimmed, word_spans
 
 WINDOW = 8
 #: Of so many words of a window, at least five eighths must be literal for its template to count.
@@ -52,16 +52,6 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def _trimmed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words without the punctuation around them; a word of punctuation alone becomes empty."""
-    solid = np.flatnonzero(~_PUNCT[raw])
-    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
-    some = first <= last
-    b, e = ends.copy(), ends.copy()
-    b[some], e[some] = solid[first[some]], solid[last[some]] + 1
-    return b, e
-
-
 def canonical(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template token, slot value or 0 where literal, words of each row) of all rows of ``text``, after folding."""
     raw, offsets = text_buffer(part.column("text"))
@@ -70,7 +60,7 @@ def canonical(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     none = np.zeros(0, dtype=np.uint64)
     if not len(starts):
         return none, none, np.zeros(part.num_rows, dtype=np.int64)
-    b, e = _trimmed(raw, starts, ends)
+    b, e = trimmed(raw, starts, ends, _PUNCT)
     b, e, row = b[b < e], e[b < e], row[b < e]
     if not len(b):
         return none, none, np.zeros(part.num_rows, dtype=np.int64)

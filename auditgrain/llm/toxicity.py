@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-1.  Lexicons and patterns are mined on a bounded sample of labelled rows: words and six-byte strings
-    that stand far more often in toxic texts.  Groups of them, and a few patterns, are *voters* (toxic, clean, abstain).
+1.  Lexicons are mined on a bounded sample of labelled rows: words and six-byte strings
+    that stand far more often in toxic texts.  Groups of them are *voters* (toxic, clean, abstain); so are a given
+    lexicon of insults and patterns of shouting, which owe nothing to the labels.
 2.  A generative label model estimates each voter's behaviour given the hidden label by
     expectation-maximisation; pairs of voters that agree beyond what the label explains are
-    correlated and share their weight.  The given label is one more voter, whose reliability is a
-    parameter: it ties the hidden label to toxicity rather than to whatever else voters share.
+    correlated and share their weight.  The given label is one more voter.  It starts the rounds; its reliability is
+    estimated too, with a prior that weighs as much as the votes: so it ties the hidden label to toxicity rather than to whatever else voters share.
 3.  A linear classifier is trained on the posterior labels; it alone scores texts."""
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytekit import Poly, lower_ascii, slices, text_buffer, word_spans
+from .bytekit import Poly, list_array, lower_ascii, slices, text_buffer, trimmed, word_spans
 from .scratch import checkpointed
 
 BUCKETS = 1 << 20
@@ -28,6 +29,8 @@ FIT_DOCS = 20_000
 FEATURES = 3_000
 #: Of them, how many make up the lexicons that vote.
 LEXICON = 300
+#: Words of a voter that is not mined from the labels.
+INSULTS = ("idiot", "stupid", "moron", "scum", "filth", "vermin", "trash", "loser", "pathetic", "worthless", "disgusting", "hate", "kill", "bastard", "bitch", "fuck", "shit", "crap", "damn", "whore")
 _TRIM = np.zeros(256, dtype=bool)
 _TRIM[list(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")] = True
 
@@ -45,10 +48,7 @@ def _features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     rows = part.num_rows
     n_words = np.diff(first)
     row = np.repeat(np.arange(rows), n_words)
-    begin, stop = starts.copy(), ends.copy()
-    for _ in range(4):  # punctuation around words
-        begin += _TRIM[low[np.minimum(begin, len(low) - 1)]] & (begin < stop) if len(low) else 0
-        stop -= _TRIM[low[np.maximum(stop - 1, 0)]] & (begin < stop) if len(low) else 0
+    begin, stop = trimmed(low, starts, ends, _TRIM)
     solid = begin < stop
     poly = Poly(low)
     words = (poly.ranges(begin[solid], stop[solid]) >> np.uint64(45)) | np.uint64(1 << 19)
@@ -63,8 +63,12 @@ def _features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         grams = grams[at] >> np.uint64(45)
     else:
         gram_rows = np.zeros(0, dtype=np.int64)
+    loud = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.cumsum((raw >= 65) & (raw <= 90), out=loud[1:])
+    big = (loud[stop] - loud[begin] == stop - begin) & (stop - begin >= 3)  # words of capitals
+    capitals = np.bincount(row[big], minlength=rows) / np.maximum(n_words, 1)
     shout = np.bincount(np.searchsorted(offsets, np.flatnonzero(raw == 33), side="right") - 1, minlength=rows) if len(raw) else np.zeros(rows)
-    dense = np.stack([np.log1p(n_words) / 10.0, np.minimum(shout / np.maximum(n_words, 1), 1.0)], axis=1)
+    dense = np.stack([np.log1p(n_words) / 10.0, np.minimum(shout / np.maximum(n_words, 1), 1.0), capitals], axis=1)
     return np.concatenate([words, grams]).astype(np.int64), np.concatenate([word_rows, gram_rows]), dense
 
 
@@ -96,12 +100,13 @@ def _hits(part: pa.RecordBatch, buckets: np.ndarray) -> tuple[np.ndarray, np.nda
     return slot, row, dense
 
 
-def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1, anchor: int | None = None, reliability: float = 0.97) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1, anchor: int | None = None, reliability: float = 0.97, trust: float = 1.0) -> tuple[np.ndarray, dict]:
     """Posterior of label 1 for each row of ``votes`` (-1 clean, 0 abstain, 1 toxic), and the estimates.
 
     Voters are independent given the label but for pairwise correlations, which are estimated from
     what is left of their votes after the posterior; a voter's log-odds count 1 / (1 + its summed positive correlations).
-    ``anchor`` is a voter that is right with probability ``reliability`` when it votes; it starts the rounds and is not re-estimated."""
+    ``anchor`` is a voter that starts the rounds; its chance to be right when it votes is estimated too, from the
+    votes and a prior of ``reliability`` that weighs ``trust`` times as much, and is 0.6 at least: that fixes which label is 1."""
     n, m = votes.shape
     if not n:
         return np.zeros(0), {"weights": np.ones(m), "prior": prior}
@@ -109,13 +114,17 @@ def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1, anchor:
     post = np.clip((votes.sum(axis=1) > 0) * 0.8 + 0.1, 0.1, 0.9)
     if anchor is not None:
         post = np.where(votes[:, anchor] == 0, post, np.where(votes[:, anchor] > 0, reliability, 1 - reliability))
-    weights = np.ones(m)
+    weights, start = np.ones(m), reliability
     for _ in range(rounds):
         like = []
         for y in (post, 1 - post):
             c = (one_hot * y[:, None, None]).sum(axis=0) + 0.5
             like.append(c / c.sum(axis=1, keepdims=True))
         if anchor is not None:
+            spoken = float((votes[:, anchor] != 0).sum())
+            right_now = float(post[votes[:, anchor] > 0].sum() + (1 - post)[votes[:, anchor] < 0].sum())
+            right = max(0.6, (right_now + trust * spoken * start) / max((1 + trust) * spoken, 1e-9)) if spoken else start
+            reliability = min(right, 0.999)
             for table, right in zip(like, (2, 0), strict=True):
                 spoken = 1 - table[anchor, 1]
                 table[anchor, 2 - right], table[anchor, right] = spoken * (1 - reliability), spoken * reliability
@@ -131,12 +140,12 @@ def label_model(votes: np.ndarray, rounds: int = 30, prior: float = 0.1, anchor:
         odds = np.log(like[0]) - np.log(like[1])
         logit = np.log(prior / (1 - prior)) + (one_hot * (odds * weights[:, None])[None]).sum(axis=(1, 2))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, {"weights": weights, "prior": prior, "correlation": rho, "given_toxic": like[0], "given_clean": like[1]}
+    return post, {"weights": weights, "prior": prior, "correlation": rho, "given_toxic": like[0], "given_clean": like[1], "anchor": reliability}
 
 
-def _votes(slot: np.ndarray, row: np.ndarray, n: int, n_slots: int, is_word: np.ndarray, strong: np.ndarray, dense: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Lexicon and pattern voters over the strongest features; the given label votes last."""
-    cols = []
+def _votes(slot: np.ndarray, row: np.ndarray, n: int, n_slots: int, is_word: np.ndarray, strong: np.ndarray, given: np.ndarray, dense: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Voters over the strongest mined features, the given lexicon and patterns; the given label votes last."""
+    cols = [np.where(np.bincount(row[given[slot]], minlength=n) > 0, 1, 0)]
     on = strong[slot]
     slot, row = slot[on], row[on]
     group = np.arange(n_slots) % 3
@@ -150,6 +159,7 @@ def _votes(slot: np.ndarray, row: np.ndarray, n: int, n_slots: int, is_word: np.
         np.where(hits == 0, -1, np.where(hits >= 3, 1, 0)),
         np.where(hits / np.maximum(np.expm1(dense[:, 0] * 10), 1) > 0.01, 1, np.where(hits == 0, -1, 0)),
         np.where(dense[:, 1] > 0.2, 1, 0),  # pattern: an exclamation mark every fifth word
+        np.where(dense[:, 2] > 0.3, 1, 0),  # pattern: every third word in capitals
         np.where(label == 1, 1, np.where(label == 0, -1, 0)),
     ]
     return np.stack(cols, axis=1)
@@ -171,10 +181,11 @@ def _train(slot: np.ndarray, row: np.ndarray, dense: np.ndarray, target: np.ndar
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = FIT_DOCS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = FIT_DOCS, features: int = FEATURES, insults: tuple[str, ...] = INSULTS) -> Model:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) of the rows where ``learn`` (on doc_id) holds.
 
-    At most about ``max_docs`` labelled rows take part; the driver gets their few feature numbers."""
+    At most about ``max_docs`` labelled rows take part; the driver gets the numbers of their features as arrays.
+    A doc_id that is repeated in labels has the highest of its labels; repeated in docs, each row counts."""
     given = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, max_docs / max(given.count(), 1))
     if share < 1:
@@ -202,26 +213,37 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = FIT_D
         sample.select("text", "toxic").mapInArrow(count, "bucket int, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .where("t >= 3").withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "bucket").limit(features).collect()
     )
-    buckets = np.array(sorted(r["bucket"] for r in top), dtype=np.int64)
+    named = pa.RecordBatch.from_arrays([pa.array([" ".join(insults)])], names=["text"])
+    seeds = _present(*_features(named)[:2])[0]
+    seeds = seeds[seeds >= 1 << 19]
+    buckets = np.union1d(np.array([r["bucket"] for r in top], dtype=np.int64), seeds)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             slot, row, dense = _hits(part, buckets)
-            cut = np.cumsum(np.bincount(row, minlength=part.num_rows))[:-1]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic"), pa.array([x.tolist() for x in np.split(slot, cut)], pa.list_(pa.int32())), pa.array(dense.tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "slots", "dense"])
-
-    rows = sample.mapInArrow(found, "doc_id long, toxic int, slots array<int>, dense array<double>").orderBy("doc_id").collect()
-    slot = np.array([s for r in rows for s in r["slots"]], dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r["slots"]) for r in rows])
-    dense = np.array([r["dense"] for r in rows]).reshape(len(rows), 2)
-    label = np.array([r["toxic"] for r in rows])
+            slots = list_array(pa.array(slot, pa.int32()), np.bincount(row, minlength=part.num_rows))
+            values = list_array(pa.array(dense.ravel()), np.full(part.num_rows, dense.shape[1]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic"), slots, values], names=["doc_id", "toxic", "slots", "dense"])
+
+    rows = sample.mapInArrow(found, "doc_id long, toxic int, slots array<int>, dense array<double>").orderBy("doc_id", F.hash("slots")).toArrow()
+    lists = rows.column("slots").combine_chunks()
+    slot = np.asarray(lists.flatten()).astype(np.int64)
+    row = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+    dense = np.asarray(rows.column("dense").combine_chunks().flatten()).reshape(rows.num_rows, 3)
+    label = np.asarray(rows.column("toxic"))
     is_word = buckets >= 1 << 19
     strong = np.isin(buckets, [r["bucket"] for r in top[:LEXICON]])
-    votes = _votes(slot, row, len(rows), len(buckets), is_word, strong, dense, label)
+    votes = _votes(slot, row, rows.num_rows, len(buckets), is_word, strong, np.isin(buckets, seeds), dense, label)
     posterior, _ = label_model(votes, anchor=votes.shape[1] - 1)
     return Model(buckets, _train(slot, row, dense, posterior, len(buckets)))
 
 
+def _logits(part: pa.RecordBatch, m: Model) -> np.ndarray:
+    k = len(m.buckets)
+    slot, row, dense = _hits(part, m.buckets)
+    return np.bincount(row, weights=m.weights[slot], minlength=part.num_rows) + dense @ m.weights[k:-1] + m.weights[-1]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text); the score rises with the chance of label 1.
 
@@ -229,11 +251,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        k = len(m.buckets)
         for part in slices(batches):
-            slot, row, dense = _hits(part, m.buckets)
-            z = np.bincount(row, weights=m.weights[slot], minlength=part.num_rows) + dense @ m.weights[k:-1] + m.weights[-1]
+            z = _logits(part, shared.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -246,11 +265,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column, threshold: flo
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        k = len(m.buckets)
         for part in slices(batches):
-            slot, row, dense = _hits(part, m.buckets)
-            z = np.bincount(row, weights=m.weights[slot], minlength=part.num_rows) + dense @ m.weights[k:-1] + m.weights[-1]
-            yield part.filter(pa.array(z < np.log(threshold / (1 - threshold)))).select(names)
+            yield part.filter(pa.array(_logits(part, shared.value) < np.log(threshold / (1 - threshold)))).select(names)
 
     return docs.mapInArrow(run, docs.schema)
