@@ -18,13 +18,21 @@ def demote_headings(blocks: DataFrame, max_words: int = 15) -> DataFrame:
     return blocks.withColumn("kind", F.when(long_, "paragraph").otherwise(F.col("kind"))).withColumn("level", F.when(F.col("kind") == "heading", F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1))))))
 
 
+# fixed values: how prominent the blocks of a container are
+CONTAINER_PROMINENCE = {"cautionary_note": 0.3, "footnote": 0.3, "promo": 0.5, "quote": 0.7}
+
+
 def assign_prominence(blocks: DataFrame) -> DataFrame:
-    """First paragraph after the title 1.0, captions 0.4, other blocks 0.6."""
+    """Blocks in a container (a column ``container``, where there is one) have its prominence; of the others the first
+    paragraph after the title 1.0, captions 0.4, the rest 0.6; titles and headings none."""
+    held = F.col("container") if "container" in blocks.columns else F.lit(None).cast("string")
+    own = F.coalesce(*(F.when(held == k, F.lit(v)) for k, v in CONTAINER_PROMINENCE.items()))
     titled = F.max((F.col("kind") == "title").cast("int")).over(_by().rowsBetween(Window.unboundedPreceding, -1))
-    cand = (F.col("kind") == "paragraph") & (F.coalesce(titled, F.lit(0)) == 1)
+    cand = (F.col("kind") == "paragraph") & held.isNull() & (F.coalesce(titled, F.lit(0)) == 1)
     nth = F.sum(cand.cast("int")).over(_by())
     marked = blocks.withColumn("__c", cand).withColumn("__n", nth)
-    return marked.withColumn("prominence", F.when(F.col("__c") & (F.col("__n") == 1), 1.0).when(F.col("kind") == "caption", 0.4).otherwise(0.6)).drop("__c", "__n")
+    value = F.when(F.col("kind").isin("title", "heading"), F.lit(None)).when(held.isNotNull(), F.coalesce(own, F.lit(0.6))).when(F.col("__c") & (F.col("__n") == 1), 1.0).when(F.col("kind") == "caption", 0.4).otherwise(0.6)
+    return marked.withColumn("prominence", value).drop("__c", "__n")
 
 
 def _next_heading(blocks: DataFrame) -> DataFrame:

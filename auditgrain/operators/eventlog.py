@@ -13,13 +13,13 @@ def _by():
 
 
 def envelope_violations(events: DataFrame, started: str = "analysis.started", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
-    """(analysis_id, seq, rule): seq has a gap or repeat, t_ms goes back, started isn't first only, terminal isn't last only."""
+    """(analysis_id, seq, rule): seq has a gap or repeat, t_ms goes back, started isn't first only, terminal isn't last only (or never comes)."""
     prev_seq, prev_t = F.lag("seq").over(_by()), F.lag("t_ms").over(_by())
     after = F.lead("seq").over(_by())
     rules = F.array_compact(F.array(
         F.when(prev_seq.isNotNull() & (F.col("seq") != prev_seq + 1), "seq"), F.when(F.col("t_ms") < prev_t, "t_ms"),
         F.when((F.col("type") == started) & prev_seq.isNotNull(), "started_again"), F.when((F.col("type") != started) & prev_seq.isNull(), "not_started"),
-        F.when(F.col("type").isin(*terminal) & after.isNotNull(), "after_terminal"),
+        F.when(F.col("type").isin(*terminal) & after.isNotNull(), "after_terminal"), F.when(~F.col("type").isin(*terminal) & after.isNull(), "not_terminated"),
     ))
     return events.withColumn("__r", rules).select("analysis_id", "seq", F.explode("__r").alias("rule"))
 
@@ -39,6 +39,21 @@ def log_catalogue(events: DataFrame, rejects: DataFrame | None = None) -> DataFr
     return out.join(bad, "analysis_id", "full")
 
 
+def fold_arguments(events: DataFrame, kind: str = "argument.made", key: str = "entity_id") -> DataFrame:
+    """(analysis_id, key, arguments array<struct<seq, payload>>): a claim's arguments, all of them, in order."""
+    return events.where(F.col("type") == kind).groupBy("analysis_id", key).agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("arguments"))
+
+
+def fold_scores(events: DataFrame, kind: str = "dimension.scored", key: str = "entity_id", dimension: str = "dimension") -> DataFrame:
+    """(analysis_id, key, dimension, seq, payload): the last score of each claim in each dimension."""
+    return events.where(F.col("type") == kind).groupBy("analysis_id", key, dimension).agg(F.max("seq").alias("seq"), F.max_by("payload", "seq").alias("payload"))
+
+
+def fold_summary(events: DataFrame, kind: str = "summary.updated") -> DataFrame:
+    """(analysis_id, seq, payload): the latest summary."""
+    return events.where(F.col("type") == kind).groupBy("analysis_id").agg(F.max("seq").alias("seq"), F.max_by("payload", "seq").alias("payload"))
+
+
 def fold_log(events: DataFrame, key: str = "entity_id") -> DataFrame:
     """Last state of every entity: (analysis_id, type, key, seq, payload)."""
     return events.groupBy("analysis_id", "type", key).agg(F.max("seq").alias("seq"), F.max_by("payload", "seq").alias("payload"))
@@ -52,7 +67,7 @@ def stage_spans(events: DataFrame, start: str = "stage.started", end: str = "sta
 
 def events_in_stage(events: DataFrame, spans: DataFrame, owners: DataFrame) -> DataFrame:
     """Domain events with ``inside``: whether one of their owner stages is open then.  owners: type, stage."""
-    owned = events.join(F.broadcast(owners), "type")
+    owned = events.join(owners, "type")
     hit = owned.join(spans, ["analysis_id", "stage"], "left").withColumn("in", F.coalesce((F.col("seq") > F.col("start_seq")) & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq"))), F.lit(False)))
     return hit.groupBy("analysis_id", "seq", "type").agg(F.max("in").alias("inside"))
 

@@ -20,7 +20,7 @@ def mentions(docs: DataFrame, terms: DataFrame, doc_key: str = "doc_id") -> Data
     """(doc_key, term): terms that stand in each text as whole words, case aside.
 
     Single words of letters and digits are joined as tokens; phrases are matched against the texts that hold
-    their first word, or, for terms with other characters, against all texts when the list is short."""
+    their first word, or, for terms without letters and digits, their first character: always an equality join first."""
     low = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t <> ''").distinct()
     d = docs.select(doc_key, F.lower("text").alias("text"))
     tokens = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z0-9]+)"), F.lit(1)))).alias("w"))
@@ -28,8 +28,10 @@ def mentions(docs: DataFrame, terms: DataFrame, doc_key: str = "doc_id") -> Data
     phrase = low.where("not t rlike '^[a-z0-9]+$'").withColumn("w", F.regexp_extract("t", "([a-z0-9]+)", 1))
     near = tokens.join(phrase.where("w <> ''"), "w").join(d, doc_key)
     got = single.unionByName(near.where(F.regexp_like("text", _escaped(F.col("t")))).select(doc_key, "term"))
-    odd = phrase.where("w = ''").select("term", "t")
-    return got.unionByName(d.join(odd, F.col("text").contains(F.col("t"))).select(doc_key, "term")).distinct()
+    odd = phrase.where("w = ''").select("term", "t", F.substring("t", 1, 1).alias("c"))
+    signs = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^a-z0-9\s])"), F.lit(1)))).alias("c"))
+    rest = signs.join(odd, "c").join(d, doc_key).where(F.col("text").contains(F.col("t"))).select(doc_key, "term")
+    return got.unionByName(rest).distinct()
 
 
 def every_pair(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -65,13 +67,14 @@ def hold_out(docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:
 
 def place_by_code(docs: DataFrame, entries: DataFrame, doc_key: str) -> DataFrame:
     """(doc_key, entry_id, tier): the entry with the document's code (1), else one that names it as a neighbour (2),
-    and the entry for all industries (code '*', tier 3) always.
+    and the entry for all industries (code '*', tier 3; of several the least id) always.
 
     docs: doc_key, code; entries: entry_id, code, also_codes (array)."""
     a = docs.join(entries.select("entry_id", "code"), "code").select(doc_key, "entry_id", F.lit(1).alias("tier"))
     b = docs.join(entries.select("entry_id", F.explode("also_codes").alias("code")), "code").select(doc_key, "entry_id", F.lit(2).alias("tier"))
     best = a.unionByName(b).withColumn("__r", F.row_number().over(Window.partitionBy(doc_key).orderBy("tier", "entry_id"))).where("__r = 1").drop("__r")
-    every = docs.select(doc_key).distinct().crossJoin(F.broadcast(entries.where("code = '*'").select("entry_id").limit(1)))  # one row
+    general = entries.where("code = '*'").agg(F.min("entry_id").alias("entry_id"))  # one row
+    every = docs.select(doc_key).distinct().crossJoin(F.broadcast(general)).where("entry_id is not null")
     return best.unionByName(every.select(doc_key, "entry_id", F.lit(3).alias("tier")))
 
 
@@ -81,7 +84,14 @@ def place_by_label(docs: DataFrame, aliases: DataFrame, doc_key: str) -> DataFra
     docs: doc_key, label; aliases: entry_id, alias.  Labels are few, so distinct ones are matched."""
     labels = docs.select("label").distinct().withColumn("f", tx.fold_label(F.col("label"))).where("f <> ''")
     a = aliases.withColumn("a", tx.fold_label(F.col("alias"))).where("a <> ''")
-    hit = labels.join(a, F.col("f").contains(F.col("a")) | F.col("a").contains(F.col("f")))
+    # who holds the other also holds its first three characters: an equality join, the exact test follows
+    head = lambda c: F.substring(c, 1, 3)
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(c, i, n)))))
+    f, alias = F.col("f"), F.col("a")
+    down = labels.withColumn("g", F.explode(grams(f))).join(a.withColumn("g", head(alias)), "g").where(f.contains(alias))
+    up = labels.withColumn("g", head(f)).join(a.withColumn("g", F.explode(grams(alias))), "g").where(alias.contains(f))
+    cols = ["label", "entry_id", "alias", "a"]
+    hit = down.select(cols).unionByName(up.select(cols)).distinct()
     best = hit.groupBy("label").agg(F.max_by(F.struct("entry_id", "alias"), F.struct(F.length("a"), F.col("a"), F.col("entry_id"))).alias("x"))
     return docs.join(best, "label").select(doc_key, "x.entry_id", "x.alias")
 

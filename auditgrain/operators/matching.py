@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,24 +30,55 @@ def overlap_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataFra
     return hit.groupBy("document_id", "a_id", "b_id").agg(F.max(share).alias("share")).where(F.col("share") >= threshold)
 
 
-def greedy_match(pairs: DataFrame, order: list[Column], left: list[str], right: list[str], max_rounds: int = 50) -> DataFrame:
-    """One-to-one pairs, best first: rounds of pairs that are the best of both their sides.
-
-    With a strict total order this equals taking pairs greedily.  What a round leaves is written to the
-    checkpoint folder; only whether any is left reaches the driver.  ``order`` must end in keys."""
-    from ..plans.scratch import settled
-
-    rest, out = settled(pairs), None
-    for _ in range(max_rounds):
-        a = F.row_number().over(Window.partitionBy(*left).orderBy(*order))
-        b = F.row_number().over(Window.partitionBy(*right).orderBy(*order))
-        ranked = rest.withColumn("__a", a).withColumn("__b", b)
-        best = settled(ranked.where("__a = 1 and __b = 1").drop("__a", "__b"))
-        out = best if out is None else out.unionByName(best)
-        rest = settled(rest.join(best.select(*left), left, "left_anti").join(best.select(*right), right, "left_anti"))
-        if rest.isEmpty():
-            return out
-    raise RuntimeError("greedy_match did not settle; raise max_rounds")
+def greedy_match(pairs: DataFrame, order: list[Column], left: list[str], right: list[str]) -> DataFrame:
+    """One-to-one pairs, best first: a pair is taken when neither of its sides has been.
+
+    ``left`` and ``right`` are the keys of the sides; what they share (the document) is the group.  ``order`` must end in
+    keys.  Each group's pairs are sorted by Spark and stream through one task, which holds the sides taken
+    so far in the group, never the pairs; groups are independent."""
+    group = [c for c in left if c in right]
+    own = [[c for c in side if c not in group] for side in (left, right)]
+    names = pairs.columns
+    dealt = pairs.repartition(*group) if group else pairs.repartition(1)
+    keys = F.struct(*group) if group else F.struct(F.lit(1))
+    ready = dealt.withColumn("__g", F.to_json(keys, {"ignoreNullFields": "false"})).sortWithinPartitions(*group, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, (set(), set())
+        for b in batches:
+            sides = [list(zip(*(b.column(c).to_pylist() for c in side), strict=True)) if side else [()] * b.num_rows for side in own]
+            keep = []
+            for g, x, y in zip(b.column("__g").to_pylist(), *sides, strict=True):
+                if g != now:
+                    now, used = g, (set(), set())
+                fresh = x not in used[0] and y not in used[1]
+                if fresh:
+                    used[0].add(x)
+                    used[1].add(y)
+                keep.append(fresh)
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return ready.mapInArrow(run, pairs.schema)
+
+
+def match_signals(live: DataFrame, ref: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(document_id, live_id, ref_id, how): signals of one kind matched one to one, best first.
+
+    live and ref: document_id, id, kind, level, claim_ids (array), spans (array<struct<start, end>>).  First by the share
+    of overlap of their best spans (span, at ``threshold`` or more), then two of the document's level, or two
+    that share a claim (claim)."""
+    ranges = lambda d, n: d.select("document_id", "kind", F.col("id").alias(n), F.explode("spans").alias("s")).select("document_id", "kind", n, "s.start", "s.end")
+    a = binned(ranges(live, "live_id")).withColumnsRenamed({"start": "s1", "end": "e1"})
+    b = binned(ranges(ref, "ref_id")).withColumnsRenamed({"start": "s2", "end": "e2"})
+    key = ["document_id", "live_id", "ref_id"]
+    share = tx.overlap_share(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
+    spans = a.join(b, ["document_id", "kind", "__bin"]).where("s1 < e2 and s2 < e1").groupBy(key).agg(F.max(share).alias("share")).where(F.col("share") >= threshold).withColumn("way", F.lit(0))
+    doc = lambda d, n: d.where("level = 'document'").select("document_id", "kind", F.col("id").alias(n))
+    claim = lambda d, n: d.select("document_id", "kind", F.col("id").alias(n), F.explode("claim_ids").alias("claim_id"))
+    near = doc(live, "live_id").join(doc(ref, "ref_id"), ["document_id", "kind"]).select(key).unionByName(claim(live, "live_id").join(claim(ref, "ref_id"), ["document_id", "kind", "claim_id"]).select(key)).distinct()
+    pairs = spans.unionByName(near.join(spans, key, "left_anti").select(*key, F.lit(0.0).alias("share"), F.lit(1).alias("way")))
+    got = greedy_match(pairs, [F.col("way"), F.desc("share"), F.col("live_id"), F.col("ref_id")], ["document_id", "live_id"], ["document_id", "ref_id"])
+    return got.select(*key, F.when(F.col("way") == 0, "span").otherwise("claim").alias("how"))
 
 
 def missed_extra(live: DataFrame, ref: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
@@ -100,14 +134,39 @@ def compare_sources(live: DataFrame, ref: DataFrame, key: list[str]) -> DataFram
     return b.join(a, [*key, "host"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("n_hosts"), F.count("hit").alias("n_shared"))
 
 
-def word_pairs(live: DataFrame, ref: DataFrame, bar: float = 0.25) -> DataFrame:
+def word_pairs(live: DataFrame, ref: DataFrame, bar: float = 0.25, slices: int = 32) -> DataFrame:
     """(document_id, ref_id, live_id, overlap): shared words over the smaller word set, at ``bar`` or more.
 
-    live and ref: document_id, id, words (array of distinct words)."""
-    a = live.select("document_id", F.col("id").alias("live_id"), F.size("words").alias("n1"), F.explode("words").alias("w"))
-    b = ref.select("document_id", F.col("id").alias("ref_id"), F.size("words").alias("n2"), F.explode("words").alias("w"))
-    shared = a.join(b, ["document_id", "w"]).groupBy("document_id", "ref_id", "live_id").agg(F.count(F.lit(1)).alias("k"), F.least(F.max("n1"), F.max("n2")).alias("n"))
-    return shared.withColumn("overlap", F.col("k") / F.greatest(F.col("n"), F.lit(1))).where(F.col("overlap") >= bar).select("document_id", "ref_id", "live_id", "overlap")
+    live and ref: document_id, id, words (array of distinct words).  Two sets with that overlap share one of the rarest
+    n - ceil(bar * n) + 1 words of the smaller one, so candidates meet on those only (each side may be
+    the smaller one), and the sets are compared once for each pair.  A word that is still frequent is
+    dealt out in ``slices`` of one side."""
+    def side(d: DataFrame, name: str) -> DataFrame:
+        return d.select("document_id", F.col("id").alias(name), F.array_distinct("words").alias("words"), F.size(F.array_distinct("words")).alias("n")).where("n > 0")
+
+    a, b = side(live, "live_id"), side(ref, "ref_id")
+    both = a.select("document_id", F.explode("words").alias("w")).unionByName(b.select("document_id", F.explode("words").alias("w")))
+    freq = both.groupBy("document_id", "w").agg(F.count(F.lit(1)).alias("df"))
+    rare = F.slice(F.transform(F.array_sort("x"), lambda x: x["w"]), 1, F.col("n") - F.ceil(F.lit(bar) * F.col("n") - 1e-9).cast("int") + 1)
+
+    def prefix(d: DataFrame, name: str) -> DataFrame:
+        words = d.select("document_id", name, "n", F.explode("words").alias("w")).join(freq, ["document_id", "w"])
+        return words.groupBy("document_id", name, "n").agg(F.collect_list(F.struct("df", "w")).alias("x")).select("document_id", name, "n", F.explode(rare).alias("w"))
+
+    def meet(small: DataFrame, other: DataFrame, s: str, o: str, cond: str) -> DataFrame:
+        few = prefix(small, s).select("document_id", s, F.col("n").alias("n1"), "w", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"))
+        all_ = other.select("document_id", o, F.col("n").alias("n2"), F.explode("words").alias("w"), F.pmod(F.xxhash64(o), F.lit(slices)).cast("int").alias("part"))
+        return few.join(all_, ["document_id", "w", "part"]).where(cond).select("document_id", "ref_id", "live_id")
+
+    cand = meet(a, b, "live_id", "ref_id", "n1 <= n2").unionByName(meet(b, a, "ref_id", "live_id", "n1 < n2")).distinct()
+    pairs = cand.join(a.select("document_id", "live_id", F.col("words").alias("x")), ["document_id", "live_id"]).join(b.select("document_id", "ref_id", F.col("words").alias("y")), ["document_id", "ref_id"])
+    overlap = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
+    return pairs.select("document_id", "ref_id", "live_id", overlap.alias("overlap")).where(F.col("overlap") >= bar)
+
+
+def pair_by_words(live: DataFrame, ref: DataFrame, bar: float = 0.25) -> DataFrame:
+    """(document_id, ref_id, live_id, overlap): each reference, in order of its id, with the free live row of most overlap."""
+    return greedy_match(word_pairs(live, ref, bar), [F.col("ref_id"), F.desc("overlap"), F.col("live_id")], ["document_id", "ref_id"], ["document_id", "live_id"])
 
 
 def align_ids(live: DataFrame, matches: DataFrame, key: list[str], ref: DataFrame) -> DataFrame:

@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import config  # noqa: F401
-
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """df with its global place in ``order`` from 1, without a single-task window.
 
     Rows are range-partitioned and sorted; each partition's size is a tiny aggregate, whose running
     sum gives the first place of the partition."""
+    from ..plans.scratch import settled
+
     spark = df.sparkSession
     dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id())
     # materialised once: the ranges must be the same for the sizes and the rows
-    if spark.sparkContext.getCheckpointDir() is not None:
-        dealt = dealt.checkpoint()
-    else:
-        dealt = dealt.persist()
+    dealt = settled(dealt)
     sizes = sorted((r["__p"], r["n"]) for r in dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
     start, rows = 0, []
     for p, n in sizes:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .matching import binned
 
-SMALL_QUOTES = 500
-
 
 def line_regions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document_id, line_no, start, end, text) of the lines of each text."""
@@ -26,47 +24,67 @@ def _shingle(words: Column, i: Column, n: int = 4) -> Column:
 def find_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id", doc_key: str = "doc_id") -> DataFrame:
     """(doc_key, quote_key): documents that contain each quote, typography, white space and case aside.
 
-    A short list of quotes (counted) is broadcast; a long one is joined by four-word shingles first, quotes of
-    under six words aside, and the exact check follows either way."""
-    q = quotes.select(quote_key, tx.squash(F.col("text")).alias("q")).where("q <> ''")
-    d = docs.select(doc_key, tx.squash(F.col("text")).alias("t"))
-    if q.count() <= SMALL_QUOTES:
-        return d.join(F.broadcast(q), F.col("t").contains(F.col("q"))).select(doc_key, quote_key)
+    The words inside a quote (without its first and last, which may be parts of words) stand in the text as they
+    are: they are joined by a hash of up to four of them, and the exact test follows.  Quotes of one or two words
+    are joined by the words of the texts that hold their longer word, found by its first three characters."""
+    q = quotes.select(quote_key, tx.squash(F.col("text")).alias("q")).where("q <> ''").withColumn("__n", F.size(F.split("q", " ")))
     qw, dw = F.split("q", " "), F.col("__w")
-    d = d.withColumn("__w", F.split("t", " "))
-    short = q.where(F.size(qw) < 6)
-    long_ = q.where(F.size(qw) >= 6).withColumn("h", _shingle(qw, F.lit(1)))
-    cand = d.select(doc_key, "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(dw) - 4, F.lit(0))), lambda i: _shingle(dw, i)))).alias("h"))
-    got = cand.join(long_, "h").where(F.col("t").contains(F.col("q"))).select(doc_key, quote_key)
-    if short.isEmpty():
-        return got.distinct()
-    return got.unionByName(d.join(short, F.col("t").contains(F.col("q"))).select(doc_key, quote_key)).distinct()
+    d = docs.select(doc_key, tx.squash(F.col("text")).alias("t")).withColumn("__w", F.split("t", " "))
+    hashed = F.when(F.col("__k") == 1, _shingle(qw, F.lit(1), 1)).when(F.col("__k") == 2, _shingle(qw, F.lit(1), 2)).when(F.col("__k") == 3, _shingle(qw, F.lit(1), 3)).otherwise(_shingle(qw, F.lit(1), 4))
+    keyed = q.where("__n >= 3").withColumn("__k", F.least(F.col("__n") - 2, F.lit(4))).withColumn("__h", hashed)
+    last = F.size(dw) - 1
+    hashes = lambda n: F.when(F.size(dw) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), last - n + 1), lambda i: _shingle(dw, i, n))))
+    got = None
+    for n in sorted(r["__k"] for r in keyed.select("__k").distinct().collect()):  # four at most
+        wanted = keyed.where(F.col("__k") == n).select(quote_key, "q", "__h")
+        cand = d.select(doc_key, F.explode(hashes(n)).alias("__h")).join(wanted, "__h").select(doc_key, quote_key, "q").distinct()
+        hit = cand.join(d.select(doc_key, "t"), doc_key).where(F.col("t").contains(F.col("q"))).select(doc_key, quote_key)
+        got = hit if got is None else got.unionByName(hit)
+    short = q.where("__n < 3").withColumn("part", F.when(F.length(F.get(qw, F.lit(0))) >= F.length(F.coalesce(F.get(qw, F.lit(1)), F.lit(""))), F.get(qw, F.lit(0))).otherwise(F.get(qw, F.lit(1))))
+    if got is None or not short.isEmpty():
+        words = d.select(doc_key, F.explode(F.array_distinct(dw)).alias("w"))
+        grams = words.select("w").distinct().where("w <> ''").select("w", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(F.col("w"), i, n)))))).alias("g"))
+        near = grams.join(short.withColumn("g", F.substring("part", 1, 3)), "g").where(F.col("w").contains(F.col("part"))).select("w", quote_key, "q").distinct()
+        cand = words.join(near, "w").select(doc_key, quote_key, "q").distinct()
+        hit = cand.join(d.select(doc_key, "t"), doc_key).where(F.col("t").contains(F.col("q"))).select(doc_key, quote_key)
+        got = hit if got is None else got.unionByName(hit)
+    return got.distinct()
 
 
 def locate_quotes(pairs: DataFrame) -> DataFrame:
     """pairs (document_id, owner_id, quote, text) with start, end, found (the text's own words), occurrence.
 
     Forms of the quote are tried in order, each as it is, with typography made plain, then ignoring case; the first
-    that occurs counts.  The k-th equal quote of a document takes the k-th occurrence (the last one if there are fewer)."""
-    turn = F.row_number().over(Window.partitionBy("document_id", "quote").orderBy("owner_id"))
-    plain = tx.normalise(F.col("text"))
+    that occurs counts.  Of its occurrences, quotes of a document take, in the order of owner_id, the first that overlaps
+    none taken before (the first of all where every one does).  Only quotes with several occurrences need that order: the
+    places of a document's quotes are folded one after the other, without its text."""
     forms = tx.strip_quote_forms(F.col("quote"))
 
-    def attempts(form: Column) -> Column:
+    def attempt(text: Column, needle: Column) -> Column:
+        one = F.array(F.struct(tx.find_all(text, needle).alias("hits"), F.length(needle).alias("n")))
+        return F.get(F.filter(one, lambda x: F.size(x["hits"]) > 0), F.lit(0))
+
+    tries = []  # looked at in turn, none after the first that has a hit
+    for i in range(4):
+        form = F.get("__forms", F.lit(i))
         n = tx.normalise(form)
-        return F.array(
-            F.struct(tx.find_all(F.col("text"), form).alias("hits"), F.length(form).alias("n")),
-            F.struct(tx.find_all(F.col("__p"), n).alias("hits"), F.length(form).alias("n")),
-            F.struct(tx.find_all(F.lower("__p"), F.lower(n)).alias("hits"), F.length(form).alias("n")),
-        )
-
-    tries = F.filter(F.flatten(F.transform(forms, attempts)), lambda x: F.size(x["hits"]) > 0)
-    out = pairs.withColumn("__k", turn).withColumn("__p", plain).withColumn("__hit", F.get(tries, F.lit(0)))
-    at = F.get(F.col("__hit.hits"), F.least(F.col("__k"), F.size("__hit.hits")) - 1)
-    out = out.withColumn("start", at).withColumn("end", at + F.col("__hit.n")).withColumn("found", F.substring("text", F.col("start") + 1, F.col("__hit.n")))
+        tries += [attempt(F.col("text"), form), attempt(F.col("__p"), n), attempt(F.lower("__p"), F.lower(n))]
+    hit = pairs.withColumn("__p", tx.normalise(F.col("text"))).withColumn("__forms", forms).withColumn("__hit", F.coalesce(*tries)).drop("__p", "__forms")
+    row = F.struct("owner_id", F.col("__hit.hits").alias("hits"), F.col("__hit.n").alias("n"))
+    spans = "array<struct<owner_id: bigint, start: int, end: int>>"
+
+    def take(done: Column, x: Column) -> Column:
+        free = F.filter(x["hits"], lambda h: ~F.exists(done, lambda t: (h < t["end"]) & (h + x["n"] > t["start"])))
+        at = F.coalesce(F.get(free, F.lit(0)), F.get(x["hits"], F.lit(0)))
+        return F.concat(done, F.array(F.struct(x["owner_id"].cast("bigint").alias("owner_id"), at.cast("int").alias("start"), (at + x["n"]).cast("int").alias("end"))))
+
+    taken = hit.where("__hit is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    taken = taken.select(F.col("document_id").alias("__d"), F.explode(F.aggregate("rows", F.array().cast(spans), take)).alias("__s")).select("__d", F.col("__s.owner_id").alias("__o"), F.col("__s.start").alias("start"), F.col("__s.end").alias("end"))
+    out = hit.join(taken, (F.col("document_id") == F.col("__d")) & (F.col("owner_id") == F.col("__o")), "left").drop("__d", "__o")
+    out = out.withColumn("found", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
     same = tx.find_all(F.col("text"), F.col("found"))
     occurrence = F.when(F.size(same) > 1, F.nullif(F.array_position(same, F.col("start")), F.lit(0)))
-    return out.withColumn("occurrence", occurrence).drop("__k", "__p", "__hit")
+    return out.withColumn("occurrence", occurrence).drop("__hit")
 
 
 def locate_region(spans: DataFrame, regions: DataFrame) -> DataFrame:
@@ -141,11 +159,19 @@ def segments(marks: DataFrame) -> DataFrame:
     return over.groupBy("document_id", F.col("at").alias("start"), F.col("to").alias("end")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "mark_id"))), lambda x: x["mark_id"]).alias("marks"))
 
 
-def place_signals(signals: DataFrame, claim_spans: DataFrame) -> DataFrame:
-    """signals (document_id, signal_id, claim_id, needle, text) with their places: all hits inside their
-    claim's spans, else the first in the text."""
+def place_signals(signals: DataFrame, claim_spans: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """signals (document_id, signal_id, claim_id, needle, text) with their places and tier: all hits inside their
+    claim's spans (1), else the first in the paragraphs that hold those spans (2), else the first in the text (3).
+
+    claim_spans: document_id, claim_id, start, end; regions: document_id, start, end (and kind) of paragraphs and containers."""
     hits = signals.select("document_id", "signal_id", "claim_id", F.length("needle").alias("n"), F.explode(tx.find_all(F.col("text"), F.col("needle"))).alias("start"))
-    inside = hits.join(claim_spans.withColumnsRenamed({"start": "c_start", "end": "c_end"}), ["document_id", "claim_id"], "left").withColumn("tier", F.when((F.col("c_start") <= F.col("start")) & (F.col("start") + F.col("n") <= F.col("c_end")), 1).otherwise(2))
+    windows = claim_spans.select("document_id", "claim_id", F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.lit(1).alias("tier"))
+    if regions is not None:
+        r = binned(regions.select("document_id", "start", "end").distinct()).withColumnsRenamed({"start": "w_start", "end": "w_end"})
+        held = claim_spans.withColumn("__bin", F.floor(F.col("start") / 1024)).join(r, ["document_id", "__bin"]).where("w_start <= start and end <= w_end")
+        windows = windows.unionByName(held.select("document_id", "claim_id", "w_start", "w_end", F.lit(2).alias("tier")).distinct())
+    near = hits.join(windows, ["document_id", "claim_id"]).where("w_start <= start and start + n <= w_end").groupBy("document_id", "signal_id", "n", "start").agg(F.min("tier").alias("tier"))
+    every = hits.groupBy("document_id", "signal_id", "n").agg(F.min("start").alias("start")).withColumn("tier", F.lit(3))
     by = Window.partitionBy("document_id", "signal_id")
-    ranked = inside.withColumn("best", F.min("tier").over(by)).withColumn("k", F.row_number().over(by.orderBy("tier", "start")))
-    return ranked.where((F.col("tier") == 1) | ((F.col("best") == 2) & (F.col("k") == 1))).select("document_id", "signal_id", "start", (F.col("start") + F.col("n")).alias("end"), F.col("best").alias("tier")).distinct()
+    ranked = near.unionByName(every.select(near.columns)).withColumn("best", F.min("tier").over(by)).where("tier = best").withColumn("k", F.row_number().over(by.orderBy("start")))
+    return ranked.where("tier = 1 or k = 1").select("document_id", "signal_id", "start", (F.col("start") + F.col("n")).alias("end"), "tier")

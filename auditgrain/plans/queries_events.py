@@ -19,7 +19,7 @@ def _log(t):
 
 @query(f"""WITH e AS (SELECT * FROM {_LOG} WHERE entity_id <> 3), x AS (SELECT *, lag(seq) OVER w AS ps, lag(t_ms) OVER w AS pt, lead(seq) OVER w AS ns FROM e WINDOW w AS (PARTITION BY analysis_id ORDER BY seq))
 SELECT analysis_id, seq, unnest(list_filter([CASE WHEN ps IS NOT NULL AND seq <> ps + 1 THEN 'seq' END, CASE WHEN t_ms < pt THEN 't_ms' END, CASE WHEN type = 'stage.started' AND ps IS NOT NULL THEN 'started_again' END, CASE WHEN type <> 'stage.started' AND ps IS NULL THEN 'not_started' END,
- CASE WHEN type = 'stage.completed' AND ns IS NOT NULL THEN 'after_terminal' END], lambda x: x IS NOT NULL)) AS rule FROM x""")
+ CASE WHEN type = 'stage.completed' AND ns IS NOT NULL THEN 'after_terminal' END, CASE WHEN type <> 'stage.completed' AND ns IS NULL THEN 'not_terminated' END], lambda x: x IS NOT NULL)) AS rule FROM x""")
 def w6_envelope_violations(t):
     return ev.envelope_violations(_log(t).where("entity_id <> 3"), "stage.started", ("stage.completed",))
 

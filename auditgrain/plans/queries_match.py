@@ -51,11 +51,9 @@ def j9_find_quotes(t):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))")
 def j9_find_quotes_long_list(t):
-    keep, sp.SMALL_QUOTES = sp.SMALL_QUOTES, -1
-    try:
-        return sp.find_quotes(t.benchmark, t.documents)
-    finally:
-        sp.SMALL_QUOTES = keep
+    """Each quote twice, with a number of its own: a list that grows with the table joins by the same shingles."""
+    twice = t.benchmark.select((F.col("item_id") * 2).alias("k"), "text").unionByName(t.benchmark.select((F.col("item_id") * 2 + 1).alias("k"), "text"))
+    return sp.find_quotes(twice, t.documents, "k").select("doc_id", F.floor(F.col("k") / 2).alias("item_id")).distinct()
 
 
 @query(f"SELECT document_id, owner_id, start, start + len AS \"end\" FROM ({_PLACED})")
@@ -78,10 +76,16 @@ def j5_overlap_pairs(t):
 
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT document_id, claim_id, claim_id * 7 % 5 AS a FROM v_claims),
+p AS (SELECT x.document_id, x.claim_id, y.claim_id AS other, abs(x.a - y.a) AS gap, row_number() OVER (PARTITION BY x.document_id ORDER BY abs(x.a - y.a), x.claim_id, y.claim_id) AS k
+ FROM x JOIN x y ON y.document_id = x.document_id WHERE abs(x.a - y.a) <= 1 AND x.claim_id <> y.claim_id),
+s AS (SELECT document_id, 0::BIGINT AS k, 0::BIGINT AS l, 0::BIGINT AS r, false AS took FROM (SELECT DISTINCT document_id FROM p)
+ UNION ALL SELECT s.document_id, p.k, CASE WHEN free THEN s.l | (1 << p.claim_id) ELSE s.l END, CASE WHEN free THEN s.r | (1 << p.other) ELSE s.r END, free
+ FROM s JOIN (SELECT *, true AS one FROM p) p ON p.document_id = s.document_id AND p.k = s.k + 1, LATERAL (SELECT (s.l & (1 << p.claim_id)) = 0 AND (s.r & (1 << p.other)) = 0 AS free))
+SELECT p.document_id, p.claim_id, p.other, p.gap FROM s JOIN p ON p.document_id = s.document_id AND p.k = s.k WHERE s.took""")
 def j6_greedy_match(t):
-    """Spans of claims on both sides of a shift matched one to one; held against a sequential loop in the tests."""
-    x = t.v_claims.where("document_id % 50 = document_id % 50").select("document_id", "claim_id", (F.col("claim_id") * 7 % 5).alias("a"))
+    """Claims on both sides of a shift matched one to one."""
+    x = t.v_claims.select("document_id", "claim_id", (F.col("claim_id") * 7 % 5).alias("a"))
     pairs = x.join(x.select("document_id", F.col("claim_id").alias("other"), F.col("a").alias("b")), "document_id").withColumn("gap", F.abs(F.col("a") - F.col("b"))).where("gap <= 1 and claim_id <> other")
     return ma.greedy_match(pairs, [F.col("gap"), F.col("claim_id"), F.col("other")], ["document_id", "claim_id"], ["document_id", "other"]).select("document_id", "claim_id", "other", "gap")
 
@@ -109,6 +113,35 @@ def j12_attach_orphans(t):
     return sp.attach_orphans(s, c).select("document_id", "signal_id", F.col("claim_id").cast("double").alias("claim_id"))
 
 
+_SIGNALS = "SELECT doc_id AS document_id, text, CASE doc_id % 3 WHEN 0 THEN 'the ' WHEN 1 THEN 'in' ELSE 'de' END AS needle FROM documents"
+
+
+@query(f"""WITH r AS ({_REGIONS}), s AS ({_SIGNALS}), h AS (SELECT document_id, needle, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(needle)) = needle)) AS start FROM s),
+c AS (SELECT document_id, start AS c0, start + least(len, 40) AS c1, start AS p0, start + len AS p1 FROM r WHERE line_no = 1),
+x AS (SELECT h.document_id, h.start, h.start + length(needle) AS e, CASE WHEN c0 <= h.start AND h.start + length(needle) <= c1 THEN 1 WHEN p0 <= h.start AND h.start + length(needle) <= p1 THEN 2 ELSE 3 END AS tier FROM h LEFT JOIN c ON c.document_id = h.document_id),
+b AS (SELECT *, min(tier) OVER (PARTITION BY document_id) AS best, row_number() OVER (PARTITION BY document_id, tier ORDER BY start) AS k FROM x)
+SELECT document_id, CAST(start AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", tier FROM b WHERE tier = best AND (tier = 1 OR k = 1)""")
+def j11_signal_tiers(t):
+    """All three tiers: a claim is the first 40 characters of the second line, whose whole is its paragraph."""
+    lines = sp.line_regions(t.documents)
+    needle = F.when(F.col("doc_id") % 3 == 0, "the ").when(F.col("doc_id") % 3 == 1, "in").otherwise("de")
+    s = t.documents.select(F.col("doc_id").alias("document_id"), F.lit("L1").alias("signal_id"), F.lit(1).alias("claim_id"), needle.alias("needle"), "text")
+    c = lines.where("line_no = 1").select("document_id", F.lit(1).alias("claim_id"), "start", F.least(F.col("end"), F.col("start") + 40).alias("end"))
+    out = sp.place_signals(s, c, lines.where("line_no = 1").select("document_id", "start", "end"))
+    return out.select("document_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "tier")
+
+
+@query("""WITH d AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{5,}') AS w FROM documents),
+h AS (SELECT doc_id, w, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(w)) = w) AS hits FROM d WHERE length(w) >= 5),
+g AS (SELECT doc_id, w, list_reduce(list_prepend([]::BIGINT[], [CASE WHEN true THEN [x] END FOR x IN hits]), lambda a, x: CASE WHEN len(a) = 0 OR x[1] >= a[-1] + length(w) THEN a || x ELSE a END) AS firsts, hits FROM h)
+SELECT doc_id AS document_id, k AS owner_id, CAST(CASE WHEN k <= len(firsts) THEN firsts[k] ELSE hits[1] END AS BIGINT) AS start FROM g, (SELECT unnest([1, 2, 3]) AS k)""")
+def j10_quotes_not_taken(t):
+    """Three equal quotes of each document (its first word of five letters): each takes the first place that overlaps none taken."""
+    word = F.regexp_extract("text", "[A-Za-z]{5,}", 0)
+    pairs = t.documents.where(F.length(word) >= 5).select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("owner_id"), word.alias("quote"), "text")
+    return sp.locate_quotes(pairs).select("document_id", F.col("owner_id").cast("int").alias("owner_id"), F.col("start").cast("long").alias("start"))
+
+
 @query(f"""WITH r AS ({_REGIONS}), d AS (SELECT doc_id, text FROM documents), n AS (SELECT r.document_id, r.line_no, r.start, r.len, instr(r.line, 'the') AS a0, instr(d.text, 'the') AS f0 FROM r JOIN d ON d.doc_id = r.document_id WHERE r.line_no = 0 AND instr(d.text, 'the') > 0)
 SELECT document_id, count(*) AS n FROM (SELECT n.document_id, unnest(CASE WHEN a0 > 0 THEN range(0, len(string_split(r.line, 'the')) - 1) ELSE [0] END) FROM n JOIN r ON r.document_id = n.document_id AND r.line_no = 0) GROUP BY 1""")
 def j11_place_signals(t):
@@ -355,10 +388,14 @@ def p23_demote_headings(t):
     return bl.demote_headings(_blocks(t)).select("document_id", "block_no", "kind")
 
 
-@query(f"""WITH b AS ({_BL}), x AS (SELECT *, max((kind = 'title')::INT) OVER (PARTITION BY document_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM b), y AS (SELECT *, kind = 'paragraph' AND coalesce(t, 0) = 1 AS c FROM x)
-SELECT document_id, block_no, CASE WHEN c AND sum(c::INT) OVER (PARTITION BY document_id ORDER BY block_no) = 1 THEN 1.0 WHEN kind = 'caption' THEN 0.4 ELSE 0.6 END AS prominence FROM y""")
+@query(f"""WITH b AS (SELECT *, CASE WHEN kind = 'quote' THEN 'quote' WHEN block_no % 5 = 1 THEN 'promo' WHEN block_no % 7 = 6 THEN 'footnote' END AS container FROM ({_BL})),
+x AS (SELECT *, max((kind = 'title')::INT) OVER (PARTITION BY document_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM b), y AS (SELECT *, kind = 'paragraph' AND container IS NULL AND coalesce(t, 0) = 1 AS c FROM x)
+SELECT document_id, block_no, CASE WHEN kind IN ('title', 'heading') THEN NULL WHEN container = 'quote' THEN 0.7 WHEN container = 'promo' THEN 0.5 WHEN container = 'footnote' THEN 0.3
+ WHEN c AND sum(c::INT) OVER (PARTITION BY document_id ORDER BY block_no) = 1 THEN 1.0 WHEN kind = 'caption' THEN 0.4 ELSE 0.6 END AS prominence FROM y""")
 def w13_assign_prominence(t):
-    return bl.assign_prominence(_blocks(t)).select("document_id", "block_no", "prominence")
+    n = F.col("block_no")
+    held = F.when(F.col("kind") == "quote", "quote").when(n % 5 == 1, "promo").when(n % 7 == 6, "footnote")
+    return bl.assign_prominence(_blocks(t).withColumn("container", held)).select("document_id", "block_no", "prominence")
 
 
 _ENDS = f"WITH b AS ({_BL}), h AS (SELECT *, CASE WHEN kind = 'title' THEN 0 ELSE level END AS l FROM b WHERE kind IN ('title', 'heading')), e AS (SELECT x.document_id, x.block_no, x.text, min(y.block_no) AS e FROM h x LEFT JOIN h y ON y.document_id = x.document_id AND y.block_no > x.block_no AND y.l <= x.l WHERE x.kind = 'heading' GROUP BY 1, 2, 3)"
@@ -393,9 +430,9 @@ def w18_unique_labels(t):
     return bl.unique_labels(_blocks(t).withColumn("k", F.substring("text", 1, 4)), "k").select("document_id", "block_no", "unique")
 
 
-@query()
+@query(f"""WITH b AS ({_BL}), x AS (SELECT *, kind = 'paragraph' AND {_WC} <= 8 AS s, max(CASE WHEN kind = 'quote' THEN block_no END) OVER (PARTITION BY document_id ORDER BY block_no) AS q FROM b)
+SELECT document_id, block_no, CASE WHEN s AND q IS NOT NULL AND block_no - q <= 3 AND NOT EXISTS (SELECT 1 FROM x y WHERE y.document_id = x.document_id AND y.block_no > x.q AND y.block_no <= x.block_no AND NOT y.s) THEN 'caption' ELSE kind END AS kind FROM x""")
 def w19_quote_attribution(t):
-    """Held against a sequential loop in the tests."""
     return bl.quote_attribution(_blocks(t)).select("document_id", "block_no", "kind")
 
 

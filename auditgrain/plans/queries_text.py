@@ -263,7 +263,7 @@ def f21_json_arrays(t):
     return t.events.select("event_id", F.explode(tx.json_arrays(reply, "claims array<string>")["claims"]).alias("claim"))
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script)\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'),
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script)\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'),
  '(?i)<\s*/?\s*(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS text FROM pages)""")
 def s14_visible_text(t):
     return t.pages.select("page_id", tx.visible_text(F.col("html")).alias("text"))

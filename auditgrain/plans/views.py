@@ -137,4 +137,6 @@ def with_views(sql: str) -> str:
         return sql
     heads = ",\n".join(f"{n} AS ({q})" for n, q in have.items())
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads},\n{body[15:]}"
     return f"WITH {heads},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads}\n{body}"

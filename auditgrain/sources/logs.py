@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,12 +14,14 @@ def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(events, rejects) of JSON-lines logs, one file for each analysis; the file's name is its id.
 
     Blank lines are skipped; a line without ``seq`` takes its place in the file; lines that don't parse, or have no
-    type, are rejects with their line number.  Lines keep their order within a file (one split for each file)."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*?)(?:\.jsonl?)?$", 1).alias("analysis_id"), F.posexplode(F.split("value", "\r?\n")).alias("p", "line"))
-    lines = raw.where("trim(line) <> ''").withColumn("line_no", F.col("p") + 1)
+    type, are rejects with their line number.  A file may be read in several splits: lines are numbered by
+    the split's offset and their place in it."""
+    raw = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*?)(?:\.jsonl?)?$", 1).alias("analysis_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value")).alias("line"))
+    lines = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("analysis_id").orderBy("block", "id"))).where("trim(line) <> ''")
     parsed = lines.withColumn("e", F.from_json("line", EVENT + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("e").isNull() | F.col("e._corrupt_record").isNotNull() | F.col("e.type").isNull()
-    good = parsed.where(~bad).select("analysis_id", F.coalesce("e.seq", F.col("p").cast("long")).alias("seq"), "e.t_ms", "e.type", "e.payload")
+    good = parsed.where(~bad).select("analysis_id", F.coalesce("e.seq", (F.col("line_no") - 1).cast("long")).alias("seq"), "e.t_ms", "e.type", "e.payload")
     error = F.when(F.col("e._corrupt_record").isNotNull(), "not JSON").otherwise("no type")
     return good, parsed.where(bad).select("analysis_id", "line_no", error.alias("error"))
 

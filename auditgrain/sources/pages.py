@@ -71,7 +71,8 @@ def repeated_lines(docs: DataFrame, group: str, share: float = 0.5) -> DataFrame
 
 
 def drop_repeated_lines(docs: DataFrame, group: str, share: float = 0.5) -> DataFrame:
-    """docs with those lines taken out of ``text``."""
-    drop = repeated_lines(docs, group, share).groupBy(group).agg(F.collect_set("k").alias("__drop"))  # one group's furniture
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__drop", tx.mask_digits(x)))
-    return docs.join(drop, group, "left").withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__drop")
+    """docs with those lines taken out of ``text``: an anti-join of the lines on (group, line), then each text put together again."""
+    drop = repeated_lines(docs, group, share).select(group, "k")
+    lines = docs.select(group, "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("k", tx.mask_digits(F.col("line")))
+    kept = lines.join(drop, [group, "k"], "left_anti").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("__kept"))
+    return docs.join(kept, "doc_id", "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("__kept", F.lit("")))).drop("__kept")
