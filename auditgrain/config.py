@@ -13,6 +13,18 @@ DECISIVE = ("supports", "contradicts", "contradicts_framing")
 RELATIONS = ("contradicts", "contradicts_framing", "supports", "criteria", "precedent", "context")
 TIER_CAP = {1: 1.0, 2: 0.95, 3: 0.85, 4: 0.75, 5: 0.65}
 PLACEHOLDER = {"clarity": (0.5, 0.3), "support": (0.5, 0.2), "materiality": (0.5, 0.2), "consistency": (0.3, 0.2)}
+EVALUATOR_STAGES = ("language", "substantiate", "verify", "consistency")
+DIMENSION_STAGES = {"clarity": ("language",), "support": ("substantiate", "verify"), "materiality": ("verify",), "consistency": ("consistency",)}
+PREREQUISITES = {
+    "extract": ("ingest",), "language": ("extract",), "substantiate": ("extract",), "verify": ("extract",), "consistency": ("extract",), "omissions": ("extract",),
+    "verdict": ("language", "substantiate", "verify", "consistency", "omissions"), "summary": ("verdict",),
+}
+EVENT_STAGES = {
+    "document.ingested": ("ingest",), "claim.extracted": ("extract",), "language.signal": ("language",), "evidence.added": ("language", "substantiate", "verify", "consistency", "omissions"),
+    "omission.found": ("omissions",), "argument.made": ("verdict",), "verdict.issued": ("verdict",), "summary.updated": ("summary",),
+}
+ROUNDING = 0.011
+STEADY_MAX = 0.1
 STAGES = ("ingest", "extract", "language", "substantiate", "verify", "consistency", "omissions", "verdict", "summary")
 
 
