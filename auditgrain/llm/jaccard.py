@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bytekit import grouped, list_array, lower_ascii, mix, slices, spread, text_buffer, windows, word_hashes, word_spans
 from .components import connected_components
-from .scratch import checkpointed, partitions
+from .scratch import checkpointed, partitions, written
 
 BLOCK = 2048
 #: Up to so many ids (16 MB) a list of documents is broadcast; a longer one is joined by shuffling.
@@ -193,32 +193,39 @@ def _search_across(percent: int):
     return run
 
 
+def _ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with a list of ids; it is broadcast only when it is counted to be short."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def jaccard_links(docs: DataFrame, percent: int = 75, size: int = 5, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of the texts in ``docs`` (doc_id, text).
 
     classes: doc_id, n_shingles, rep (least doc_id with an equal set; null for an empty set).
     links: a, b between class representatives, enough of them to connect every linking pair."""
     n_parts = partitions(docs.sparkSession)
-    heads = checkpointed(shingle_sets(docs, size, lambda n: n * 0).drop("shingles"))
+    # One pass over the texts gives sizes, signatures and the least hashes for step 1.  As many bits as leave
+    # one chance hit in 256 suffice to tell which ones are shared; a chance hit keeps a document for step 2, it never links one.
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shift = max(0, 64 - 8 - max(int(total) // 2, 1).bit_length())
+    heads = written(shingle_sets(docs, size, lambda n: n - _need(n, percent) + _least(n), shift), "heads")
     key = ["n_shingles", "sig_a", "sig_b"]
     # Only sets that occur again, written first: Spark can split a hot one in a join of two plain exchanges.
     same = checkpointed(heads.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    classes = checkpointed(heads.join(same, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep")))
-    total = heads.agg(F.sum("n_shingles")).first()[0] or 0
-
-    # Step 1 on the least hashes.  As many bits as leave one chance hit in 256 suffice to tell which
-    # ones are shared; a chance hit keeps a document for step 2, it never links one.
-    shift = max(0, 64 - 8 - max(int(total), 1).bit_length())
-    lead = shingle_sets(docs, size, lambda n: n - _need(n, percent) + _least(n), shift).select("doc_id", "n_shingles", F.explode("shingles").alias("h"))
-    met = lead.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
+    classes = checkpointed(heads.drop("shingles").join(same, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep")))
+
+    # Step 1, for one document of each class.
+    lead = _ids(heads, classes.where("doc_id <> rep").select("doc_id").distinct(), "left_anti").select("doc_id", "n_shingles", F.explode("shingles").alias("h"))
+    met = written(lead.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h"), "met")
     hits = lead.join(met, "h").groupBy("doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("hits"))
     least = F.expr(f"greatest(1L, (15 * (({percent} * n_shingles + 99) div 100)) div 100)")
-    open_ = checkpointed(hits.where(F.col("hits") >= least).select("doc_id").join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").distinct())
-    few = open_.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(open_) if few else open_, "doc_id", "left_semi")
+    open_ = checkpointed(hits.where(F.col("hits") >= least).select("doc_id").distinct())
 
-    rows = shingle_sets(kept, size).select("doc_id", "n_shingles", F.explode("shingles").alias("h"))
-    freq = rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    sets = written(shingle_sets(_ids(docs, open_, "left_semi"), size).select("doc_id", "n_shingles", "shingles"), "sets")
+    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["doc_id"])  # repeated rows of a doc_id are one document
+    rows = sets.select("doc_id", "n_shingles", F.explode("shingles").alias("h"))
+    freq = written(rows.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "frequencies")
     shared = rows.join(freq, "h").select("doc_id", "n_shingles", "h", "df")
     per_doc = (
         shared.groupBy("doc_id", "n_shingles").agg(F.collect_list(F.struct("df", "h")).alias("s"))

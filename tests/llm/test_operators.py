@@ -71,6 +71,13 @@ def test_jaccard_representatives(odd, empty):
     assert {r.doc_id: r.n_copies for r in jaccard.jaccard_components(odd).collect()}[4] == 2
 
 
+def test_jaccard_repeated_rows(spark):
+    other = BASE.replace("one ", "zero ")
+    rows = [(3, BASE), (3, BASE), (4, other), (9, "x y z"), (9, "x y z"), (None, BASE)]
+    got = sorted((r.doc_id or -1, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 3), (3, 3), (3, 3), (4, 3), (9, 9), (9, 9)]
+
+
 def test_components_of_a_long_chain(spark):
     n = 5000
     chain = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("a"), ((F.col("id") + 1) * 7919 % n).alias("b"))
