@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .spans import line_regions
 
+#: Lexicons for English corporate texts: defaults of the miners below; others are parameters.
+CLAIM_LEXICON = {
+    "commitment": ["will", "shall", "plan to", "aim to", "aims to", "commit to", "committed to", "target", "targets", "pledge", "pledges", "goal", "ambition", "by 2030", "by 2050", "net zero"],
+    "certification": ["certified", "certification", "accredited", "verified by", "audited", "label", "ecolabel", "iso 14001", "b corp", "compliant with"],
+    "comparative": ["more than", "less than", "compared with", "compared to", "lower than", "higher than", "better than", "reduced", "reduction", "increase", "fewer", "best", "leading"],
+    "vague_attribute": ["sustainable", "sustainably", "green", "eco-friendly", "environmentally friendly", "natural", "clean", "responsible", "conscious", "climate friendly", "planet"],
+    "factual": ["is", "are", "was", "were", "has", "have", "uses", "contains", "made of", "made from"],
+}
+MARK_LEXICON = {
+    "hedge": ["may", "might", "could", "can help", "expected to", "seek to", "strive", "where possible", "if feasible", "likely", "intend", "intends"],
+    "vague_term": ["sustainable", "green", "eco-friendly", "environmentally friendly", "natural", "clean", "responsible", "ethical", "conscious", "planet-friendly", "low impact"],
+    "comparative": ["more", "less", "better", "lower", "higher", "greener", "cleaner", "fewer", "improved", "reduced"],
+    "weak_verb": ["support", "supports", "contribute", "contributes", "help", "helps", "promote", "promotes", "encourage", "explore", "exploring"],
+    "intensifier": ["very", "truly", "fully", "completely", "totally", "highly", "significantly", "substantially", "100%", "always"],
+    "approximation": ["about", "around", "approximately", "nearly", "almost", "roughly", "up to", "at least", "more than"],
+    "responsibility": ["our suppliers", "our partners", "the industry", "consumers", "everyone", "together", "third parties"],
+    "ratio": ["per cent", "percent", "half of", "a third of", "a quarter of", "one in", "out of", "share of", "majority of"],
+}
+
 QUANTITY = r"(\d[\d,.]*\s?(?:%|percent|tonnes|tons|kg|km|million|billion|mt|gwh|mwh)?)"
 YEAR = r"\b((?:19|20)\d{2})\b"
 BASELINE = r"\b((?:since|from|against|compared with|versus|than) (?:the )?(?:19|20)\d{2})\b"
@@ -30,7 +49,7 @@ def _kinds(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def mine_claims(docs: DataFrame, lexicon: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
+def mine_claims(docs: DataFrame, lexicon: dict[str, list[str]] = CLAIM_LEXICON, key: str = "doc_id") -> DataFrame:
     """Sentences with a word of the lexicon as claims; the type is its first kind that occurs."""
     rows = sentences(docs, key).withColumn("kinds", _kinds(F.col("text"), lexicon)).where(F.size("kinds") > 0)
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("start"))
@@ -43,7 +62,7 @@ def extract_quantities(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"quantity": got(QUANTITY), "baseline": got(BASELINE), "timeframe": got(YEAR)})
 
 
-def mine_signals(claims: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+def mine_signals(claims: DataFrame, lexicon: dict[str, list[str]] = MARK_LEXICON) -> DataFrame:
     """(document_id, claim_id, kind, start, end, term): every whole-word hit of the lexicon in a claim, with its place."""
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(w.lower()).alias("term")) for k, words in lexicon.items() for w in words))
     near = claims.select("document_id", "claim_id", F.col("start").alias("c"), F.lower("text").alias("t"), F.explode(pairs).alias("x")).where(F.col("t").contains(F.col("x.term")))
@@ -69,13 +88,26 @@ def score_clarity(claims: DataFrame, signals: DataFrame) -> DataFrame:
     return claims.join(n, ["document_id", "claim_id"], "left").select("document_id", "claim_id", F.lit("clarity").alias("dimension"), score.alias("score"), F.when(number, 0.9).otherwise(0.8).alias("confidence"))
 
 
-def mine_omissions(docs: DataFrame, topics: DataFrame, base: float = 0.7, key: str = "doc_id") -> DataFrame:
-    """(document, topic, score): topics of which no term stands in the text; one of which some do, but not most, at x0.8."""
+def nearest_passages(docs: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, topic, nearest, start): the sentence that shares most of a topic's content words, the first of several; topics: topic, term."""
+    words = topics.select("topic", F.explode(tx.content_words(F.col("term"))).alias("w")).distinct()
+    s = sentences(docs, key)
+    tokens = s.select("document_id", "sentence_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("w"))
+    shared = tokens.join(words, "w").groupBy("document_id", "topic", "sentence_no").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("document_id", "topic").agg(F.max_by("sentence_no", F.struct("n", -F.col("sentence_no"))).alias("sentence_no"))
+    return best.join(s, ["document_id", "sentence_no"]).select(F.col("document_id").alias(key), "topic", F.col("text").alias("nearest"), "start")
+
+
+def mine_omissions(docs: DataFrame, topics: DataFrame, base: float = 0.7, penalty: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(document, topic, score, nearest): topics of which less than half of the terms stand in the text, with the nearest
+    passage; where terms are there but no passage is near, the score is multiplied by ``penalty``."""
     from .knowledge import topic_coverage
 
     n = topics.groupBy("topic").agg(F.count_distinct("term").alias("n"))
-    c = topic_coverage(docs, topics, key).join(n, "topic")
-    return c.where(F.coalesce(F.size("seen"), F.lit(0)) * 2 < F.col("n")).select(key, "topic", F.when(F.col("absent"), base).otherwise(base * 0.8).alias("score"))
+    c = topic_coverage(docs, topics, key).join(n, "topic").where(F.coalesce(F.size("seen"), F.lit(0)) * 2 < F.col("n"))
+    near = nearest_passages(docs, topics, key).select(key, "topic", "nearest")
+    score = F.when(~F.col("absent") & F.col("nearest").isNull(), base * penalty).otherwise(base)
+    return c.join(near, [key, "topic"], "left").select(key, "topic", score.alias("score"), "nearest")
 
 
 def compare_versions(old: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import STOP_WORDS
 from ..operators import mining as mi
+from .queries_match import _MENTION, _TERM_SQL, _terms
 from .registry import query
 
 CLAIM_WORDS = {"commitment": ["with", "que"], "certification": ["was"], "comparative": ["une", "sch"], "factual": ["the"]}
@@ -31,10 +33,20 @@ def m2_extract_quantities(t):
     return mi.extract_quantities(mi.mine_claims(t.documents, CLAIM_WORDS)).select("document_id", "claim_id", "quantity", "timeframe")
 
 
-@query()
+_PLACES = r"""SELECT doc_id AS document_id, line_no, p, trim(s) AS text, CAST(lstart + coalesce(list_sum([length(x) FOR x IN ss[1:p - 1]]), 0) + length(s) - length(ltrim(s)) AS BIGINT) AS start FROM (
+ SELECT doc_id, line_no, lstart, ss, generate_subscripts(ss, 1) AS p, unnest(ss) AS s FROM (SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1) || ' ', 'g'), chr(1)) AS ss FROM (
+ SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lstart
+ FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)))) WHERE trim(s) <> ''"""
+_TERM_ROWS = ", ".join(f"('{k}', '{w}')" for k, ws in MARKS.items() for w in ws)
+
+
+@query(f"""WITH c AS ({_C}), pl AS ({_PLACES}), q AS (SELECT c.document_id, c.claim_id, lower(c.text) AS t, pl.start AS c0 FROM c JOIN pl ON pl.document_id = c.document_id AND pl.line_no = c.line_no AND pl.p = c.p),
+h AS (SELECT document_id, claim_id, kind, term, t, c0, unnest(list_filter(range(0, length(t)), lambda i: substr(t, i + 1, length(term)) = term)) AS o FROM q, (VALUES {_TERM_ROWS}) v(kind, term) WHERE contains(t, term))
+SELECT document_id, claim_id, kind, CAST(c0 + o AS BIGINT) AS start, CAST(c0 + o + length(term) AS BIGINT) AS "end", term FROM h WHERE (o = 0 OR NOT regexp_matches(substr(t, o, 1), '[\pL\d]')) AND NOT regexp_matches(substr(t, o + length(term) + 1, 1), '[\pL\d]')""")
 def m3_mine_signals(t):
-    """Marks with their places; the tests hold them against a loop with a word pattern."""
-    return mi.mine_signals(mi.mine_claims(t.documents, CLAIM_WORDS), MARKS)
+    """Marks with their places."""
+    out = mi.mine_signals(mi.mine_claims(t.documents, CLAIM_WORDS), MARKS)
+    return out.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
 
 
 @query(f"""WITH c AS (SELECT *, regexp_matches(text, '(?i){mi.QUANTITY}') AS num, regexp_matches(text, '(?i){mi.BASELINE}') AS base, regexp_matches(text, '{_rx(MARKS["vague_term"])}') AS vague, regexp_matches(text, '{_rx(sum(MARKS.values(), []))}') AS hit FROM ({_C}))
@@ -45,11 +57,15 @@ def m4_m5_score_clarity(t):
     return out.join(c.where("baseline is null").select("document_id", "claim_id"), ["document_id", "claim_id"], "left_semi").select("document_id", "claim_id", "score")
 
 
-@query()
-def m6_mine_omissions(t):
-    from .queries_match import _terms
+_NEAR = f"""tw AS (SELECT DISTINCT topic, unnest(regexp_extract_all(lower(term), '[a-z0-9]+')) AS w FROM {_TERM_SQL}), tk AS (SELECT topic, w FROM tw WHERE length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)})),
+st AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM ({_S})), sh AS (SELECT document_id, topic, line_no, p, text, count(*) AS n FROM st JOIN tk ON list_contains(st.ws, tk.w) GROUP BY ALL),
+nr AS (SELECT document_id, topic, arg_max(text, (n, -line_no, -p)) AS nearest FROM sh GROUP BY 1, 2)"""
 
-    return mi.mine_omissions(t.documents, _terms(t))
+
+@query(f"""WITH m AS ({_MENTION}), c AS (SELECT d.doc_id, v.topic, count(*) AS n, count(m.term) AS seen FROM documents d CROSS JOIN {_TERM_SQL} LEFT JOIN m ON m.doc_id = d.doc_id AND m.term = v.term GROUP BY 1, 2), {_NEAR}
+SELECT c.doc_id, c.topic, CASE WHEN seen > 0 AND nearest IS NULL THEN 0.56 ELSE 0.7 END AS score, nearest FROM c LEFT JOIN nr ON nr.document_id = c.doc_id AND nr.topic = c.topic WHERE seen * 2 < n""")
+def m6_mine_omissions(t):
+    return mi.mine_omissions(t.documents, _terms(t)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT document_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM ({_S})), o AS (SELECT * FROM s WHERE length(x) % 7 <> 0), n AS (SELECT * FROM s WHERE length(x) % 5 <> 0),

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from . import queries_audit, queries_contract, queries_events, queries_match, queries_mining, queries_text  # noqa: E402,F401
+from . import queries_audit, queries_contract, queries_events, queries_match, queries_mining, queries_sources, queries_text  # noqa: E402,F401

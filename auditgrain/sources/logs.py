@@ -11,14 +11,16 @@ EVENT = "seq bigint, t_ms bigint, type string, payload string"
 
 
 def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of JSON-lines logs, one file for each analysis; the file's name is its id.
+    """(events, rejects) of JSON-lines logs, one file or folder ``analysis_id=..`` for each analysis, which names its id.
 
     Blank lines are skipped; a line without ``seq`` takes its place in the file; lines that don't parse, or have no
     type, are rejects with their line number.  A file may be read in several splits: lines are numbered by
     the split's offset and their place in it."""
-    raw = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*?)(?:\.jsonl?)?$", 1).alias("analysis_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value")).alias("line"))
-    lines = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("analysis_id").orderBy("block", "id"))).where("trim(line) <> ''")
+    folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/analysis_id=([^/]*)/[^/]*$", 1), F.lit(""))
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*?)(?:\.jsonl?)?$", 1)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.coalesce(folder, name).alias("analysis_id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value")).alias("line"))
+    lines = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("analysis_id").orderBy("file", "block", "id"))).where("trim(line) <> ''")
     parsed = lines.withColumn("e", F.from_json("line", EVENT + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("e").isNull() | F.col("e._corrupt_record").isNotNull() | F.col("e.type").isNull()
     good = parsed.where(~bad).select("analysis_id", F.coalesce("e.seq", (F.col("line_no") - 1).cast("long")).alias("seq"), "e.t_ms", "e.type", "e.payload")
@@ -27,18 +29,18 @@ def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_event_log(events: DataFrame, path: str) -> None:
-    """Append events as JSON, a folder for each analysis."""
-    events.write.mode("append").partitionBy("analysis_id").json(path)
+    """Append events as JSON lines in the order of seq, a folder for each analysis and one file for each run."""
+    events.repartition("analysis_id").sortWithinPartitions("analysis_id", "seq").write.mode("append").partitionBy("analysis_id").json(path)
 
 
-def read_analyses(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Folded analyses, one nested JSON each; without a document or summary they are skipped."""
-    return spark.read.schema(schema).json(path, multiLine=True).where("document is not null and summary is not null")
+def read_analyses(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Folded analyses, one nested JSON each, a file or (``lines``) a line; without a document or summary they are skipped."""
+    return spark.read.schema(schema).json(path, multiLine=not lines).where("document is not null and summary is not null")
 
 
-def read_store(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, repeated ids) of a list-of-entries JSON file."""
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+def read_store(spark: SparkSession, path: str, schema: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entries, repeated ids) of JSON files with a list of entries, or (``lines``) an entry on each line."""
+    rows = spark.read.schema(schema).json(path, multiLine=not lines)
     return rows, rows.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

@@ -46,28 +46,58 @@ def type_counts(s: DataFrame) -> DataFrame:
     return s.groupBy("analysis_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stalled(s: DataFrame, timeout: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+def until_terminal(s: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """Events up to the first terminal one of their analysis, that included; later ones are dropped.  State is one flag an analysis."""
+    names = s.columns
+
+    def cut(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("seq")
+        if state.exists:
+            yield rows.iloc[:0][names]
+            return
+        ends = rows["type"].isin(terminal).to_numpy().nonzero()[0]
+        if len(ends):
+            state.update((True,))
+            rows = rows.iloc[: ends[0] + 1]
+        yield rows[names]
+
+    return s.groupBy("analysis_id").applyInPandasWithState(cut, s.schema, "ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def emit(s: DataFrame, fn, **options):
+    """A query that hands every batch's events, a DataFrame and the batch's number, to ``fn``."""
+    return s.writeStream.options(**options).foreachBatch(fn)
+
+
+def stalled(s: DataFrame, timeout: str = "10 minutes", delay: str = "1 minute", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
     """Bursts of an analysis' events that a silence of ``timeout`` ends without a terminal event."""
     g = s.withWatermark("ts", delay).groupBy("analysis_id", F.session_window("ts", timeout).alias("w"))
-    return g.agg(F.max("seq").alias("seq"), F.max(F.col("type").isin(*TERMINAL)).alias("ended")).where("not ended").select("analysis_id", F.col("w.end").alias("since"), "seq")
+    return g.agg(F.max("seq").alias("seq"), F.max(F.col("type").isin(*terminal)).alias("ended")).where("not ended").select("analysis_id", F.col("w.end").alias("since"), "seq")
+
 
+def validate_stream(s: DataFrame, started: str | None = None, terminal: tuple[str, ...] = ()) -> DataFrame:
+    """(analysis_id, seq, rule) of events whose seq does not follow the last one's, or whose t_ms goes back; with
+    ``started`` and ``terminal`` also of those that start again, come before the start or after the end.
 
-def validate_stream(s: DataFrame) -> DataFrame:
-    """(analysis_id, seq, rule) of events whose seq does not follow the last one's, or whose t_ms goes back; state is two numbers per analysis."""
+    State is two numbers and a flag for each analysis.  These are the rejects; what is admitted is the stream without them."""
 
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, t = state.get if state.exists else (None, None)
+        last, t, ended = state.get if state.exists else (None, None, False)
         rows = []
         for e in pd.concat(list(frames)).sort_values("seq").itertuples():
             if last is not None and e.seq != last + 1:
                 rows.append((key[0], e.seq, "seq"))
             if t is not None and e.t_ms < t:
                 rows.append((key[0], e.seq, "t_ms"))
-            last, t = int(e.seq), int(e.t_ms)
-        state.update((last, t))
+            if started is not None and (e.type == started) != (last is None):
+                rows.append((key[0], e.seq, "not_started" if last is None else "started_again"))
+            if ended:
+                rows.append((key[0], e.seq, "after_terminal"))
+            last, t, ended = int(e.seq), int(e.t_ms), ended or e.type in terminal
+        state.update((last, t, ended))
         yield pd.DataFrame(rows, columns=["analysis_id", "seq", "rule"])
 
-    return s.groupBy("analysis_id").applyInPandasWithState(check, "analysis_id long, seq long, rule string", "last long, t long", "append", GroupStateTimeout.NoTimeout)
+    return s.groupBy("analysis_id").applyInPandasWithState(check, "analysis_id long, seq long, rule string", "last long, t long, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(s: DataFrame, mode: str, folder: str) -> DataFrame:

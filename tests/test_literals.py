@@ -70,11 +70,11 @@ def test_metrics(spark):
 
 def test_trend(spark):
     d = datetime.date
-    docs = spark.createDataFrame([(1, 10, d(2024, 3, 1)), (1, 11, d(2026, 9, 19)), (2, 20, d(2024, 1, 1)), (3, 30, d(2024, 1, 1)), (3, 31, d(2024, 1, 1))], "company_id int, document_id int, doc_date date")
-    head = spark.createDataFrame([(10, 0.62, 0.8), (11, 0.89, 0.8), (20, 0.5, 0.5), (30, 0.2, 0.8), (31, 0.8, 0.8)], "document_id int, score double, confidence double")
+    docs = spark.createDataFrame([(1, 10, d(2021, 5, 17)), (1, 11, d(2022, 8, 30)), (2, 20, d(2019, 2, 3)), (3, 30, d(2020, 6, 6)), (3, 31, d(2020, 6, 6)), (4, 40, d(2018, 1, 1)), (4, 41, d(2019, 1, 1))], "company_id int, document_id int, doc_date date")
+    head = spark.createDataFrame([(10, 0.31, 0.7), (11, 0.75, 0.6), (20, 0.44, 0.6), (30, 0.15, 0.7), (31, 0.65, 0.7), (40, 0.9, 0.9), (41, 0.5, 0.9)], "document_id int, score double, confidence double")
     t = {r.company_id: r for r in co.trend(docs, head).collect()}
-    assert (t[1].direction, t[1].change, t[1].span_days) == ("worsening", 0.27, 932) and t[1].confidence <= 0.4
-    assert t[2].direction == "undetermined" and t[2].change is None
+    assert (t[1].direction, t[1].change, t[1].span_days) == ("worsening", 0.44, 470) and t[1].confidence <= 0.35
+    assert t[2].direction == "undetermined" and t[2].change is None and t[4].direction == "improving"
     assert t[3].span_days == 0 and t[3].per_year is None
 
 
@@ -87,7 +87,7 @@ def test_text(spark):
         assert rule in one(tx.canonical_violations(F.lit(text)))
     assert one(tx.canonical_violations(F.lit("a b\n\nc"))) == []
     assert one(tx.company_slug(F.lit("Ørsted A/S"))) == "orsted-a-s" and one(tx.org_from_host(F.lit("https://www.shell.co.uk/x"))) == "Shell"
-    assert one(tx.states_value(F.lit("fell 1.8%"), F.lit(1.753))) and not one(tx.states_value(F.lit("fell 12% in 2025"), F.lit(1.753))) and one(tx.states_value(F.lit("20,915"), F.lit(20915.0)))
+    assert one(tx.states_value(F.lit("up 3.7 points"), F.lit(3.68))) and not one(tx.states_value(F.lit("up 13.7 points since 2011"), F.lit(3.68))) and one(tx.states_value(F.lit("48,310 tonnes"), F.lit(48310.0)))
     assert one(tx.short_title(F.lit("A - b - Site"))) == "A - b"
 
 

@@ -25,6 +25,15 @@ def test_greedy_match(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_greedy_match_of_a_long_chain(spark):
+    """Two hundred pairs, each better than the next and sharing a side with it."""
+    rows = [(1, i // 2 + i % 2, i // 2, i) for i in range(400)]
+    got = ma.greedy_match(spark.createDataFrame(rows, "d int, a int, b int, gap int"), [F.col("gap"), F.col("a"), F.col("b")], ["d", "a"], ["d", "b"]).collect()
+    assert {tuple(r) for r in got} == {r for r in rows if r[3] % 2 == 0}
+    alone = ma.greedy_match(spark.createDataFrame([(1, 2, 0), (1, 3, 1), (4, 2, 2), (4, 3, 3)], "a int, b int, gap int"), [F.col("gap")], ["a"], ["b"]).collect()
+    assert {(r.a, r.b) for r in alone} == {(1, 2), (4, 3)}
+
+
 def test_quote_attribution(spark):
     kinds = "quote paragraph paragraph paragraph paragraph quote long paragraph heading paragraph quote paragraph".split()
     rows = [(1, i, "paragraph" if k == "long" else k, 1 if k == "heading" else None, "a b c" if k != "long" else "word " * 12) for i, k in enumerate(kinds)]
@@ -57,6 +66,7 @@ def test_event_log_files(spark, tmp_path):
     (tmp_path / "a1.jsonl").write_text('{"seq": 0, "t_ms": 1, "type": "x", "payload": "p"}\n\n{"t_ms": 2, "type": "y"}\nnot json\n{"seq": 9}\n')
     good, bad = logs.read_event_log(spark, str(tmp_path))
     assert [(r.analysis_id, r.seq, r.type) for r in good.orderBy("seq").collect()] == [("a1", 0, "x"), ("a1", 2, "y")]
+    assert good.count() == 2
     assert [(r.line_no, r.error) for r in bad.orderBy("line_no").collect()] == [(4, "not JSON"), (5, "no type")]
     logs.write_event_log(good, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
@@ -81,3 +91,30 @@ def test_groups_of_types(spark):
         rows[t] += 1
     df = spark.createDataFrame([(1, i, i, t) for i, t in enumerate("aba")], "analysis_id int, seq int, t_ms int, type string")
     assert dict(ev.log_catalogue(df).first().types) == dict(rows)
+
+
+def test_default_lexicons(spark):
+    text = "We aim to cut emissions by 2030.\nOur green packaging is certified and may help customers.\nIt rained."
+    claims = mi.extract_quantities(mi.mine_claims(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+    assert [(r.type, r.timeframe) for r in claims.orderBy("start").collect()] == [("commitment", "2030"), ("certification", None)]
+    marks = {(r.kind, text[r.start : r.end]) for r in mi.mine_signals(claims).collect()}
+    assert {("vague_term", "green"), ("hedge", "may"), ("weak_verb", "help")} <= marks
+
+
+def test_nearest_passage(spark):
+    docs = spark.createDataFrame([(1, "Water use fell. Clean water and waste water matter.\nNothing else."), (2, "Of the sea."), (3, None)], "doc_id int, text string")
+    topics = spark.createDataFrame([("water", "waste water"), ("water", "water rights"), ("water", "spills"), ("odd", "of the"), ("odd", "zzz"), ("odd", "yyy")], "topic string, term string")
+    got = {(r.doc_id, r.topic): (round(r.score, 6), r.nearest) for r in mi.mine_omissions(docs, topics).collect()}
+    assert got[1, "water"] == (0.7, "Clean water and waste water matter.") and got[2, "odd"] == (0.56, None) and got[2, "water"] == (0.7, None) and got[3, "odd"] == (0.7, None)
+
+
+def test_emit_and_until_terminal(spark, tmp_path):
+    from auditgrain.streaming import live
+
+    rows = [(1, 0, "a"), (1, 1, "analysis.completed"), (1, 2, "late"), (2, 0, "a")]
+    for k in (0, 1):
+        spark.createDataFrame([r for r in rows if r[1] == 2 if k] or [r for r in rows if r[1] < 2], "analysis_id long, seq long, type string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    s = live.tail_log(spark, str(tmp_path / "in"), "analysis_id long, seq long, type string", maxFilesPerTrigger=1, latestFirst="false")
+    seen = []
+    live.emit(live.until_terminal(s), lambda batch, n: seen.extend((r.analysis_id, r.seq) for r in batch.collect()), checkpointLocation=str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == [(1, 0), (1, 1), (2, 0)]

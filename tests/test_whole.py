@@ -1,10 +1,12 @@
 """Queries over all rows and whole texts that have no SQL, held against brute force."""
 
+import random
 import re
 import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditgrain.functions import text as tx
 from auditgrain.operators import knowledge as kn
@@ -23,25 +25,24 @@ def squashed(s):
     return re.sub(r"\s+", " ", s.translate(str.maketrans(tx.SQUASH_FROM, tx.SQUASH_TO))).strip(" ").lower()
 
 
-def test_contains_quote_all(spark, sf, monkeypatch):
-    docs, items = (spark.read.parquet(f"{sf}/{x}.parquet").toPandas() for x in ("documents", "benchmark"))
-    items = list(zip(items.item_id, map(squashed, items.text)))
-    want = {(d, i, q in t) for d, t in zip(docs.doc_id, map(squashed, docs.text)) for i, q in items}
-    assert len({i for _, i, hit in want if hit}) > 1
-    for small in (500, -1):
-        monkeypatch.setattr(sp, "SMALL_QUOTES", small)
-        got = [tuple(r) for r in QUERIES["f3_contains_quote_all"](spark, sf).select("doc_id", "item_id", "found").collect()]
-        assert len(got) == len(want) and set(got) == want
+def test_find_quotes_whole(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "benchmark"))
+    texts = {r.doc_id: squashed(r.text) for r in docs.collect()}
+    want = {(d, r.item_id) for r in items.collect() for d, t in texts.items() if squashed(r.text) in t}
+    assert len({i for _, i in want}) > 1 and {tuple(r) for r in sp.find_quotes(items, docs).collect()} == want
 
 
-def test_contains_quote_odd(spark, monkeypatch):
-    docs = [(1, "One  two three four five six seven"), (2, "x one"), (3, None), (4, "")]
-    items = [(41, "two three four five six seven"), (80, "ONE"), (81, " "), (82, None), (83, "wo three four five six sev")]
-    want = {(d, i, None if t is None or q is None else squashed(q) in squashed(t)) for d, t in docs for i, q in items}
-    for small in (500, -1):
-        monkeypatch.setattr(sp, "SMALL_QUOTES", small)
-        t = Given(documents=spark.createDataFrame(docs, "doc_id int, text string"), benchmark=spark.createDataFrame(items, "item_id int, text string"))
-        assert {tuple(r) for r in queries_text.f3_contains_quote_all(t).collect()} == want
+def test_find_quotes_odd(spark):
+    """Short quotes, parts of words, typography, nulls, blanks, and a key column with a common name."""
+    docs = [(1, "One  two three four five six seven"), (2, "x one"), (3, None), (4, ""), (5, "the \u201cold\u201d bridge \u2013 it fell"), (6, "a b a b c")]
+    items = [
+        (41, "two three four five six seven"), (80, "ONE"), (81, " "), (82, None), (83, "wo three four five six sev"), (84, "e tw"), (85, "n"), (86, "three four fi"), (87, "o three four five si"),
+        (88, '"old" bridge - it'), (89, "b a b"), (90, "zz"), (91, "o o"), (92, "hree four"),
+    ]
+    want = {(d, i) for d, t in docs for i, q in items if t and q and squashed(q) and squashed(q) in squashed(t)}
+    for key in ("item_id", "k", "n", "h"):
+        got = sp.find_quotes(spark.createDataFrame(items, f"{key} int, text string"), spark.createDataFrame(docs, "doc_id int, text string"), key)
+        assert {tuple(r) for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("small", [2, 5, 100])
@@ -131,7 +132,7 @@ def blocks(html):
     for m in re.finditer(pg._BLOCK.removeprefix("(?is)"), re.sub(pg._CHROME.removeprefix("(?is)"), " ", html, flags=flags), flags):
         tag = re.match("<([A-Za-z0-9]+)", m[1])[1].lower()
         x = re.sub(r"<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ", m[1], flags=flags)
-        x = re.sub(rf"<\s*/?\s*(?:{tx.BLOCK_TAGS})(?![A-Za-z0-9-])[^>]*>", "\n", x, flags=re.I | re.A)
+        x = re.sub(rf"<\s*/?\s*(?:{'|'.join(tx.BLOCK_TAGS)})(?![A-Za-z0-9-])[^>]*>", "\n", x, flags=re.I | re.A)
         x = re.sub("<[^>]+>", "", x)
         x = re.sub("&(lt|gt|quot|#39|apos|nbsp|amp);", lambda e: {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": "\u00a0", "amp": "&"}[e[1]], x)
         x = re.sub(r"\s+", " ", x, flags=re.A).strip(" ")
@@ -158,3 +159,80 @@ def test_verify_quotes_in_every_capture(spark):
     assert got.columns == ["evidence_id", "url", "quote", "outcome"]
     want = {1: "verified", 2: "verified", 3: "absent", 4: "unreadable", 5: "unreadable", 6: "unreadable", 7: "absent", 8: "verified"}
     assert sorted((r.evidence_id, r.outcome) for r in got.collect()) == sorted(want.items())
+
+
+def test_unescape_as_the_library_does(spark):
+    import html
+
+    texts = ["R&amp;D", "&#8217;s caf&eacute; &#x41;&#65;", "&copy; &middot; &nbsp;x", "&unknown; & &; &#0; &#xD800; &#99999999;", "&amp;lt;", "plain", "&lt&gt; &hellip;&mdash;&euro;", "", None, "&#128512;"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.unescape(F.col("t")).alias("x")).collect()]
+    want = [None if t is None else re.sub(r"&(#[0-9]{1,7}|#x[0-9a-fA-F]+|[a-z]+);", lambda m: html.unescape(m[0]) if m[0] not in ("&#0;", "&#xD800;") else m[0], t) for t in texts]
+    assert got == want
+
+
+def test_first_object(spark):
+    cases = {
+        'say {"a": 1} and {"a": 2}': '{"a": 1}', 'x {"t": "a } b", "n": {"k": [1]}} y }': '{"t": "a } b", "n": {"k": [1]}}', '{"q": "\\" }"} z': '{"q": "\\" }"}',
+        "none": None, "open { only": None, "": None, 'it\'s "quoted" {"a": 3}': '{"a": 3}',
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", tx.first_object(F.col("t")).alias("x")).collect()} == cases
+    assert spark.createDataFrame([("a {\"n\": 5} b {\"n\": 6}",)], "t string").select(tx.json_arrays(F.col("t"), "n int")["n"].alias("n")).first().n == 5
+
+
+@pytest.mark.parametrize("line,want", [
+    ("12", True), ("Page 3", True), ("3 of 10", True), ("3/10", True), ("12 | Annual report", True), ("Annual report / 12", True), ("12 | " + "x" * 41, False), ("x" * 41 + " | 12", False),
+    ("of 3", False), ("chapter 3", False), ("1 of 2 of 3", False), ("a | b", False), ("", False), (" 12", False), ("page  7 of 9", True),
+])
+def test_page_numbers(spark, line, want):
+    assert spark.createDataFrame([(line,)], "t string").select(tx.is_page_number(F.col("t")).alias("x")).first().x is want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Notes to the accounts", "footnote"), ("Footnotes", "footnote"), ("End notes", "footnote"), ("References", "footnote"), ("Notebook", None), ("Cautionary statements", "cautionary"),
+    ("Forward-looking statements", "cautionary"), ("SAFE HARBOUR", "cautionary"), ("Legal notice", "cautionary"), ("Our legal team", None), ("Legal notes", None),
+])
+def test_heading_classes(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(tx.heading_class(F.col("t")).alias("x")).first().x == want
+
+
+def test_terms_of_any_characters(spark):
+    docs = [(1, "50 % of \u00e9t\u00e9 and CO\u2082"), (2, "nothing \u2192 here"), (3, "the end"), (4, None)]
+    terms = ["%", "\u2192", "the", "\u00e9", "% of", "zz"]
+    got = {tuple(r) for r in kn.mentions(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(1, "%"), (1, "\u00e9"), (1, "% of"), (2, "\u2192"), (3, "the")}
+
+
+def test_labels_both_ways(spark):
+    labels, aliases = ["automobile", "car", "oil & gas", "x", None], [("A", "Auto"), ("A", "automobile parts"), ("B", "racecar team"), ("C", "Oil and gas production"), ("D", "zz"), ("E", "oil")]
+    docs = spark.createDataFrame(list(enumerate(labels)), "k int, label string")
+    got = {r.k: (r.entry_id, r.alias) for r in kn.place_by_label(docs, spark.createDataFrame(aliases, "entry_id string, alias string"), "k").collect()}
+    assert got == {0: ("A", "automobile parts"), 1: ("B", "racecar team"), 2: ("E", "oil")}
+
+
+def test_repeated_lines_dropped(spark):
+    rows = [(1, "g", "Head\nbody one\nPage 1"), (2, "g", "Head\nbody two\nPage 2"), (3, "g", "Head\nother\nPage 3"), (4, "h", "Head\nx"), (5, "g", None), (6, "g", "Head")]
+    got = {r.doc_id: r.text for r in pg.drop_repeated_lines(spark.createDataFrame(rows, "doc_id int, source string, text string"), "source").collect()}
+    assert got == {1: "body one", 2: "body two", 3: "other", 4: "Head\nx", 5: None, 6: ""}
+
+
+def words_of(s):
+    return {w for w in re.findall("[a-z0-9]+", s.lower()) if len(w) > 2 and w not in tx.STOP_WORDS}
+
+
+def test_pair_by_words(spark):
+    rng = random.Random(4)
+    vocabulary = ["common", *(f"word{i}" for i in range(30))]
+    cards = [(d, i, " ".join(["common", *rng.sample(vocabulary, rng.randint(1, 7))])) for d in range(4) for i in range(20)]
+    live, ref = [c for c in cards if c[1] % 2], [c for c in cards if c[1] % 2 == 0]
+    frame = lambda rows: spark.createDataFrame(rows, "document_id int, id int, text string").select("document_id", "id", tx.content_words(F.col("text")).alias("words"))
+    share = lambda a, b: len(words_of(a) & words_of(b)) / max(1, min(len(words_of(a)), len(words_of(b))))
+    pairs = {(d, i, j) for d, i, a in ref for e, j, b in live if d == e and share(a, b) >= 0.25}
+    assert {(r.document_id, r.ref_id, r.live_id) for r in ma.word_pairs(frame(live), frame(ref)).collect()} == pairs
+    want, used = set(), set()
+    for d, i, a in ref:
+        free = [(-share(a, b), j) for e, j, b in live if d == e and (d, j) not in used and share(a, b) >= 0.25]
+        if free:
+            used.add((d, min(free)[1]))
+            want.add((d, i, min(free)[1]))
+    assert {(r.document_id, r.ref_id, r.live_id) for r in ma.pair_by_words(frame(live), frame(ref)).collect()} == want
