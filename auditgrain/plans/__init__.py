@@ -1 +1,3 @@
-"""Claim-audit analytics on Spark."""
+"""Registered queries."""
+
+from . import registry  # noqa: F401  (first, so that the query modules register themselves in one order)

@@ -42,7 +42,7 @@ _TERM_ROWS = ", ".join(f"('{k}', '{w}')" for k, ws in MARKS.items() for w in ws)
 
 @query(f"""WITH c AS ({_C}), pl AS ({_PLACES}), q AS (SELECT c.document_id, c.claim_id, lower(c.text) AS t, pl.start AS c0 FROM c JOIN pl ON pl.document_id = c.document_id AND pl.line_no = c.line_no AND pl.p = c.p),
 h AS (SELECT document_id, claim_id, kind, term, t, c0, unnest(list_filter(range(0, length(t)), lambda i: substr(t, i + 1, length(term)) = term)) AS o FROM q, (VALUES {_TERM_ROWS}) v(kind, term) WHERE contains(t, term))
-SELECT document_id, claim_id, kind, CAST(c0 + o AS BIGINT) AS start, CAST(c0 + o + length(term) AS BIGINT) AS "end", term FROM h WHERE (o = 0 OR NOT regexp_matches(substr(t, o, 1), '[\pL\d]')) AND NOT regexp_matches(substr(t, o + length(term) + 1, 1), '[\pL\d]')""")
+SELECT document_id, claim_id, kind, CAST(c0 + o AS BIGINT) AS start, CAST(c0 + o + length(term) AS BIGINT) AS "end", term FROM h WHERE (o = 0 OR NOT regexp_matches(substr(t, o, 1), '[\\pL\\d]')) AND NOT regexp_matches(substr(t, o + length(term) + 1, 1), '[\\pL\\d]')""")
 def m3_mine_signals(t):
     """Marks with their places."""
     out = mi.mine_signals(mi.mine_claims(t.documents, CLAIM_WORDS), MARKS)
