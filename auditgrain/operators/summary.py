@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CATEGORIES, DEFAULT, AuditConfig
+from ..config import CATEGORIES, DEFAULT, DIMENSIONS, AuditConfig
 from .verdict import clamp01, rounded
 
 
@@ -19,17 +19,23 @@ def _parts(power: float) -> tuple[Column, Column, Column, Column]:
     return w, share, F.col("score") * share, F.col("confidence") * share
 
 
-def lehmer(rows: DataFrame, keys: list[str], power: float = DEFAULT.power, round_stage: bool = True) -> DataFrame:
+def lehmer(rows: DataFrame, keys: list[str], power: float = DEFAULT.power, round_stage: bool = True, n_drivers: int = 0, counts: dict[str, Column] | None = None) -> DataFrame:
     """Weighted Lehmer mean of ``score`` and the same mean of ``confidence`` for each group of ``keys``.
 
     Plain sums, so it is combined before the shuffle.  A group whose scores are all zero has score 0
-    and the weighted mean confidence."""
+    and the weighted mean confidence.  With ``n_drivers`` also ``drivers``, the targets of the largest contributors
+    (groups of a document's rows), and with ``counts`` the number of rows where each condition holds, from the same aggregation."""
     w, share, s, c = _parts(power)
     total = F.sum(share)
     score = F.coalesce(F.try_divide(F.sum(s), total), F.lit(0.0))
     conf = F.coalesce(F.try_divide(F.sum(c), total), F.sum(F.col("confidence") * w) / F.sum(w))
     edge = clamp01 if round_stage else (lambda x: x)
-    return rows.groupBy(keys).agg(edge(score).alias("score"), edge(conf).alias("confidence"), F.count(F.lit(1)).alias("n_rows"))
+    out = [edge(score).alias("score"), edge(conf).alias("confidence"), F.count(F.lit(1)).alias("n_rows")]
+    if n_drivers:
+        live = F.collect_list(F.when(share.isNotNull(), F.struct((-share).alias("raw"), F.col("target").alias("target"))))
+        out.append(F.transform(F.slice(F.array_sort(live), 1, n_drivers), lambda x: x["target"]).alias("drivers"))
+    out += [F.count_if(c).alias(n) for n, c in (counts or {}).items()]
+    return rows.groupBy(keys).agg(*out)
 
 
 def contributions(rows: DataFrame, keys: list[str], power: float = DEFAULT.power) -> DataFrame:
@@ -54,6 +60,27 @@ def profile_rows(claims: DataFrame, scores: DataFrame, verdicts: DataFrame, omis
     return dims.unionByName(issue_rows(verdicts, omissions).select(cols))
 
 
+def claim_rows(verdicts: DataFrame) -> DataFrame:
+    """The part of profile_rows that comes from verdicts which carry their dimension scores: one pass, no join."""
+    dims = [F.struct(F.lit(d).alias("profile"), F.col(d).alias("score"), F.col(d + "_conf").alias("confidence")) for d in DIMENSIONS]
+    head = F.struct(F.lit("headline").alias("profile"), F.col("likelihood").alias("score"), F.col("confidence").alias("confidence"))
+    return verdicts.select("document_id", F.col("claim_id").cast("string").alias("target"), "prominence", F.inline(F.array(head, *dims))).where("score is not null")
+
+
+def omission_rows(omissions: DataFrame) -> DataFrame:
+    return omissions.select("document_id", F.col("omission_id").alias("target"), F.lit(1.0).alias("prominence"), F.lit("completeness").alias("profile"), "score", "confidence")
+
+
+def header_of(verdicts: DataFrame, omissions: DataFrame, config: AuditConfig = DEFAULT, with_drivers: bool = False) -> DataFrame:
+    """document_header from verdicts that carry their dimension scores.
+
+    Claims and omissions make different profiles, so each part is rolled up where it stands and
+    the two are put together afterwards: verdicts that are dealt out by document need no further shuffle."""
+    keys = ["document_id", "profile"]
+    parts = [lehmer(rows, keys, config.power, config.round_stages, config.drivers if with_drivers else 0) for rows in (claim_rows(verdicts), omission_rows(omissions))]
+    return parts[0].unionByName(parts[1])
+
+
 def issue_rows(verdicts: DataFrame, omissions: DataFrame) -> DataFrame:
     """Verdicts and omissions as one list of rows."""
     heads = verdicts.select("document_id", F.lit("headline").alias("profile"), F.col("claim_id").cast("string").alias("target"), F.col("likelihood").alias("score"), "confidence", "prominence")

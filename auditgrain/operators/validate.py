@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, DIMENSION_STAGES, DIMENSIONS, EVALUATOR_STAGES, EVENT_STAGES, ROUNDING, STAGES, STEADY_MAX
 from ..functions import text as tx
-from .verdict import category, likelihood, link_facts, scores_wide
+from .verdict import category, likelihood, link_facts, nested_wide, scores_wide
 
 
 def _row(df: DataFrame, rule: str, entity: Column, detail: Column, severity: str = "error", document: Column | None = None) -> DataFrame:
@@ -128,18 +128,22 @@ def check_q11(verdicts: DataFrame, claims: DataFrame, arguments: DataFrame | Non
     return out
 
 
-def check_q12(verdicts: DataFrame, claims: DataFrame, scores: DataFrame, links: DataFrame) -> DataFrame:
-    """Likelihood and category follow from the scores; confidence is within their range (warning)."""
+def check_q12(verdicts: DataFrame, claims: DataFrame, scores: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """Likelihood and category follow from the scores; confidence is within their range (warning).
+
+    Without ``scores`` and ``links`` the claims carry theirs, as for nested_wide."""
     key = ["document_id", "claim_id"]
-    w = scores_wide(claims, scores).join(link_facts(links), key, "left")
+    w = nested_wide(claims) if scores is None else scores_wide(claims, scores).join(link_facts(links), key, "left")
     contra = F.coalesce(F.array_contains("relations", "contradicts"), F.lit(False))
     confs = [F.coalesce(F.col(d + "_conf"), F.lit(0.0)) for d in DIMENSIONS]
     rule = w.select(*key, likelihood().alias("__l"), category(contra).alias("__c"), (F.least(*confs) - 0.1).alias("__lo"), F.greatest(*confs).alias("__hi"))
-    j = verdicts.join(rule, key)
-    a = _row(j.where(F.abs(F.col("likelihood") - F.col("__l")) > 0.005), "Q12", F.col("claim_id"), F.lit("likelihood"))
-    b = _row(j.where(F.col("category") != F.col("__c")), "Q12", F.col("claim_id"), F.lit("category"))
-    c = _row(j.where((F.col("confidence") < F.col("__lo") - 0.005) | (F.col("confidence") > F.col("__hi") + 0.005)), "Q12", F.col("claim_id"), F.lit("confidence"), "warning")
-    return a.unionByName(b).unionByName(c)
+    off = F.array_compact(F.array(
+        F.when(F.abs(F.col("likelihood") - F.col("__l")) > 0.005, F.struct(F.lit("likelihood").alias("what"), F.lit("error").alias("severity"))),
+        F.when(F.col("category") != F.col("__c"), F.struct(F.lit("category").alias("what"), F.lit("error").alias("severity"))),
+        F.when((F.col("confidence") < F.col("__lo") - 0.005) | (F.col("confidence") > F.col("__hi") + 0.005), F.struct(F.lit("confidence").alias("what"), F.lit("warning").alias("severity"))),
+    ))
+    bad = verdicts.join(rule, key).select("document_id", "claim_id", F.inline(off))
+    return bad.select(F.lit("Q12").alias("rule"), "severity", F.col("document_id").cast("string").alias("document_id"), F.col("claim_id").cast("string").alias("entity_id"), F.col("what").alias("detail"))
 
 
 def check_q13(summaries: DataFrame, verdicts: DataFrame, claims: DataFrame | None = None, omissions: DataFrame | None = None, issues: DataFrame | None = None, credit: DataFrame | None = None) -> DataFrame:

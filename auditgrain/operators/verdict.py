@@ -128,9 +128,28 @@ def judge_consistency(judgments: DataFrame, derived: DataFrame) -> DataFrame:
     )
 
 
-def derive_verdicts(claims: DataFrame, scores: DataFrame, links: DataFrame) -> DataFrame:
-    """One verdict for each claim: likelihood, category, confidence, deciding dimension, tags."""
-    wide = scores_wide(claims, scores).join(link_facts(links), KEY, "left")
+def nested_wide(claims: DataFrame) -> DataFrame:
+    """Claims that carry their rows, ``scores`` array<struct<dimension, score, confidence>> and ``links``
+    array<struct<evidence_id, tier, relation>>, with the columns of scores_wide and link_facts: no join, no shuffle."""
+    one = lambda d: F.get(F.filter("scores", lambda x: x["dimension"] == d), F.lit(0))
+    out = claims
+    for d in DIMENSIONS:
+        out = out.withColumns({d: one(d)["score"], d + "_conf": one(d)["confidence"]})
+    some = F.size("links") > 0
+    decisive = F.array_distinct(F.transform(F.filter("links", lambda x: x["relation"].isin(*DECISIVE)), lambda x: x["evidence_id"]))
+    tiers = lambda rows: F.array_min(F.transform(rows, lambda x: x["tier"]))
+    best = F.coalesce(tiers(F.filter("links", lambda x: F.array_contains("__decisive", x["evidence_id"]))), tiers("links"))
+    return out.withColumn("__decisive", decisive).withColumns({
+        "n_items": F.when(some, F.size(F.array_distinct(F.transform("links", lambda x: x["evidence_id"]))).cast("long")), "best_tier": F.when(some, best),
+        "relations": F.when(some, F.array_sort(F.array_distinct(F.transform("links", lambda x: x["relation"])))),
+    }).drop("scores", "links", "__decisive")
+
+
+def derive_verdicts(claims: DataFrame, scores: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """One verdict for each claim: likelihood, category, confidence, deciding dimension, tags.
+
+    Without ``scores`` and ``links`` the claims carry theirs, as for nested_wide."""
+    wide = nested_wide(claims) if scores is None else scores_wide(claims, scores).join(link_facts(links), KEY, "left")
     out = wide.withColumns({"likelihood": likelihood(), "category": category(_has("contradicts")), "deciding": deciding_dimension(), "confidence": verdict_confidence(), "reasons": confidence_reasons(), "proposed": propose_tags()})
     return out.withColumn("tags", suppress_tags(F.col("category"), F.col("proposed")))
 

@@ -18,11 +18,24 @@ def _r(c, name: str | None = None):
 
 
 def verdicts(t) -> DataFrame:
-    return ve.derive_verdicts(t.v_claims, t.v_scores, t.v_links)
+    """Verdicts of all claims from one pass over the claims with their rows, dealt out by document."""
+    return ve.derive_verdicts(t.nested_claims)
 
 
 def header(t) -> DataFrame:
-    return su.lehmer(su.profile_rows(t.v_claims, t.v_scores, verdicts(t), t.v_omissions), ["document_id", "profile"])
+    return su.header_of(verdicts(t), t.v_omissions)
+
+
+@query("SELECT document_id, claim_id, likelihood, category, confidence, deciding FROM v_verdicts")
+def a1_a5_verdicts_from_tables(t):
+    """The same verdicts from separate tables of claims, scores and links."""
+    return ve.derive_verdicts(t.v_claims, t.v_scores, t.v_links).select(*ve.KEY, "likelihood", "category", "confidence", "deciding")
+
+
+@query("SELECT document_id, profile, score, confidence FROM v_header")
+def a8_header_from_tables(t):
+    rows = su.profile_rows(t.v_claims, t.v_scores, ve.derive_verdicts(t.v_claims, t.v_scores, t.v_links), t.v_omissions)
+    return su.lehmer(rows, ["document_id", "profile"]).select("document_id", "profile", "score", "confidence")
 
 
 @query("SELECT * FROM v_wide")
@@ -109,8 +122,7 @@ def a9_contributions(t):
 
 @query(f"SELECT document_id, profile, string_agg(target, ',' ORDER BY rank) AS drivers FROM ({_SHARES}) WHERE rank <= 6 GROUP BY ALL")
 def a10_drivers(t):
-    rows = su.profile_rows(t.v_claims, t.v_scores, verdicts(t), t.v_omissions)
-    return su.drivers(rows, ["document_id", "profile"]).withColumn("drivers", F.concat_ws(",", "drivers"))
+    return su.header_of(verdicts(t), t.v_omissions, with_drivers=True).where(F.size("drivers") > 0).select("document_id", "profile", F.concat_ws(",", "drivers").alias("drivers"))
 
 
 @query(f"""WITH s AS ({_SHARES}), d AS (SELECT document_id, profile, string_agg(target, ',' ORDER BY rank) AS drivers FROM s WHERE rank <= 6 GROUP BY ALL)
@@ -119,11 +131,9 @@ FROM v_header h JOIN (SELECT document_id, count(*) FILTER (WHERE category = 'sup
  count(*) FILTER (WHERE category = 'unsubstantiated') AS unsubstantiated, count(*) FILTER (WHERE category = 'contradicted') AS contradicted FROM v_verdicts GROUP BY document_id) k ON k.document_id = h.document_id
 LEFT JOIN d ON d.document_id = h.document_id AND d.profile = h.profile WHERE h.profile = 'headline'""")
 def a11_document_headline(t):
-    v = verdicts(t)
-    head = su.document_header(t.v_claims, t.v_scores, v, t.v_omissions).where("profile = 'headline'")
-    return head.join(su.verdict_distribution(v, ["document_id"]), "document_id").select(
-        "document_id", "score", "confidence", F.concat_ws(",", "drivers").alias("drivers"), "supported", "misleading_by_framing", "unsubstantiated", "contradicted"
-    )
+    v = verdicts(t).select("document_id", F.col("claim_id").cast("string").alias("target"), "prominence", F.col("likelihood").alias("score"), "confidence", "category")
+    kinds = ("supported", "misleading_by_framing", "unsubstantiated", "contradicted")
+    return su.lehmer(v, ["document_id"], n_drivers=6, counts={c: F.col("category") == c for c in kinds}).select("document_id", "score", "confidence", F.concat_ws(",", "drivers").alias("drivers"), *kinds)
 
 
 @query("""SELECT document_id, count(*) FILTER (WHERE category = 'supported') AS supported, count(*) FILTER (WHERE category = 'misleading_by_framing') AS misleading_by_framing,

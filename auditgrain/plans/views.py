@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "v_claims": """SELECT l_orderkey AS document_id, l_linenumber AS claim_id,
@@ -79,14 +80,35 @@ FROM {v_documents} d JOIN {v_header} h ON h.document_id = d.document_id AND h.pr
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-def _scores(base: DataFrame) -> DataFrame:
+def _score_rows() -> list[str]:
+    """The four scores of a row of v_base, as structs."""
     two = lambda e: f"round({e}, 2)"
     rows = {
         "clarity": (two("d * 1e1"), two("3e-1 + (s % 8) / 1e1")), "support": (two("t * 125e-1"), two("3e-1 + (p % 8) / 1e1")),
         "materiality": (two("q / 5e1"), two("3e-1 + claim_id / 1e1")), "consistency": (two("(s % 11) / 1e1"), two("3e-1 + (s % 5) / 1e1")),
     }
-    parts = ", ".join(f"named_struct('dimension', '{k}', 'score', {a}, 'confidence', {b})" for k, (a, b) in rows.items())
-    return base.selectExpr("document_id", "claim_id", "s", f"inline(array({parts}))").where("dimension <> 'consistency' or s % 13 <> 0").drop("s")
+    return [f"named_struct('dimension', '{k}', 'score', {a}, 'confidence', {b})" for k, (a, b) in rows.items()]
+
+
+def _scores(base: DataFrame) -> DataFrame:
+    return base.selectExpr("document_id", "claim_id", "s", f"inline(array({', '.join(_score_rows())}))").where("dimension <> 'consistency' or s % 13 <> 0").drop("s")
+
+
+def _nested(lineitem: DataFrame) -> DataFrame:
+    """v_claims with their v_scores and v_links as arrays, from one pass over lineitem, dealt out by document."""
+    rows = lineitem.selectExpr(
+        "l_orderkey AS document_id", "l_linenumber AS claim_id", "l_discount", "l_tax", "l_quantity", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus"
+    ).repartition("document_id")
+    link = """CASE WHEN l_partkey % 3 <> 0 THEN named_struct('evidence_id', concat('E', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)), 'tier', CAST(1 + l_suppkey % 5 AS INT),
+        'relation', CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'contradicts' WHEN l_returnflag = 'R' THEN 'contradicts_framing' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'supports'
+        WHEN l_returnflag = 'A' THEN 'context' WHEN l_linestatus = 'F' THEN 'criteria' ELSE 'precedent' END) END"""
+    agg = {"d": "min(l_discount)", "t": "min(l_tax)", "q": "min(l_quantity)", "s": "min(l_suppkey)", "p": "min(l_partkey)", "pm": "max(l_partkey)", "links": f"collect_set({link})"}
+    g = rows.groupBy("document_id", "claim_id").agg(*(F.expr(e).alias(n) for n, e in agg.items()))
+    kept = "filter(array({}), x -> x.dimension <> 'consistency' or s % 13 <> 0)".format(", ".join(_score_rows()))
+    return g.selectExpr(
+        "document_id", "claim_id", "CASE WHEN claim_id = 1 THEN 1e0 WHEN claim_id = 7 THEN 3e-1 ELSE 6e-1 END AS prominence",
+        "CASE pm % 5 WHEN 0 THEN 'factual' WHEN 1 THEN 'commitment' WHEN 2 THEN 'comparative' WHEN 3 THEN 'vague_attribute' ELSE 'certification' END AS type", f"{kept} AS scores", "links",
+    )
 
 
 class Tables:
@@ -96,6 +118,8 @@ class Tables:
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name == "nested_claims":
+            return _nested(self.lineitem)
         if name not in VIEWS:
             return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
         if name == "v_scores":  # the same rows as the union below, from one pass over the base
