@@ -310,3 +310,18 @@ def keep_representatives(docs: DataFrame, percent: int = 75, size: int = 5) -> D
     Rows without a doc_id stay: they cannot stand for another or be told from one."""
     gone = jaccard_components(docs.where("doc_id is not null"), percent, size).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+#: DuckDB SQL of jaccard_components' rows on documents, by all pairs that share a shingle: for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT doc_id, md5(string_agg(g, chr(1) ORDER BY g)) AS k FROM s GROUP BY 1), r AS (SELECT k, min(doc_id) AS rep, count(*) AS copies FROM c GROUP BY 1), sr AS (SELECT s.* FROM s JOIN r ON r.rep = s.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sr a JOIN sr b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)), ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT rep AS doc_id, rep AS m FROM r UNION SELECT ways.y, reach.m FROM reach JOIN ways ON ways.x = reach.doc_id),
+comp AS (SELECT doc_id, min(m) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(comp.m, d.doc_id) AS BIGINT) AS component_id, CAST(coalesce(r.copies, 1) - 1 AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN r ON r.k = c.k LEFT JOIN comp ON comp.doc_id = r.rep
+"""

@@ -44,6 +44,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+ORACLE["op2_jaccard_join"] = jaccard.ORACLE_SQL
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_hash, score, and whether decoding gives the text back, for every document."""
