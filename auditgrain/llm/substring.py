@@ -35,6 +35,8 @@ GRAM = 60
 SHARD = 2_048
 #: So many windows a context, at most, are compared across the shards of one key.
 NARROW = 6
+#: Bytes of text that a task works on at once: hashes and their scratch take about sixty times as much.
+SLICE = 2 << 20
 #: Up to so many ids (16 MB) a list of documents is broadcast; a longer one is joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -198,7 +200,7 @@ def _contexts(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
 
     def scan(full: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
+            for part in slices(batches, limit=SLICE):
                 raw, offsets = text_buffer(part.column("text"))
                 at, g, row = anchors(raw, offsets, length, gram)
                 fp = pa.array((g >> np.uint64(shift)).view(np.int64))
@@ -228,7 +230,7 @@ def _contexts(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each context listed in ``cut`` of a text."""
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE):
         raw, offsets = text_buffer(part.column("text"))
         lists = part.column("cut")
         flat = lists.flatten()
@@ -411,7 +413,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     spans = written(covered_ranges(docs, length, gram, shard), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             raw, offsets = text_buffer(part.column("text"))
             lists = part.column("spans")
             flat = lists.flatten()

@@ -328,6 +328,36 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, none).count() == len(odd_rows())
 
 
+def test_repeated_rows_and_ties(spark, empty):
+    """Repeated doc_ids keep one row each, equal texts equal values, and a table of labels without texts fits."""
+    rows = [(i % 50, f"alpha beta {'grumblefoo' if i % 5 == 0 else 'river'} gamma", int(i % 5 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 200 and len({(r.doc_id, r.score) for r in got}) == 50 and len({r.score for r in got}) == 2
+    assert toxicity.score(df, toxicity.fit(empty, df.select("doc_id", "toxic"), F.lit(True))).count() == 200
+    langs = langid.fit(df.select("doc_id", "text", F.lit("en").alias("lang")), F.lit(True))
+    got = langid.predict(df, langs).collect()
+    assert len(got) == 200 and {(r.lang_pred, r.score) for r in got} == {("en", 1.0)}
+
+
+def test_label_model_outvotes_a_wrong_label():
+    """The given label is wrong in a tenth of the rows; six voters that are right in 85 of 100 outvote it."""
+    rng = np.random.default_rng(2)
+    y = rng.random(4000) < 0.3
+    flip = lambda p: np.where(rng.random(4000) < p, y, ~y) * 2 - 1
+    votes = np.stack([*(flip(0.85) for _ in range(6)), flip(0.9)], axis=1)
+    post, info = toxicity.label_model(votes, anchor=6)
+    assert ((post > 0.5) == y).mean() > 0.96 > ((votes[:, 6] > 0) == y).mean() and abs(info["anchor"] - 0.935) < 0.02
+
+
+def test_language_set_is_estimated_again():
+    """Words of two languages in equal parts, and a third that is a little like both: the set is the two, with half each."""
+    p = np.array([[1, 1e-6, 0.3], [1e-6, 1, 0.3]] * 40, dtype=np.float32)
+    share = langid._mixture(p, np.array([0]), np.array([80]), 60, np.array([[0.5, 0.0, 0.5]], dtype=np.float32))
+    assert share[0, 1] == 0 and abs(share.sum() - 1) < 1e-5
+
+
 def test_label_model_finds_the_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
