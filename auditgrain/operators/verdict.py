@@ -71,10 +71,10 @@ def _has(relation: str) -> Column:
     return F.coalesce(F.array_contains("relations", relation), F.lit(False))
 
 
-def verdict_confidence(agreement: Column | float = 1.0, stability: Column | float = 1.0) -> Column:
-    """Needs scores_wide joined to link_facts."""
+def verdict_confidence(agreement: Column | float = 1.0, stability: Column | float = 1.0, deciding: Column | None = None) -> Column:
+    """Needs scores_wide joined to link_facts; ``deciding`` where the deciding dimension is a column already."""
     agreement, stability = (x if isinstance(x, Column) else F.lit(x) for x in (agreement, stability))
-    deciding = deciding_dimension()
+    deciding = deciding_dimension() if deciding is None else deciding
     base = reduce(lambda a, d: a.when(deciding == d, F.col(d + "_conf")), DIMENSIONS[1:], F.when(deciding == DIMENSIONS[0], F.col(DIMENSIONS[0] + "_conf")))
     tier = F.create_map(*[F.lit(x) for kv in TIER_CAP.items() for x in kv])[F.col("best_tier")]
     cap = F.when(F.col("n_items").isNull(), 0.55).when(deciding != "clarity", tier).otherwise(1.0)
@@ -87,12 +87,13 @@ def verdict_confidence(agreement: Column | float = 1.0, stability: Column | floa
     return clamp01(F.when(deciding.isNull(), 0.1).otherwise(bounded))
 
 
-def confidence_reasons() -> Column:
+def confidence_reasons(deciding: Column | None = None) -> Column:
     """Which terms of verdict_confidence applied."""
+    deciding = deciding_dimension() if deciding is None else deciding
     full = reduce(lambda a, d: a & F.col(d).isNotNull(), DIMENSIONS, F.lit(True))
     return F.array_compact(F.array(
-        F.when(deciding_dimension().isNull(), "nothing_scored"), F.when(F.col("n_items").isNull(), "no_evidence"),
-        F.when(F.col("n_items").isNotNull() & (deciding_dimension() != "clarity") & (F.col("best_tier") > 1), "tier_cap"),
+        F.when(deciding.isNull(), "nothing_scored"), F.when(F.col("n_items").isNull(), "no_evidence"),
+        F.when(F.col("n_items").isNotNull() & (deciding != "clarity") & (F.col("best_tier") > 1), "tier_cap"),
         F.when(~full, "dimension_missing"), F.when(_has("supports") & _has("contradicts"), "conflict"),
     ))
 
@@ -150,7 +151,8 @@ def derive_verdicts(claims: DataFrame, scores: DataFrame | None = None, links: D
 
     Without ``scores`` and ``links`` the claims carry theirs, as for nested_wide."""
     wide = nested_wide(claims) if scores is None else scores_wide(claims, scores).join(link_facts(links), KEY, "left")
-    out = wide.withColumns({"likelihood": likelihood(), "category": category(_has("contradicts")), "deciding": deciding_dimension(), "confidence": verdict_confidence(), "reasons": confidence_reasons(), "proposed": propose_tags()})
+    out = wide.withColumns({"likelihood": likelihood(), "category": category(_has("contradicts")), "deciding": deciding_dimension()})
+    out = out.withColumns({"confidence": verdict_confidence(deciding=F.col("deciding")), "reasons": confidence_reasons(F.col("deciding")), "proposed": propose_tags()})
     return out.withColumn("tags", suppress_tags(F.col("category"), F.col("proposed")))
 
 
