@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, jaccard, langid, linededup, media, pieces, pii, substring, toxicity
+from . import decontaminate, fixity, hardneg, jaccard, langid, linededup, media, pieces, pii, substring, toxicity, whitening
 
 #: Key of the registered query; a real job passes a secret of its own.
 PSEUDONYM_KEY = b"registered-query"
@@ -110,3 +110,20 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_warc_fixity"] = fixity.ORACLE_SQL
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error for every usable row and component up to 16."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for every anchor and positive."""
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = hardneg.ORACLE_SQL
