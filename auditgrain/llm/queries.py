@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, hardneg, jaccard, langid, linededup, media, pieces, pii, substring, toxicity, whitening
+from . import decontaminate, fixity, hardneg, jaccard, langid, linededup, media, pieces, pii, quality, substring, toxicity, whitening
 
 #: Key of the registered query; a real job passes a secret of its own.
 PSEUDONYM_KEY = b"registered-query"
@@ -118,6 +118,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), fold(5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for every anchor and positive."""
