@@ -6,32 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .automaton import term_hits
 
 SMALL = 2_000
 
 
-def _escaped(term: Column) -> Column:
-    """A term as a pattern: its words, any white space between them, no letter or digit around."""
-    words = F.transform(F.split(F.lower(F.trim(term)), r"\s+"), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    return F.concat(F.lit("(?<![a-z0-9])"), F.array_join(words, r"\s+"), F.lit("(?![a-z0-9])"))
-
-
 def mentions(docs: DataFrame, terms: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """(doc_key, term): terms that stand in each text as whole words, case aside.
-
-    Single words of letters and digits are joined as tokens; phrases are matched against the texts that hold
-    their first word, or, for terms without letters and digits, their first character: always an equality join first."""
-    low = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t <> ''").distinct()
-    d = docs.select(doc_key, F.lower("text").alias("text"))
-    tokens = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z0-9]+)"), F.lit(1)))).alias("w"))
-    single = tokens.join(low.where("t rlike '^[a-z0-9]+$'").select("term", F.col("t").alias("w")), "w").select(doc_key, "term")
-    phrase = low.where("not t rlike '^[a-z0-9]+$'").withColumn("w", F.regexp_extract("t", "([a-z0-9]+)", 1))
-    near = tokens.join(phrase.where("w <> ''"), "w").join(d, doc_key)
-    got = single.unionByName(near.where(F.regexp_like("text", _escaped(F.col("t")))).select(doc_key, "term"))
-    odd = phrase.where("w = ''").select("term", "t", F.substring("t", 1, 1).alias("c"))
-    signs = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^a-z0-9\s])"), F.lit(1)))).alias("c"))
-    rest = signs.join(odd, "c").join(d, doc_key).where(F.col("text").contains(F.col("t"))).select(doc_key, "term")
-    return got.unionByName(rest).distinct()
+    """(doc_key, term): terms that stand in each text as whole words, case aside; from one pass over the texts for all terms.
+
+    No letter a-z or digit stands next to a term; a term without any may stand anywhere."""
+    hits = term_hits(docs.select(doc_key, "text"), terms)
+    seen = hits.select(doc_key, F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("__t"))
+    written = terms.select("term", F.trim("term").alias("__t")).distinct()
+    return seen.join(written, "__t").select(doc_key, "term").distinct()
 
 
 def every_pair(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,11 +36,24 @@ def every_pair(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return d.join(ids.withColumn("__b", of(ids, blocks)).withColumn("__s", number(slices)), ["__b", "__s"]).drop("__b", "__s")
 
 
+def topic_matches(docs: DataFrame, topics: DataFrame, doc_key: str = "doc_id") -> DataFrame:
+    """A row for each document: (doc_key, topics array<struct<topic, seen, n_terms>>), all topics by name, with the terms seen, sorted.
+
+    topics: topic, term.  They reach the driver (the automaton holds their terms anyway) and stand in the plan as one constant; neither
+    texts nor hits are joined or shuffled."""
+    rows = topics.where("term is not null").groupBy("topic").agg(F.array_sort(F.collect_set(F.trim("term"))).alias("terms")).orderBy("topic").toJSON().toLocalIterator()
+    kind = f"array<struct<topic: {topics.schema['topic'].dataType.simpleString()}, terms: array<string>>>"
+    known = F.from_json(F.lit("[" + ",".join(rows) + "]"), kind)
+    hits = term_hits(docs.select(doc_key, "text"), topics.select("term"))
+    seen = F.array_distinct(F.transform("hits", lambda h: h["term"]))
+    each = lambda t: F.struct(t["topic"].alias("topic"), F.array_sort(F.array_intersect(t["terms"], seen)).alias("seen"), F.size(t["terms"]).alias("n_terms"))
+    return hits.select(doc_key, F.transform(known, each).alias("topics"))
+
+
 def topic_coverage(docs: DataFrame, topics: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """(doc_key, topic, seen, absent) for every document and topic; topics: topic, term."""
-    hit = mentions(docs, topics.select("term").distinct(), doc_key).join(topics, "term").groupBy(doc_key, "topic").agg(F.array_sort(F.collect_set("term")).alias("seen"))
-    grid = every_pair(docs.select(doc_key), topics.select("topic").distinct())
-    return grid.join(hit, [doc_key, "topic"], "left").withColumn("absent", F.col("seen").isNull())
+    """(doc_key, topic, seen, absent) for every document and topic: ``topic_matches`` with a row for each; seen is null where absent."""
+    each = topic_matches(docs, topics, doc_key).select(doc_key, F.explode("topics").alias("t"))
+    return each.select(doc_key, "t.topic", F.when(F.size("t.seen") > 0, F.col("t.seen")).alias("seen"), (F.size("t.seen") == 0).alias("absent"))
 
 
 def hold_out(docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .automaton import term_hits
 from .spans import line_regions
 
 #: Lexicons for English corporate texts: defaults of the miners below; others are parameters.
@@ -49,9 +52,29 @@ def _kinds(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def mine_claims(docs: DataFrame, lexicon: dict[str, list[str]] = CLAIM_LEXICON, key: str = "doc_id") -> DataFrame:
-    """Sentences with a word of the lexicon as claims; the type is its first kind that occurs."""
+#: Kinds of regions whose sentences are no claims of the company.
+NOT_CLAIMED = ("footnote", "cautionary", "third_party_quote")
+
+
+def quoted_regions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(document_id, kind, start, end): lines that stand in quotation marks as a whole, as third-party quotes."""
+    lines = line_regions(docs, key)
+    quoted = F.trim("text").rlike("^[\"“„«].*[\"”“»][.,;]?(\\s*[-–—].*)?$")
+    return lines.where(quoted).select("document_id", F.lit("third_party_quote").alias("kind"), "start", "end")
+
+
+def mine_claims(docs: DataFrame, lexicon: dict[str, list[str]] = CLAIM_LEXICON, key: str = "doc_id", regions: DataFrame | None = None, excluded: tuple[str, ...] = NOT_CLAIMED) -> DataFrame:
+    """Sentences with a word of the lexicon as claims; the type is its first kind that occurs.
+
+    ``regions`` (document_id, kind, start, end): a sentence that begins in a region of a kind in ``excluded`` is no claim.  Regions may nest
+    and overlap; sentences and regions meet by document and bin, so a document of many of either is no hot key."""
     rows = sentences(docs, key).withColumn("kinds", _kinds(F.col("text"), lexicon)).where(F.size("kinds") > 0)
+    if regions is not None:
+        from .matching import BIN, binned
+
+        shut = binned(regions.where(F.col("kind").isin(*excluded)).select("document_id", "start", "end")).withColumnsRenamed({"start": "__s", "end": "__e"})
+        rows = rows.withColumn("__bin", F.floor(F.col("start") / BIN)).alias("r").join(
+            shut.alias("x"), (F.col("r.document_id") == F.col("x.document_id")) & (F.col("r.__bin") == F.col("x.__bin")) & (F.col("r.start") >= F.col("x.__s")) & (F.col("r.start") < F.col("x.__e")), "left_anti").drop("__bin")
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("start"))
     return rows.select("document_id", number.alias("claim_id"), F.col("kinds")[0].alias("type"), "start", "end", "text")
 
@@ -63,14 +86,19 @@ def extract_quantities(claims: DataFrame) -> DataFrame:
 
 
 def mine_signals(claims: DataFrame, lexicon: dict[str, list[str]] = MARK_LEXICON) -> DataFrame:
-    """(document_id, claim_id, kind, start, end, term): every whole-word hit of the lexicon in a claim, with its place."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(w.lower()).alias("term")) for k, words in lexicon.items() for w in words))
-    near = claims.select("document_id", "claim_id", F.col("start").alias("c"), F.lower("text").alias("t"), F.explode(pairs).alias("x")).where(F.col("t").contains(F.col("x.term")))
-    hits = near.select("document_id", "claim_id", "x.kind", "x.term", "c", "t", F.explode(tx.find_all(F.col("t"), F.col("x.term"))).alias("at"))
-    edge = lambda i: ~F.coalesce(F.substr("t", i, F.lit(1)), F.lit("")).rlike(r"[\p{L}\d]")
-    left = (F.col("at") == 0) | edge(F.col("at"))
-    right = edge(F.col("at") + F.length("term") + 1)
-    return hits.where(left & right).select("document_id", "claim_id", "kind", (F.col("c") + F.col("at")).alias("start"), (F.col("c") + F.col("at") + F.length("term")).alias("end"), "term")
+    """(document_id, claim_id, kind, start, end, term): every whole-word hit of the lexicon in a claim, with its place.
+
+    One pass over the claims finds all terms, however many; a term of several kinds gives a mark of each."""
+    kinds: dict[str, list[str]] = {}
+    for kind, words in lexicon.items():
+        for w in words:
+            if kind not in kinds.setdefault(w.strip().lower(), []):
+                kinds[w.strip().lower()].append(kind)
+    terms = claims.sparkSession.createDataFrame([(w,) for w in kinds], "term string")
+    of = F.from_json(F.lit(json.dumps(kinds)), "map<string, array<string>>")
+    hits = term_hits(claims.select("document_id", "claim_id", F.col("start").alias("c"), "text"), terms, letters=True)
+    each = hits.select("document_id", "claim_id", "c", F.explode("hits").alias("h"))
+    return each.select("document_id", "claim_id", F.explode(F.try_element_at(of, F.col("h.term"))).alias("kind"), (F.col("c") + F.col("h.start")).alias("start"), (F.col("c") + F.col("h.end")).alias("end"), "h.term")
 
 
 def assign_polarity(signals: DataFrame, claims: DataFrame) -> DataFrame:

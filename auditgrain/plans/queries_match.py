@@ -305,6 +305,14 @@ def j16_mentions(t):
     return kn.mentions(t.documents, _terms(t).select("term"))
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM documents)
+SELECT doc_id, count(*) AS n_words FROM d WHERE w IN (SELECT w FROM w) GROUP BY 1""")
+def j16_benchmark_words(t):
+    """All words of the benchmark as terms: a list that grows with its table costs a text no more."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).distinct()
+    return kn.mentions(t.documents, words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+
+
 @query(f"""WITH m AS ({_MENTION}) SELECT d.doc_id, v.topic, coalesce(string_agg(m.term, ',' ORDER BY m.term), '') AS seen, count(m.term) = 0 AS absent FROM documents d CROSS JOIN {_TERM_SQL} LEFT JOIN m ON m.doc_id = d.doc_id AND m.term = v.term GROUP BY 1, 2""")
 def j17_topic_coverage(t):
     return kn.topic_coverage(t.documents, _terms(t)).withColumn("seen", F.coalesce(F.concat_ws(",", "seen"), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
 from ..operators import mining as mi
+from ..operators.spans import line_regions
 from .queries_match import _MENTION, _TERM_SQL, _terms
 from .registry import query
 
@@ -33,20 +34,55 @@ def m2_extract_quantities(t):
     return mi.extract_quantities(mi.mine_claims(t.documents, CLAIM_WORDS)).select("document_id", "claim_id", "quantity", "timeframe")
 
 
+_LINES = "SELECT doc_id AS document_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
+_BOILERPLATE = f"SELECT document_id, line_no FROM ({_LINES}) WHERE line IN (SELECT line FROM ({_LINES}) WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT document_id) > 2)"
+
+
+def _typed(lexicon):
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{_rx(w)}') THEN '{k}'" for k, w in lexicon.items()) + " END"
+
+
+@query(f"""SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY line_no, p) AS claim_id, type, text FROM (SELECT *, {_typed(mi.CLAIM_LEXICON)} AS type FROM ({_S}))
+WHERE type IS NOT NULL AND (document_id, line_no) NOT IN ({_BOILERPLATE})""")
+def m1_claims_outside_regions(t):
+    """The English lexicon; lines that stand in more than two documents are boilerplate, a cautionary region."""
+    lines = line_regions(t.documents)
+    often = lines.where(F.trim("text") != "").groupBy("text").agg(F.count_distinct("document_id").alias("n")).where("n > 2").select("text")
+    shut = lines.join(often, "text", "left_semi").select("document_id", F.lit("cautionary").alias("kind"), "start", "end")
+    return mi.mine_claims(t.documents, regions=shut).select("document_id", "claim_id", "type", "text")
+
+
 _PLACES = r"""SELECT doc_id AS document_id, line_no, p, trim(s) AS text, CAST(lstart + coalesce(list_sum([length(x) FOR x IN ss[1:p - 1]]), 0) + length(s) - length(ltrim(s)) AS BIGINT) AS start FROM (
  SELECT doc_id, line_no, lstart, ss, generate_subscripts(ss, 1) AS p, unnest(ss) AS s FROM (SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1) || ' ', 'g'), chr(1)) AS ss FROM (
  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lstart
  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)))) WHERE trim(s) <> ''"""
-_TERM_ROWS = ", ".join(f"('{k}', '{w}')" for k, ws in MARKS.items() for w in ws)
 
 
-@query(f"""WITH c AS ({_C}), pl AS ({_PLACES}), q AS (SELECT c.document_id, c.claim_id, lower(c.text) AS t, pl.start AS c0 FROM c JOIN pl ON pl.document_id = c.document_id AND pl.line_no = c.line_no AND pl.p = c.p),
-h AS (SELECT document_id, claim_id, kind, term, t, c0, unnest(list_filter(range(0, length(t)), lambda i: substr(t, i + 1, length(term)) = term)) AS o FROM q, (VALUES {_TERM_ROWS}) v(kind, term) WHERE contains(t, term))
-SELECT document_id, claim_id, kind, CAST(c0 + o AS BIGINT) AS start, CAST(c0 + o + length(term) AS BIGINT) AS "end", term FROM h WHERE (o = 0 OR NOT regexp_matches(substr(t, o, 1), '[\\pL\\d]')) AND NOT regexp_matches(substr(t, o + length(term) + 1, 1), '[\\pL\\d]')""")
+def _marks_sql(lexicon):
+    rows = ", ".join(f"('{k}', '{w}')" for k, ws in lexicon.items() for w in ws)
+    return f"""WITH c AS ({_C}), pl AS ({_PLACES}), q AS (SELECT c.document_id, c.claim_id, lower(c.text) AS t, pl.start AS c0 FROM c JOIN pl ON pl.document_id = c.document_id AND pl.line_no = c.line_no AND pl.p = c.p),
+h AS (SELECT document_id, claim_id, kind, term, t, c0, unnest(list_filter(range(0, length(t)), lambda i: substr(t, i + 1, length(term)) = term)) AS o FROM q, (VALUES {rows}) v(kind, term) WHERE contains(t, term))
+SELECT document_id, claim_id, kind, CAST(c0 + o AS BIGINT) AS start, CAST(c0 + o + length(term) AS BIGINT) AS "end", term FROM h WHERE (o = 0 OR NOT regexp_matches(substr(t, o, 1), '[\\pL\\d]')) AND NOT regexp_matches(substr(t, o + length(term) + 1, 1), '[\\pL\\d]')"""
+
+
+def _marks(t, lexicon):
+    out = mi.mine_signals(mi.mine_claims(t.documents, CLAIM_WORDS), lexicon)
+    return out.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
+
+
+@query(_marks_sql(MARKS))
 def m3_mine_signals(t):
     """Marks with their places."""
-    out = mi.mine_signals(mi.mine_claims(t.documents, CLAIM_WORDS), MARKS)
-    return out.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
+    return _marks(t, MARKS)
+
+
+#: The English lexicon, and words and phrases that the prose has.
+ALL_MARKS = mi.MARK_LEXICON | {"quantifier": ["of the", "is", "to the", "la", "que"], "negation": ["not", "it is", "de la"]}
+
+
+@query(_marks_sql(ALL_MARKS))
+def m3_all_marks(t):
+    return _marks(t, ALL_MARKS)
 
 
 @query(f"""WITH c AS (SELECT *, regexp_matches(text, '(?i){mi.QUANTITY}') AS num, regexp_matches(text, '(?i){mi.BASELINE}') AS base, regexp_matches(text, '{_rx(MARKS["vague_term"])}') AS vague, regexp_matches(text, '{_rx(sum(MARKS.values(), []))}') AS hit FROM ({_C}))
