@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import settled
 
 BIN = 1024
 
@@ -30,12 +32,54 @@ def overlap_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataFra
     return hit.groupBy("document_id", "a_id", "b_id").agg(F.max(share).alias("share")).where(F.col("share") >= threshold)
 
 
-def greedy_match(pairs: DataFrame, order: list[Column], left: list[str], right: list[str]) -> DataFrame:
+#: Pairs of a group up to which one task streams them; larger groups are matched in rounds.
+GROUP = 200_000
+
+
+def greedy_match(pairs: DataFrame, order: list[Column], left: list[str], right: list[str], group_rows: int = GROUP) -> DataFrame:
     """One-to-one pairs, best first: a pair is taken when neither of its sides has been.
 
-    ``left`` and ``right`` are the keys of the sides; what they share (the document) is the group.  ``order`` must end in
-    keys.  Each group's pairs are sorted by Spark and stream through one task, which holds the sides taken
-    so far in the group, never the pairs; groups are independent."""
+    ``left`` and ``right`` are the keys of the sides; what they share (the document) is the group.  ``order`` must end in keys.
+
+    Groups of at most ``group_rows`` pairs stream through one task each, sorted by Spark; the task holds the sides taken so far, never the
+    pairs.  Larger groups are matched in rounds over all tasks: a pair that is the best one of both its sides is what the sequential
+    loop takes too, whatever comes before it, so all such pairs are taken at once and pairs with a side taken go.  Rounds end when
+    no pair is left.  Where a round removes less than a tenth (a long chain, in which each pair waits for the one before) or few are left,
+    the rest streams."""
+    group = [c for c in left if c in right]
+    pairs = settled(pairs)
+    if group:
+        large = settled(pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > group_rows).select(*group))
+        if not large.head(1):
+            return _stream(pairs, order, left, right)
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in group]
+        split = lambda how: pairs.alias("p").join(large.alias("l"), same, how)
+        return _stream(split("left_anti"), order, left, right).unionByName(_rounds(split("left_semi"), order, left, right, group_rows))
+    return _rounds(pairs, order, left, right, group_rows) if pairs.count() > group_rows else _stream(pairs, order, left, right)
+
+
+def _rounds(pairs: DataFrame, order: list[Column], left: list[str], right: list[str], few: int) -> DataFrame:
+    names = pairs.columns
+    side = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    # a number that rises in the given order: partitions of a total sort come one after the other
+    ranked = settled(pairs.orderBy(*order).withColumn("__r", F.monotonically_increasing_id()))
+    edges = ranked.select("__r", side(left).alias("__x"), side(right).alias("__y"))
+    n, taken = edges.count(), []
+    while n > few:
+        best = [edges.groupBy(s).agg(F.min("__r").alias("__r")) for s in ("__x", "__y")]
+        took = settled(best[0].join(best[1], "__r"))
+        taken.append(took.select("__r"))
+        edges = settled(edges.join(took.select("__x"), "__x", "left_anti").join(took.select("__y"), "__y", "left_anti"))
+        before, n = n, edges.count()
+        if n > 0.9 * before:
+            break
+    rest = _stream(ranked.join(edges.select("__r"), "__r", "left_semi"), [F.col("__r")], left, right)
+    if not taken:
+        return rest.select(names)
+    return ranked.join(reduce(DataFrame.union, taken), "__r", "left_semi").unionByName(rest).select(names)
+
+
+def _stream(pairs: DataFrame, order: list[Column], left: list[str], right: list[str]) -> DataFrame:
     group = [c for c in left if c in right]
     own = [[c for c in side if c not in group] for side in (left, right)]
     names = pairs.columns

@@ -11,7 +11,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
 
     Rows are range-partitioned and sorted; each partition's size is a tiny aggregate, whose running
     sum gives the first place of the partition."""
-    from ..plans.scratch import settled
+    from ..scratch import settled
 
     spark = df.sparkSession
     dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id())

@@ -103,7 +103,7 @@ def _is_folder(t) -> bool:
 
 
 def _once(t, s, mode="complete"):
-    from .scratch import settled
+    from ..scratch import settled
 
     settled(t._spark.range(0))  # sets the folder where none is set
     return live.run_once(s, mode, t._spark.sparkContext.getCheckpointDir())

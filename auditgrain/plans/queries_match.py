@@ -14,7 +14,7 @@ from ..operators import verdict as ve
 from ..sources import pages as pg
 from .queries_audit import header, verdicts
 from .registry import query
-from .scratch import settled
+from ..scratch import settled
 
 _KEY = ["document_id", "claim_id"]
 
@@ -231,14 +231,30 @@ def j25_compare_sources(t):
     return ma.compare_sources(live.where("page_id % 3 <> 0"), x.where("page_id % 4 <> 1"), ["k"])
 
 
-_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(left(text, 300)), '[a-z0-9]+')), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'its', 'their', 'for', 'with', 'that'))"
+_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'its', 'their', 'for', 'with', 'that'))"
+_CARDS = f"""w AS MATERIALIZED (SELECT doc_id, doc_id // 40 AS document_id, {_WORDS} AS ws FROM documents), x AS MATERIALIZED (SELECT a.document_id, a.doc_id AS ref_id, b.doc_id AS live_id, len(list_intersect(a.ws, b.ws)) / greatest(1, least(len(a.ws), len(b.ws))) AS overlap
+ FROM w a JOIN w b ON a.document_id = b.document_id AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)"""
 
 
-@query(f"""WITH w AS (SELECT doc_id, source AS document_id, {_WORDS} AS ws FROM documents) SELECT a.document_id, a.doc_id AS ref_id, b.doc_id AS live_id, round(len(list_intersect(a.ws, b.ws)) / greatest(1, least(len(a.ws), len(b.ws))), 6) AS overlap
-FROM w a JOIN w b ON a.document_id = b.document_id AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 WHERE len(list_intersect(a.ws, b.ws)) / greatest(1, least(len(a.ws), len(b.ws))) >= 0.25""")
+def _cards(t):
+    """Whole texts as cards, forty neighbours together: even ids are references, odd ones live."""
+    w = t.documents.select(F.floor(F.col("doc_id") / 40).alias("document_id"), F.col("doc_id").alias("id"), tx.content_words(F.col("text")).alias("words"))
+    return w.where("id % 2 = 1"), w.where("id % 2 = 0")
+
+
+@query(f"WITH {_CARDS} SELECT document_id, ref_id, live_id, round(overlap, 6) AS overlap FROM x WHERE overlap >= 0.25")
 def j26_word_pairs(t):
-    w = t.documents.select(F.col("source").alias("document_id"), F.col("doc_id").alias("id"), tx.content_words(F.substring("text", 1, 300)).alias("words"))
-    return ma.word_pairs(w.where("id % 2 = 1"), w.where("id % 2 = 0")).withColumn("overlap", _r("overlap"))
+    return ma.word_pairs(*_cards(t)).withColumn("overlap", _r("overlap"))
+
+
+@query(f"""WITH RECURSIVE {_CARDS}, p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ref_id, overlap DESC, live_id) AS k FROM x WHERE overlap >= 0.25),
+s AS (SELECT document_id, 0::BIGINT AS k, []::BIGINT[] AS l, []::BIGINT[] AS r, false AS took FROM (SELECT DISTINCT document_id FROM p)
+ UNION ALL SELECT s.document_id, p.k, CASE WHEN free THEN list_append(s.l, p.live_id) ELSE s.l END, CASE WHEN free THEN list_append(s.r, p.ref_id) ELSE s.r END, free
+ FROM s JOIN p ON p.document_id = s.document_id AND p.k = s.k + 1, LATERAL (SELECT NOT list_contains(s.l, p.live_id) AND NOT list_contains(s.r, p.ref_id) AS free))
+SELECT p.document_id, p.ref_id, p.live_id, round(p.overlap, 6) AS overlap FROM s JOIN p ON p.document_id = s.document_id AND p.k = s.k WHERE s.took""")
+def j26_pair_by_words(t):
+    """One to one: each reference in turn takes the free live card that shares most words."""
+    return ma.pair_by_words(*_cards(t)).withColumn("overlap", _r("overlap"))
 
 
 @query("""WITH l AS (SELECT document_id, claim_id AS id FROM v_claims), m AS (SELECT document_id, claim_id AS id, claim_id + 1 AS ref_id FROM v_claims WHERE claim_id <= 2), t AS (SELECT document_id, max(claim_id) AS top FROM v_claims GROUP BY 1)

@@ -10,7 +10,7 @@ from ..sources import logs
 from ..streaming import live
 from .queries_events import _EV, _log, _LOG, _once, _stream
 from .registry import query
-from .scratch import shared_folder
+from ..scratch import shared_folder
 from .sqluse import lehmer_sql, register_views
 
 

@@ -71,7 +71,7 @@ def test_claims_leave_regions_out(spark):
     text = "We will cut. It was said.\nNotes\nWe will not. And it was so.\n“We are green,” they say.\nWe will grow."
     docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
     start = text.index("We will not")
-    regions = spark.createDataFrame([(1, "footnote", start, start + 12), (1, "footnote", start, start + 30), (1, "heading", 0, 500)], "document_id long, kind string, start int, end int")
+    regions = spark.createDataFrame([(1, "footnote", start, start + 12), (1, "footnote", start, start + 27), (1, "heading", 0, 500)], "document_id long, kind string, start int, end int")
     claims = lambda r: {(c.document_id, c.text) for c in mining.mine_claims(docs, regions=r).collect()}
     every = claims(None)
     assert {t for d, t in every if d == 1} == {"We will cut.", "It was said.", "We will not.", "And it was so.", "“We are green,” they say.", "We will grow."}

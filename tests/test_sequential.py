@@ -1,5 +1,6 @@
 """Operators whose reference form is a loop, held against that loop; file sources and user scorers."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -34,6 +35,29 @@ def test_greedy_match_of_a_long_chain(spark):
     assert {(r.a, r.b) for r in alone} == {(1, 2), (4, 3)}
 
 
+def test_greedy_match_in_rounds(spark):
+    """Groups beyond the limit go through rounds: random pairs with null keys, one hot side, and chains that stop the rounds."""
+    rng = random.Random(11)
+    rows = {(d, rng.choice([None, *range(40)]), rng.choice([0, 0, 0, *range(40)])): rng.randint(0, 9) for d in (1, 2) for _ in range(600)}
+    rows |= {(3, i // 2 + i % 2, i // 2): i for i in range(300)}
+    rows = [(*k, g) for k, g in rows.items()]
+    table = spark.createDataFrame(rows, "d int, a int, b int, gap int")
+    want, used = set(), set()
+    low = lambda v: (v is not None, v)
+    for d, a, b, g in sorted(rows, key=lambda r: (r[3], low(r[1]), low(r[2]))):
+        if ("a", d, a) not in used and ("b", d, b) not in used:
+            used |= {("a", d, a), ("b", d, b)}
+            want.add((d, a, b, g))
+    order = [F.col("gap"), F.col("a"), F.col("b")]
+    for limit in (0, 10, 350):
+        got = ma.greedy_match(table, order, ["d", "a"], ["d", "b"], group_rows=limit).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    alone = table.where("d = 1").drop("d")
+    whole = ma.greedy_match(alone, order, ["a"], ["b"], group_rows=5).collect()
+    assert {(1, *r) for r in whole} == {r for r in want if r[0] == 1}
+    assert ma.greedy_match(table.limit(0), order, ["d", "a"], ["d", "b"], group_rows=0).count() == 0
+
+
 def test_quote_attribution(spark):
     kinds = "quote paragraph paragraph paragraph paragraph quote long paragraph heading paragraph quote paragraph".split()
     rows = [(1, i, "paragraph" if k == "long" else k, 1 if k == "heading" else None, "a b c" if k != "long" else "word " * 12) for i, k in enumerate(kinds)]
