@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .segments import running
 
 
 def _by():
@@ -75,8 +76,8 @@ def group_paragraphs(blocks: DataFrame) -> DataFrame:
 
 def assemble_text(blocks: DataFrame, sep: str = "\n\n") -> tuple[DataFrame, DataFrame]:
     """(texts, regions): the blocks of each document joined, and each one's place in the text."""
-    start = F.coalesce(F.sum(F.length("text") + len(sep)).over(_by().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    regions = blocks.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    placed = running(blocks, ["document_id"], ["block_no"], {"start": ("sum", F.length("text") + len(sep))})
+    regions = placed.withColumn("end", F.col("start") + F.length("text"))
     texts = blocks.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), sep).alias("text"))
     return texts, regions
 

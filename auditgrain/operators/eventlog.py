@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TERMINAL = ("analysis.completed", "analysis.failed")
+from .segments import BLOCK, running
 
+TERMINAL = ("analysis.completed", "analysis.failed")
 
-def _by():
-    return Window.partitionBy("analysis_id").orderBy("seq")
 
+def envelope_violations(events: DataFrame, started: str = "analysis.started", terminal: tuple[str, ...] = TERMINAL, block: int = BLOCK) -> DataFrame:
+    """(analysis_id, seq, rule): seq has a gap or repeat, t_ms goes back, started isn't first only, terminal isn't last only (or never comes).
 
-def envelope_violations(events: DataFrame, started: str = "analysis.started", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
-    """(analysis_id, seq, rule): seq has a gap or repeat, t_ms goes back, started isn't first only, terminal isn't last only (or never comes)."""
-    prev_seq, prev_t = F.lag("seq").over(_by()), F.lag("t_ms").over(_by())
-    after = F.lead("seq").over(_by())
+    An analysis of more than ``block`` events is checked in blocks."""
+    seen = running(events, ["analysis_id"], ["seq"], {"__ps": ("lag", F.col("seq")), "__pt": ("lag", F.col("t_ms")), "__ns": ("lead", F.col("seq"))}, block)
+    prev_seq, prev_t, after = F.col("__ps"), F.col("__pt"), F.col("__ns")
     rules = F.array_compact(F.array(
         F.when(prev_seq.isNotNull() & (F.col("seq") != prev_seq + 1), "seq"), F.when(F.col("t_ms") < prev_t, "t_ms"),
         F.when((F.col("type") == started) & prev_seq.isNotNull(), "started_again"), F.when((F.col("type") != started) & prev_seq.isNull(), "not_started"),
         F.when(F.col("type").isin(*terminal) & after.isNotNull(), "after_terminal"), F.when(~F.col("type").isin(*terminal) & after.isNull(), "not_terminated"),
     ))
-    return events.withColumn("__r", rules).select("analysis_id", "seq", F.explode("__r").alias("rule"))
+    return seen.withColumn("__r", rules).select("analysis_id", "seq", F.explode("__r").alias("rule"))
 
 
-def clamp_time(events: DataFrame) -> DataFrame:
-    """Events stamped earlier than one before them take that one's time."""
-    return events.withColumn("t_ms", F.max("t_ms").over(_by().rowsBetween(Window.unboundedPreceding, 0)))
+def clamp_time(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Events stamped earlier than one before them take that one's time; an analysis of more than ``block`` events goes in blocks."""
+    got = running(events, ["analysis_id"], ["seq"], {"__t": ("max", F.col("t_ms"))}, block)
+    return got.withColumn("t_ms", F.col("__t")).drop("__t")
 
 
 def log_catalogue(events: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
@@ -59,12 +60,27 @@ def fold_log(events: DataFrame, key: str = "entity_id") -> DataFrame:
     return events.groupBy("analysis_id", "type", key).agg(F.max("seq").alias("seq"), F.max_by("payload", "seq").alias("payload"))
 
 
-def stage_spans(events: DataFrame, start: str = "stage.started", end: str = "stage.completed", stage: str = "entity_id") -> DataFrame:
+def stage_spans(events: DataFrame, start: str = "stage.started", end: str = "stage.completed", stage: str = "entity_id", block: int = BLOCK) -> DataFrame:
     """(analysis_id, stage, start_seq, end_seq): from each start of a stage to its next completion (null: still open)."""
-    marks = events.where(F.col("type").isin(start, end)).withColumn("done", F.first(F.when(F.col("type") == end, F.col("seq")), ignorenulls=True).over(Window.partitionBy("analysis_id", stage).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)))
+    marks = events.where(F.col("type").isin(start, end))
+    marks = running(marks, ["analysis_id", stage], ["seq"], {"done": ("next", F.when(F.col("type") == end, F.col("seq")))}, block)
     return marks.where(F.col("type") == start).select("analysis_id", F.col(stage).alias("stage"), F.col("seq").alias("start_seq"), F.col("done").alias("end_seq"))
 
 
+def open_stages(events: DataFrame, start: str = "stage.started", end: str = "stage.completed", stage: str = "entity_id", block: int = BLOCK) -> DataFrame:
+    """events with ``open_before``: how many stages were open just before each, from one scan in the order of seq.
+
+    A start of a stage opens it, a completion closes it; a repeated start or a stray completion changes nothing."""
+    kind = F.when(F.col("type").isin(start, end), F.col("type"))
+    marks = running(events.where(kind.isNotNull()), ["analysis_id", stage], ["seq"], {"__was": ("lag", F.col("type"))}, block)
+    was_open = F.coalesce(F.col("__was") == start, F.lit(False))
+    change = F.when((F.col("type") == start) & ~was_open, 1).when((F.col("type") == end) & was_open, -1).otherwise(0)
+    steps = marks.withColumn("__step", change).drop("__was")
+    rest = events.where(kind.isNull()).withColumn("__step", F.lit(0))
+    counted = running(steps.unionByName(rest), ["analysis_id"], ["seq"], {"open_before": ("sum", F.col("__step"))}, block)
+    return counted.drop("__step")
+
+
 def events_in_stage(events: DataFrame, spans: DataFrame, owners: DataFrame) -> DataFrame:
     """Domain events with ``inside``: whether one of their owner stages is open then.  owners: type, stage."""
     owned = events.join(owners, "type")

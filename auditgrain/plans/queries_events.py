@@ -57,6 +57,21 @@ def x4_status(t):
 _SPANS = "SELECT a.analysis_id, a.entity_id AS stage, a.seq AS start_seq, (SELECT min(b.seq) FROM v_log b WHERE b.analysis_id = a.analysis_id AND b.entity_id = a.entity_id AND b.type = 'stage.completed' AND b.seq > a.seq) AS end_seq FROM v_log a WHERE a.type = 'stage.started'"
 
 
+@query("""WITH m AS (SELECT *, CASE WHEN type IN ('stage.started', 'stage.completed') THEN lag(type) OVER (PARTITION BY analysis_id, entity_id, type IN ('stage.started', 'stage.completed') ORDER BY seq) END AS was FROM v_log),
+c AS (SELECT *, CASE WHEN type = 'stage.started' AND was IS DISTINCT FROM 'stage.started' THEN 1 WHEN type = 'stage.completed' AND was = 'stage.started' THEN -1 ELSE 0 END AS step FROM m)
+SELECT analysis_id, seq, CAST(coalesce(sum(step) OVER (PARTITION BY analysis_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS open_before FROM c""")
+def x5_open_stages(t):
+    """How many stages are open at each event, with blocks of a hundred events."""
+    return ev.open_stages(t.v_log, block=100).select("analysis_id", "seq", "open_before")
+
+
+@query("SELECT 1 AS analysis_id, event_id AS seq, max(epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN 86400000000 ELSE 0 END) OVER (ORDER BY event_id) AS t_ms FROM events")
+def x6_clamp_one_analysis(t):
+    """All events as one analysis, in blocks of a thousand."""
+    late = F.unix_micros(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 7 == 0, 86_400_000_000).otherwise(0)
+    return ev.clamp_time(t.events.select(F.lit(1).alias("analysis_id"), F.col("event_id").alias("seq"), late.alias("t_ms")), block=1_000)
+
+
 @query(f"""WITH s AS ({_SPANS}), o(type, stage) AS (VALUES ('claim.extracted', 1), ('claim.extracted', 2), ('evidence.added', 3)) SELECT e.analysis_id, e.seq, e.type, bool_or(coalesce(e.seq > s.start_seq AND (s.end_seq IS NULL OR e.seq < s.end_seq), false)) AS inside
 FROM v_log e JOIN o ON o.type = e.type LEFT JOIN s ON s.analysis_id = e.analysis_id AND s.stage = o.stage GROUP BY 1, 2, 3""")
 def j31_events_in_stage(t):

@@ -159,7 +159,7 @@ def with_views(sql: str) -> str:
     _needed(sql, have)
     if not have:
         return sql
-    heads = ",\n".join(f"{n} AS ({q})" for n, q in have.items())
+    heads = ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in have.items())  # each view once, however often it is named
     body = sql.lstrip()
     if body[:15].upper() == "WITH RECURSIVE ":
         return f"WITH RECURSIVE {heads},\n{body[15:]}"
