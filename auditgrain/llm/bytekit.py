@@ -7,6 +7,7 @@ a task's memory is bounded by the slice (or by its longest single text).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,11 +86,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
+#: From so many bytes on, a range has a cryptographic hash: a polynomial modulo 2^64 gives some pairs of long texts the same value.
+LONG = 256
+
+
 class Poly:
     """Hashes of arbitrary byte ranges of a buffer, equal for equal bytes wherever they stand."""
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
+        self.raw = raw
         power, self.inverse = _powers(n)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
         terms = raw.astype(np.uint64)
@@ -100,7 +106,10 @@ class Poly:
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of ``raw[start:end]`` for each pair; the length is mixed in."""
         h = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * MIX_B)
+        h = mix(h + (end - start).astype(np.uint64) * MIX_B)
+        for i in np.flatnonzero(end - start >= LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.raw[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
 
     def grams(self, k: int) -> np.ndarray:
         """Mixed hash of every ``k`` consecutive bytes; one entry for each start."""

@@ -4,8 +4,8 @@ Words are made canonical (lower case, outer punctuation off); numbers, names and
 placeholders, and neighbouring numbers or names one placeholder, so that a name of one word may stand for a name of three.
 Windows of placeholders and words of documents are hash-joined with those of the benchmark, so a question
 whose numbers or names were changed still matches; slot consistency (each value of the item always stands
-for the same value of the document, and the other way round) tells it from chance.  A window with few literal
-words is compared as written; an item shorter than a window is one window of its own length."""
+for the same value of the document) tells it from chance.  A window with few literal words
+is compared as written, and a longer one of up to twelve words around it stands for it too if that has enough of them.  An item shorter than a window is one window of its own length."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ from .bytekit import BASE, MIX_A, Poly, list_array, lower_ascii, mix, slices, te
 WINDOW = 8
 #: Of so many words of a window, at least five eighths must be literal for its template to count.
 LITERALS = 5
+#: Words of the window that stands for one with too few literal words (fewer in shorter items).
+DENSE = 12
 #: An item of fewer words than this is held only by a document that is nothing else.
 SHORT = 4
 #: Benchmark windows up to this number (16 MB) are sent to every task; more are joined by shuffling.
@@ -82,49 +84,85 @@ def canonical(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def template_windows(token: np.ndarray, slot: np.ndarray, counts: np.ndarray, size: int, rows: np.ndarray):
-    """(hash, row, word number, place) of the windows of ``size`` words in the marked ``rows``.
+    """(hash, row, word number, place, open) of the windows of ``size`` words in the marked ``rows``.
 
-    The hash is that of the template, or of the words as written where fewer than LITERALS of WINDOW are literal."""
+    The hash is that of the template where the window is open: five eighths of up to WINDOW words, or LITERALS of more, are literal; else
+    that of the words as written."""
     begin = np.cumsum(counts) - counts
     span = np.where(rows, np.maximum(counts - size + 1, 0), 0)
     total = int(span.sum())
     r = np.repeat(np.arange(len(counts)), span)
     pos = np.arange(total) - np.repeat(np.cumsum(span) - span, span)
     at = begin[r] + pos
-    acc, whole = np.full(total, np.uint64(size)), np.full(total, np.uint64(size))
-    literal = np.concatenate([[0], np.cumsum(slot == 0)])
+    open_ = _open(slot, at, size)
+    h = np.empty(total, dtype=np.uint64)
     exact = np.where(slot == 0, token, slot)
-    for k in range(size):
-        acc = acc * BASE + token[at + k]
-        whole = whole * BASE + exact[at + k]
-    open_ = (literal[at + size] - literal[at]) * WINDOW >= LITERALS * size
-    return np.where(open_, mix(acc), mix(whole ^ MIX_A)), r, pos, at
+    for on, words in ((open_, token), (~open_, exact)):
+        acc, place = np.full(int(on.sum()), np.uint64(size)), at[on]
+        for k in range(size):
+            acc = acc * BASE + words[place + k]
+        h[on] = mix(acc if words is token else acc ^ MIX_A)
+    return h, r, pos, at, open_
+
+
+def _open(slot: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    literal = np.concatenate([[0], np.cumsum(slot == 0)])
+    return (literal[at + size] - literal[at]) * WINDOW >= LITERALS * min(size, WINDOW)
 
 
-_DDL = "id long, h long, pos int, slots array<long>"
+_DDL = "id long, h long, pos int, start int, slots array<long>"
 
 
 def _emit(part: pa.RecordBatch, key: str, sizes: list[int] | None, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Windows of the rows: of WINDOW words, or, without ``sizes``, of an item's own length; with ``sizes`` of these lengths too."""
+    """Windows of documents, of WINDOW words and of the other ``sizes`` that items have; without ``sizes``, those of items.
+
+    Longer windows than WINDOW are made only around windows that are not open.  In items they stand for such a one too: they have its ``pos``
+    and a ``start`` of their own."""
     token, slot, counts = canonical(part)
-    for size in range(1, WINDOW + 1):
-        if sizes is None:
-            rows = counts == size if size < WINDOW else counts >= WINDOW
-        elif size == WINDOW:
-            rows = counts >= WINDOW
-        elif size in sizes:
-            rows = counts == size if size < SHORT else counts >= size
-        else:
-            continue
-        if not rows.any():
-            continue
-        h, row, pos, at = template_windows(token, slot, counts, size, rows)
+
+    def batch(h, row, pos, at, size, start=None):
+        start = pos if start is None else start
         if wanted is not None:
             on = _among(h, wanted) if len(wanted) else np.zeros(len(h), dtype=bool)
-            h, row, pos, at = h[on], row[on], pos[on], at[on]
+            h, row, pos, at, start = h[on], row[on], pos[on], at[on], start[on]
         values = slot[(at[:, None] + np.arange(size)).ravel()] if len(at) else np.zeros(0, dtype=np.uint64)
         ids = part.column(key).cast(pa.int64()).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(pos, pa.int32()), list_array(pa.array(values.view(np.int64)), np.full(len(h), size))], names=["id", "h", "pos", "slots"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(pos, pa.int32()), pa.array(start, pa.int32()), list_array(pa.array(values.view(np.int64)), np.full(len(h), size))], names=["id", "h", "pos", "start", "slots"])
+
+    for size in range(1, WINDOW):
+        rows = counts == size if sizes is None or size < SHORT else counts >= size
+        if (sizes is None or size in sizes) and rows.any():
+            yield batch(*template_windows(token, slot, counts, size, rows)[:4], size)
+    if not (counts >= WINDOW).any():
+        return
+    h, row, pos, at, open_ = template_windows(token, slot, counts, WINDOW, counts >= WINDOW)
+    shut = np.zeros(len(token) + 1, dtype=np.int64)
+    shut[at[~open_] + 1] = 1
+    shut = np.cumsum(shut)
+    yield batch(h, row, pos, at, WINDOW)
+    for size in range(WINDOW + 1, DENSE + 1):
+        rows = (counts >= size if size == DENSE else counts == size) if sizes is None else counts >= size
+        if (sizes is not None and size not in sizes) or not rows.any() or open_.all():
+            continue
+        begin = np.cumsum(counts) - counts
+        if sizes is None:  # of an item: the window that holds the one it stands for, inside the item
+            own = np.flatnonzero(~open_ & rows[row])
+            first = np.minimum(pos[own], counts[row[own]] - size)
+            there = _open(slot, begin[row[own]] + first, size)
+            which = np.stack([row[own[there]], pos[own[there]], first[there]], axis=1)
+        else:
+            span = np.where(rows, counts - size + 1, 0)
+            r = np.repeat(np.arange(len(counts)), span)
+            first = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
+            place = begin[r] + first
+            on = (shut[place + size - WINDOW + 1] > shut[place]) & _open(slot, place, size)
+            which = np.stack([r[on], first[on], first[on]], axis=1)
+        place = begin[which[:, 0]] + which[:, 2]
+        acc = np.full(len(which), np.uint64(size))
+        for k in range(size):
+            acc = acc * BASE + token[place + k]
+        if len(which):
+            yield batch(mix(acc), which[:, 0], which[:, 1], place, size, which[:, 2])
 
 
 def _windows(df: DataFrame, key: str, sizes: list[int] | None = None, wanted=None) -> DataFrame:
@@ -140,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5,
 
     An item counts as held when at least ``coverage`` of its windows stand in one place of the document (at
     one displacement, or at several within half the item's length) and the slots are consistent there;
-    kind is verbatim when all slot values are equal, else template.  Items of fewer than WINDOW words are one
+    kind is verbatim where the whole item stands there with equal values, partial where a part of it does, else template.  Items of fewer than WINDOW words are one
     window; of fewer than SHORT, held by documents that are nothing else.  Null and empty texts match
     nothing; items of one item_id are one item, repeated rows of a doc_id one document.  Other columns are not read."""
     items = _windows(benchmark.select("item_id", "text"), "item_id").distinct()
@@ -156,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5,
     lengths = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("n_windows"))
     a, b = seen.alias("a"), items.alias("b")
     pairs = a.join(b, F.col("a.h") == F.col("b.h")).select(
-        F.col("a.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("a.pos") - F.col("b.pos")).alias("shift"), F.col("b.pos").alias("pos"),
+        F.col("a.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("a.start") - F.col("b.start")).alias("shift"), F.col("b.pos").alias("pos"),
         F.filter(F.arrays_zip(F.col("b.slots").alias("i"), F.col("a.slots").alias("d")), lambda x: x["i"] != 0).alias("slots"),
     )
     wide = F.greatest(F.col("n_windows"), F.lit(WINDOW))  # places overlap by half, so two near displacements share one
@@ -168,11 +206,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5,
         pairs.join(lengths, "item_id").withColumn("place", F.explode(places)).groupBy("doc_id", "item_id", "place")
         .agg(F.count_distinct("pos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.first("n_windows").alias("n_windows"))
     )
-    distinct = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: x[f])))
+    distinct = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: x[f])))  # noqa: E731  (a value of the item has one of the document)
     checked = (
         at.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-        .where((F.col("coverage") >= coverage) & (distinct("i") == F.size("slots")) & (distinct("d") == F.size("slots")))
-        .withColumn("kind", F.when(F.forall("slots", lambda x: x["i"] == x["d"]), "verbatim").otherwise("template"))
+        .where((F.col("coverage") >= coverage) & (distinct("i") == F.size("slots")))
+        .withColumn("kind", F.when(F.exists("slots", lambda x: x["i"] != x["d"]), "template").when(F.col("n_matched") < F.col("n_windows"), "partial").otherwise("verbatim"))
     )
     return checked.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("coverage").alias("coverage"), F.max_by("kind", F.struct("n_matched", "kind")).alias("kind"))
 

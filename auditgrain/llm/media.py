@@ -147,11 +147,13 @@ def _sizes(data: bytes, t: dict) -> np.ndarray:
 def read_tracks(data: bytes) -> list[Track]:
     """Tracks of a container, from its tables alone; ValueError where they contradict the file.
 
-    Fragments (moof) are not read: a track then ends with its moov."""
+    Fragments are not read: a file that has them is an error, never a track that seems shorter than it is."""
     tracks, cur = [], None
     found: list[dict] = []
     for path, a, b in _flatten(data):
         kind = path[-1]
+        if kind in (b"moof", b"mvex"):
+            raise ValueError("fragments are not read")
         if kind == b"trak":
             cur = {}
             found.append(cur)
@@ -182,7 +184,9 @@ def read_tracks(data: bytes) -> list[Track]:
         before = np.cumsum(sizes) - sizes
         first = np.cumsum(per) - per
         offsets = chunk[which] + before - before[np.minimum(first, max(n - 1, 0))][which] if n else sizes
-        if n and int((offsets + sizes).max()) > len(data):
+        if b"ctts" in t and int(_table(data, *t[b"ctts"], ">u4", 2)[:, 0].sum()) != n:
+            raise ValueError("composition times and samples disagree")
+        if n and (int(chunk.min()) < 0 or int((offsets + sizes).max()) > len(data)):  # a 64-bit offset beyond the signed ones is below 0 here
             raise ValueError("a sample goes beyond the file")
         keys = _table(data, *t[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t else np.arange(n)
         if len(keys) and (keys.min() < 0 or keys.max() >= n):

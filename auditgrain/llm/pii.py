@@ -152,18 +152,33 @@ def _pieces(values: list[int], bases: list[int], key: bytes, kind: str, back: bo
     return out
 
 
+@lru_cache(maxsize=4096)
+def _alike(c: str) -> str:
+    """The characters that may stand for ``c``: digits, letters a-z of its case, or letters of its case in its 64 code points."""
+    if c in "0123456789":
+        return "0123456789"
+    if c.lower() in _LETTERS:
+        return _LETTERS.upper() if c.isupper() else _LETTERS
+    if not c.isalpha():
+        return ""
+    block = map(chr, range(ord(c) & ~63, (ord(c) | 63) + 1))
+    return "".join(x for x in block if x.isalpha() and (x.islower(), x.isupper()) == (c.islower(), c.isupper()))
+
+
 def _alnum(kind: str, letters: str = _LETTERS):
-    """Letters among letters (case kept), digits among digits; other characters stay."""
+    """Letters among letters (case and script kept), digits among digits; other characters stay."""
 
     def f(text, key, back):
-        at = [i for i, c in enumerate(text) if c.isdigit() or c.lower() in letters]
+        kinds = [_alike(c) for c in text]
+        if letters != _LETTERS:
+            kinds = [k if k[:1].isdigit() else letters.upper() if c.isupper() else letters for c, k in zip(text, kinds, strict=True)]
+        at = [i for i, k in enumerate(kinds) if k]
         if not at:
             return text
-        bases = [10 if text[i].isdigit() else len(letters) for i in at]
-        values = [int(text[i]) if b == 10 and text[i].isdigit() else letters.index(text[i].lower()) for i, b in zip(at, bases, strict=True)]
+        values = _pieces([kinds[i].index(text[i]) for i in at], [len(kinds[i]) for i in at], key, kind, back)
         out = list(text)
-        for i, v in zip(at, _pieces(values, bases, key, kind, back), strict=True):
-            out[i] = str(v) if text[i].isdigit() else letters[v].upper() if text[i].isupper() else letters[v]
+        for i, v in zip(at, values, strict=True):
+            out[i] = kinds[i][v]
         return "".join(out)
 
     return f
@@ -276,8 +291,10 @@ _INSIDE = re.compile(
 )
 _CHECK = {"card": _is_card, "ip": _is_ip, "ssn": _is_ssn, "date": lambda t: _date_parts(t) is not None, "iban": _is_iban}
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", re.A)
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+# letters of alphabetic scripts; words of scripts without spaces may touch an address and are no part of it
+_ANY = "A-Za-zÀ-ÖØ-öø-ʯ\u0300-\u036fͰ-\u1fff"
+_LOCAL = re.compile(rf"[{_ANY}0-9._%+-]")
+_DOMAIN = re.compile(rf"@[{_ANY}0-9-]+(?:\.[{_ANY}0-9-]+)*\.[{_ANY}]{{2,}}")
 _SECRET = re.compile(r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|secret[_-]key|client[_-]secret|token|auth[_-]token|access[_-]token|api[_-]?key|access[_-]key)\"? ?([=:]) ?[\"']?([!#-&(-+\--:<-~]{6,})")
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9])(?:{_PREFIX.pattern})[A-Za-z0-9_-]{{10,}}")
 _IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![0-9A-Za-z:.]*[0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-F]{0,4}:){2,7}[0-9A-F]{0,4}(?![0-9A-Za-z:.]*[0-9A-Za-z:])")

@@ -60,6 +60,18 @@ def test_jaccard_components(spark, sf, odd, block):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("power", [10, 11, 12])
+def test_long_words_of_equal_polynomials(spark, power):
+    """A word and its complement whose polynomial hashes modulo 2^64 are equal for every odd base: no link, no match."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << power)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {(1, 1), (2, 2), (3, 1)}
+    items = spark.createDataFrame([(7, " ".join([a] * 9))], "item_id long, text string")
+    texts = spark.createDataFrame([(1, " ".join([b] * 9)), (2, " ".join([a] * 9))], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination(texts, items).collect()} == {2}
+
+
 def test_jaccard_representatives(odd, empty):
     kept = jaccard.keep_representatives(odd)
     assert kept.columns == odd.columns
@@ -375,12 +387,27 @@ def test_decontamination(spark, odd, empty):
     wrong = item.replace("40", "35").replace("60", "35")
     docs = spark.createDataFrame([(1, f"intro words here. {item} and more"), (2, f"x {other} y"), (3, "nothing of the kind is said in this text at all"), (4, None), (5, f"z {wrong} z"), (1, f"again {item}")], "doc_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
-    assert set(got) == {1, 2} and got[1].kind == "verbatim" and got[2].kind == "template"
+    assert set(got) == {1, 2, 5} and got[1].kind == "verbatim" and got[2].kind == "template" and got[5].kind == "template"  # two values may become one
     shuffled = {r.doc_id for r in decontaminate.contamination(docs, bench, broadcast_windows=0).collect()}
-    assert shuffled == {1, 2}
+    assert shuffled == {1, 2, 5}
+    split = item.replace("miles", "40").replace("40 40", "40 miles")  # one value of the item for two of the document
+    assert decontaminate.contamination(docs.where("doc_id = 2"), spark.createDataFrame([(1, split)], "item_id long, text string")).where("coverage >= 0.9").count() == 0
     assert decontaminate.contamination(odd, bench).count() == 0 and decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
-    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4, 5}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4}
+
+
+def test_decontamination_of_dense_items(spark):
+    """Items with many numbers are found with other numbers through longer windows; a name changed outside them is not called verbatim."""
+    dense = "Add 3 to 14, then take 5 from 27, double 8 and divide 90 by 6"
+    short = "Add 3 to 14, take 5 from 27 and double 8"
+    bench = spark.createDataFrame([(1, dense), (2, short)], "item_id long, text string")
+    other = "Add 31 to 4, then take 52 from 7, double 18 and divide 9 by 16"
+    rows = [(1, f"So: {other} it says"), (2, f"intro {short} outro"), (3, "intro Add 8 to 9, take 1 from 2 and double 77 outro"), (4, "Add up to the sum, then take it from there, double it and divide it by half"), (5, dense[: len(dense) - 8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (0, 1000):
+        got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contamination(docs, bench, broadcast_windows=limit).collect()}
+        assert got == {(1, 1): "template", (2, 2): "verbatim", (3, 2): "template", (5, 1): "partial"}
 
 
 def test_decontamination_other_lengths(spark):
@@ -394,7 +421,7 @@ def test_decontamination_other_lengths(spark):
     ]
     docs = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], "doc_id long, text string, item_id string, pos string, n_windows string, h string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contamination(docs, bench).collect()}
-    assert got == {(1, 1): "template", (2, 2): "verbatim", (3, 3): "verbatim", (4, 4): "verbatim", (6, 1): "verbatim", (7, 1): "template", (8, 1): "template"}
+    assert got == {(1, 1): "template", (2, 2): "verbatim", (3, 3): "verbatim", (4, 4): "verbatim", (6, 1): "partial", (7, 1): "template", (8, 1): "template"}
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
