@@ -62,9 +62,24 @@ def misses(cases: DataFrame, threshold: float = DEFAULT.threshold) -> DataFrame:
     return cases.withColumn("missed", (F.col("likelihood") > threshold) != (F.col("label") == 1))
 
 
-def leave_one_out(cases: DataFrame, store: DataFrame) -> DataFrame:
-    """Every case with every entry of a (small) store but its own."""
-    return cases.join(F.broadcast(store), cases["case_id"] != store["entry_id"]) if store.count() <= 10_000 else cases.join(store, cases["case_id"] != store["entry_id"])
+def leave_one_out(cases: DataFrame, store: DataFrame, values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """For every case the store without its own entry: n_others and, for each of ``values``, ``<value>_sum`` and ``<value>_mean``.
+
+    cases: case_id and the columns ``by``; store: entry_id, ``by`` and ``values``.  With ``by``, only entries that agree there count.  No case meets
+    an entry: the sums of all entries less those of its own are what is left, so the cost is that of the two tables, not of their
+    pairs.  Null values count as entries and add nothing; means are null without a value.  Cases that no other entry is left for are not given."""
+    agg = [F.count(F.lit(1)).alias("n")] + [x for v in values for x in (F.sum(v).alias(f"s_{v}"), F.count(v).alias(f"k_{v}"))]
+    names = ["n"] + [f"{x}_{v}" for v in values for x in "sk"]
+    total = store.groupBy(*by).agg(*agg)
+    own = store.groupBy(F.col("entry_id").alias("case_id"), *by).agg(*agg)
+    c, t, o = cases.select("case_id", *by).alias("c"), total.alias("t"), own.alias("o")
+    same = lambda a, b: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in by]
+    rest = c.join(t, same("c", "t")) if by else c.crossJoin(F.broadcast(t))  # one row
+    rest = rest.join(o, [F.col("c.case_id") == F.col("o.case_id"), *same("c", "o")], "left")
+    left = {x: F.coalesce(F.col(f"t.{x}"), F.lit(0)) - F.coalesce(F.col(f"o.{x}"), F.lit(0)) for x in names}
+    out = rest.select("c.case_id", *(F.col(f"c.{x}") for x in by), *(v.alias(k) for k, v in left.items())).where("n > 0")
+    sums = [x for v in values for x in (F.when(F.col(f"k_{v}") > 0, F.col(f"s_{v}")).alias(f"{v}_sum"), F.try_divide(f"s_{v}", f"k_{v}").alias(f"{v}_mean"))]
+    return out.select("case_id", *by, F.col("n").alias("n_others"), *sums)
 
 
 def rank_cases(cases: DataFrame) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .automaton import term_hits
 
-SMALL = 2_000
-
-
 def mentions(docs: DataFrame, terms: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """(doc_key, term): terms that stand in each text as whole words, case aside; from one pass over the texts for all terms.
 
@@ -21,21 +18,6 @@ def mentions(docs: DataFrame, terms: DataFrame, doc_key: str = "doc_id") -> Data
     return seen.join(written, "__t").select(doc_key, "term").distinct()
 
 
-def every_pair(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Every row of docs beside every row of ids, one column each.
-
-    Up to SMALL ids (counted) are broadcast; more are dealt in blocks of about SMALL to a shuffled join, each block
-    once for each slice of docs."""
-    n = ids.count()
-    if n <= SMALL:
-        return docs.crossJoin(F.broadcast(ids))
-    blocks, slices = -(-n // SMALL), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    of = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
-    number = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    d = docs.withColumn("__s", of(docs, slices)).withColumn("__b", number(blocks))
-    return d.join(ids.withColumn("__b", of(ids, blocks)).withColumn("__s", number(slices)), ["__b", "__s"]).drop("__b", "__s")
-
-
 def topic_matches(docs: DataFrame, topics: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """A row for each document: (doc_key, topics array<struct<topic, seen, n_terms>>), all topics by name, with the terms seen, sorted.
 
@@ -56,13 +38,19 @@ def topic_coverage(docs: DataFrame, topics: DataFrame, doc_key: str = "doc_id")
     return each.select(doc_key, "t.topic", F.when(F.size("t.seen") > 0, F.col("t.seen")).alias("seen"), (F.size("t.seen") == 0).alias("absent"))
 
 
-def hold_out(docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:
-    """(doc_key, ruling_id): rulings that may be used for each document: not those on the document's own url.
+def excluded_rulings(docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:
+    """(doc_key, ruling_id): the rulings on each document's own url, which must not be used for it; all others may.
 
     docs: doc_key, url; rulings: ruling_id, adjudicated_url (one row for each url; null for none)."""
-    ids = rulings.select("ruling_id").distinct()
-    own = docs.select(doc_key, tx.norm_url(F.col("url")).alias("u")).join(rulings.select("ruling_id", tx.norm_url(F.col("adjudicated_url")).alias("u")), "u").select(doc_key, "ruling_id")
-    return every_pair(docs.select(doc_key), ids).join(own, [doc_key, "ruling_id"], "left_anti")
+    own = docs.select(doc_key, tx.norm_url(F.col("url")).alias("u")).join(rulings.select("ruling_id", tx.norm_url(F.col("adjudicated_url")).alias("u")), "u")
+    return own.select(doc_key, "ruling_id").distinct()
+
+
+def hold_out(uses: DataFrame, docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:
+    """``uses`` (doc_key, ruling_id and more) without those of rulings on the document's own url.
+
+    What is excluded is kept as pairs, never what is allowed: the cost is that of the uses, not of documents times rulings."""
+    return uses.join(excluded_rulings(docs, rulings, doc_key), [doc_key, "ruling_id"], "left_anti")
 
 
 def place_by_code(docs: DataFrame, entries: DataFrame, doc_key: str) -> DataFrame:

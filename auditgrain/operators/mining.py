@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import settled
 from .automaton import term_hits
 from .spans import line_regions
 
@@ -147,13 +150,90 @@ def compare_versions(old: DataFrame, new: DataFrame, key: str = "document_id") -
     return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
 
 
+def _best_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's pairs, sorted by document, old number and falling new number, the heaviest set that rises in both numbers."""
+
+    def solve(doc, old, new, weight):
+        rank = {v: i + 1 for i, v in enumerate(sorted(set(new)))}
+        tree = [(0.0, -1)] * (len(rank) + 1)  # best chain that ends at a new number of at most this rank
+        best, before = [], []
+        for k, (n, w) in enumerate(zip(new, weight, strict=True)):
+            i, top = rank[n] - 1, (0.0, -1)
+            while i > 0:
+                top = max(top, tree[i], key=lambda x: x[0])
+                i -= i & -i
+            best.append(top[0] + w)
+            before.append(top[1])
+            i = rank[n]
+            while i < len(tree):
+                if best[k] > tree[i][0]:
+                    tree[i] = (best[k], k)
+                i += i & -i
+        k, out = max(range(len(best)), key=lambda k: best[k], default=-1), []
+        while k >= 0:
+            out.append((doc, old[k], new[k]))
+            k = before[k]
+        return out
+
+    doc, held = None, ([], [], [])
+    for b in batches:
+        done = []
+        for d, o, n, w in zip(*(b.column(c).to_pylist() for c in ("document_id", "old_no", "new_no", "weight")), strict=True):
+            if d != doc and held[0]:
+                done += solve(doc, *held)
+                held = ([], [], [])
+            doc = d
+            for rows, v in zip(held, (o, n, w), strict=True):
+                rows.append(v)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["document_id", "old_no", "new_no"])
+    if held[0] and (done := solve(doc, *held)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["document_id", "old_no", "new_no"])
+
+
+def align_sentences(old: DataFrame, new: DataFrame, bar: float = 0.5) -> DataFrame:
+    """(document_id, old_no, new_no, old, new): each sentence of an old version beside its restatement in the new one; null where there is none.
+
+    old and new: document_id (a number), sentence_no, text.  Equal sentences are paired in order first.  Of the others those are candidates that share ``bar`` of the
+    smaller one's content words, numbers aside; they meet on their rarest words only.  A document's pairs are the set of candidates that keeps the
+    order of both versions and shares most (shared words, weighted by how alike the two are).  Sentences without content words pair only when equal."""
+    from .matching import word_pairs
+
+    def side(d: DataFrame) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy("document_id", "h").orderBy("sentence_no"))
+        words = F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]"))
+        return d.select("document_id", "sentence_no", "text", F.xxhash64(tx.squash(F.col("text"))).alias("h")).withColumn("turn", turn).withColumn("words", words)
+
+    o, n = settled(side(old)), settled(side(new))
+    key = ["document_id", "h", "turn"]
+    equal = o.select(*key, F.col("sentence_no").alias("old_no")).join(n.select(*key, F.col("sentence_no").alias("new_no")), key).select("document_id", "old_no", "new_no")
+    rest = [a.join(b.select(key), key, "left_anti").select("document_id", F.col("sentence_no").alias("id"), "words") for a, b in ((o, n), (n, o))]
+    pairs = word_pairs(rest[1], rest[0], bar).select("document_id", F.col("ref_id").alias("old_no"), F.col("live_id").alias("new_no"))
+    sized = lambda d, name: d.select("document_id", F.col("sentence_no").alias(name), F.col("words").alias("w_" + name))
+    shared = F.size(F.array_intersect("w_old_no", "w_new_no"))
+    weight = shared * 2.0 * shared / (F.size("w_old_no") + F.size("w_new_no"))
+    weighed = pairs.join(sized(o, "old_no"), ["document_id", "old_no"]).join(sized(n, "new_no"), ["document_id", "new_no"]).select(
+        F.col("document_id").cast("long").alias("document_id"), F.col("old_no").cast("long").alias("old_no"), F.col("new_no").cast("long").alias("new_no"), weight.alias("weight"))
+    chain = weighed.repartition("document_id").sortWithinPartitions("document_id", "old_no", F.desc("new_no")).mapInArrow(_best_chain, "document_id long, old_no long, new_no long")
+    matched = settled(equal.unionByName(chain))
+    texts = lambda d, no, name: d.select("document_id", F.col("sentence_no").alias(no), F.col("text").alias(name))
+    left = texts(o, "old_no", "old").join(matched, ["document_id", "old_no"], "left").join(texts(n, "new_no", "new"), ["document_id", "new_no"], "left")
+    added = texts(n, "new_no", "new").join(matched, ["document_id", "new_no"], "left_anti")
+    return left.select("document_id", "old_no", "new_no", "old", "new").unionByName(added, allowMissingColumns=True)
+
+
+def version_changes(old: DataFrame, new: DataFrame, bar: float = 0.5) -> DataFrame:
+    """``align_sentences`` with the kind of each change: what became of every sentence of the old version, and what is added."""
+    return classify_changes(align_sentences(old, new, bar))
+
+
 def classify_changes(pairs: DataFrame) -> DataFrame:
-    """pairs (old, new) of sentences with ``change``: dropped, delayed (later year), weakened (lower number), unchanged or restated."""
+    """pairs (old, new) of sentences with ``change``: added, dropped, unchanged, delayed (later year), weakened (lower percentage), strengthened or restated."""
     year = lambda c: F.nullif(F.regexp_extract(c, YEAR, 1), F.lit("")).cast("int")
     number = lambda c: F.replace(F.nullif(F.regexp_extract(c, r"(\d[\d,]*(?:\.\d+)?)\s?(?:%|percent)", 1), F.lit("")), F.lit(","), F.lit("")).cast("double")
     o, n = F.col("old"), F.col("new")
     change = (
-        F.when(n.isNull(), "dropped").when(tx.squash(o) == tx.squash(n), "unchanged").when(year(n) > year(o), "delayed")
+        F.when(o.isNull(), "added").when(n.isNull(), "dropped").when(tx.squash(o) == tx.squash(n), "unchanged").when(year(n) > year(o), "delayed")
         .when(number(n) < number(o), "weakened").when(number(n) > number(o), "strengthened").otherwise("restated")
     )
     return pairs.withColumn("change", change)

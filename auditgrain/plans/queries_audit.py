@@ -212,9 +212,17 @@ def p14_label_of(t):
     return t.events.select(F.col("event_id").alias("case_id"), cal.label_of(m[F.col("event_type")]).cast("double").alias("label"))
 
 
-@query("SELECT c.case_id, s.ruling_id AS entry_id FROM v_cases c JOIN v_rulings s ON c.case_id <> s.ruling_id")
+@query("SELECT c.case_id, count(*) AS n_others, CAST(sum(length(s.claim_text)) AS BIGINT) AS size_sum, round(avg(length(s.claim_text)), 6) AS size_mean FROM v_cases c JOIN v_rulings s ON c.case_id <> s.ruling_id GROUP BY 1")
 def j15_leave_one_out(t):
-    return cal.leave_one_out(t.v_cases.select("case_id"), t.v_rulings.select(F.col("ruling_id").alias("entry_id")))
+    store = t.v_rulings.select(F.col("ruling_id").alias("entry_id"), F.length("claim_text").cast("long").alias("size"))
+    return cal.leave_one_out(t.v_cases, store, ["size"]).withColumn("size_mean", _r("size_mean"))
+
+
+@query("""SELECT c.case_id, c.label, count(*) AS n_others, round(sum(s.likelihood), 6) AS likelihood_sum, round(avg(s.likelihood), 6) AS likelihood_mean FROM v_cases c JOIN v_cases s ON c.case_id <> s.case_id AND c.label IS NOT DISTINCT FROM s.label GROUP BY 1, 2""")
+def j15_other_cases(t):
+    """The likelihoods of the other cases of the same label."""
+    store = t.v_cases.withColumnRenamed("case_id", "entry_id")
+    return cal.leave_one_out(t.v_cases, store, ["likelihood"], ("label",)).select("case_id", "label", "n_others", _r("likelihood_sum"), _r("likelihood_mean"))
 
 
 @query("SELECT case_id, likelihood, row_number() OVER (ORDER BY likelihood DESC NULLS LAST, case_id) AS place FROM v_cases")
@@ -314,10 +322,9 @@ def p10_visible_quotes(t):
     return t.events.select("event_id", ve.visible_quotes(F.col("event_id") % 3 == 0, method, F.col("props")).alias("quote"))
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN NULL ELSE round(least(1, greatest(0, value / 100)), 2) END AS score FROM events WHERE CAST(floor(value * 1000) AS BIGINT) % 10 <> 5 AND abs(value * 100 - round(value * 100)) < 0.001 AND CAST(round(value * 100) AS BIGINT) % 100 <> 50")
+@query("SELECT event_id, CASE WHEN value IS NOT NULL THEN round(least(1e0, greatest(0e0, value / 100)), 2) END AS score FROM events")
 def p15_clamp01(t):
-    ok = "cast(floor(value * 1000) as bigint) % 10 <> 5 and abs(value * 100 - round(value * 100)) < 0.001 and cast(round(value * 100) as bigint) % 100 <> 50"
-    return t.events.where(ok).select("event_id", F.when(F.col("value").isNotNull(), ve.clamp01(F.col("value") / 100)).alias("score"))
+    return t.events.select("event_id", F.when(F.col("value").isNotNull(), ve.clamp01(F.col("value") / 100)).alias("score"))
 
 
 @query()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.text import STOP_WORDS
 from ..operators import mining as mi
 from ..operators.spans import line_regions
@@ -113,12 +115,28 @@ def j30_compare_versions(t):
     return mi.compare_versions(s.where(size % 7 != 0), s.where(size % 5 != 0)).drop("share")
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'dropped' WHEN 1 THEN 'delayed' WHEN 2 THEN 'weakened' WHEN 3 THEN 'unchanged' ELSE 'restated' END AS change FROM events""")
-def m7_classify_changes(t):
-    k = F.col("event_id") % 5
-    old = F.lit("We will cut 40% by 2030.")
-    new = F.when(k == 1, "We will cut 40% by 2035.").when(k == 2, "We will cut 30% by 2030.").when(k == 3, "we will  cut 40% by 2030.").when(k == 4, "We shall cut 40% by 2030.")
-    return mi.classify_changes(t.events.select("event_id", old.alias("old"), new.alias("new"))).select("event_id", "change")
+_CONTENT = f"list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w: length(w) > 2 AND NOT regexp_matches(w, '[0-9]') AND w NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)})))"
+
+
+@query(f"""WITH s AS (SELECT document_id, text, line_no, p, {_CONTENT} AS ws FROM ({_S})), d AS (SELECT *, row_number() OVER (PARTITION BY document_id, ws ORDER BY line_no, p) AS k FROM s WHERE len(ws) > 2),
+u AS (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY line_no, p) AS n FROM d WHERE k = 1),
+v AS (SELECT document_id, n AS old_no, text || ' by ' || (2030 + n % 5) || ' at ' || (40 + n % 7) || '%' AS old,
+ CASE WHEN n % 7 <> 0 THEN CASE WHEN n % 7 = 6 THEN 'Indeed ' ELSE '' END || text || ' by ' || (2030 + n % 5 + CASE WHEN n % 7 = 1 THEN 3 ELSE 0 END) || ' at ' || (40 + n % 7 - CASE WHEN n % 7 = 2 THEN 15 WHEN n % 7 = 3 THEN -15 ELSE 0 END) || '%' END AS new FROM u),
+y AS (SELECT *, TRY_CAST(regexp_extract(old, '\\b((?:19|20)\\d{{2}})\\b', 1) AS INT) AS y0, TRY_CAST(regexp_extract(new, '\\b((?:19|20)\\d{{2}})\\b', 1) AS INT) AS y1, TRY_CAST(replace(regexp_extract(old, '(\\d[\\d,]*(?:\\.\\d+)?)\\s?%', 1), ',', '') AS DOUBLE) AS x0, TRY_CAST(replace(regexp_extract(new, '(\\d[\\d,]*(?:\\.\\d+)?)\\s?%', 1), ',', '') AS DOUBLE) AS x1 FROM v)
+SELECT document_id, old_no, CASE WHEN new IS NULL THEN 'dropped' WHEN old = new THEN 'unchanged' WHEN y1 > y0 THEN 'delayed' WHEN x1 < x0 THEN 'weakened' WHEN x1 > x0 THEN 'strengthened' ELSE 'restated' END AS change FROM y""")
+def m7_version_changes(t):
+    """Two versions of every document: sentences with other years and percentages, reworded ones and dropped ones; the operator finds the pairs, SQL knows them."""
+    s = mi.sentences(t.documents)
+    words = F.array_sort(F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]")))
+    first = Window.partitionBy("document_id", "ws").orderBy("sentence_no")
+    u = s.withColumn("ws", words).where(F.size("ws") > 2).withColumn("k", F.row_number().over(first)).where("k = 1")
+    u = u.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("sentence_no")))
+    k = F.col("n") % 7
+    whole = lambda head, later, more: F.concat(head, "text", F.lit(" by "), (2030 + F.col("n") % 5 + later).cast("string"), F.lit(" at "), (40 + k + more).cast("string"), F.lit("%"))
+    old = u.select("document_id", F.col("n").alias("sentence_no"), whole(F.lit(""), 0, 0).alias("text"))
+    text = whole(F.when(k == 6, "Indeed ").otherwise(""), F.when(k == 1, 3).otherwise(0), F.when(k == 2, -15).when(k == 3, 15).otherwise(0))
+    new = u.where(k != 0).select("document_id", F.col("n").alias("sentence_no"), text.alias("text"))
+    return mi.version_changes(old, new).where("old_no is not null").select("document_id", F.col("old_no").cast("long").alias("old_no"), "change")
 
 
 @query(f"""SELECT d.source, count(*) AS n_claims, count(DISTINCT c.document_id) AS n_documents FROM ({_C}) c JOIN documents d ON d.doc_id = c.document_id GROUP BY d.source, lower(regexp_replace(trim(c.text), '\\s+', ' ', 'g')) HAVING count(DISTINCT c.document_id) > 1""")

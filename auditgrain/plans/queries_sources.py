@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import summary as su
+from ..scratch import shared_folder
 from ..sources import logs
-from ..streaming import live
+from ..streaming import live, stateful
+from .queries_audit import verdicts
 from .queries_events import _EV, _log, _LOG, _once, _stream
 from .registry import query
-from ..scratch import shared_folder
 from .sqluse import lehmer_sql, register_views
 
 
@@ -121,6 +123,45 @@ def x10_validate_all(t):
     return _once(t, live.validate_stream(_stream(t), "stage.started", ("stage.completed",)), "append")
 
 
+@query(f"""WITH e AS (SELECT analysis_id, seq, CASE type WHEN 'evidence.added' THEN 'argument.made' WHEN 'claim.extracted' THEN 'summary.updated' ELSE type END AS type, entity_id, payload, seq % 3 = 0 AS final FROM {_EV}),
+p AS (SELECT *, CASE WHEN type = 'argument.made' THEN seq::VARCHAR WHEN type = 'dimension.scored' THEN 'd' || seq % 4 ELSE '' END AS part FROM e)
+SELECT analysis_id, type, entity_id, part, max(seq) AS seq, arg_max(payload, seq) AS payload, type = 'summary.updated' AND NOT arg_max(final, seq) AS provisional FROM p GROUP BY 1, 2, 3, 4""")
+def x3_live_fold(t):
+    """The folded state of all analyses from its stream of changes: scores by dimension, all arguments, summaries provisional until a final one."""
+    kind = F.col("type")
+    s = _stream(t).select(
+        "analysis_id", "seq", F.when(kind == "evidence.added", "argument.made").when(kind == "claim.extracted", "summary.updated").otherwise(kind).alias("type"), "entity_id", "payload",
+        F.concat(F.lit("d"), (F.col("seq") % 4).cast("string")).alias("dimension"), (F.col("seq") % 3 == 0).alias("final"))
+    with stateful.state_store(t._spark):
+        return stateful.merge_changes(_once(t, stateful.live_fold(s), "update"))
+
+
+@query(f"SELECT analysis_id, max(seq) AS seq FROM {_EV} GROUP BY 1 HAVING count(*) FILTER (WHERE type = 'stage.completed' AND analysis_id % 3 = 0) = 0")
+def x7_silent(t):
+    """Analyses that never ended and fell silent, by the clock: no event comes after the last one."""
+    out = _folder(t, "silent")
+    events = _stream(t).withColumn("type", F.when(F.col("analysis_id") % 3 == 0, F.col("type")).otherwise("going on"))  # most never end
+    s = stateful.silent(events, 1.0, ("stage.completed",))
+    with stateful.state_store(t._spark):
+        q = s.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="200 milliseconds").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{out}/data")).start()
+        stateful.run_until_quiet(q, 1.0, 600.0)
+    return t._spark.read.schema("analysis_id long, seq long").parquet(f"{out}/data")
+
+
+@query("SELECT document_id, profile, score, confidence FROM v_header WHERE profile IN ('headline', 'completeness')")
+def x8_header_deltas(t):
+    """Headlines and completeness of all documents from deltas of a stream in four batches, the scores of some given twice."""
+    folder = _folder(t, "deltas")
+    rows = su.issue_rows(verdicts(t), t.v_omissions).withColumn("seq", F.lit(2).cast("long"))
+    early = rows.where("pmod(hash(document_id, target), 5) = 0").withColumn("seq", F.lit(1).cast("long")).withColumn("score", 1 - F.col("score"))
+    names = ["document_id", "target", "profile", "seq", "score", "confidence", "prominence"]
+    rows.unionByName(early).select(names).repartition(4).write.parquet(f"{folder}/scores")
+    s = t._spark.readStream.schema("document_id long, target string, profile string, seq long, score double, confidence double, prominence double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/scores")
+    with stateful.state_store(t._spark):
+        stateful.header_deltas(s).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(stateful.write_deltas(f"{folder}/deltas")).start().awaitTermination()
+    return stateful.header_from_deltas(t._spark, f"{folder}/deltas").select("document_id", "profile", "score", "confidence")
+
+
 @query("SELECT document_id, profile, score FROM v_header WHERE profile IN ('clarity', 'support', 'materiality', 'consistency')")
 def e6_sql_header(t):
     """The header's dimensions written in SQL on registered views, with the mean as an expression."""

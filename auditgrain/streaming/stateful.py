@@ -1,7 +1,6 @@
 """Streams whose operators keep state of their own: the live fold, silence alarms, and headers from deltas.
 
-State is kept by (analysis, kind, entity) or (document, claim), never by analysis alone, so that one large analysis is spread over
-tasks.  All of it is in the checkpoint: a query that is started again goes on where it ended."""
+The live fold keeps its state by (analysis, kind, entity), never by analysis alone, so that one large analysis is spread over tasks.  All of it is in the checkpoint: a query that is started again goes on where it ended."""
 
 from __future__ import annotations
 
@@ -58,7 +57,7 @@ class _Fold(StatefulProcessor):
                     out[str(e.seq)] = (int(e.seq), payload, False)
                 continue
             part = str(e.dimension) if kind == scores and isinstance(e.dimension, str) else ""
-            old = self.last.getValue((part,)) if self.last.containsKey((part,)) else None
+            old = self.last.getValue((part,))
             if old is None or e.seq > old[0]:
                 self.last.updateValue((part,), (int(e.seq), payload, final))
                 out[part] = (int(e.seq), payload, kind == summary and not final)
@@ -165,13 +164,13 @@ _SUMS = "document_id long, profile string, share double, score_share double, con
 
 
 class _Claim(StatefulProcessor):
-    """What a claim adds to its document's sums; a score that is given again first takes back what the old one added."""
+    """What targets add to their document's sums; a score that is given again first takes back what the old one added."""
 
     def __init__(self, power: float, default_prominence: float):
         self.power, self.default = power, default_prominence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scores = handle.getMapState("scores", "profile string", "seq long, score double, confidence double, prominence double")
+        self.scores = handle.getMapState("scores", "target string, profile string", "seq long, score double, confidence double, prominence double")
 
     def _adds(self, score: float, confidence: float, prominence: float) -> list[float]:
         w = max(prominence * confidence, 1e-6)
@@ -181,7 +180,7 @@ class _Claim(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out: dict[str, list[float]] = {}
         for e in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            old = self.scores.getValue((e.profile,)) if self.scores.containsKey((e.profile,)) else None
+            old = self.scores.getValue((e.target, e.profile))
             if old is not None and e.seq <= old[0]:
                 continue
             prominence = float(e.prominence) if e.prominence == e.prominence and e.prominence is not None else self.default
@@ -190,7 +189,7 @@ class _Claim(StatefulProcessor):
             for sign, part in ((-1, old[1:] if old is not None else None), (1, now)):
                 if part is not None:
                     total[:] = [t + sign * a for t, a in zip(total, self._adds(*part), strict=True)]
-            self.scores.updateValue((e.profile,), (int(e.seq), *now))
+            self.scores.updateValue((e.target, e.profile), (int(e.seq), *now))
         yield pd.DataFrame([(key[0], p, *t[:5], int(t[5])) for p, t in out.items()], columns=[c.split()[0] for c in _SUMS.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -200,13 +199,14 @@ class _Claim(StatefulProcessor):
         pass
 
 
-def header_deltas(s: DataFrame, power: float = DEFAULT.power, default_prominence: float = DEFAULT.default_prominence) -> DataFrame:
+def header_deltas(s: DataFrame, power: float = DEFAULT.power, default_prominence: float = DEFAULT.default_prominence, slices: int = 1) -> DataFrame:
     """What each batch adds to the sums of its documents' headers: Lehmer sums are additive, so headers need no second look at older events.
 
     s: document_id, target, profile, seq, score, confidence, prominence; ``target`` is a claim or an omission, ``profile`` a dimension, ``headline``
-    or ``completeness``.  A score of the same target and profile with a higher seq replaces the one before."""
+    or ``completeness``.  A score of the same target and profile with a higher seq replaces the one before.  State is kept by document; documents of very
+    many claims are dealt to ``slices`` tasks by their targets."""
     rows = s.where("score is not null and confidence is not null").select("document_id", F.col("target").cast("string").alias("target"), "profile", "seq", F.col("score").cast("double").alias("score"), F.col("confidence").cast("double").alias("confidence"), F.col("prominence").cast("double").alias("prominence"))
-    return rows.groupBy("document_id", "target").transformWithStateInPandas(
+    return rows.withColumn("slice", F.pmod(F.xxhash64("target"), F.lit(slices))).groupBy("document_id", "slice").transformWithStateInPandas(
         statefulProcessor=_Claim(power, default_prominence), outputStructType=_SUMS, outputMode="Append", timeMode="None")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditgrain.functions import text as tx
+from auditgrain.operators import calibration as cal
 from auditgrain.operators import knowledge as kn
 from auditgrain.operators import matching as ma
 from auditgrain.operators import spans as sp
@@ -45,19 +46,34 @@ def test_find_quotes_odd(spark):
         assert {tuple(r) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("small", [2, 5, 100])
-def test_hold_out_long_list(spark, monkeypatch, small):
-    monkeypatch.setattr(kn, "SMALL", small)
+def test_hold_out(spark):
+    """Equal to the pair form on small tables; uses keep their other columns, and a ruling with several urls is out for each."""
     docs = [(d, f"http://x.example/{d}/") for d in range(6)] + [(6, None)]
     rulings = [(r, f"http://X.example/{r % 7}" if r % 3 else None) for r in range(11)] + [(0, "http://x.example/5")]
-    got = kn.hold_out(spark.createDataFrame(docs, "doc_id int, url string"), spark.createDataFrame(rulings, "ruling_id int, adjudicated_url string"), "doc_id").collect()
+    d, r = spark.createDataFrame(docs, "doc_id int, url string"), spark.createDataFrame(rulings, "ruling_id int, adjudicated_url string")
+    uses = spark.createDataFrame([(d, r, f"{d}-{r}") for d, _ in docs for r in range(11)], "doc_id int, ruling_id int, note string")
     own = {(d, r) for d, u in docs for r, a in rulings if u and a and u.rstrip("/").lower() == a.rstrip("/").lower()}
-    assert sorted(tuple(r) for r in got) == sorted({(d, r) for d, _ in docs for r, _ in rulings} - own)
-
-
-@pytest.mark.parametrize("small", [2, 100])
-def test_topic_coverage_long_list(spark, monkeypatch, small):
-    monkeypatch.setattr(kn, "SMALL", small)
+    assert sorted(tuple(x) for x in kn.hold_out(uses, d, r, "doc_id").collect()) == sorted((d, r, f"{d}-{r}") for d, _ in docs for r in range(11) if (d, r) not in own)
+    assert {tuple(x) for x in kn.excluded_rulings(d, r, "doc_id").collect()} == own
+
+
+def test_leave_one_out(spark):
+    """Equal to pairing every case with every other entry, with null values, repeated entries, and cases without an entry."""
+    store = [(i % 5, i % 2, float(i) if i % 3 else None) for i in range(11)] + [(9, None, 2.0)]
+    cases = [(c, k) for c in (0, 1, 4, 7, 9) for k in (0, 1, None)]
+    s, c = spark.createDataFrame(store, "entry_id int, k int, v double"), spark.createDataFrame(cases, "case_id int, k int")
+    for by in ((), ("k",)):
+        want = set()
+        for case, k in cases:
+            rest = [v for e, ek, v in store if e != case and (not by or ek == k)]
+            known = [v for v in rest if v is not None]
+            if rest:
+                want.add((case, *((k,) if by else ()), len(rest), round(sum(known), 6) if known else None, round(sum(known) / len(known), 6) if known else None))
+        got = {tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in cal.leave_one_out(c, s, ["v"], by).collect()}
+        assert got == want
+
+
+def test_topic_coverage_long_list(spark):
     docs, topics = [(d, f"word{d} and word{d + 1}") for d in range(5)], [(f"t{k}", f"word{k}") for k in range(7)]
     got = kn.topic_coverage(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(topics, "topic string, term string")).collect()
     assert sorted((r.doc_id, r.topic, r.absent) for r in got) == sorted((d, p, w not in t.split()) for d, t in docs for p, w in topics)
