@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # Odd multipliers of the polynomial and mixing hashes (fixed values).
 BASE = np.uint64(0x9E3779B97F4A7C15)
