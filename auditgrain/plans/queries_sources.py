@@ -13,7 +13,7 @@ from ..streaming import live, stateful
 from .queries_audit import verdicts
 from .queries_events import _EV, _log, _LOG, _once, _stream
 from .registry import query
-from .sqluse import lehmer_sql, register_views
+from .sqluse import lehmer_sql, register_functions, register_views
 
 
 def _folder(t, name: str) -> str:
@@ -67,13 +67,13 @@ def s3_read_store(t):
     return rows.select(F.lit("entry").alias("what"), "entry_id", F.lit(1).cast("long").alias("n")).unionByName(twice.select(F.lit("repeated").alias("what"), "entry_id", "n"))
 
 
-@query(f"SELECT seq, '{{\"seq\":' || seq || ',\"t_ms\":' || t_ms || ',\"type\":\"' || type || '\"}}' AS line FROM {_LOG} WHERE analysis_id = (SELECT min(analysis_id) FROM v_log)")
+@query(f"SELECT seq, '{{\"seq\":' || seq || ',\"t_ms\":' || t_ms || ',\"type\":\"' || type || '\"' || coalesce(',\"payload\":' || to_json(payload), '') || '}}' AS line FROM {_LOG} WHERE analysis_id = (SELECT min(analysis_id) FROM v_log)")
 def s8_export_log(t):
     """One analysis as JSON lines in the order of seq."""
     from ..operators.eventlog import export_log
 
     first = t.v_log.agg(F.min("analysis_id").alias("a")).first()["a"]
-    return export_log(_log(t).withColumn("payload", F.lit(None).cast("string")), first)
+    return export_log(_log(t), first)
 
 
 @query("SELECT case_id, likelihood, label FROM v_cases")
@@ -169,3 +169,29 @@ def e6_sql_header(t):
     return t._spark.sql(f"""SELECT document_id, dimension AS profile, round(coalesce(s, 0) + 1e-9, 2) AS score FROM (
         SELECT s.document_id, s.dimension, {lehmer_sql("s.score", "greatest(c.prominence * s.confidence, 1e-6)")} AS s
         FROM v_scores s JOIN v_claims c ON c.document_id = s.document_id AND c.claim_id = s.claim_id GROUP BY s.document_id, s.dimension)""")
+
+
+@query("SELECT document_id, claim_id, likelihood, category, deciding, confidence FROM v_verdicts")
+def e6_sql_verdicts(t):
+    """Verdicts of all claims in one SQL statement with the library's functions."""
+    register_views(t._spark, t._dir, ("v_claims", "v_scores", "v_links"))
+    register_functions(t._spark)
+    dims = ("clarity", "support", "materiality", "consistency")
+    picks = ", ".join(f"max({c}) FILTER (WHERE dimension = '{d}') AS {d}{e}" for d in dims for c, e in (("score", ""), ("confidence", "_conf")))
+    both = ", ".join(dims) + ", " + ", ".join(f"{d}_conf" for d in dims)
+    return t._spark.sql(f"""WITH s AS (SELECT document_id, claim_id, {picks} FROM v_scores GROUP BY ALL),
+        i AS (SELECT document_id, claim_id, evidence_id, min(tier) AS tier, bool_or(relation IN ('supports', 'contradicts', 'contradicts_framing')) AS decisive, bool_or(relation = 'supports') AS sup, bool_or(relation = 'contradicts') AS con FROM v_links GROUP BY ALL),
+        e AS (SELECT document_id, claim_id, count(*) AS n_items, coalesce(min(tier) FILTER (WHERE decisive), min(tier)) AS best_tier, bool_or(sup) AS supports, bool_or(con) AS contradicts FROM i GROUP BY ALL),
+        w AS (SELECT c.document_id, c.claim_id, {both}, n_items, best_tier, coalesce(supports, false) AS supports, coalesce(contradicts, false) AS contradicts, audit_deciding({both}) AS deciding
+              FROM v_claims c LEFT JOIN s USING (document_id, claim_id) LEFT JOIN e USING (document_id, claim_id))
+        SELECT document_id, claim_id, audit_likelihood({", ".join(dims)}) AS likelihood, audit_category({both}, contradicts) AS category, deciding,
+               audit_confidence(deciding, {both}, best_tier, n_items, supports, contradicts) AS confidence FROM w""")
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN 0 ELSE round(len(list_filter(ws, lambda x: x IN ('the', 'of', 'der', 'que'))) / len(ws), 6) END AS score, least(0.9e0, 0.5e0 + len(ws) / 100e0) AS confidence FROM w""")
+def e1_table_function(t):
+    """A scorer called from SQL as a table function."""
+    register_functions(t._spark)
+    t.documents.select("doc_id", "text").createOrReplaceTempView("scored_texts")
+    return t._spark.sql("SELECT doc_id, score, confidence FROM audit_score(TABLE(scored_texts), words => 'the,of,der,que')")

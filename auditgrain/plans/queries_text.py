@@ -218,12 +218,16 @@ def f14_close_enough_all(t):
     return t.events.select("event_id", tx.close_enough(F.col("value"), F.round("value")).alias("near"))
 
 
-@query("SELECT event_id, event_id % 3 <> 2 AS stated FROM events")
+@query("""WITH e AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE value IS NOT NULL),
+s AS (SELECT event_id, v, replace(CASE event_id % 4 WHEN 0 THEN 'It fell ' || format('{:,}', v) || '% in a year' WHEN 1 THEN v || '.0 tonnes' WHEN 2 THEN 'id 9' || v || '1 no' ELSE 'from ' || (v + event_id % 3 - 1) || '.00 on' END, ',', '') AS x FROM e)
+SELECT event_id, regexp_matches(' ' || x || ' ', '[^\\d.]' || abs(v) || '(\\.00?)?[^\\d]') AS stated FROM s""")
 def f15_states_value(t):
-    v = (F.col("event_id") + 100000).cast("double")
-    plain = F.format_number(v, 0)
-    sentence = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("It fell "), plain, F.lit("% in a year"))).when(F.col("event_id") % 3 == 1, F.concat(F.format_string("%.0f", v), F.lit(" tonnes"))).otherwise(F.concat(F.lit("id 9"), F.format_string("%.0f", v), F.lit("1 no")))
-    return t.events.select("event_id", tx.states_value(sentence, -v).alias("stated"))
+    """Numbers of the events in sentences of four forms, right and wrong ones."""
+    v = F.round(F.col("value") * 100).cast("long")
+    k, s = F.col("event_id") % 4, v.cast("string")
+    near = (v + F.col("event_id") % 3 - 1).cast("string")
+    sentence = F.when(k == 0, F.concat(F.lit("It fell "), F.format_number(v, 0), F.lit("% in a year"))).when(k == 1, F.concat(s, F.lit(".0 tonnes"))).when(k == 2, F.concat(F.lit("id 9"), s, F.lit("1 no"))).otherwise(F.concat(F.lit("from "), near, F.lit(".00 on")))
+    return t.events.where("value is not null").select("event_id", tx.states_value(sentence, -v.cast("double")).alias("stated"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN b = 0 THEN NULL ELSE round(a / b * 100, 6) END WHEN 'view' THEN CASE WHEN a = 0 THEN NULL ELSE round((b - a) / a * 100, 6) END
@@ -264,7 +268,7 @@ def f20_short_title(t):
 @query("SELECT event_id, 'C' || x AS claim FROM (SELECT event_id, unnest(range(0, event_id % 4)) AS x FROM events WHERE event_id % 5 <> 0)")
 def f21_json_arrays(t):
     items = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.col("event_id") % 4), lambda i: F.concat(F.lit("C"), i.cast("string")))
-    reply = F.when(F.col("event_id") % 5 == 0, "no object here").otherwise(F.concat(F.lit("Here it is:\n"), F.to_json(F.struct(items.alias("claims"))), F.lit("\nDone.")))
+    reply = F.when(F.col("event_id") % 5 == 0, "no object here").otherwise(F.concat(F.lit("Here it is:\n"), F.to_json(F.struct(items.alias("claims"))), F.lit("\nOr {as \"}\" said}: "), F.to_json(F.struct(F.array(F.lit("other")).alias("claims")))))
     return t.events.select("event_id", F.explode(tx.json_arrays(reply, "claims array<string>")["claims"]).alias("claim"))
 
 
@@ -288,11 +292,31 @@ def s14_visible_text(t):
     return t.pages.select("page_id", tx.visible_text(F.col("html")).alias("text"))
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) AS language, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
- trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h1 FROM pages""")
+_HEAD = """CASE page_id % 4 WHEN 0 THEN '<meta property="og:site_name" content="Site ' || page_id || '">' WHEN 1 THEN '<meta name="date" content="2024-01-0' || page_id % 9 || '"><link rel="canonical" href="http://c.example/' || page_id || '">'
+ WHEN 2 THEN '<script type="application/ld+json">{"publisher": {"name": "House ' || page_id || '"}, "datePublished": "2023-02-0' || page_id % 7 || '"}</script>' ELSE '' END || html"""
+
+
+def _meta(pattern):
+    return f"nullif(trim(regexp_replace(regexp_replace(regexp_extract(h, '{pattern}', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), '')"
+
+
+def _named(name):
+    return _meta(f'(?is)<meta[^>]*(?:property|name)="{name}"[^>]*content="([^"]*)"')
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_HEAD} AS h FROM pages), x AS (SELECT *, TRY_CAST(regexp_extract(h, '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>', 1) AS JSON) AS ld, string_split(regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', ''), '.') AS l FROM p),
+y AS (SELECT *, CASE WHEN len(l) >= 3 AND length(l[-2]) <= 3 AND length(l[-1]) = 2 THEN l[-3] ELSE l[-2] END AS o FROM x)
+SELECT page_id, {_meta('(?is)<html[^>]*\\blang="([^"]*)"')} AS language, coalesce({_meta('(?is)<title[^>]*>(.*?)</title>')}, {_named('og:title')}) AS title, {_meta('(?is)<h1[^>]*>(.*?)</h1>')} AS h1, {_named('og:site_name')} AS site_name,
+ coalesce({_named('article:published_time')}, {_named('date')}, ld->>'$.datePublished') AS published, coalesce({_meta('(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"')}, url) AS canonical,
+ coalesce(ld->>'$.publisher.name', ld->>'$.author.name', {_named('og:site_name')}, upper(left(o, 1)) || lower(substr(o, 2))) AS organisation FROM y""")
 def s13_page_meta(t):
-    m = pg.page_meta(t.pages)
-    return m.select("page_id", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("h1", F.lit("")).alias("h1"))
+    """All fields, on the pages with a site name, a date and canonical link, or linked data in front."""
+    i = F.col("page_id")
+    d = lambda m: (i % m).cast("string")
+    head = F.when(i % 4 == 0, F.concat(F.lit('<meta property="og:site_name" content="Site '), i.cast("string"), F.lit('">'))).when(
+        i % 4 == 1, F.concat(F.lit('<meta name="date" content="2024-01-0'), d(9), F.lit('"><link rel="canonical" href="http://c.example/'), i.cast("string"), F.lit('">'))).when(
+        i % 4 == 2, F.concat(F.lit('<script type="application/ld+json">{"publisher": {"name": "House '), i.cast("string"), F.lit('"}, "datePublished": "2023-02-0'), d(7), F.lit('"}</script>'))).otherwise("")
+    return pg.page_meta(t.pages.withColumn("html", F.concat(head, "html")))
 
 
 _BLOCKS = r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<header\b.*?</header\s*>|<aside\b.*?</aside\s*>|<form\b.*?</form\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g') AS h FROM pages),
