@@ -52,6 +52,15 @@ class AuditConfig:
     min_words: int = 60
     max_chars: int = 60_000
     round_stages: bool = True
+    # matching: share of the shorter span, of the smaller word set (cards; sentences of two versions), and the line between two scores
+    overlap: float = 0.5
+    card_words: float = 0.25
+    sentence_words: float = 0.5
+    score_line: float = 0.6
+    # mining: an omission's score, its factor where terms are there but no passage is near, and the bar below which it counts as addressed
+    omission_score: float = 0.7
+    omission_penalty: float = 0.8
+    omission_bar: float = 0.2
 
 
 DEFAULT = AuditConfig()

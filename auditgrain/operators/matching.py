@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import text as tx
 from ..scratch import settled
 
@@ -21,7 +22,7 @@ def binned(df: DataFrame, name: str = "__bin", size: int = BIN) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(last / size))))
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataFrame:
+def overlap_pairs(a: DataFrame, b: DataFrame, threshold: float = DEFAULT.overlap) -> DataFrame:
     """(document_id, a_id, b_id, share): entities whose spans overlap by ``threshold`` of the shorter span, at best.
 
     a and b: document_id, owner_id, start, end.  Joined by document and bin, never by document alone."""
@@ -105,7 +106,7 @@ def _stream(pairs: DataFrame, order: list[Column], left: list[str], right: list[
     return ready.mapInArrow(run, pairs.schema)
 
 
-def match_signals(live: DataFrame, ref: DataFrame, threshold: float = 0.5) -> DataFrame:
+def match_signals(live: DataFrame, ref: DataFrame, threshold: float = DEFAULT.overlap) -> DataFrame:
     """(document_id, live_id, ref_id, how): signals of one kind matched one to one, best first.
 
     live and ref: document_id, id, kind, level, claim_ids (array), spans (array<struct<start, end>>).  First by the share
@@ -132,7 +133,7 @@ def missed_extra(live: DataFrame, ref: DataFrame, matches: DataFrame, key: list[
     return m.unionByName(e)
 
 
-def compare_scores(live: DataFrame, ref: DataFrame, key: list[str], line: float = 0.6) -> DataFrame:
+def compare_scores(live: DataFrame, ref: DataFrame, key: list[str], line: float = DEFAULT.score_line) -> DataFrame:
     """Reference scores beside live ones: difference, and whether they are on different sides of ``line``; unscored rows stay."""
     a = live.select(*key, F.col("score").alias("live"))
     out = ref.select(*key, F.col("score").alias("ref")).join(a, key, "left")
@@ -178,7 +179,7 @@ def compare_sources(live: DataFrame, ref: DataFrame, key: list[str]) -> DataFram
     return b.join(a, [*key, "host"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("n_hosts"), F.count("hit").alias("n_shared"))
 
 
-def word_pairs(live: DataFrame, ref: DataFrame, bar: float = 0.25, slices: int = 32) -> DataFrame:
+def word_pairs(live: DataFrame, ref: DataFrame, bar: float = DEFAULT.card_words, slices: int = 32) -> DataFrame:
     """(document_id, ref_id, live_id, overlap): shared words over the smaller word set, at ``bar`` or more.
 
     live and ref: document_id, id, words (array of distinct words).  Two sets with that overlap share one of the rarest
@@ -208,7 +209,7 @@ def word_pairs(live: DataFrame, ref: DataFrame, bar: float = 0.25, slices: int =
     return pairs.select("document_id", "ref_id", "live_id", overlap.alias("overlap")).where(F.col("overlap") >= bar)
 
 
-def pair_by_words(live: DataFrame, ref: DataFrame, bar: float = 0.25) -> DataFrame:
+def pair_by_words(live: DataFrame, ref: DataFrame, bar: float = DEFAULT.card_words) -> DataFrame:
     """(document_id, ref_id, live_id, overlap): each reference, in order of its id, with the free live row of most overlap."""
     return greedy_match(word_pairs(live, ref, bar), [F.col("ref_id"), F.desc("overlap"), F.col("live_id")], ["document_id", "ref_id"], ["document_id", "live_id"])
 

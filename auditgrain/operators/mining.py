@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import text as tx
 from ..scratch import settled
 from .automaton import term_hits
@@ -129,9 +130,9 @@ def nearest_passages(docs: DataFrame, topics: DataFrame, key: str = "doc_id") ->
     return best.join(s, ["document_id", "sentence_no"]).select(F.col("document_id").alias(key), "topic", F.col("text").alias("nearest"), "start")
 
 
-def mine_omissions(docs: DataFrame, topics: DataFrame, base: float = 0.7, penalty: float = 0.8, key: str = "doc_id") -> DataFrame:
+def mine_omissions(docs: DataFrame, topics: DataFrame, base: float = DEFAULT.omission_score, penalty: float = DEFAULT.omission_penalty, key: str = "doc_id") -> DataFrame:
     """(document, topic, score, nearest): topics of which less than half of the terms stand in the text, with the nearest
-    passage; where terms are there but no passage is near, the score is multiplied by ``penalty``."""
+    passage.  Half is the rule, not none, as a score is to be lowered where terms are there: with no term at all that could never happen; where terms are there but no passage is near, the score is multiplied by ``penalty``."""
     from .knowledge import topic_coverage
 
     n = topics.groupBy("topic").agg(F.count_distinct("term").alias("n"))
@@ -191,7 +192,7 @@ def _best_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["document_id", "old_no", "new_no"])
 
 
-def align_sentences(old: DataFrame, new: DataFrame, bar: float = 0.5) -> DataFrame:
+def align_sentences(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
     """(document_id, old_no, new_no, old, new): each sentence of an old version beside its restatement in the new one; null where there is none.
 
     old and new: document_id (a number), sentence_no, text.  Equal sentences are paired in order first.  Of the others those are candidates that share ``bar`` of the
@@ -222,7 +223,7 @@ def align_sentences(old: DataFrame, new: DataFrame, bar: float = 0.5) -> DataFra
     return left.select("document_id", "old_no", "new_no", "old", "new").unionByName(added, allowMissingColumns=True)
 
 
-def version_changes(old: DataFrame, new: DataFrame, bar: float = 0.5) -> DataFrame:
+def version_changes(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
     """``align_sentences`` with the kind of each change: what became of every sentence of the old version, and what is added."""
     return classify_changes(align_sentences(old, new, bar))
 

@@ -132,6 +132,6 @@ def fallback_title(text: Column, topic: Column) -> Column:
     return F.when(topic.isNotNull(), F.concat(F.lit("Not mentioned: "), topic)).when(F.length(text) > 120, F.concat(F.substring(text, 1, 117), F.lit("..."))).otherwise(text)
 
 
-def drop_low_cards(omissions: DataFrame, min_score: float = 0.2) -> DataFrame:
+def drop_low_cards(omissions: DataFrame, min_score: float = DEFAULT.omission_bar) -> DataFrame:
     """Omissions scored below ``min_score`` count as addressed."""
     return omissions.where(F.col("score") >= min_score)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import AuditConfig
 from ..operators import calibration as cal
 from ..operators import company as co
 from ..operators import summary as su
@@ -38,6 +39,13 @@ def a8_header_from_tables(t):
     return su.lehmer(rows, ["document_id", "profile"]).select("document_id", "profile", "score", "confidence")
 
 
+@query("""SELECT document_id, profile, round(coalesce(sum(score * w * score) / nullif(sum(w * score), 0), 0), 2) AS score, round(coalesce(sum(confidence * w * score) / nullif(sum(w * score), 0), sum(confidence * w) / sum(w)), 2) AS confidence
+FROM (SELECT *, greatest(prominence * confidence, 1e-6) AS w FROM v_rows) GROUP BY document_id, profile""")
+def e5_other_power(t):
+    """The header with another power of its mean, set in the config."""
+    return su.header_of(verdicts(t), t.v_omissions, AuditConfig(power=2.0)).select("document_id", "profile", "score", "confidence")
+
+
 @query("SELECT * FROM v_wide")
 def j1_scores_wide(t):
     return ve.scores_wide(t.v_claims, t.v_scores)

@@ -564,11 +564,21 @@ def w12_collapse_best(t):
     return collapse_best(r, F.col("k"), [F.desc("v"), F.desc("document_id")]).select("k", "document_id", "duplicates")
 
 
-@query("""WITH a AS (SELECT page_id, source, lower(regexp_replace(trim(url), '/+$', '')) AS u FROM (SELECT page_id, url, 'x' AS source FROM pages) WHERE page_id % 3 <> 0), b AS (SELECT page_id AS log_id, lower(regexp_replace(trim(url), '/+$', '')) AS u FROM pages WHERE page_id % 4 <> 0)
-SELECT coalesce(a.u, b.u) AS url, count(a.page_id) > 0 AS curated, count(b.log_id) > 0 AS recorded FROM a FULL JOIN b ON a.u = b.u GROUP BY 1""")
-def s6_t4_document_catalogue(t):
-    from ..sources.logs import document_catalogue
+_URL = "lower(regexp_replace(trim(url), '/+$', ''))"
+
 
-    docs = t.pages.where("page_id % 3 <> 0").select(F.concat("url", F.lit("/")).alias("url"), F.lit("t").alias("title"), F.lit("c").alias("company"), F.col("page_id").alias("order_key"))
-    logs = t.pages.where("page_id % 4 <> 0").select("url", F.col("page_id").alias("analysis_id"), F.lit("t2").alias("title"), F.lit("c2").alias("company"))
-    return document_catalogue(docs, logs).select("url", "curated", "recorded")
+@query(f"""WITH a AS (SELECT {_URL} AS u, min(page_id) AS order_key, arg_min('t' || page_id % 5, page_id) AS title, arg_min('c' || page_id % 4, page_id) AS company FROM pages WHERE page_id % 3 <> 0 GROUP BY 1),
+b AS (SELECT {_URL} AS u, max(page_id) AS analysis_id, arg_max('x' || page_id % 6, page_id) AS title, arg_max('y' || page_id % 7, page_id) AS company FROM pages WHERE page_id % 4 <> 0 GROUP BY 1),
+x AS (SELECT coalesce(a.u, b.u) AS url, coalesce(a.title, b.title) AS title, coalesce(a.company, b.company) AS company, a.u IS NOT NULL AS curated, b.u IS NOT NULL AS recorded, a.order_key, b.analysis_id FROM a FULL JOIN b ON a.u = b.u)
+SELECT url, title, company, curated, recorded, coalesce(analysis_id, -1) AS analysis_id, row_number() OVER (ORDER BY recorded DESC, curated DESC, order_key NULLS LAST, company, title, url) AS place FROM x""")
+def s6_t4_document_catalogue(t):
+    """All fields and the place of every document, curated ones, recorded ones and both."""
+    from ..operators.ordering import numbered
+    from ..sources.logs import catalogue_order, document_catalogue
+
+    i = F.col("page_id")
+    name = lambda c, m: F.concat(F.lit(c), (i % m).cast("string"))
+    docs = t.pages.where("page_id % 3 <> 0").select(F.concat("url", F.lit("/")).alias("url"), name("t", 5).alias("title"), name("c", 4).alias("company"), i.alias("order_key"))
+    logs = t.pages.where("page_id % 4 <> 0").select("url", i.alias("analysis_id"), name("x", 6).alias("title"), name("y", 7).alias("company"))
+    out = numbered(document_catalogue(docs, logs), catalogue_order())
+    return out.select("url", "title", "company", "curated", "recorded", F.coalesce("analysis_id", F.lit(-1)).alias("analysis_id"), "place")

@@ -52,6 +52,11 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("case_id bigint, likelihood double, label int").parquet(path)
 
 
+def catalogue_order() -> list[Column]:
+    """Recorded documents first, then curated ones by their key, then by company, title and url."""
+    return [F.desc("recorded"), F.desc("curated"), F.asc_nulls_last("order_key"), F.col("company"), F.col("title"), F.col("url")]
+
+
 def document_catalogue(docs: DataFrame, logs: DataFrame) -> DataFrame:
     """Curated documents with their recordings by url; recordings of unknown urls become rows, those without a url go.
 
@@ -60,7 +65,7 @@ def document_catalogue(docs: DataFrame, logs: DataFrame) -> DataFrame:
     l = logs.where("url is not null").withColumn("u", tx.norm_url(F.col("url"))).groupBy("u").agg(F.max(F.struct("analysis_id", "title", "company")).alias("l"))
     pick: Column = lambda c: F.coalesce(F.col(f"d.{c}"), F.col(f"l.{c}")).alias(c)
     out = d.join(l, "u", "full").select(F.col("u").alias("url"), pick("title"), pick("company"), F.col("d").isNotNull().alias("curated"), F.col("l").isNotNull().alias("recorded"), F.col("d.order_key").alias("order_key"), F.col("l.analysis_id").alias("analysis_id"))
-    return out.orderBy(F.desc("recorded"), F.desc("curated"), F.asc_nulls_last("order_key"), "company", "title", "url")
+    return out.orderBy(*catalogue_order())
 
 
 def admit(events: DataFrame, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
