@@ -122,21 +122,49 @@ def contains_quote(text: Column, quote: Column) -> Column:
     return squash(text).contains(squash(quote))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often it is named there."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running_sums(sizes: Column, extra: Column) -> Column:
+    """Sums of ``sizes`` (integers), each with ``extra``, before each entry and with its own size: where cut number i ends.
+
+    In runs of about the square root of their number, so that growing arrays cost little for a long list too."""
+    none = F.array().cast("array<int>")
+
+    def sums(values: Column, start: Column, step: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(values, first, lambda a, x: F.struct((a["at"] + x + step).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out")))["out"]
+
+    def cut(all_: Column, run: Column) -> Column:
+        return F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(0), F.size(all_) - 1, run), lambda i: F.slice(all_, i + 1, run))).otherwise(F.array().cast("array<array<int>>"))
+
+    def whole(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x + extra))
+        return F.flatten(_let(totals, lambda t: F.zip_with(runs, F.zip_with(sums(t, F.lit(0), F.lit(0)), t, lambda e, own: e - own), lambda r, before: sums(r, before, extra))))
+
+    length = lambda all_: F.greatest(F.ceil(F.sqrt(F.size(all_).cast("double"))).cast("int"), F.lit(1))
+    return _let(sizes, lambda all_: _let(length(all_), lambda run: _let(cut(all_, run), whole)))
+
+
 def find_all(text: Column, needle: Column) -> Column:
     """Offsets (from 0, in characters) of all occurrences, overlapping ones too.
 
-    The text is cut at the needle; a cut misses an occurrence only if it overlaps the one before it, so places
-    inside a found one are tested on their own.  A null or empty needle has none."""
+    The text is cut at the needle; a cut misses an occurrence only if it overlaps the one before it, so, where a needle ends as
+    it begins, places inside a found one are tested on their own.  A null or empty needle has none."""
     n = F.length(needle)
     parts = F.split(text, F.concat(F.lit(r"\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")), -1)
-    cuts = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.length(x))
-    firsts = F.aggregate(
-        cuts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x + n).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out")),
-    )["out"]
-    # an occurrence that overlaps the found one at s starts in s+1 .. s+n-1
-    near = F.flatten(F.transform(firsts, lambda s: F.concat(F.array(s), F.filter(F.when(n > 1, F.sequence(s + 1, s + n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i + 1, n) == needle))))
-    return F.when(n > 0, F.array_sort(F.array_distinct(near))).otherwise(F.array().cast("array<int>"))
+    cuts = _let(parts, lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.length(x)))
+    none = F.array().cast("array<int>")
+    # distances at which the needle can overlap itself: what is left of it there is its own beginning
+    steps = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), lambda j: F.substring(needle, j + 1, n) == F.substring(needle, F.lit(1), n - j))).otherwise(none)
+
+    def with_inner(firsts: Column, steps: Column) -> Column:
+        inside = F.flatten(F.transform(firsts, lambda s: F.transform(F.filter(steps, lambda j: F.substring(text, s + j + 1, n) == needle), lambda j: s + j)))
+        return F.when(F.size(steps) > 0, F.array_sort(F.array_distinct(F.concat(firsts, inside)))).otherwise(firsts)
+
+    return F.when(n > 0, _let(_running_sums(cuts, n), lambda f: _let(steps, lambda s: with_inner(f, s)))).otherwise(none)
 
 
 def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
