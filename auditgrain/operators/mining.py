@@ -61,9 +61,9 @@ NOT_CLAIMED = ("footnote", "cautionary", "third_party_quote")
 
 
 def quoted_regions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(document_id, kind, start, end): lines that stand in quotation marks as a whole, as third-party quotes."""
+    """(document_id, kind, start, end): lines that stand in quotation marks, but for who says so in up to eight words or after a dash."""
     lines = line_regions(docs, key)
-    quoted = F.trim("text").rlike("^[\"“„«].*[\"”“»][.,;]?(\\s*[-–—].*)?$")
+    quoted = F.trim("text").rlike(r"""^["“„«].*["”“»][.,;]?(\s*[-–—].*|\s+\S+(\s+\S+){0,7})?$""")
     return lines.where(quoted).select("document_id", F.lit("third_party_quote").alias("kind"), "start", "end")
 
 

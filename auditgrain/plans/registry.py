@@ -25,3 +25,8 @@ def query(sql: str | None = None):
 
 
 from . import queries_audit, queries_contract, queries_events, queries_match, queries_mining, queries_sources, queries_text  # noqa: E402,F401
+
+# queries of earlier rounds that were the whole form of another one, and are now the same
+for _twin in ("p7_slug", "p8_company_slug", "f10_fold_label", "f14_close_enough", "p15_clamp01", "s12_page_blocks"):
+    ORACLE[f"{_twin}_all"] = ORACLE[_twin]
+ORACLE["p9_lenient_int_all"] = f"SELECT doc_id, CAST(n AS BIGINT) AS n FROM ({ORACLE['p9_lenient_int']})"
