@@ -87,12 +87,19 @@ def m3_all_marks(t):
     return _marks(t, ALL_MARKS)
 
 
-@query(f"""WITH c AS (SELECT *, regexp_matches(text, '(?i){mi.QUANTITY}') AS num, regexp_matches(text, '(?i){mi.BASELINE}') AS base, regexp_matches(text, '{_rx(MARKS["vague_term"])}') AS vague, regexp_matches(text, '{_rx(sum(MARKS.values(), []))}') AS hit FROM ({_C}))
-SELECT document_id, claim_id, CASE WHEN vague AND NOT num THEN 0.8 WHEN hit AND NOT num THEN 0.55 WHEN vague THEN 0.4 WHEN num THEN 0.15 ELSE 0.3 END AS score FROM c WHERE NOT base""")
+@query(f"""WITH t AS (SELECT document_id, claim_id, text || CASE WHEN claim_id % 5 = 1 THEN ' less than in 2019' WHEN claim_id % 5 = 2 THEN ' since 2015' WHEN claim_id % 5 = 3 THEN ' by 40%' ELSE '' END AS text FROM ({_C})),
+c AS (SELECT *, regexp_matches(text, '(?i){mi.QUANTITY}') AS num, regexp_matches(text, '(?i){mi.YEAR}') AS year, regexp_matches(text, '(?i){mi.BASELINE}') AS base, regexp_matches(text, '{_rx(MARKS["vague_term"])}') AS vague, regexp_matches(text, '{_rx(sum(MARKS.values(), []))}') AS hit FROM t)
+SELECT document_id, claim_id, CASE WHEN NOT hit THEN 'none' WHEN base THEN 'credit' WHEN num OR year THEN 'benign' ELSE 'flag' END AS polarity,
+ CASE WHEN vague AND NOT num THEN 0.8 WHEN hit AND NOT base AND NOT num AND NOT year THEN 0.55 WHEN vague THEN 0.4 WHEN num THEN 0.15 ELSE 0.3 END AS score FROM c""")
 def m4_m5_score_clarity(t):
-    c = mi.extract_quantities(mi.mine_claims(t.documents, CLAIM_WORDS))
-    out = mi.score_clarity(c, mi.assign_polarity(mi.mine_signals(c, MARKS), c))
-    return out.join(c.where("baseline is null").select("document_id", "claim_id"), ["document_id", "claim_id"], "left_semi").select("document_id", "claim_id", "score")
+    """All claims, some with a baseline, a year or a percentage put behind them: credit, benign marks and flags."""
+    k = F.col("claim_id") % 5
+    more = F.when(k == 1, " less than in 2019").when(k == 2, " since 2015").when(k == 3, " by 40%").otherwise("")
+    c = mi.extract_quantities(mi.mine_claims(t.documents, CLAIM_WORDS).withColumn("text", F.concat("text", more)))
+    marks = mi.assign_polarity(mi.mine_signals(c, MARKS), c)
+    pol = marks.groupBy("document_id", "claim_id").agg(F.min("polarity").alias("polarity"))
+    out = mi.score_clarity(c, marks).join(pol, ["document_id", "claim_id"], "left")
+    return out.select("document_id", "claim_id", F.coalesce("polarity", F.lit("none")).alias("polarity"), "score")
 
 
 _NEAR = f"""tw AS (SELECT DISTINCT topic, unnest(regexp_extract_all(lower(term), '[a-z0-9]+')) AS w FROM {_TERM_SQL}), tk AS (SELECT topic, w FROM tw WHERE length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)})),
