@@ -247,21 +247,46 @@ def f17_checked_computation(t):
     return t.events.select("event_id", x["reject"].alias("reject"))
 
 
-@query(f"""SELECT doc_id, line_no, CASE WHEN line_no % 7 = 0 THEN 'footnote' WHEN line_no % 7 = 1 THEN 'cautionary' END AS class FROM ({_LINES})""")
+def _fronted_sql(fronts):
+    """SQL of the lines of all texts with one of ``fronts`` before each, by place."""
+    n = len(fronts)
+    return f"SELECT doc_id, line_no, CASE (doc_id + line_no) % {n} " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(fronts)) + f" END || line AS x FROM ({_LINES})"
+
+
+def _fronted(fronts):
+    k, front = (F.col("doc_id") + F.col("line_no")) % len(fronts), F.lit("")
+    for i, f in enumerate(fronts):
+        front = F.when(k == i, f).otherwise(front)
+    return F.concat(front, "line")
+
+
+_HEADS = ("Notes ", "Notebook ", "NOTES: ", "Forward-looking statements ", "Forward thinking ", "Disclaimer", "References", "Our references ", "End notes ", "Legal notice of ", "Legal team ", "")
+_MARKS = ("- ", "-", "* ", "• ", "## ", "##", "###### ", "####### ", "  - ", "")
+
+
+@query(f"""WITH t AS ({_fronted_sql(_HEADS)}) SELECT doc_id, line_no, CASE WHEN regexp_matches(lower(x), '^({'|'.join(tx.NOTE_HEADINGS)})([^a-z0-9_]|$)') THEN 'footnote' WHEN {' OR '.join(f"starts_with(lower(x), '{p}')" for p in tx.CAUTION_HEADINGS)} THEN 'cautionary' END AS class FROM t""")
 def f18_heading_class(t):
-    text = F.when(F.col("line_no") % 7 == 0, F.concat(F.lit("Notes "), "line")).when(F.col("line_no") % 7 == 1, F.concat(F.lit("Forward-looking statements "), "line")).otherwise(F.concat(F.lit("x"), "line"))
-    return lines(t).select("doc_id", "line_no", tx.heading_class(text).alias("class"))
+    return lines(t).select("doc_id", "line_no", tx.heading_class(_fronted(_HEADS)).alias("class"))
 
 
-@query(f"SELECT doc_id, line_no, line_no % 3 = 0 AND trim(line) <> '' AS bullet, CASE WHEN line_no % 3 = 1 AND trim(line) <> '' THEN 2 ELSE 0 END AS level FROM ({_LINES})")
+@query(f"""WITH t AS ({_fronted_sql(_MARKS)}) SELECT doc_id, line_no, left(x, 1) IN ('-', '*', '•', '‣', '◦', '▪') AND substr(x, 2, 1) = ' ' AND trim(substr(x, 2)) <> '' AS bullet,
+ CASE WHEN n BETWEEN 1 AND 6 AND substr(x, n + 1, 1) = ' ' AND trim(substr(x, n + 1)) <> '' THEN n ELSE 0 END AS level FROM (SELECT *, CAST(length(x) - length(ltrim(x, '#')) AS INT) AS n FROM t)""")
 def f19_marked_lines(t):
-    text = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("- "), "line")).when(F.col("line_no") % 3 == 1, F.concat(F.lit("## "), "line")).otherwise(F.concat(F.lit("x"), "line"))
+    text = _fronted(_MARKS)
     return lines(t).select("doc_id", "line_no", tx.is_bullet(text).alias("bullet"), tx.heading_level(text).alias("level"))
 
 
-@query("SELECT page_id, 'Report ' || page_id || CASE WHEN page_id % 2 = 0 THEN ' - part' ELSE '' END AS title FROM pages")
+_ENDS_OF_TITLE = ("", " | Site", " - part", " - part - Site", " – Site", " — a | b", " - a — b – c")
+
+
+@query("WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDS_OF_TITLE)) + " END AS x FROM pages) SELECT page_id, CASE "
+       + " ".join(f"WHEN contains(x, '{sep}') THEN array_to_string(string_split(x, '{sep}')[:-2], '{sep}')" for sep in (" | ", " - ", " – ", " — ")) + " ELSE x END AS title FROM t")
 def f20_short_title(t):
-    title = F.concat(F.lit("Report "), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, " - part - Site").otherwise(" | Site"))
+    """Titles of the pages with a site's name or parts behind them."""
+    end = F.lit("")
+    for i, e in enumerate(_ENDS_OF_TITLE):
+        end = F.when(F.col("page_id") % 7 == i, e).otherwise(end)
+    title = F.concat(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), end)
     return t.pages.select("page_id", tx.short_title(title).alias("title"))
 
 
