@@ -152,7 +152,12 @@ def find_all(text: Column, needle: Column) -> Column:
     """Offsets (from 0, in characters) of all occurrences, overlapping ones too.
 
     The text is cut at the needle; a cut misses an occurrence only if it overlaps the one before it, so, where a needle ends as
-    it begins, places inside a found one are tested on their own.  A null or empty needle has none."""
+    it begins, places inside a found one are tested on their own.  A null or empty needle has none.  Text and needle are
+    evaluated once: Spark would evaluate what they are made of again for every step of the lambdas."""
+    return _let(F.struct(text.alias("t"), needle.alias("q")), lambda x: _find_all(x["t"], x["q"]))
+
+
+def _find_all(text: Column, needle: Column) -> Column:
     n = F.length(needle)
     parts = F.split(text, F.concat(F.lit(r"\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")), -1)
     cuts = _let(parts, lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.length(x)))

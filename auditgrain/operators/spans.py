@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import settled
 from .matching import binned
 
 
@@ -69,7 +70,8 @@ def locate_quotes(pairs: DataFrame) -> DataFrame:
         form = F.get("__forms", F.lit(i))
         n = tx.normalise(form)
         tries += [attempt(F.col("text"), form), attempt(F.col("__p"), n), attempt(F.lower("__p"), F.lower(n))]
-    hit = pairs.withColumn("__p", tx.normalise(F.col("text"))).withColumn("__forms", forms).withColumn("__hit", F.coalesce(*tries)).drop("__p", "__forms")
+    # written once: the fold and the rows themselves read it, and each would find pairs and places anew
+    hit = settled(pairs.withColumn("__p", tx.normalise(F.col("text"))).withColumn("__forms", forms).withColumn("__hit", F.coalesce(*tries)).drop("__p", "__forms"))
     row = F.struct("owner_id", F.col("__hit.hits").alias("hits"), F.col("__hit.n").alias("n"))
     spans = "array<struct<owner_id: bigint, start: int, end: int>>"
 
