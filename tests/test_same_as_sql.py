@@ -34,3 +34,10 @@ def test_quotes_are_found_in_time(spark):
     start = time.time()
     got = sp.locate_quotes(spark.createDataFrame(rows, "document_id long, owner_id long, quote string, text string")).collect()
     assert [r.start for r in got] == [2040] * 40 and time.time() - start < 30
+
+
+def test_short_title_cuts_at_the_last_separator(both):
+    """Separators that share a blank: the last one counts."""
+    pages = "SELECT page_id, 'http://x.example/' AS url, '<title>' || title || '</title>' AS html FROM (VALUES (1, 'a | b |'), (7, 'a - - b'), (8, 'plain'), (14, 'a | | b'), (2, 'x -')) v(page_id, title)"
+    ours, theirs = both("f20_short_title", pages=pages)
+    assert ours == theirs and (7, "a -") in ours and (1, "a | b |") in ours
