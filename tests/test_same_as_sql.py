@@ -41,3 +41,18 @@ def test_short_title_cuts_at_the_last_separator(both):
     pages = "SELECT page_id, 'http://x.example/' AS url, '<title>' || title || '</title>' AS html FROM (VALUES (1, 'a | b |'), (7, 'a - - b'), (8, 'plain'), (14, 'a | | b'), (2, 'x -')) v(page_id, title)"
     ours, theirs = both("f20_short_title", pages=pages)
     assert ours == theirs and (7, "a -") in ours and (1, "a | b |") in ours
+
+
+_DOCS = "SELECT doc_id, text, 'en' AS lang, 's' AS source, length(text) AS n_chars FROM (VALUES (1, 'He said: THE OLD BRIDGE FELL LAST NIGHT.!! So.'), (2, 'line' || chr(10) || 'The \u201cold\u201d bridge \u2013 it fell. Down'), (3, 'the old bridge fell last night, the old bridge fell last night.'), (4, 'no quote'), (5, 'the old  bridge fell last night')) v(doc_id, text)"
+_ITEMS = "SELECT * FROM (VALUES (10, 'The old bridge fell last night.'), (11, '\"old\" bridge - it fell.'), (12, 'the old bridge fell last night')) v(item_id, text)"
+
+
+def _quotes(both, name):
+    ours, theirs = both(name, documents=_DOCS, benchmark=_ITEMS)
+    assert len(ours) == 5 and ours == theirs
+    return ours
+
+
+def test_located_in_any_case(both):
+    """Case and typography aside, and each quote at the first place that none before took."""
+    assert {r[:3] for r in _quotes(both, "j10_locate_quotes")} == {(1, 10, 9), (1, 12, 9), (2, 11, 9), (3, 10, 0), (3, 12, 32)}
