@@ -56,3 +56,7 @@ def _quotes(both, name):
 def test_located_in_any_case(both):
     """Case and typography aside, and each quote at the first place that none before took."""
     assert {r[:3] for r in _quotes(both, "j10_locate_quotes")} == {(1, 10, 9), (1, 12, 9), (2, 11, 9), (3, 10, 0), (3, 12, 32)}
+
+
+def test_orphans_of_quotes_in_any_case(both):
+    assert (2, 11, 1) in _quotes(both, "j12_attach_orphans")
