@@ -60,3 +60,13 @@ def test_located_in_any_case(both):
 
 def test_orphans_of_quotes_in_any_case(both):
     assert (2, 11, 1) in _quotes(both, "j12_attach_orphans")
+
+
+def test_regions_of_quotes_in_any_case(both):
+    assert (2, 11, "P2", 0.6) in [(*r[:3], float(r[3])) for r in _regions_of(both)]
+
+
+def _regions_of(both):
+    ours, theirs = both("j4_locate_region", documents=_DOCS, benchmark=_ITEMS)
+    assert [(*r[:3], float(r[3])) for r in ours] == [(*r[:3], float(r[3])) for r in theirs] and len(ours) == 5
+    return ours
