@@ -70,3 +70,7 @@ def _regions_of(both):
     ours, theirs = both("j4_locate_region", documents=_DOCS, benchmark=_ITEMS)
     assert [(*r[:3], float(r[3])) for r in ours] == [(*r[:3], float(r[3])) for r in theirs] and len(ours) == 5
     return ours
+
+
+def test_overlaps_of_quotes_in_any_case(both):
+    assert (1, 10, 0, 1.0) in _quotes(both, "j5_overlap_pairs")
