@@ -74,3 +74,8 @@ def _regions_of(both):
 
 def test_overlaps_of_quotes_in_any_case(both):
     assert (1, 10, 0, 1.0) in _quotes(both, "j5_overlap_pairs")
+
+
+def test_whole_numbers_beyond_a_double(both):
+    ours, theirs = both("p9_lenient_int_all", documents="SELECT 1::BIGINT AS doc_id, 'no 9859476043669044, 3' AS text UNION ALL SELECT 2, 'no 9,007,199,254,740,993 x'")
+    assert ours == theirs and (2, 9007199254740993) in ours
