@@ -79,3 +79,10 @@ def test_overlaps_of_quotes_in_any_case(both):
 def test_whole_numbers_beyond_a_double(both):
     ours, theirs = both("p9_lenient_int_all", documents="SELECT 1::BIGINT AS doc_id, 'no 9859476043669044, 3' AS text UNION ALL SELECT 2, 'no 9,007,199,254,740,993 x'")
     assert ours == theirs and (2, 9007199254740993) in ours
+
+
+def test_captures_of_one_second(both):
+    """A stamp has 14 digits: captures of one second are one, with the least digest."""
+    events = "SELECT i AS event_id, i % 2 AS user_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 300) MILLISECOND AS ts, CASE i * 7 % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'signup' END AS event_type, 1.0 AS value, '' AS props FROM range(200) t(i)"
+    ours, theirs = both("s10_capture_history", events=events)
+    assert ours == theirs and len({r[:2] for r in ours}) == len(ours)
