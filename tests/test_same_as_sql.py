@@ -86,3 +86,16 @@ def test_captures_of_one_second(both):
     events = "SELECT i AS event_id, i % 2 AS user_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 300) MILLISECOND AS ts, CASE i * 7 % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'signup' END AS event_type, 1.0 AS value, '' AS props FROM range(200) t(i)"
     ours, theirs = both("s10_capture_history", events=events)
     assert ours == theirs and len({r[:2] for r in ours}) == len(ours)
+
+
+def test_severities_equal_but_for_rounding(spark):
+    """1.0 x 0.3 x 0.6 and 0.6 x 0.3 x 1.0 of a recency: the score decides, whatever the last bits say."""
+    import datetime
+
+    from auditgrain.operators import company as co
+
+    docs = [(d, 1, datetime.date(2024, 1, 1) - datetime.timedelta(days=37 * d)) for d in range(40)]
+    rows = [(d, "headline", str(k), s, c, p) for d in range(40) for k, s, c, p in ((1, 0.8, 0.5, 0.6), (2, 1.0, 0.4, 0.6))]
+    got = co.company_findings(spark.createDataFrame(rows, "document_id int, profile string, target string, score double, confidence double, prominence double"),
+                              spark.createDataFrame(docs, "document_id int, company_id int, doc_date date"), k=80).orderBy("rank").collect()
+    assert [(r.document_id, r.target) for r in got] == [(d, k) for d in range(40) for k in ("2", "1")]
