@@ -99,3 +99,10 @@ def test_severities_equal_but_for_rounding(spark):
     got = co.company_findings(spark.createDataFrame(rows, "document_id int, profile string, target string, score double, confidence double, prominence double"),
                               spark.createDataFrame(docs, "document_id int, company_id int, doc_date date"), k=80).orderBy("rank").collect()
     assert [(r.document_id, r.target) for r in got] == [(d, k) for d in range(40) for k in ("2", "1")]
+
+
+def test_every_case_with_every_other_entry(both):
+    tables = {"documents": "SELECT i AS doc_id, 10 + i AS n_chars FROM range(6) t(i)", "labels": "SELECT i AS doc_id, i % 2 AS quality, 0 AS toxic FROM range(6) t(i)",
+              "benchmark": "SELECT i AS item_id, 'text' AS text FROM range(9) t(i)", "pages": "SELECT i AS page_id, 'http://x.example/' || i AS url, '' AS html FROM range(3) t(i)"}
+    ours, theirs = both("j15_leave_one_out", **tables)
+    assert ours == theirs and len(ours) == 6 * 8
