@@ -53,6 +53,15 @@ def hold_out(uses: DataFrame, docs: DataFrame, rulings: DataFrame, doc_key: str)
     return uses.join(excluded_rulings(docs, rulings, doc_key), [doc_key, "ruling_id"], "left_anti")
 
 
+def allowed_rulings(docs: DataFrame, rulings: DataFrame, doc_key: str) -> DataFrame:
+    """(doc_key, ruling_id): every ruling beside every document, without those on the document's own url.
+
+    The pairs are the result; they are made where they are written, from documents with the list of what is excluded, and are never shuffled."""
+    own = excluded_rulings(docs, rulings, doc_key).groupBy(doc_key).agg(F.collect_set("ruling_id").alias("__own"))
+    ids = rulings.select("ruling_id").distinct()
+    return docs.select(doc_key).join(own, doc_key, "left").crossJoin(ids).where("__own is null or not array_contains(__own, ruling_id)").select(doc_key, "ruling_id")
+
+
 def place_by_code(docs: DataFrame, entries: DataFrame, doc_key: str) -> DataFrame:
     """(doc_key, entry_id, tier): the entry with the document's code (1), else one that names it as a neighbour (2),
     and the entry for all industries (code '*', tier 3; of several the least id) always.

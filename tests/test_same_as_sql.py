@@ -106,3 +106,9 @@ def test_every_case_with_every_other_entry(both):
               "benchmark": "SELECT i AS item_id, 'text' AS text FROM range(9) t(i)", "pages": "SELECT i AS page_id, 'http://x.example/' || i AS url, '' AS html FROM range(3) t(i)"}
     ours, theirs = both("j15_leave_one_out", **tables)
     assert ours == theirs and len(ours) == 6 * 8
+
+
+def test_every_page_with_every_other_ruling(both):
+    tables = {"benchmark": "SELECT i AS item_id, 'text' AS text FROM range(9) t(i)", "pages": "SELECT i AS page_id, CASE WHEN i = 4 THEN NULL ELSE 'http://x.example/' || i // 2 || CASE WHEN i = 1 THEN '/' ELSE '' END END AS url, '' AS html FROM range(6) t(i)"}
+    ours, theirs = both("j14_hold_out", **tables)
+    assert ours == theirs and len(ours) == 6 * 9 - 9
