@@ -112,3 +112,25 @@ def test_every_page_with_every_other_ruling(both):
     tables = {"benchmark": "SELECT i AS item_id, 'text' AS text FROM range(9) t(i)", "pages": "SELECT i AS page_id, CASE WHEN i = 4 THEN NULL ELSE 'http://x.example/' || i // 2 || CASE WHEN i = 1 THEN '/' ELSE '' END END AS url, '' AS html FROM range(6) t(i)"}
     ours, theirs = both("j14_hold_out", **tables)
     assert ours == theirs and len(ours) == 6 * 9 - 9
+
+
+def test_rows_of_rare_words_are_not_repeated(spark, monkeypatch):
+    """Words of few rows meet in one place; those of many in slices, with the same pairs."""
+    from auditgrain.operators import matching as ma
+
+    rows = lambda odd: spark.createDataFrame([(d, i, [f"w{d}-{(i * 7 + j * 11) % 60}" for j in range(20)]) for d in range(20) for i in range(odd, 40, 2)], "document_id int, id int, words array<string>")
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = {tuple(r) for r in ma.word_pairs(rows(1), rows(0)).collect()}
+        assert shuffled() - before < 150_000  # 800 cards of 20 words; 32 copies of 16 words of each alone would be 409,600
+        monkeypatch.setattr(ma, "SLICE", 2)
+        assert got and got == {tuple(r) for r in ma.word_pairs(rows(1), rows(0), slices=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
