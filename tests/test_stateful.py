@@ -60,6 +60,13 @@ def test_live_fold_after_every_batch(spark, tmp_path):
             assert got[1, "summary.updated", -1, ""][2] == (n == 0)
 
 
+def test_live_fold_calls_no_python_for_a_key(spark, tmp_path):
+    """A call for each key was what the fold spent its time on."""
+    write(tmp_path / "in", 0, [event(1, "claim.extracted", 1)])
+    plan = st.live_fold(spark.readStream.schema(EVENT).json(f"{tmp_path}/in"))._jdf.queryExecution().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan
+
+
 def test_silent_stream_fails_once(spark, tmp_path):
     """No later event at all: analyses without an end fail once, also when the query has been started again."""
     write(tmp_path / "in", 0, [event(1, "x"), event(2, "x"), event(1, "x", a=2), event(2, "analysis.completed", a=2), event(1, "x", a=3)])
