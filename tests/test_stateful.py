@@ -123,3 +123,22 @@ def test_header_from_deltas(spark, tmp_path):
             put(again, kept[-1][1])  # delivered twice
         assert read(st.header_from_deltas(spark, folder)) == want
     assert read(st.compact_deltas(spark, folder, f"{tmp_path}/compact", 1)) == want
+
+
+def test_header_deltas_of_many_documents_in_a_page(spark, tmp_path):
+    """Documents share a page of the state, in two batches with scores given again, late, and repeated; ids beyond 2^53 and a null id stay apart."""
+    doc = lambda i: None if i == 7 else i if i % 2 else 2**53 + i
+    first = [score(2, doc(i), str(k), "clarity", (i * 7 + k) % 10 / 10, 0.5, None if k == 1 else 0.6) for i in range(150) for k in range(2)]
+    second = [score(3 if i % 3 else 1, doc(i), "0", "clarity", (i + 3) % 10 / 10) for i in range(150)] + first[:40]
+    folder, rows = f"{tmp_path}/deltas", {}
+    for n, batch in enumerate((first, second)):
+        write(tmp_path / "in", n, batch)
+        with st.state_store(spark):
+            s = st.header_deltas(spark.readStream.schema(SCORE).json(f"{tmp_path}/in"), pages=2)
+            s.writeStream.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).foreachBatch(st.write_deltas(folder)).start().awaitTermination()
+        for r in batch:
+            key = r["document_id"], r["target"]
+            rows[key] = r if key not in rows or r["seq"] > rows[key]["seq"] else rows[key]
+        table = spark.createDataFrame([(r["document_id"], r["profile"], r["score"], r["confidence"], r["prominence"]) for r in rows.values()], "document_id long, profile string, score double, confidence double, prominence double")
+        read = lambda df: {(r.document_id, r.profile): (r.score, r.confidence, r.n_rows) for r in df.collect()}
+        assert read(st.header_from_deltas(spark, folder)) == read(su.lehmer(table, ["document_id", "profile"]))
