@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # fixed values: characters a reader does not see, and white space beyond ASCII
 INVISIBLE = "​‌‍⁠﻿­"
@@ -40,9 +40,46 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+_PAIRS = ArrayType(StructType([StructField("a", StringType()), StructField("b", StringType())]))
+_MAP = StructType([StructField("src", StringType()), StructField("dst", StringType()), StructField("more", _PAIRS)])
+
+
+def _folding(other: str):
+    """A UDF of the distinct characters of a text that are not ASCII: ``src`` and ``dst`` for translate, and those that become several (``more``).
+
+    NFKD without combining marks works character by character; what is not ASCII then becomes ``other``."""
+
+    def one(x: str) -> str:
+        flat = "".join(c if c.isascii() else other for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        return other if other and flat and not flat.strip(other) else flat
+
+    @F.pandas_udf(_MAP)
+    def fold(odd: pd.Series) -> pd.DataFrame:
+        flat = {x: one(x) for x in set("".join(odd.fillna("")))}
+        rows = []
+        for text in odd:
+            known = sorted(((x, flat[x]) for x in text or ""), key=lambda p: len(p[1]) != 1)  # translate drops what has no partner: at the end
+            rows.append(("".join(x for x, y in known if len(y) < 2), "".join(y for _, y in known if len(y) == 1), [{"a": x, "b": y} for x, y in known if len(y) > 1]))
+        return pd.DataFrame(rows, columns=["src", "dst", "more"])
+
+    return fold
+
+
+_FOLD = {other: _folding(other) for other in ("", "-")}
+
+
+def odd_characters(c: Column) -> Column:
+    """The distinct characters of ``c`` that are not ASCII, as one string."""
+    return F.array_join(F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7f]+", ""), "")), "")
+
+
+def folded(c: Column, other: str) -> Column:
+    """``c`` in ASCII: NFKD without combining marks, what is still not ASCII as ``other`` ("" or "-").
+
+    Python sees the distinct characters beyond ASCII of each text only, never a text."""
+    map_ = _FOLD[other](odd_characters(c))
+    several = F.aggregate(map_["more"], c, lambda text, x: F.replace(text, x["a"], x["b"]))
+    return F.call_function("translate", several, map_["src"], map_["dst"])
 
 
 def nfc(c: Column, assume_composed: bool = False) -> Column:
@@ -89,16 +126,14 @@ def org_from_host(url: Column) -> Column:
 
 def slug(*parts: Column, limit: int = 64) -> Column:
     raw = F.concat_ws("-", *(F.nullif(p, F.lit("")) for p in parts))
-    folded = F.when(raw.rlike(r"[^\x00-\x7f]"), F.regexp_replace(_fold(raw), r"[^\x00-\x7f]", "")).otherwise(raw)
-    out = F.lower(F.regexp_replace(F.regexp_replace(folded, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
-    return F.regexp_replace(F.substring(F.when(out == "", "document").otherwise(out), 1, limit), "[-.]+$", "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(folded(raw, "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.substring(out, 1, limit), "^$", "document"[:limit]), "[-.]+$", "")
 
 
 def company_slug(c: Column) -> Column:
     for a, b in TRANSLITERATE.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    folded = F.when(c.rlike(r"[^\x00-\x7f]"), _fold(c)).otherwise(c)
-    return F.regexp_replace(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(folded(c, "-")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def lenient_int(c: Column) -> Column:

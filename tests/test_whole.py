@@ -252,3 +252,26 @@ def test_pair_by_words(spark):
             used.add((d, min(free)[1]))
             want.add((d, i, min(free)[1]))
     assert {(r.document_id, r.ref_id, r.live_id) for r in ma.pair_by_words(frame(live), frame(ref)).collect()} == want
+
+
+def test_slugs_fold_every_character(spark):
+    """Every character of Unicode as whole texts were folded; Python gets the distinct characters beyond ASCII of a text only."""
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["a".join(every[i : i + 300]) for i in range(0, len(every), 300)] + ["", "---", "É", "中", "x" * 63 + "-½y", "①ﬁ\U0001d400가 Ź", None]
+    fold = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+    def company(x):
+        for a, b in tx.TRANSLITERATE.items():
+            x = x.replace(a, b)
+        return re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", fold(x).lower()))
+
+    def slug(x, limit):
+        out = re.sub("^-+|-+$", "", re.sub("[^A-Za-z0-9]+", "-", re.sub(r"[^\x00-\x7f]", "", fold(x or "")))).lower()
+        return re.sub("[-.]+$", "", (out or "document")[:limit])
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", tx.company_slug(F.col("t")).alias("c"), tx.slug(F.col("t")).alias("s"), tx.slug(F.col("t"), limit=10**6).alias("l")).collect():
+        t = texts[r.i]
+        assert r.c == (None if t is None else company(t)) and r.s == slug(t, 64) and r.l == slug(t, 10**6)
+    sizes = df.select(F.length(tx.odd_characters(F.lit("é" * 1000 + "plain ü" * 1000)))).first()[0]
+    assert sizes == 2
