@@ -21,7 +21,7 @@ LIMIT = 4_000_000
 #: Tokens of a run that pass one after the other; longer runs are cut, with overlaps of the longest term.
 RUN = 256
 #: Bytes of texts that pass together.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True

@@ -77,3 +77,20 @@ def test_claims_leave_regions_out(spark):
     assert {t for d, t in every if d == 1} == {"We will cut.", "It was said.", "We will not.", "And it was so.", "“We are green,” they say.", "We will grow."}
     assert every - claims(regions) == {(1, "We will not."), (1, "And it was so.")}
     assert every - claims(mining.quoted_regions(docs)) == {(1, "“We are green,” they say."), (2, "“We are green,” they say.")}
+
+
+def test_memory_of_a_batch_is_that_of_a_slice():
+    """A batch of 8 MB of texts: what the scan holds beside it at once stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from auditgrain.operators import automaton as au
+
+    a = au.build(["word", "of the"])
+    batch = pa.RecordBatch.from_arrays([pa.array(["some word of the text " * 100] * 3800)], names=["__lower"])
+    tracemalloc.start()
+    hits = sum(len(au.scan(a, part.column("__lower"))[0]) for part in au._sliced(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hits == 2 * 380_000 and peak < 130 << 20, peak
