@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text as tx
-from ..scratch import settled
 from .automaton import term_hits
 from .spans import line_regions
 
@@ -151,76 +151,98 @@ def compare_versions(old: DataFrame, new: DataFrame, key: str = "document_id") -
     return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
 
 
-def _best_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document's pairs, sorted by document, old number and falling new number, the heaviest set that rises in both numbers."""
-
-    def solve(doc, old, new, weight):
-        rank = {v: i + 1 for i, v in enumerate(sorted(set(new)))}
-        tree = [(0.0, -1)] * (len(rank) + 1)  # best chain that ends at a new number of at most this rank
-        best, before = [], []
-        for k, (n, w) in enumerate(zip(new, weight, strict=True)):
-            i, top = rank[n] - 1, (0.0, -1)
-            while i > 0:
-                top = max(top, tree[i], key=lambda x: x[0])
-                i -= i & -i
-            best.append(top[0] + w)
-            before.append(top[1])
-            i = rank[n]
-            while i < len(tree):
-                if best[k] > tree[i][0]:
-                    tree[i] = (best[k], k)
-                i += i & -i
-        k, out = max(range(len(best)), key=lambda k: best[k], default=-1), []
-        while k >= 0:
-            out.append((doc, old[k], new[k]))
-            k = before[k]
-        return out
-
-    doc, held = None, ([], [], [])
-    for b in batches:
-        done = []
-        for d, o, n, w in zip(*(b.column(c).to_pylist() for c in ("document_id", "old_no", "new_no", "weight")), strict=True):
-            if d != doc and held[0]:
-                done += solve(doc, *held)
-                held = ([], [], [])
-            doc = d
-            for rows, v in zip(held, (o, n, w), strict=True):
-                rows.append(v)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["document_id", "old_no", "new_no"])
-    if held[0] and (done := solve(doc, *held)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["document_id", "old_no", "new_no"])
+def _best_chain(old: list[int], new: list[int], weight: list[float]) -> list[tuple[int, int]]:
+    """Of pairs sorted by old number and falling new number, the heaviest set that rises in both numbers."""
+    rank = {v: i + 1 for i, v in enumerate(sorted(set(new)))}
+    tree = [(0.0, -1)] * (len(rank) + 1)  # best chain that ends at a new number of at most this rank
+    best, before = [], []
+    for k, (n, w) in enumerate(zip(new, weight, strict=True)):
+        i, top = rank[n] - 1, (0.0, -1)
+        while i > 0:
+            top = max(top, tree[i], key=lambda x: x[0])
+            i -= i & -i
+        best.append(top[0] + w)
+        before.append(top[1])
+        i = rank[n]
+        while i < len(tree):
+            if best[k] > tree[i][0]:
+                tree[i] = (best[k], k)
+            i += i & -i
+    k, out = max(range(len(best)), key=lambda k: best[k], default=-1), []
+    while k >= 0:
+        out.append((old[k], new[k]))
+        k = before[k]
+    return out
+
+
+def _near(old: list[tuple], new: list[tuple], bar: float) -> tuple[list[int], list[int], list[float]]:
+    """Pairs of a document's sentences (number, words) that share ``bar`` of the smaller one's words, with their weights, in the order of _best_chain."""
+    old, new = ([(k, w) for k, w in side if w] for side in (old, new))
+    places: dict[str, list[int]] = {}
+    for j, (_, w) in enumerate(new):
+        for x in w:
+            places.setdefault(x, []).append(j)
+    size = np.array([len(w) for _, w in new], "int64")
+    out: tuple[list, list, list] = ([], [], [])
+    for k, w in old:
+        met = [places[x] for x in w if x in places]
+        if met:
+            js, shared = np.unique(np.concatenate(met), return_counts=True)
+            near = shared / np.minimum(len(w), size[js]) >= bar
+            js, shared = js[near][::-1], shared[near][::-1]
+            out[0].extend([k] * len(js))
+            out[1].extend(new[j][0] for j in js)
+            out[2].extend((shared * 2.0 * shared / (len(w) + size[js])).tolist())
+    return out
+
+
+def _aligned(rows: list[tuple], bar: float) -> list[tuple]:
+    """(document_id, old_no, new_no, old, new) of a document's rows (document_id, side, number, text, h, words), sorted by side and number."""
+    doc, sides = rows[0][0], [[r for r in rows if r[1] == s] for s in (0, 1)]
+    pairs: dict[int, int] = {}
+    if doc is not None:
+        same: dict[int, list[int]] = {}
+        for r in reversed(sides[1]):
+            same.setdefault(r[4], []).append(r[2])
+        pairs = {r[2]: same[r[4]].pop() for r in sides[0] if same.get(r[4])}
+        taken = (set(pairs), set(pairs.values()))
+        pairs |= dict(_best_chain(*_near(*([(r[2], r[5]) for r in side if r[2] not in t] for side, t in zip(sides, taken, strict=True)), bar)))
+    text, back = {r[2]: r[3] for r in sides[1]}, set(pairs.values())
+    out = [(doc, r[2], pairs.get(r[2]), r[3], text.get(pairs.get(r[2]))) for r in sides[0]]
+    return out + [(doc, None, r[2], None, r[3]) for r in sides[1] if r[2] not in back]
 
 
 def align_sentences(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
     """(document_id, old_no, new_no, old, new): each sentence of an old version beside its restatement in the new one; null where there is none.
 
     old and new: document_id (a number), sentence_no, text.  Equal sentences are paired in order first.  Of the others those are candidates that share ``bar`` of the
-    smaller one's content words, numbers aside; they meet on their rarest words only.  A document's pairs are the set of candidates that keeps the
-    order of both versions and shares most (shared words, weighted by how alike the two are).  Sentences without content words pair only when equal."""
-    from .matching import word_pairs
-
-    def side(d: DataFrame) -> DataFrame:
-        turn = F.row_number().over(Window.partitionBy("document_id", "h").orderBy("sentence_no"))
-        words = F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]"))
-        return d.select("document_id", "sentence_no", "text", F.xxhash64(tx.squash(F.col("text"))).alias("h")).withColumn("turn", turn).withColumn("words", words)
-
-    o, n = settled(side(old)), settled(side(new))
-    key = ["document_id", "h", "turn"]
-    equal = o.select(*key, F.col("sentence_no").alias("old_no")).join(n.select(*key, F.col("sentence_no").alias("new_no")), key).select("document_id", "old_no", "new_no")
-    rest = [a.join(b.select(key), key, "left_anti").select("document_id", F.col("sentence_no").alias("id"), "words") for a, b in ((o, n), (n, o))]
-    pairs = word_pairs(rest[1], rest[0], bar).select("document_id", F.col("ref_id").alias("old_no"), F.col("live_id").alias("new_no"))
-    sized = lambda d, name: d.select("document_id", F.col("sentence_no").alias(name), F.col("words").alias("w_" + name))
-    shared = F.size(F.array_intersect("w_old_no", "w_new_no"))
-    weight = shared * 2.0 * shared / (F.size("w_old_no") + F.size("w_new_no"))
-    weighed = pairs.join(sized(o, "old_no"), ["document_id", "old_no"]).join(sized(n, "new_no"), ["document_id", "new_no"]).select(
-        F.col("document_id").cast("long").alias("document_id"), F.col("old_no").cast("long").alias("old_no"), F.col("new_no").cast("long").alias("new_no"), weight.alias("weight"))
-    chain = weighed.repartition("document_id").sortWithinPartitions("document_id", "old_no", F.desc("new_no")).mapInArrow(_best_chain, "document_id long, old_no long, new_no long")
-    matched = settled(equal.unionByName(chain))
-    texts = lambda d, no, name: d.select("document_id", F.col("sentence_no").alias(no), F.col("text").alias(name))
-    left = texts(o, "old_no", "old").join(matched, ["document_id", "old_no"], "left").join(texts(n, "new_no", "new"), ["document_id", "new_no"], "left")
-    added = texts(n, "new_no", "new").join(matched, ["document_id", "new_no"], "left_anti")
-    return left.select("document_id", "old_no", "new_no", "old", "new").unionByName(added, allowMissingColumns=True)
+    smaller one's content words, numbers aside.  A document's pairs are the set of candidates that keeps the
+    order of both versions and shares most (shared words, weighted by how alike the two are).  Sentences without content words pair only when equal.
+
+    Sentences are dealt out by document once and pass in order; a task holds those of one document at a time."""
+    words = F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]"))
+    side = lambda d, s: d.select("document_id", F.lit(s).alias("side"), F.col("sentence_no").cast("long").alias("no"), "text")
+    dealt = side(old, 0).unionByName(side(new, 1)).repartition("document_id").sortWithinPartitions("document_id", "side", "no")
+    ready = dealt.select(F.col("document_id").cast("long").alias("document_id"), "side", "no", "text", F.xxhash64(tx.squash(F.col("text"))).alias("h"), words.alias("words"))
+    schema = pa.schema([("document_id", pa.int64()), ("old_no", pa.int64()), ("new_no", pa.int64()), ("old", pa.string()), ("new", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        put = lambda done: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+        for b in batches:
+            done = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != r[0]:
+                    done += _aligned(held, bar)
+                    held = []
+                held.append(r)
+            if done:
+                yield put(done)
+        if held:
+            yield put(_aligned(held, bar))
+
+    out = ready.mapInArrow(run, "document_id long, old_no long, new_no long, old string, new string")
+    return out.withColumn("document_id", F.col("document_id").cast(old.schema["document_id"].dataType))
 
 
 def version_changes(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:

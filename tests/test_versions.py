@@ -59,3 +59,14 @@ def test_kinds_of_change(spark):
     assert got[1, 0, 0] == "weakened" and got[1, 1, 1] == "delayed" and got[1, 2, None] == "dropped" and got[1, 3, 2] == "restated" and got[1, 4, 3] == "unchanged"
     assert got[1, 5, None] == "dropped" and got[1, 6, None] == "dropped" and got[1, None, 4] == "added" and got[2, None, 0] == "added"
     assert mi.version_changes(rows(old).limit(0), rows(new).limit(0)).count() == 0
+
+
+def test_alignment_writes_little(spark):
+    """One exchange, of the sentences, and nothing written between: no list of words or candidates goes to disk."""
+    rows = lambda v: spark.createDataFrame(v, ROW).repartition(3)
+    old = [(d, i, f"alpha{'abcde'[i % 5]} beta gamma{'abc'[d % 3]} {i}") for d in range(6) for i in range(9)] + [(None, 0, "beta gamma"), (7, 0, None)]
+    out = mi.align_sentences(rows(old), rows([(d, i, t and t.replace("beta", "delta")) for d, i, t in old]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan and "Scan ExistingRDD[document_id" in plan
+    assert len(out.where("document_id < 7 and old_no is not null and new_no is not null").collect()) == 54
+    assert out.where("document_id is null").count() == 2
