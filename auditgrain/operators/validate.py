@@ -96,20 +96,36 @@ def check_q09(evidence: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _unknown(cites: DataFrame, evidence: DataFrame, rule: str, entity: str) -> DataFrame:
-    """cites (document_id, entity, evidence_ids) of evidence that does not exist."""
-    named = cites.select("document_id", entity, F.explode("evidence_ids").alias("evidence_id"))
+    """cites (document_id, entity, evidence_ids) of evidence that does not exist; ``n``, if given, is how often a row stands there."""
+    named = cites.select("document_id", entity, F.explode("evidence_ids").alias("evidence_id"), *(["n"] if "n" in cites.columns else []))
     lost = named.join(evidence.select("document_id", "evidence_id").distinct(), ["document_id", "evidence_id"], "left_anti")
+    if "n" in cites.columns:
+        lost = lost.select("document_id", entity, "evidence_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return _row(lost, rule, F.col(entity), F.concat(F.lit("unknown evidence "), F.col("evidence_id").cast("string")))
 
 
 def check_q10(claims: DataFrame, scores: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """One score for each claim and dimension, none missing, on known claims; with ``evidence``, citing known evidence (evidence_ids)."""
-    n = scores.groupBy("document_id", "claim_id", "dimension").agg(F.count(F.lit(1)).alias("n"))
-    want = claims.select("document_id", "claim_id", F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dimension"))
-    missing = _row(want.join(n, ["document_id", "claim_id", "dimension"], "left_anti"), "Q10", F.col("claim_id"), F.concat(F.lit("no "), "dimension"))
-    lost = _row(scores.join(claims.select("document_id", "claim_id"), ["document_id", "claim_id"], "left_anti"), "Q10", F.col("claim_id"), F.lit("unknown claim"))
-    out = missing.unionByName(_row(n.where("n > 1"), "Q10", F.col("claim_id"), F.concat(F.lit("repeated "), "dimension"))).unionByName(lost)
-    return out if evidence is None else out.unionByName(_unknown(scores, evidence, "Q10", "claim_id"))
+    key = ["document_id", "claim_id"]
+    # one row for the known dimensions of a claim and the claim itself, one for each other dimension: no joins
+    known = F.coalesce(F.col("dimension").isin(*DIMENSIONS), F.lit(False))
+    rows = scores.select(*key, known.alias("known"), "dimension", F.lit(0).alias("claim")).unionByName(claims.select(*key, F.lit(True).alias("known"), F.lit(None).cast("string").alias("dimension"), F.lit(1).alias("claim")))
+    other = F.when(~F.col("known"), F.col("dimension")).alias("other")
+    counts = [F.count_if(F.col("dimension") == d).alias(d) for d in DIMENSIONS]
+    n = rows.groupBy(*key, "known", other).agg(F.sum("claim").alias("claims"), F.count_if(F.col("claim") == 0).alias("n"), *counts)
+    there = F.coalesce(F.sum("claims").over(Window.partitionBy(key)), F.lit(0)) * F.when(F.col("document_id").isNull() | F.col("claim_id").isNull(), 0).otherwise(1)
+    n = n.withColumn("there", there)
+    times = lambda detail, k: F.array_repeat(detail, k.cast("int"))
+    said = [times(F.lit("unknown claim"), F.when(F.col("there") == 0, F.col("n")).otherwise(0)), times(F.concat(F.lit("repeated "), "other"), F.when(~F.col("known") & (F.col("n") > 1), 1).otherwise(0))]
+    for d in DIMENSIONS:
+        said.append(times(F.lit(f"repeated {d}"), F.when(F.col(d) > 1, 1).otherwise(0)))
+        said.append(times(F.lit(f"no {d}"), F.when((F.col(d) == 0) | (F.col("there") == 0), F.col("claims")).otherwise(0)))
+    whole = F.col("known") & (F.col("there") == 1) & (F.least(*DIMENSIONS) == 1) & (F.greatest(*DIMENSIONS) == 1)  # nothing to say
+    out = _row(n.where(~whole).select(*key, F.explode(F.flatten(F.array(*said))).alias("detail")), "Q10", F.col("claim_id"), F.col("detail"))
+    if evidence is None:
+        return out
+    cites = scores.groupBy(*key, "evidence_ids").agg(F.count(F.lit(1)).alias("n"))  # scores of a claim mostly cite the same
+    return out.unionByName(_unknown(cites, evidence, "Q10", "claim_id"))
 
 
 def check_q11(verdicts: DataFrame, claims: DataFrame, arguments: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:

@@ -134,3 +134,34 @@ def test_rows_of_rare_words_are_not_repeated(spark, monkeypatch):
         assert got and got == {tuple(r) for r in ma.word_pairs(rows(1), rows(0), slices=5).collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scores_are_checked_without_joins(spark):
+    """Q10 on odd rows: repeated claims, unknown dimensions, null keys and ids cited by several scores; each score is counted."""
+    from collections import Counter
+
+    from auditgrain.config import DIMENSIONS
+    from auditgrain.operators import validate as va
+
+    claims = [(1, 1), (1, 2), (1, 3), (1, 3), (2, 1), (None, 1), (3, 1)]
+    scores = [(1, 1, d, ["E1"]) for d in DIMENSIONS] + [(1, 2, "clarity", ["E1", "EX"])] * 2 + [(1, 2, "support", ["E1", "EX"]), (1, 3, "mood", None), (1, 3, "mood", None), (1, 3, None, []), (1, 3, None, ["EX"]), (9, 1, "clarity", ["EX"]), (9, 1, "clarity", ["EX"]), (9, 1, "tone", None), (None, 1, "clarity", None), (3, 1, "mood", ["E1"])]
+    evidence = [(1, "E1"), (1, "E1"), (2, "EX")]
+    want = Counter()
+    for c in claims:
+        for d in DIMENSIONS:
+            if None in c or not any((s[0], s[1], s[2]) == (*c, d) for s in scores):
+                want[(c[0], c[1], f"no {d}")] += 1
+    for (a, b, d), n in Counter(s[:3] for s in scores).items():
+        if n > 1:
+            want[(a, b, d and f"repeated {d}")] += 1
+    for a, b, _, ids in scores:
+        if a is None or (a, b) not in claims:
+            want[(a, b, "unknown claim")] += 1
+        for i in ids or []:
+            if (a, i) not in evidence:
+                want[(a, b, f"unknown evidence {i}")] += 1
+    s = spark.createDataFrame(scores, "document_id long, claim_id long, dimension string, evidence_ids array<string>")
+    c = spark.createDataFrame(claims, "document_id long, claim_id long")
+    out = va.check_q10(c, s, spark.createDataFrame(evidence, "document_id long, evidence_id string"))
+    assert Counter((r.document_id and int(r.document_id), int(r.entity_id), r.detail) for r in out.collect()) == want
+    assert "Join" not in va.check_q10(c, s)._jdf.queryExecution().executedPlan().toString()
