@@ -144,21 +144,23 @@ def check_q11(verdicts: DataFrame, claims: DataFrame, arguments: DataFrame | Non
     return out
 
 
-def check_q12(verdicts: DataFrame, claims: DataFrame, scores: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+def check_q12(verdicts: DataFrame, claims: DataFrame | None = None, scores: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """Likelihood and category follow from the scores; confidence is within their range (warning).
 
-    Without ``scores`` and ``links`` the claims carry theirs, as for nested_wide."""
+    Without ``scores`` and ``links`` the claims carry theirs, as for nested_wide; without claims the verdicts
+    carry the columns of nested_wide beside what is recorded, and the rule is worked out on the same row."""
     key = ["document_id", "claim_id"]
-    w = nested_wide(claims) if scores is None else scores_wide(claims, scores).join(link_facts(links), key, "left")
+    w = verdicts if claims is None else nested_wide(claims) if scores is None else scores_wide(claims, scores).join(link_facts(links), key, "left")
     contra = F.coalesce(F.array_contains("relations", "contradicts"), F.lit(False))
     confs = [F.coalesce(F.col(d + "_conf"), F.lit(0.0)) for d in DIMENSIONS]
-    rule = w.select(*key, likelihood().alias("__l"), category(contra).alias("__c"), (F.least(*confs) - 0.1).alias("__lo"), F.greatest(*confs).alias("__hi"))
+    own = [*key] if claims is not None else [*key, "likelihood", "category", "confidence"]
+    rule = w.select(*own, likelihood().alias("__l"), category(contra).alias("__c"), (F.least(*confs) - 0.1).alias("__lo"), F.greatest(*confs).alias("__hi"))
     off = F.array_compact(F.array(
         F.when(F.abs(F.col("likelihood") - F.col("__l")) > 0.005, F.struct(F.lit("likelihood").alias("what"), F.lit("error").alias("severity"))),
         F.when(F.col("category") != F.col("__c"), F.struct(F.lit("category").alias("what"), F.lit("error").alias("severity"))),
         F.when((F.col("confidence") < F.col("__lo") - 0.005) | (F.col("confidence") > F.col("__hi") + 0.005), F.struct(F.lit("confidence").alias("what"), F.lit("warning").alias("severity"))),
     ))
-    bad = verdicts.join(rule, key).select("document_id", "claim_id", F.inline(off))
+    bad = (rule if claims is None else verdicts.join(rule, key)).select("document_id", "claim_id", F.inline(off))
     return bad.select(F.lit("Q12").alias("rule"), "severity", F.col("document_id").cast("string").alias("document_id"), F.col("claim_id").cast("string").alias("entity_id"), F.col("what").alias("detail"))
 
 
