@@ -157,7 +157,7 @@ def contains_quote(text: Column, quote: Column) -> Column:
     return squash(text).contains(squash(quote))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once however often it is named there."""
     return F.transform(F.array(value), body)[0]
 
@@ -177,10 +177,15 @@ def _running_sums(sizes: Column, extra: Column) -> Column:
 
     def whole(runs: Column) -> Column:
         totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x + extra))
-        return F.flatten(_let(totals, lambda t: F.zip_with(runs, F.zip_with(sums(t, F.lit(0), F.lit(0)), t, lambda e, own: e - own), lambda r, before: sums(r, before, extra))))
+        return F.flatten(let(totals, lambda t: F.zip_with(runs, F.zip_with(sums(t, F.lit(0), F.lit(0)), t, lambda e, own: e - own), lambda r, before: sums(r, before, extra))))
 
     length = lambda all_: F.greatest(F.ceil(F.sqrt(F.size(all_).cast("double"))).cast("int"), F.lit(1))
-    return _let(sizes, lambda all_: _let(length(all_), lambda run: _let(cut(all_, run), whole)))
+    return let(sizes, lambda all_: let(length(all_), lambda run: let(cut(all_, run), whole)))
+
+
+def running_ends(sizes: Column) -> Column:
+    """Sums of ``sizes`` (integers) up to and with each entry: where each of several strings in a row ends."""
+    return _running_sums(sizes, F.lit(0))
 
 
 def find_all(text: Column, needle: Column) -> Column:
@@ -189,13 +194,13 @@ def find_all(text: Column, needle: Column) -> Column:
     The text is cut at the needle; a cut misses an occurrence only if it overlaps the one before it, so, where a needle ends as
     it begins, places inside a found one are tested on their own.  A null or empty needle has none.  Text and needle are
     evaluated once: Spark would evaluate what they are made of again for every step of the lambdas."""
-    return _let(F.struct(text.alias("t"), needle.alias("q")), lambda x: _find_all(x["t"], x["q"]))
+    return let(F.struct(text.alias("t"), needle.alias("q")), lambda x: _find_all(x["t"], x["q"]))
 
 
 def _find_all(text: Column, needle: Column) -> Column:
     n = F.length(needle)
     parts = F.split(text, F.concat(F.lit(r"\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")), -1)
-    cuts = _let(parts, lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.length(x)))
+    cuts = let(parts, lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.length(x)))
     none = F.array().cast("array<int>")
     # distances at which the needle can overlap itself: what is left of it there is its own beginning
     steps = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), lambda j: F.substring(needle, j + 1, n) == F.substring(needle, F.lit(1), n - j))).otherwise(none)
@@ -204,7 +209,7 @@ def _find_all(text: Column, needle: Column) -> Column:
         inside = F.flatten(F.transform(firsts, lambda s: F.transform(F.filter(steps, lambda j: F.substring(text, s + j + 1, n) == needle), lambda j: s + j)))
         return F.when(F.size(steps) > 0, F.array_sort(F.array_distinct(F.concat(firsts, inside)))).otherwise(firsts)
 
-    return F.when(n > 0, _let(_running_sums(cuts, n), lambda f: _let(steps, lambda s: with_inner(f, s)))).otherwise(none)
+    return F.when(n > 0, let(_running_sums(cuts, n), lambda f: let(steps, lambda s: with_inner(f, s)))).otherwise(none)
 
 
 def overlap_share(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -54,10 +54,11 @@ def _word_bytes(raw: np.ndarray, letters: bool) -> np.ndarray:
     if not letters or not (raw >= 128).any():
         return _ALNUM[raw]
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    kinds, of = np.unique(points, return_inverse=True)
-    flag = np.array([chr(p).isdecimal() or unicodedata.category(chr(p))[0] == "L" for p in kinds.tolist()], dtype=bool)
-    flag[kinds < 128] = _ALNUM[kinds[kinds < 128]]
-    return np.repeat(flag[of], np.diff(np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))))
+    flag = np.zeros(int(points.max()) + 1, dtype=bool)  # by character; first which there are, without sorting them
+    flag[points] = True
+    kinds = np.flatnonzero(flag)
+    flag[kinds] = [_ALNUM[p] if p < 128 else chr(p).isdecimal() or unicodedata.category(chr(p))[0] == "L" for p in kinds.tolist()]
+    return np.repeat(flag[points], np.diff(np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))))
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray, letters: bool) -> _Tokens:
@@ -214,16 +215,19 @@ def automata(terms: list[str], letters: bool = False, limit: int = LIMIT) -> lis
     return [(np.flatnonzero(group == g), build([terms[i] for i in np.flatnonzero(group == g)], letters)) for g in np.unique(group)]
 
 
-def term_hits(rows: DataFrame, terms: DataFrame, text: str = "text", letters: bool = False, limit: int = LIMIT) -> DataFrame:
+def term_hits(rows: DataFrame, terms: DataFrame | list[str], text: str = "text", letters: bool = False, limit: int = LIMIT) -> DataFrame:
     """``rows`` without ``text``, with ``hits`` array<struct<term, start, end>>: every whole-word hit of a term, case aside, by place.
 
-    ``terms`` has term, a string column; repeated and blank ones count once and never.  Word characters are a-z and 0-9, with ``letters``
+    ``terms`` is a list, or has term, a string column; repeated and blank ones count once and never.  Word characters are a-z and 0-9, with ``letters``
     letters and digits of all scripts; none may stand next to a hit, but a term without any may stand anywhere.  White space within a term
     matches any white space.  Places are in characters of the text; hits may overlap.  A null text has none.
 
     Terms reach the driver, ``limit`` characters at a time are broadcast as one automaton; beyond that, rows pass several ones in
     the same task.  Rows are neither joined nor shuffled."""
-    listed = sorted(r["t"] for r in terms.select(F.trim("term").alias("t")).where("t <> ''").distinct().toLocalIterator())
+    if isinstance(terms, list):
+        listed = sorted({t.strip(" ") for t in terms} - {""})
+    else:
+        listed = sorted(r["t"] for r in terms.select(F.trim("term").alias("t")).where("t <> ''").distinct().toLocalIterator())
     lowered = [r["x"] for r in rows.sparkSession.createDataFrame([(t,) for t in listed], "t string").select(F.lower("t").alias("x")).collect()] if any(not t.isascii() for t in listed) else [t.lower() for t in listed]
     context = rows.sparkSession.sparkContext
     shared = [context.broadcast(x) for x in automata(lowered, letters, limit)]

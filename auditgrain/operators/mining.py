@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +39,41 @@ YEAR = r"\b((?:19|20)\d{2})\b"
 BASELINE = r"\b((?:since|from|against|compared with|versus|than) (?:the )?(?:19|20)\d{2})\b"
 
 
+def _placed(text: Column) -> Column:
+    """Sentences of a text as array<struct<at, piece>>: where each begins, and what stands there up to the next, a line's end included."""
+    parts = F.split(text, r"(?= )(?<=[.!?])|(?<=\n)")
+    put = lambda p: F.zip_with(p, tx.running_ends(F.transform(p, lambda x: F.length(x))), lambda x, end: F.struct((end - F.length(x)).alias("at"), x.alias("piece")))
+    return F.filter(tx.let(parts, put), lambda x: F.btrim(x["piece"], F.lit(" \n")) != "")
+
+
+def _exploded(docs: DataFrame, key: str, number: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(document_id, ``number``, start, end, text) of the sentences of each row of docs, of those only whose text ``keep`` holds for.
+
+    All of a document is worked out in its row, and numbers are places in its array: texts are dealt out by document
+    once, as a file may be a single split, and neither sorted nor shuffled again."""
+    text = lambda x: F.btrim(x["piece"], F.lit(" \n"))
+    found = _placed(F.col("text"))
+    if keep is not None:
+        found = F.filter(found, lambda x: keep(text(x)))
+    rows = docs.select(F.col(key).alias("document_id"), "text").repartition("document_id").select("document_id", F.posexplode(found).alias("no", "x"))
+    lead = F.length("x.piece") - F.length(F.ltrim("x.piece"))
+    placed = rows.select("document_id", (F.col("no") + 1).alias(number), (F.col("x.at") + lead).cast("long").alias("start"), text(F.col("x")).alias("text"))
+    return placed.select("document_id", number, "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(document_id, sentence_no, start, end, text): lines cut after . ! or ?, with places in the text."""
-    lines = line_regions(docs, key)
-    parts = lines.select("document_id", "line_no", "start", F.posexplode(F.split("text", r"(?<=[.!?])(?= )")).alias("p", "text"))
-    before = F.sum(F.length("text")).over(Window.partitionBy("document_id", "line_no").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    lead = F.length("text") - F.length(F.ltrim("text"))
-    placed = parts.withColumn("start", F.col("start") + F.coalesce(before, F.lit(0)) + lead).withColumn("text", F.trim("text")).where("text <> ''").withColumn("end", F.col("start") + F.length("text"))
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("start"))
-    return placed.select("document_id", number.alias("sentence_no"), "start", "end", "text")
+    """(document_id, sentence_no, start, end, text): lines cut after . ! or ?, with places in the text; a row of docs is a document."""
+    return _exploded(docs, key, "sentence_no")
 
 
-def _kinds(text: Column, lexicon: dict[str, list[str]]) -> Column:
-    """Kinds of the lexicon whose words stand in the text, in the lexicon's order."""
-    found = [F.when(text.rlike(r"(?i)(?<![\p{L}\d])(" + "|".join(rf"\Q{w}\E" for w in words) + r")(?![\p{L}\d])"), kind) for kind, words in lexicon.items()]
-    return F.array_compact(F.array(*found))
+def _has(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands in the text, case aside."""
+    return text.rlike(r"(?i)(?<![\p{L}\d])(" + "|".join(rf"\Q{w}\E" for w in words) + r")(?![\p{L}\d])") if words else F.lit(False)
+
+
+def _kind(text: Column, lexicon: dict[str, list[str]]) -> Column:
+    """First kind of the lexicon, in its order, that has a word in the text; null if none has."""
+    return F.coalesce(F.lit(None).cast("string"), *(F.when(_has(text, words), kind) for kind, words in lexicon.items()))
 
 
 #: Kinds of regions whose sentences are no claims of the company.
@@ -72,15 +92,15 @@ def mine_claims(docs: DataFrame, lexicon: dict[str, list[str]] = CLAIM_LEXICON,
 
     ``regions`` (document_id, kind, start, end): a sentence that begins in a region of a kind in ``excluded`` is no claim.  Regions may nest
     and overlap; sentences and regions meet by document and bin, so a document of many of either is no hot key."""
-    rows = sentences(docs, key).withColumn("kinds", _kinds(F.col("text"), lexicon)).where(F.size("kinds") > 0)
+    rows = _exploded(docs, key, "claim_id", lambda text: _has(text, sum(lexicon.values(), [])))
     if regions is not None:
         from .matching import BIN, binned
 
         shut = binned(regions.where(F.col("kind").isin(*excluded)).select("document_id", "start", "end")).withColumnsRenamed({"start": "__s", "end": "__e"})
         rows = rows.withColumn("__bin", F.floor(F.col("start") / BIN)).alias("r").join(
             shut.alias("x"), (F.col("r.document_id") == F.col("x.document_id")) & (F.col("r.__bin") == F.col("x.__bin")) & (F.col("r.start") >= F.col("x.__s")) & (F.col("r.start") < F.col("x.__e")), "left_anti").drop("__bin")
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("start"))
-    return rows.select("document_id", number.alias("claim_id"), F.col("kinds")[0].alias("type"), "start", "end", "text")
+        rows = rows.withColumn("claim_id", F.row_number().over(Window.partitionBy("document_id").orderBy("start")))
+    return rows.select("document_id", "claim_id", _kind(F.col("text"), lexicon).alias("type"), "start", "end", "text")
 
 
 def extract_quantities(claims: DataFrame) -> DataFrame:
@@ -89,35 +109,57 @@ def extract_quantities(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"quantity": got(QUANTITY), "baseline": got(BASELINE), "timeframe": got(YEAR)})
 
 
-def mine_signals(claims: DataFrame, lexicon: dict[str, list[str]] = MARK_LEXICON) -> DataFrame:
-    """(document_id, claim_id, kind, start, end, term): every whole-word hit of the lexicon in a claim, with its place.
+def mark_claims(claims: DataFrame, lexicon: dict[str, list[str]] = MARK_LEXICON) -> DataFrame:
+    """claims without text, with ``marks`` array<struct<kind, start, end, term>>: every whole-word hit of the lexicon, with its place.
 
-    One pass over the claims finds all terms, however many; a term of several kinds gives a mark of each."""
+    One pass over the claims finds all terms, however many; a term of several kinds gives a mark of each.  Marks stay with their claim."""
     kinds: dict[str, list[str]] = {}
     for kind, words in lexicon.items():
         for w in words:
             if kind not in kinds.setdefault(w.strip().lower(), []):
                 kinds[w.strip().lower()].append(kind)
-    terms = claims.sparkSession.createDataFrame([(w,) for w in kinds], "term string")
     of = F.from_json(F.lit(json.dumps(kinds)), "map<string, array<string>>")
-    hits = term_hits(claims.select("document_id", "claim_id", F.col("start").alias("c"), "text"), terms, letters=True)
-    each = hits.select("document_id", "claim_id", "c", F.explode("hits").alias("h"))
-    return each.select("document_id", "claim_id", F.explode(F.try_element_at(of, F.col("h.term"))).alias("kind"), (F.col("c") + F.col("h.start")).alias("start"), (F.col("c") + F.col("h.end")).alias("end"), "h.term")
+    hits = term_hits(claims, list(kinds), letters=True)
+    mark = lambda h: F.transform(F.try_element_at(of, h["term"]), lambda k: F.struct(k.alias("kind"), (F.col("start") + h["start"]).alias("start"), (F.col("start") + h["end"]).alias("end"), h["term"].alias("term")))
+    return hits.withColumn("marks", F.flatten(F.transform("hits", mark))).drop("hits")
+
+
+def mine_signals(claims: DataFrame, lexicon: dict[str, list[str]] = MARK_LEXICON) -> DataFrame:
+    """(document_id, claim_id, kind, start, end, term): the marks of ``mark_claims``, a row for each."""
+    marked = mark_claims(claims.select("document_id", "claim_id", "start", "text"), lexicon)
+    return marked.select("document_id", "claim_id", F.inline("marks"))
+
+
+def _polarity() -> Column:
+    return F.when(F.col("baseline").isNotNull(), "credit").when(F.col("quantity").isNotNull() | F.col("timeframe").isNotNull(), "benign").otherwise("flag")
+
+
+def _clarity(flags: Column, vague: Column) -> list[Column]:
+    """dimension, score and confidence of a claim that has flags, and vague terms, or not."""
+    number = F.col("quantity").isNotNull()
+    score = F.when(vague & ~number, 0.8).when(flags & ~number, 0.55).when(flags | vague, 0.4).when(number, 0.15).otherwise(0.3)
+    return [F.lit("clarity").alias("dimension"), score.alias("score"), F.when(number, 0.9).otherwise(0.8).alias("confidence")]
 
 
 def assign_polarity(signals: DataFrame, claims: DataFrame) -> DataFrame:
     """Marks in a claim with a baseline are credit, with a number or year benign, else flags."""
     q = claims.select("document_id", "claim_id", "quantity", "baseline", "timeframe")
-    pol = F.when(F.col("baseline").isNotNull(), "credit").when(F.col("quantity").isNotNull() | F.col("timeframe").isNotNull(), "benign").otherwise("flag")
-    return signals.join(q, ["document_id", "claim_id"], "left").withColumn("polarity", pol).drop("quantity", "baseline", "timeframe")
+    return signals.join(q, ["document_id", "claim_id"], "left").withColumn("polarity", _polarity()).drop("quantity", "baseline", "timeframe")
 
 
 def score_clarity(claims: DataFrame, signals: DataFrame) -> DataFrame:
     """(document_id, claim_id, dimension, score, confidence) by bands: vague .8, flags alone .55, flags with a number .4, a number .15, else .3."""
     n = signals.groupBy("document_id", "claim_id").agg(F.count_if(F.col("polarity") == "flag").alias("flags"), F.count_if(F.col("kind") == "vague_term").alias("vague"))
-    number = F.col("quantity").isNotNull()
-    score = F.when((F.col("vague") > 0) & ~number, 0.8).when((F.col("flags") > 0) & ~number, 0.55).when((F.col("flags") > 0) | (F.col("vague") > 0), 0.4).when(number, 0.15).otherwise(0.3)
-    return claims.join(n, ["document_id", "claim_id"], "left").select("document_id", "claim_id", F.lit("clarity").alias("dimension"), score.alias("score"), F.when(number, 0.9).otherwise(0.8).alias("confidence"))
+    return claims.join(n, ["document_id", "claim_id"], "left").select("document_id", "claim_id", *_clarity(F.col("flags") > 0, F.col("vague") > 0))
+
+
+def clarity_of_claims(claims: DataFrame, lexicon: dict[str, list[str]] = MARK_LEXICON) -> DataFrame:
+    """(document_id, claim_id, polarity, dimension, score, confidence): ``score_clarity`` of the claims' own marks, with the polarity that ``assign_polarity`` gives them; null without marks.
+
+    claims have quantity, baseline and timeframe.  They are made once and pass in one go: marks are not joined back."""
+    marked = mark_claims(claims.select("document_id", "claim_id", "start", "text", "quantity", "baseline", "timeframe"), lexicon)
+    rows = marked.withColumn("polarity", F.when(F.size("marks") > 0, _polarity())).withColumn("vague", F.exists("marks", lambda m: m["kind"] == "vague_term"))
+    return rows.select("document_id", "claim_id", "polarity", *_clarity(F.coalesce(F.col("polarity") == "flag", F.lit(False)), F.col("vague")))
 
 
 def nearest_passages(docs: DataFrame, topics: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -12,6 +12,7 @@ from auditgrain.operators import matching as ma
 from auditgrain.operators import mining as mi
 from auditgrain.operators import scorers
 from auditgrain.plans.queries_mining import CLAIM_WORDS, MARKS
+from auditgrain.plans.registry import QUERIES
 from auditgrain.sources import logs
 
 
@@ -86,6 +87,44 @@ def test_signals(spark, sf):
     assert got == want
 
 
+def test_clarity_takes_one_pass(spark, sf):
+    """Claims are made once: one scan and one exchange of texts, where each use of the claims made them again."""
+    plan = QUERIES["m4_m5_score_clarity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and not re.search("Join|Window|Sort", plan)
+
+
+def test_clarity_of_claims(spark, sf):
+    """The same as marks in a table of their own, joined back; with claims of every polarity and without marks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text")
+    more = [(10**6, "The cut since 2015. And the 40% of it. With 7 of them. The and in 2019.\nAnd the rest."), (10**6 + 1, None), (10**6 + 2, " \n. \n")]
+    claims = mi.extract_quantities(mi.mine_claims(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")), CLAIM_WORDS))
+    marks = mi.assign_polarity(mi.mine_signals(claims, MARKS), claims)
+    polarity = {(r.document_id, r.claim_id): r.polarity for r in marks.collect()}
+    want = {(*r[:2], polarity.get(tuple(r[:2])), *r[2:]) for r in mi.score_clarity(claims, marks).collect()}
+    rows = [tuple(r) for r in mi.clarity_of_claims(claims, MARKS).collect()]
+    assert set(rows) == want and len(rows) == len(want) and {r[2] for r in rows} == {"credit", "benign", "flag", None}
+    assert {r[2:5] for r in rows if r[0] == 10**6} == {("credit", "clarity", 0.15), ("benign", "clarity", 0.4), (None, "clarity", 0.15), ("flag", "clarity", 0.8)}
+
+
+def test_sentences_and_their_places(spark):
+    """Against a loop over lines, on texts of blanks, stops and line ends in any order, and on one of 20,000 lines."""
+    rng = random.Random(5)
+    docs = dict(enumerate("".join(rng.choice("a.!? \n\né\U0001f600\t\r") for _ in range(rng.randint(0, 60))) for _ in range(300)))
+    docs[300] = "Some words. More\n" * 20_000
+    want = set()
+    for d, text in docs.items():
+        at, n = 0, 0
+        for line in text.split("\n"):
+            for piece in re.split(r"(?<=[.!?])(?= )", line):
+                if piece.strip(" "):
+                    n, start = n + 1, at + len(piece) - len(piece.lstrip(" "))
+                    want.add((d, n, start, start + len(piece.strip(" ")), piece.strip(" ")))
+                at += len(piece)
+            at += 1
+    got = mi.sentences(spark.createDataFrame([*docs.items(), (301, None)], "doc_id int, text string"))
+    assert dict(got.dtypes)["start"] == "bigint" and {tuple(r) for r in got.collect()} == want
+
+
 def test_event_log_files(spark, tmp_path):
     (tmp_path / "a1.jsonl").write_text('{"seq": 0, "t_ms": 1, "type": "x", "payload": "p"}\n\n{"t_ms": 2, "type": "y"}\nnot json\n{"seq": 9}\n')
     good, bad = logs.read_event_log(spark, str(tmp_path))
