@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +42,15 @@ YEAR = r"\b((?:19|20)\d{2})\b"
 BASELINE = r"\b((?:since|from|against|compared with|versus|than) (?:the )?(?:19|20)\d{2})\b"
 
 
+def _cut(text: Column) -> Column:
+    """Pieces of a text: it is cut after . ! or ? before a space, and after a line's end."""
+    return F.split(text, r"(?<=[.!?\n])(?:(?<=\n)|(?= ))")
+
+
 def _placed(text: Column) -> Column:
     """Sentences of a text as array<struct<at, piece>>: where each begins, and what stands there up to the next, a line's end included."""
-    parts = F.split(text, r"(?= )(?<=[.!?])|(?<=\n)")
     put = lambda p: F.zip_with(p, tx.running_ends(F.transform(p, lambda x: F.length(x))), lambda x, end: F.struct((end - F.length(x)).alias("at"), x.alias("piece")))
-    return F.filter(tx.let(parts, put), lambda x: F.btrim(x["piece"], F.lit(" \n")) != "")
+    return F.filter(tx.let(_cut(text), put), lambda x: F.btrim(x["piece"], F.lit(" \n")) != "")
 
 
 def _exploded(docs: DataFrame, key: str, number: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -61,6 +68,12 @@ def _exploded(docs: DataFrame, key: str, number: str, keep: Callable[[Column], C
     return placed.select("document_id", number, "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
+def sentence_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(document_id, sentence_no, text): ``sentences`` without their places, which cost more than the cutting."""
+    trimmed = F.filter(F.transform(_cut(F.col("text")), lambda x: F.btrim(x, F.lit(" \n"))), lambda x: x != "")
+    return docs.select(F.col(key).alias("document_id"), "text").repartition("document_id").select("document_id", F.posexplode(trimmed).alias("no", "text")).select("document_id", (F.col("no") + 1).alias("sentence_no"), "text")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document_id, sentence_no, start, end, text): lines cut after . ! or ?, with places in the text; a row of docs is a document."""
     return _exploded(docs, key, "sentence_no")
@@ -217,91 +230,241 @@ def _best_chain(old: list[int], new: list[int], weight: list[float]) -> list[tup
     return out
 
 
-def _near(old: list[tuple], new: list[tuple], bar: float) -> tuple[list[int], list[int], list[float]]:
-    """Pairs of a document's sentences (number, words) that share ``bar`` of the smaller one's words, with their weights, in the order of _best_chain."""
-    old, new = ([(k, w) for k, w in side if w] for side in (old, new))
-    places: dict[str, list[int]] = {}
-    for j, (_, w) in enumerate(new):
-        for x in w:
-            places.setdefault(x, []).append(j)
-    size = np.array([len(w) for _, w in new], "int64")
-    out: tuple[list, list, list] = ([], [], [])
-    for k, w in old:
-        met = [places[x] for x in w if x in places]
-        if met:
-            js, shared = np.unique(np.concatenate(met), return_counts=True)
-            near = shared / np.minimum(len(w), size[js]) >= bar
-            js, shared = js[near][::-1], shared[near][::-1]
-            out[0].extend([k] * len(js))
-            out[1].extend(new[j][0] for j in js)
-            out[2].extend((shared * 2.0 * shared / (len(w) + size[js])).tolist())
-    return out
-
-
-def _aligned(rows: list[tuple], bar: float) -> list[tuple]:
-    """(document_id, old_no, new_no, old, new) of a document's rows (document_id, side, number, text, h, words), sorted by side and number."""
-    doc, sides = rows[0][0], [[r for r in rows if r[1] == s] for s in (0, 1)]
-    pairs: dict[int, int] = {}
-    if doc is not None:
-        same: dict[int, list[int]] = {}
-        for r in reversed(sides[1]):
-            same.setdefault(r[4], []).append(r[2])
-        pairs = {r[2]: same[r[4]].pop() for r in sides[0] if same.get(r[4])}
-        taken = (set(pairs), set(pairs.values()))
-        pairs |= dict(_best_chain(*_near(*([(r[2], r[5]) for r in side if r[2] not in t] for side, t in zip(sides, taken, strict=True)), bar)))
-    text, back = {r[2]: r[3] for r in sides[1]}, set(pairs.values())
-    out = [(doc, r[2], pairs.get(r[2]), r[3], text.get(pairs.get(r[2]))) for r in sides[0]]
-    return out + [(doc, None, r[2], None, r[3]) for r in sides[1] if r[2] not in back]
-
-
-def align_sentences(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
+#: Meetings of words that are looked at in one go.
+MEETINGS = 1 << 21
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that begin at ``first`` and have ``count`` places: the run of each place, and the place."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - (np.cumsum(count) - count - first)[of]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
+def _cuts(count: np.ndarray) -> list[slice]:
+    """Slices of neighbours whose counts sum to about MEETINGS."""
+    edges = (np.flatnonzero(np.diff(np.cumsum(count) // MEETINGS)) + 1).tolist()
+    return [slice(a, b) for a, b in zip([0, *edges], [*edges, len(count)], strict=True)]
+
+
+def _near(group: np.ndarray, side: np.ndarray, size: np.ndarray, word: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(old, new, weight): rows of one group that share ``bar`` of the smaller one's words, in the order of _best_chain; rows are sorted by group.
+
+    ``word`` has the codes of all rows' words, ``size`` of them for each row.  Two rows with that share have one of the rarest words of the smaller one in
+    common, all but as many as it must share less one, so they meet on those only (each side may be the smaller one) and are compared once."""
+    n, row, found = len(size), np.repeat(np.arange(len(size)), size), [np.zeros(0, "int64")]
+    keys, word = np.unique(group[row] * (int(word.max(initial=0)) + 1) + word, return_inverse=True)
+    count = lambda mine: [np.bincount(word[m], minlength=len(keys)) for m in mine]
+    df = count([side[row] == s for s in (0, 1)])
+    both = ((df[0] > 0) & (df[1] > 0))[word]
+    row, word = row[both], word[both]
+    mine = [side[row] == s for s in (0, 1)]
+    df, met = count(mine), np.bincount(row, minlength=n)
+    need = np.maximum(np.ceil(bar * size - 1e-9), 1).astype("int64")
+    for s, o in ((0, 1), (1, 0)):
+        other, first = row[mine[o]][np.argsort(word[mine[o]], kind="stable")], np.cumsum(df[o]) - df[o]
+        r, w = row[mine[s]], word[mine[s]]
+        rare = np.lexsort((df[o][w], r))
+        r, w = r[rare], w[rare]
+        have = np.bincount(r, minlength=n)
+        rare = np.arange(len(r)) - (np.cumsum(have) - have)[r] <= (have - need)[r]
+        r, w = r[rare], w[rare]
+        for cut in _cuts(df[o][w]):
+            of, at = _runs(first[w[cut]], df[o][w[cut]])
+            x, y = r[cut][of], other[at]
+            ok = size[x] <= size[y] if s == 0 else size[x] < size[y]
+            x, y = x[ok], y[ok]
+            found.append(_distinct(x * n + n - 1 - y if s == 0 else y * n + n - 1 - x))
+    pairs = _distinct(np.concatenate(found))
+    old, new = pairs // max(n, 1), n - 1 - pairs % max(n, 1)
+    less = size[old] <= size[new]
+    small, large = np.where(less, old, new), np.where(less, new, old)
+    start, all_, shared = np.cumsum(met) - met, np.sort(row * len(keys) + word), np.zeros(len(old), "int64")
+    for cut in _cuts(met[small]):
+        of, at = _runs(start[small[cut]], met[small[cut]])
+        asked = large[cut][of] * len(keys) + word[at]
+        place = np.searchsorted(all_, asked)
+        hit = all_[np.minimum(place, len(all_) - 1)] == asked
+        shared[cut] = np.bincount(of[hit], minlength=len(small[cut]))
+    near = shared / np.minimum(size[old], size[new]) >= bar
+    old, new, shared = old[near], new[near], shared[near]
+    return old, new, shared * 2.0 * shared / (size[old] + size[new])
+
+
+def _equal(group: np.ndarray, side: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(old, new): rows of one group and code, the first of each side, the second of each side and so on."""
+    order = np.lexsort((side, code, group))
+    g, x = group[order], code[order]
+    first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
+    n, n_new = np.diff(np.r_[first, len(order)]), np.add.reduceat(side[order], first)
+    k = np.minimum(n - n_new, n_new)
+    return order[_runs(first, k)[1]], order[_runs(first + n - n_new, k)[1]]
+
+
+def _aligned(rows: pa.Table, bar: float) -> list[pa.Array]:
+    """document_id, old_no, new_no, old, new, same of whole documents' rows (document_id, side, number, text, text in lower case), sorted by document, side and number."""
+    ids, side, no, text, low = (c.chunk(0) for c in rows.combine_chunks().columns)
+    group, side = np.cumsum(_starts(ids)), side.to_numpy()
+    pair = np.full(len(ids), -1)
+    old, new = _equal(group, side, pc.fill_null(_squashed(low).dictionary_encode().indices, -1).to_numpy())
+    pair[old], pair[new] = new, old
+    same = pair >= 0
+    free = np.flatnonzero(pair < 0)
+    old, new, weight = _near(group[free], side[free], *_letter_words(low.take(pa.array(free))), bar)
+    old, new = free[old], free[new]
+    # cut where all pairs before are before all pairs behind, so between documents too; what stands alone is taken
+    part = np.flatnonzero((np.maximum.accumulate(new)[:-1] < np.minimum.accumulate(new[::-1])[::-1][1:]) & (old[:-1] < old[1:])) + 1
+    first = np.r_[0, part][: len(old)]
+    size = np.diff(np.r_[first, len(old)])
+    one = first[size == 1]
+    pair[old[one]], pair[new[one]] = new[one], old[one]
+    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        o, n = np.array(_best_chain(*(x[a : a + n].tolist() for x in (old, new, weight)))).T
+        pair[o], pair[n] = n, o
+    old, added = np.flatnonzero(side == 0), np.flatnonzero((side == 1) & (pair < 0))
+    at = np.r_[old, np.full(len(added), -1)], np.r_[pair[old], added]
+    one = np.where(at[0] < 0, at[1], at[0])
+    old, new = (pa.array(x, mask=x < 0) for x in at)
+    return [ids.take(pa.array(one)), no.take(old), no.take(new), text.take(old), text.take(new), pa.array(same[one])]
+
+
+def _starts(ids: pa.Array, before: pa.Scalar | None = None) -> np.ndarray:
+    """Whether a document begins with the row; ``before`` is the id of the row in front.  Rows without an id are documents of their own."""
+    known, x = ids.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
+    same = before is not None and before.is_valid and len(x) > 0 and known[0] and before.as_py() == x[0]
+    return np.r_[not same, (x[1:] != x[:-1]) | ~known[1:] | ~known[:-1]][: len(x)]
+
+
+def letter_words(text: Column) -> Column:
+    """``content_words`` without a digit."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("(?<![a-z0-9])([a-z]{3,}+)(?![0-9])"), F.lit(1))
+    return F.array_except(found, F.array(*map(F.lit, tx.STOP_WORDS)))
+
+
+def _letter_words(low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``letter_words`` of texts in lower case: how many each has, and codes of them all, one text after the other."""
+    raw, ends = _bytes(low)
+    letter, digit = (raw >= 97) & (raw <= 122), (raw >= 48) & (raw <= 57)
+    # words are runs of letters and digits within a text
+    inside = np.r_[False, letter | digit, False]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[ends] = True
+    first = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    last = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    digits = np.r_[0, np.cumsum(digit, dtype="int64")]
+    kept = (last - first > 2) & (digits[last] == digits[first])
+    first, last = first[kept], last[kept]
+    row, size = np.repeat(np.arange(len(low)), np.diff(ends))[first], last - first
+    at = _runs(first, size)[1]
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype("int64")), pa.py_buffer(raw[at])]).dictionary_encode()
+    stop = pc.is_in(words.dictionary, pa.array([w.encode() for w in tx.STOP_WORDS], pa.large_binary())).to_numpy(zero_copy_only=False)
+    n, code = max(len(stop), 1), words.indices.to_numpy().astype("int64")
+    kept = ~stop[code]
+    once = _distinct(row[kept] * n + code[kept])
+    return np.bincount(once // n, minlength=len(low)), once % n
+
+
+def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins and the last ends; a null has none."""
+    x = pc.fill_null(text, "").cast(pa.large_binary())
+    ends = np.frombuffer(x.buffers()[1], "int64")[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2] or b"", "uint8")[ends[0] : ends[-1]], ends - ends[0]
+
+
+#: ``tx.SPACE`` and the replacements of ``tx.squash``, for Python's strings.
+_BLANK = re.compile(tx.SPACE.replace(r"\s", r" \t-\r") + "+")
+_PLAIN = str.maketrans(tx.SQUASH_FROM, tx.SQUASH_TO)
+
+
+def _squashed(low: pa.Array) -> pa.Array:
+    """``tx.squash`` of texts in lower case.  Only those are rewritten that have two blanks, a blank other than a space, or a character that begins like one of its own."""
+    raw, ends = _bytes(low)
+    then = np.r_[raw[1:], np.uint8(0)][: len(raw)]
+    odd = (raw < 32) | ((raw == 32) & (then == 32)) | ((raw == 0xC2) & ((then == 0xA0) | (then == 0x85))) | ((raw >= 0xE1) & (raw <= 0xE3))
+    rows = np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right") - 1)
+    out = pc.utf8_trim(low, " ")
+    if not len(rows):
+        return out
+    new = [None if x is None else _BLANK.sub(" ", x.translate(_PLAIN)).strip(" ") for x in low.take(pa.array(rows)).to_pylist()]
+    mask = np.zeros(len(low), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(out, pa.array(mask), pa.array(new, out.type))
+
+
+def align_versions(rows: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
     """(document_id, old_no, new_no, old, new): each sentence of an old version beside its restatement in the new one; null where there is none.
 
-    old and new: document_id (a number), sentence_no, text.  Equal sentences are paired in order first.  Of the others those are candidates that share ``bar`` of the
+    rows: document_id (a number), side (0 old, 1 new), sentence_no, text.  Equal sentences are paired in order first.  Of the others those are candidates that share ``bar`` of the
     smaller one's content words, numbers aside.  A document's pairs are the set of candidates that keeps the
     order of both versions and shares most (shared words, weighted by how alike the two are).  Sentences without content words pair only when equal.
 
-    Sentences are dealt out by document once and pass in order; a task holds those of one document at a time."""
-    words = F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]"))
-    side = lambda d, s: d.select("document_id", F.lit(s).alias("side"), F.col("sentence_no").cast("long").alias("no"), "text")
-    dealt = side(old, 0).unionByName(side(new, 1)).repartition("document_id").sortWithinPartitions("document_id", "side", "no")
-    ready = dealt.select(F.col("document_id").cast("long").alias("document_id"), "side", "no", "text", F.xxhash64(tx.squash(F.col("text"))).alias("h"), words.alias("words"))
-    schema = pa.schema([("document_id", pa.int64()), ("old_no", pa.int64()), ("new_no", pa.int64()), ("old", pa.string()), ("new", pa.string())])
+    Sentences are dealt out by document once and pass in order; a task holds those of one batch and of the document that goes on beyond it."""
+    return _paired(rows, bar).drop("same")
+
+
+def _paired(rows: DataFrame, bar: float) -> DataFrame:
+    """``align_versions`` with ``same``: whether the two are equal but for blanks, case and typographic characters."""
+    dealt = rows.select("document_id", F.col("side").cast("int").alias("side"), F.col("sentence_no").cast("long").alias("no"), "text").repartition("document_id").sortWithinPartitions("document_id", "side", "no")
+    ready = dealt.select(F.col("document_id").cast("long").alias("document_id"), "side", "no", "text", F.lower("text").alias("low"))
+    schema = pa.schema([("document_id", pa.int64()), ("old_no", pa.int64()), ("new_no", pa.int64()), ("old", pa.string()), ("new", pa.string()), ("same", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        put = lambda done: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+        held: list[pa.RecordBatch] = []
+        put = lambda: pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(_aligned(pa.Table.from_batches(held), bar), schema, strict=True)], schema=schema)
         for b in batches:
-            done = []
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    done += _aligned(held, bar)
-                    held = []
-                held.append(r)
-            if done:
-                yield put(done)
+            starts = np.flatnonzero(_starts(b.column(0), held[-1].column(0)[-1] if held else None)).tolist()
+            if starts and (held or starts[-1]):
+                held += [b.slice(0, starts[-1])] if starts[-1] else []
+                yield put()
+                held = []
+            held += [b.slice(starts[-1] if starts else 0)] if b.num_rows else []
         if held:
-            yield put(_aligned(held, bar))
+            yield put()
+
+    out = ready.mapInArrow(run, "document_id long, old_no long, new_no long, old string, new string, same boolean")
+    return out.withColumn("document_id", F.col("document_id").cast(rows.schema["document_id"].dataType))
+
+
+def align_sentences(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
+    """``align_versions`` of two frames: document_id (a number), sentence_no, text."""
+    return align_versions(_sides(old, new), bar)
+
 
-    out = ready.mapInArrow(run, "document_id long, old_no long, new_no long, old string, new string")
-    return out.withColumn("document_id", F.col("document_id").cast(old.schema["document_id"].dataType))
+def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    side = lambda d, s: d.select("document_id", F.lit(s).alias("side"), F.col("sentence_no").cast("long").alias("sentence_no"), "text")
+    return side(old, 0).unionByName(side(new.withColumn("document_id", F.col("document_id").cast(old.schema["document_id"].dataType)), 1))
 
 
 def version_changes(old: DataFrame, new: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
     """``align_sentences`` with the kind of each change: what became of every sentence of the old version, and what is added."""
-    return classify_changes(align_sentences(old, new, bar))
+    return changes_of(_sides(old, new), bar)
+
+
+def changes_of(rows: DataFrame, bar: float = DEFAULT.sentence_words) -> DataFrame:
+    """``version_changes`` of both versions in one frame, as ``align_versions`` takes them."""
+    return _paired(rows, bar).withColumn("change", _change(F.col("same"))).drop("same")
 
 
 def classify_changes(pairs: DataFrame) -> DataFrame:
     """pairs (old, new) of sentences with ``change``: added, dropped, unchanged, delayed (later year), weakened (lower percentage), strengthened or restated."""
-    year = lambda c: F.nullif(F.regexp_extract(c, YEAR, 1), F.lit("")).cast("int")
-    number = lambda c: F.replace(F.nullif(F.regexp_extract(c, r"(\d[\d,]*(?:\.\d+)?)\s?(?:%|percent)", 1), F.lit("")), F.lit(","), F.lit("")).cast("double")
     o, n = F.col("old"), F.col("new")
-    change = (
-        F.when(o.isNull(), "added").when(n.isNull(), "dropped").when(tx.squash(o) == tx.squash(n), "unchanged").when(year(n) > year(o), "delayed")
-        .when(number(n) < number(o), "weakened").when(number(n) > number(o), "strengthened").otherwise("restated")
+    return pairs.withColumn("change", _change(o == n, tx.squash(o) == tx.squash(n)))
+
+
+def _change(*same: Column) -> Column:
+    """Kind of change of a row (old, new) that is unchanged where one of ``same`` holds.  Numbers are looked for only where the cases before leave it open."""
+    year = lambda c: tx.let(F.regexp_extract(c, "(?=[12])" + YEAR, 1), lambda x: F.nullif(x, F.lit("")).cast("int"))
+    number = lambda c: tx.let(F.regexp_extract(c, r"(\d[\d,]*(?:\.\d+)?)\s?(?:%|percent)", 1), lambda x: F.replace(F.nullif(x, F.lit("")), F.lit(","), F.lit("")).cast("double"))
+    o, n = F.col("old"), F.col("new")
+    share = lambda x: F.when(x["n"] < x["o"], "weakened").when(x["n"] > x["o"], "strengthened").otherwise("restated")
+    return (
+        F.when(o.isNull(), "added").when(n.isNull(), "dropped").when(reduce(Column.__or__, same), "unchanged").when(year(n) > year(o), "delayed")
+        .otherwise(tx.let(F.struct(number(o).alias("o"), number(n).alias("n")), share))
     )
-    return pairs.withColumn("change", change)
 
 
 def restated_claims(claims: DataFrame, by: str) -> DataFrame:

@@ -131,17 +131,19 @@ y AS (SELECT *, TRY_CAST(regexp_extract(old, '\\b((?:19|20)\\d{{2}})\\b', 1) AS
 SELECT document_id, old_no, CASE WHEN new IS NULL THEN 'dropped' WHEN old = new THEN 'unchanged' WHEN y1 > y0 THEN 'delayed' WHEN x1 < x0 THEN 'weakened' WHEN x1 > x0 THEN 'strengthened' ELSE 'restated' END AS change FROM y""")
 def m7_version_changes(t):
     """Two versions of every document: sentences with other years and percentages, reworded ones and dropped ones; the operator finds the pairs, SQL knows them."""
-    s = mi.sentences(t.documents)
-    words = F.array_sort(F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]")))
+    # an array of one is filtered: for a filter of rows Spark would make the words a second time
+    worded = F.filter(F.array(F.struct(F.sort_array(mi.letter_words(F.col("text"))).alias("ws"))), lambda x: F.size(x["ws"]) > 2)
+    s = mi.sentence_texts(t.documents).select("document_id", "sentence_no", "text", F.inline(worded))
     first = Window.partitionBy("document_id", "ws").orderBy("sentence_no")
-    u = s.withColumn("ws", words).where(F.size("ws") > 2).withColumn("k", F.row_number().over(first)).where("k = 1")
+    u = s.withColumn("k", F.row_number().over(first)).where("k = 1").drop("ws")
     u = u.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("sentence_no")))
     k = F.col("n") % 7
     whole = lambda head, later, more: F.concat(head, "text", F.lit(" by "), (2030 + F.col("n") % 5 + later).cast("string"), F.lit(" at "), (40 + k + more).cast("string"), F.lit("%"))
-    old = u.select("document_id", F.col("n").alias("sentence_no"), whole(F.lit(""), 0, 0).alias("text"))
-    text = whole(F.when(k == 6, "Indeed ").otherwise(""), F.when(k == 1, 3).otherwise(0), F.when(k == 2, -15).when(k == 3, 15).otherwise(0))
-    new = u.where(k != 0).select("document_id", F.col("n").alias("sentence_no"), text.alias("text"))
-    return mi.version_changes(old, new).where("old_no is not null").select("document_id", F.col("old_no").cast("long").alias("old_no"), "change")
+    version = lambda side, text: F.struct(F.lit(side).alias("side"), F.col("n").alias("sentence_no"), text.alias("text"))
+    old = version(0, whole(F.lit(""), 0, 0))
+    new = version(1, whole(F.when(k == 6, "Indeed ").otherwise(""), F.when(k == 1, 3).otherwise(0), F.when(k == 2, -15).when(k == 3, 15).otherwise(0)))
+    both = u.select("document_id", F.inline(F.when(k == 0, F.array(old)).otherwise(F.array(old, new))))
+    return mi.changes_of(both).where("old_no is not null").select("document_id", F.col("old_no").cast("long").alias("old_no"), "change")
 
 
 @query(f"""SELECT d.source, count(*) AS n_claims, count(DISTINCT c.document_id) AS n_documents FROM ({_C}) c JOIN documents d ON d.doc_id = c.document_id GROUP BY d.source, lower(regexp_replace(trim(c.text), '\\s+', ' ', 'g')) HAVING count(DISTINCT c.document_id) > 1""")

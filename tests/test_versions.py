@@ -3,8 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from auditgrain.functions import text as tx
 from auditgrain.functions.text import STOP_WORDS
 from auditgrain.operators import mining as mi
+from auditgrain.plans import registry
 
 ROW = "document_id long, sentence_no long, text string"
 
@@ -70,3 +76,46 @@ def test_alignment_writes_little(spark):
     assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan and "Scan ExistingRDD[document_id" in plan
     assert len(out.where("document_id < 7 and old_no is not null and new_no is not null").collect()) == 54
     assert out.where("document_id is null").count() == 2
+
+
+def test_versions_are_made_once(spark, sf):
+    """Both versions come from one scan, and their sentences pass one exchange."""
+    plan = registry.QUERIES["m7_version_changes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_batches_read_texts_as_columns_do(spark):
+    rng = random.Random(7)
+    parts = ["The", "water", "eau", "élan", "Σας", "ΟΔΟΣ", "İle", "\u212aelvin", "abc1", "1abc", "of", "at", "net-zero", "“quoted”", "it’s", "–", "—", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "中文", "A", ".", "", "😀"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 9))) for _ in range(600)] + [None, "", " ", "\x00a  b"]
+    low = F.lower("text")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    got = rows.select(low.alias("low"), tx.squash(F.col("text")).alias("squashed"), F.filter(tx.content_words(F.col("text")), lambda w: ~w.rlike("[0-9]")).alias("words"), mi.letter_words(F.col("text")).alias("letters")).collect()
+    assert mi._squashed(pa.array([r.low for r in got], pa.string())).to_pylist() == [r.squashed for r in got]
+    assert all(r.words == r.letters for r in got)
+    for cut in (0, 7):
+        size, code = mi._letter_words(pa.array([r.low for r in got], pa.string())[cut:])
+        assert size.tolist() == [len(r.words or []) for r in got[cut:]]
+        words_of = np.split(code, np.cumsum(size)[:-1])
+        name = {}
+        for r, codes in zip(got[cut:], words_of, strict=True):
+            for w in codes:
+                name.setdefault(int(w), set(r.words)).intersection_update(r.words)
+        assert all(name[int(w)] for codes in words_of for w in codes) and len(name) == len({w for r in got[cut:] for w in r.words or []})
+
+
+def test_documents_beyond_a_batch(spark):
+    """Documents that begin and end within batches, or go on over several, give what they give in one."""
+    rng = random.Random(5)
+    make = lambda d: [(d, i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=3)) + f" {i % 4}") for i in range(rng.randint(0, 9))]
+    old, new = ([r for d in [*range(12), None] for r in make(d)] for _ in range(2))
+    frame = lambda v: spark.createDataFrame(v, ROW).coalesce(1)
+    took = lambda: sorted(map(repr, mi.version_changes(frame(old), frame(new)).collect()))
+    want, kept = took(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 2, 5):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+            assert took() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert all("old_no=None" in r or "new_no=None" in r for r in want if "document_id=None" in r)
