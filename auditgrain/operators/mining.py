@@ -17,6 +17,7 @@ from ..config import DEFAULT
 from ..functions import text as tx
 from .automaton import term_hits
 from .spans import line_regions
+from .wordsets import cuts, distinct, runs, starts, whole_groups
 
 #: Lexicons for English corporate texts: defaults of the miners below; others are parameters.
 CLAIM_LEXICON = {
@@ -230,27 +231,6 @@ def _best_chain(old: list[int], new: list[int], weight: list[float]) -> list[tup
     return out
 
 
-#: Meetings of words that are looked at in one go.
-MEETINGS = 1 << 21
-
-
-def _runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of runs that begin at ``first`` and have ``count`` places: the run of each place, and the place."""
-    of = np.repeat(np.arange(len(count)), count)
-    return of, np.arange(len(of)) - (np.cumsum(count) - count - first)[of]
-
-
-def _distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
-
-
-def _cuts(count: np.ndarray) -> list[slice]:
-    """Slices of neighbours whose counts sum to about MEETINGS."""
-    edges = (np.flatnonzero(np.diff(np.cumsum(count) // MEETINGS)) + 1).tolist()
-    return [slice(a, b) for a, b in zip([0, *edges], [*edges, len(count)], strict=True)]
-
-
 def _near(group: np.ndarray, side: np.ndarray, size: np.ndarray, word: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(old, new, weight): rows of one group that share ``bar`` of the smaller one's words, in the order of _best_chain; rows are sorted by group.
 
@@ -273,19 +253,19 @@ def _near(group: np.ndarray, side: np.ndarray, size: np.ndarray, word: np.ndarra
         have = np.bincount(r, minlength=n)
         rare = np.arange(len(r)) - (np.cumsum(have) - have)[r] <= (have - need)[r]
         r, w = r[rare], w[rare]
-        for cut in _cuts(df[o][w]):
-            of, at = _runs(first[w[cut]], df[o][w[cut]])
+        for cut in cuts(df[o][w]):
+            of, at = runs(first[w[cut]], df[o][w[cut]])
             x, y = r[cut][of], other[at]
             ok = size[x] <= size[y] if s == 0 else size[x] < size[y]
             x, y = x[ok], y[ok]
-            found.append(_distinct(x * n + n - 1 - y if s == 0 else y * n + n - 1 - x))
-    pairs = _distinct(np.concatenate(found))
+            found.append(distinct(x * n + n - 1 - y if s == 0 else y * n + n - 1 - x))
+    pairs = distinct(np.concatenate(found))
     old, new = pairs // max(n, 1), n - 1 - pairs % max(n, 1)
     less = size[old] <= size[new]
     small, large = np.where(less, old, new), np.where(less, new, old)
     start, all_, shared = np.cumsum(met) - met, np.sort(row * len(keys) + word), np.zeros(len(old), "int64")
-    for cut in _cuts(met[small]):
-        of, at = _runs(start[small[cut]], met[small[cut]])
+    for cut in cuts(met[small]):
+        of, at = runs(start[small[cut]], met[small[cut]])
         asked = large[cut][of] * len(keys) + word[at]
         place = np.searchsorted(all_, asked)
         hit = all_[np.minimum(place, len(all_) - 1)] == asked
@@ -302,13 +282,13 @@ def _equal(group: np.ndarray, side: np.ndarray, code: np.ndarray) -> tuple[np.nd
     first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
     n, n_new = np.diff(np.r_[first, len(order)]), np.add.reduceat(side[order], first)
     k = np.minimum(n - n_new, n_new)
-    return order[_runs(first, k)[1]], order[_runs(first + n - n_new, k)[1]]
+    return order[runs(first, k)[1]], order[runs(first + n - n_new, k)[1]]
 
 
 def _aligned(rows: pa.Table, bar: float) -> list[pa.Array]:
     """document_id, old_no, new_no, old, new, same of whole documents' rows (document_id, side, number, text, text in lower case), sorted by document, side and number."""
     ids, side, no, text, low = (c.chunk(0) for c in rows.combine_chunks().columns)
-    group, side = np.cumsum(_starts(ids)), side.to_numpy()
+    group, side = np.cumsum(starts(ids)), side.to_numpy()
     pair = np.full(len(ids), -1)
     old, new = _equal(group, side, pc.fill_null(_squashed(low).dictionary_encode().indices, -1).to_numpy())
     pair[old], pair[new] = new, old
@@ -332,13 +312,6 @@ def _aligned(rows: pa.Table, bar: float) -> list[pa.Array]:
     return [ids.take(pa.array(one)), no.take(old), no.take(new), text.take(old), text.take(new), pa.array(same[one])]
 
 
-def _starts(ids: pa.Array, before: pa.Scalar | None = None) -> np.ndarray:
-    """Whether a document begins with the row; ``before`` is the id of the row in front.  Rows without an id are documents of their own."""
-    known, x = ids.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
-    same = before is not None and before.is_valid and len(x) > 0 and known[0] and before.as_py() == x[0]
-    return np.r_[not same, (x[1:] != x[:-1]) | ~known[1:] | ~known[:-1]][: len(x)]
-
-
 def letter_words(text: Column) -> Column:
     """``content_words`` without a digit."""
     found = F.regexp_extract_all(F.lower(text), F.lit("(?<![a-z0-9])([a-z]{3,}+)(?![0-9])"), F.lit(1))
@@ -359,12 +332,12 @@ def _letter_words(low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kept = (last - first > 2) & (digits[last] == digits[first])
     first, last = first[kept], last[kept]
     row, size = np.repeat(np.arange(len(low)), np.diff(ends))[first], last - first
-    at = _runs(first, size)[1]
+    at = runs(first, size)[1]
     words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype("int64")), pa.py_buffer(raw[at])]).dictionary_encode()
     stop = pc.is_in(words.dictionary, pa.array([w.encode() for w in tx.STOP_WORDS], pa.large_binary())).to_numpy(zero_copy_only=False)
     n, code = max(len(stop), 1), words.indices.to_numpy().astype("int64")
     kept = ~stop[code]
-    once = _distinct(row[kept] * n + code[kept])
+    once = distinct(row[kept] * n + code[kept])
     return np.bincount(once // n, minlength=len(low)), once % n
 
 
@@ -413,17 +386,8 @@ def _paired(rows: DataFrame, bar: float) -> DataFrame:
     schema = pa.schema([("document_id", pa.int64()), ("old_no", pa.int64()), ("new_no", pa.int64()), ("old", pa.string()), ("new", pa.string()), ("same", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        put = lambda: pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(_aligned(pa.Table.from_batches(held), bar), schema, strict=True)], schema=schema)
-        for b in batches:
-            starts = np.flatnonzero(_starts(b.column(0), held[-1].column(0)[-1] if held else None)).tolist()
-            if starts and (held or starts[-1]):
-                held += [b.slice(0, starts[-1])] if starts[-1] else []
-                yield put()
-                held = []
-            held += [b.slice(starts[-1] if starts else 0)] if b.num_rows else []
-        if held:
-            yield put()
+        for rows in whole_groups(batches):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(_aligned(rows, bar), schema, strict=True)], schema=schema)
 
     out = ready.mapInArrow(run, "document_id long, old_no long, new_no long, old string, new string, same boolean")
     return out.withColumn("document_id", F.col("document_id").cast(rows.schema["document_id"].dataType))
