@@ -71,3 +71,17 @@ def test_a_card_is_shuffled_once(spark, query):
     before = shuffled()
     query(rows(1), rows(0)).collect()
     assert shuffled() - before < 4000
+
+
+def test_references_take_the_best_free_card(spark, cards, monkeypatch):
+    """In order of their ids; documents within and beyond a task's size give the same."""
+    live, ref = cards
+    frame = lambda v: spark.createDataFrame(v, CARD).repartition(3)
+    want, used = [], set()
+    for d, r, x, share in sorted(every_pair(live, ref, 0.25), key=lambda p: (p[1], -p[3], p[2])):
+        if (d, "r", r) not in used and (d, "l", x) not in used:
+            used |= {(d, "r", r), (d, "l", x)}
+            want.append((d, r, x, share))
+    for n in (ma.CARDS, 25):
+        monkeypatch.setattr(ma, "CARDS", n)
+        assert sorted(map(tuple, ma.pair_by_words(frame(live), frame(ref)).collect())) == sorted(want)
